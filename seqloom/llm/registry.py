@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, sentencepiece_codec, sharding, token_counts
+from . import packing, pii, quality, sentencepiece_codec, sharding, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op2_bm25_packing": packing.op2_bm25_packing,
+    "op3_crf": pii.op3_crf,
     "op5_hash_tree": sharding.op5_hash_tree,
     "op6_quality_rules": quality.op6_quality_rules,
     "op10_digest_cache": token_counts.op10_digest_cache,
