@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Pivots, how many of them a vector is posted to, and the rows that they are drawn from.
 PIVOTS, POSTED, PIVOT_ROWS = 128, 64, 2048
-#: Share of a shard's vectors that is reranked, and how many at least.
-SHARE, LEAST = 0.1, 256
+#: Share of a shard's vectors that is reranked, and how many at least; besides, all within this part of the largest footrule
+#: distance are, however many (a tight cluster's members have nearly the same orders).
+SHARE, LEAST, CLOSE = 0.2, 512, 0.25
 SHARD_ROWS, BLOCK_QUERIES = 20_000, 8192
 
 
@@ -37,11 +38,24 @@ def orders(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
     return np.maximum(posted - ranks, 0).astype(np.int16)
 
 
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, posted: int, share: float, least: int):
+def spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """n of the sample's directions that lie far apart: each next is the one least like those taken (a dense cluster gets few)."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    taken, like = [0], unit @ unit[0]
+    while len(taken) < min(n, len(unit)):
+        taken.append(int(like.argmin()))
+        if like[taken[-1]] > 1 - 1e-9:
+            taken.pop()
+            break
+        like = np.maximum(like, unit @ unit[taken[-1]])
+    return unit[taken]
+
+
+def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, posted: int, share: float, least: int, close: float = CLOSE):
     """The k nearest found of each query in one shard: (query id, id, cosine)."""
     weights, wanted = orders(x, pivots, posted), orders(q, pivots, posted)
     files = [(rows := np.flatnonzero(weights[:, p]), weights[rows, p]) for p in range(len(pivots))]
-    norms, n = np.linalg.norm(x, axis=1), len(ids)
+    norms, n, full = np.linalg.norm(x, axis=1), len(ids), posted * (posted + 1)
     reranked = min(n, max(least, int(np.ceil(share * n))))
     out = []
     for i in range(len(q)):
@@ -51,10 +65,8 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
             rows, w = files[p]
             shared[rows] += np.minimum(w, wanted[i, p])
         best = np.argpartition(-shared, reranked - 1)[:reranked] if reranked < n else np.arange(n)
-        if reranked < n:  # ties at the edge go to smaller ids, as the whole does
-            edge = shared[best].min()
-            inner, tied = np.flatnonzero(shared > edge), np.flatnonzero(shared == edge)
-            best = np.concatenate((inner, tied[np.argsort(ids[tied], kind="stable")][: reranked - len(inner)]))
+        if reranked < n:  # with all ties at the edge, so the order of rows plays no part
+            best = np.flatnonzero(shared >= min(shared[best].min(), (1 - close) * full / 2))
         best = best[ids[best] != query_ids[i]]
         cosine = (x[best] * q[i]).sum(1) / (norms[best] * np.linalg.norm(q[i]))
         top = np.lexsort((ids[best], -cosine))[:k]
@@ -74,8 +86,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable = usable.where(F.size(v) == usual["n"])
     drawn = {tuple(r["v"]) for r in usable.select("v", "id").orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).collect()}
-    pivot = np.array(sorted(drawn)[:: max(1, len(drawn) // pivots)][:pivots])
-    pivot /= np.linalg.norm(pivot, axis=1, keepdims=True)
+    pivot = spread(np.array(sorted(drawn)), pivots)
     posted = min(posted, max(1, len(pivot) // 2) if len(pivot) > 1 else 1)
 
     copies = Window.partitionBy("v").orderBy("id")
