@@ -37,11 +37,11 @@ def n_words(text: Column) -> Column:
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long")
+    return F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long")
+    return F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -49,8 +49,8 @@ def n_dup_lines(text: Column) -> Column:
     return _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def n_repeat_words(text: Column) -> Column:
-    """Words that lie in a 5-word window found twice or more in the text. Linear but for one sort of the texts that repeat any."""
+def n_repeat_words(words_: Column) -> Column:
+    """Of a text's words, those that lie in a 5-word window found twice or more in the text. Linear but for one sort of the texts that repeat any."""
 
     def marked(places: Column) -> Column:
         # places: (window, start), by window; then the starts of repeated windows in order; then the words they cover
@@ -62,7 +62,7 @@ def n_repeat_words(text: Column) -> Column:
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def repeated(windows: Column) -> Column:
-        found = _let(F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("at")))), marked)
+        found = _let(F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("at")))), marked)
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(found)
 
     def of_words(ws: Column) -> Column:
@@ -70,25 +70,47 @@ def n_repeat_words(text: Column) -> Column:
         windows = F.transform(F.sequence(F.lit(0), F.size(ws) - GRAM), window)
         return F.when(F.size(ws) <= GRAM, F.lit(0).cast("long")).otherwise(_let(windows, repeated))
 
-    return _let(words(text), of_words)
+    return _let(words_, of_words)
+
+
+class Measures:
+    """What the rules measure of a text, each an expression of it, or a column where it has been computed already."""
+
+    def __init__(self, text: Column, **known: Column):
+        self.text, self.known = text, known
+
+    def __getattr__(self, name: str) -> Column:
+        known = self.__dict__["known"]
+        return known[name] if name in known else MEASURES[name](self.text)
+
+
+MEASURES: dict[str, Callable[[Column], Column]] = {
+    "n_words": n_words,
+    "word_chars": word_chars,
+    "n_symbols": n_symbols,
+    "n_dup_lines": n_dup_lines,
+    "n_repeat_words": lambda t: n_repeat_words(words(t)),
+    "n_lines": lambda t: F.size(F.split(t, "\n")),
+    "marks": lambda t: F.regexp_count(t, F.lit(f"!!(?=[{SPACE}]|$)")),
+}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects the rows for which `rejects` holds of the text."""
+    """Rejects the rows for which `rejects` holds of the text's measures."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Measures], Column]
 
 
 #: Thresholds lie far from what clean prose shows.
 RULES = (
-    Rule("few_words", lambda t: n_words(t) < 10),
-    Rule("symbols", lambda t: n_symbols(t) * 5 > word_chars(t)),
-    Rule("shouting_marks", lambda t: F.regexp_count(t, F.lit(f"!!(?=[{SPACE}]|$)")) * 2 > n_words(t)),
-    Rule("word_length", lambda t: _let(n_words(t), lambda n: ~F.coalesce(F.try_divide(word_chars(t), n).between(1.5, 40.0), F.lit(False)))),
-    Rule("dup_lines", lambda t: _let(F.size(F.split(t, "\n")), lambda n: (n >= 4) & (n_dup_lines(t) * 2 > n))),
-    Rule("repeated_words", lambda t: _let(n_words(t), lambda n: (n >= GRAM) & (100 * n_repeat_words(t) > 20 * n))),
+    Rule("few_words", lambda m: m.n_words < 10),
+    Rule("symbols", lambda m: m.n_symbols * 5 > m.word_chars),
+    Rule("shouting_marks", lambda m: m.marks * 2 > m.n_words),
+    Rule("word_length", lambda m: _let(m.n_words, lambda n: ~F.coalesce(F.try_divide(m.word_chars, n).between(1.5, 40.0), F.lit(False)))),
+    Rule("dup_lines", lambda m: _let(m.n_lines, lambda n: (n >= 4) & (m.n_dup_lines * 2 > n))),
+    Rule("repeated_words", lambda m: _let(m.n_words, lambda n: (n >= GRAM) & (100 * m.n_repeat_words > 20 * n))),
 )
 
 
@@ -108,39 +130,47 @@ def order(df: DataFrame, rules=RULES, text: str = "text", rows: int = SAMPLE_ROW
         took = []
         for _ in range(2):  # the first run compiles
             began = time.perf_counter()
-            bad = sample.agg(F.sum(rule.rejects(F.col("t")).cast("long"))).first()[0] or 0
+            bad = sample.agg(F.sum(rule.rejects(Measures(F.col("t"))).cast("long"))).first()[0] or 0
             took.append(time.perf_counter() - began)
         rated.append((rule, min(took) / n, bad / n))
     return sorted(rated, key=lambda x: (-x[2] / max(x[1], 1e-9), x[0].name))
 
 
-def cascade(text: Column, rules) -> Column:
-    """Name of the first rule that rejects the text, else null. CASE evaluates no rule after that."""
+def cascade(measures: Measures, rules) -> Column:
+    """Name of the first rule that rejects, else null. CASE evaluates no rule after that."""
     out = F.lit(None).cast("string")
     for rule in reversed(list(rules)):
-        out = F.when(rule.rejects(text), F.lit(rule.name)).otherwise(out)
+        out = F.when(rule.rejects(measures), F.lit(rule.name)).otherwise(out)
     return out
 
 
-def judge(df: DataFrame, rules=RULES, text: str = "text", verdict: str = "rejected_by") -> DataFrame:
-    """df with the first rejecting rule, in estimated order, as column `verdict` (null: kept)."""
+def judge(df: DataFrame, rules=RULES, text: str = "text", verdict: str = "rejected_by", known: dict[str, str] | None = None) -> DataFrame:
+    """df with the first rejecting rule, in estimated order, as column `verdict` (null: kept).
+
+    `known` names columns of df that hold measures already (measure -> column); the cascade reads them.
+    """
     ranked = [r for r, _, _ in order(df, rules, text)]
-    return df.withColumn(verdict, cascade(text_of(df, text), ranked))
+    return df.withColumn(verdict, cascade(Measures(text_of(df, text), **{k: df[c] for k, c in (known or {}).items()}), ranked))
 
 
 def keep(df: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows that no rule rejects, with the columns of df."""
     ranked = [r for r, _, _ in order(df, rules, text)]
-    return df.where(cascade(text_of(df, text), ranked).isNull())
+    return df.where(cascade(Measures(text_of(df, text)), ranked).isNull())
+
+
+def measured(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of its text; the text is split into words once."""
+    t = text_of(df, text)
+    split = df.withColumn("_words", words(t))
+    return split.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": word_chars(t), "n_symbols": n_symbols(t), "n_dup_lines": n_dup_lines(t), "n_repeat_words": n_repeat_words(F.col("_words"))}).drop("_words")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    judged = judge(docs.select("doc_id", "text"), verdict="_rejected")
-    t = F.coalesce(F.col("text"), F.lit(""))
-    out = judged.select("doc_id", n_words(t).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(t).alias("n_repeat_words"), "_rejected")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = judge(measured(documents(spark, sf_dir).select("doc_id", "text")), verdict="_rejected", known={n: n for n in names})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("_rejected").isNull()).alias("kept"))
+    return judged.select("doc_id", *names, failed.alias("base_failed"), (~failed & F.col("_rejected").isNull()).alias("kept"))
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
