@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, permutation_index, pii, quality, sentencepiece_codec, sharding, token_counts
+from . import packing, permutation_index, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_crf": pii.op3_crf,
     "op5_hash_tree": sharding.op5_hash_tree,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_rlz": substring_dedup.op7_rlz,
     "op8_permutation_index": permutation_index.op8_permutation_index,
     "op10_digest_cache": token_counts.op10_digest_cache,
 }
