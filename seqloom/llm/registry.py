@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, permutation_index, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_counts
+from . import jaccard_join, packing, permutation_index, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_rlz": substring_dedup.op7_rlz,
     "op8_permutation_index": permutation_index.op8_permutation_index,
+    "op9_parity_sketch": jaccard_join.op9_parity_sketch,
     "op10_digest_cache": token_counts.op10_digest_cache,
 }
 ORACLE_SQL = {**quality.SQL, **sharding.SQL}
