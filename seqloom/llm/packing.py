@@ -15,12 +15,14 @@ first in its shard. Rows' other columns aren't read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,40 +32,114 @@ WINDOW, END = 2048, 1
 #: Tails of one index shard; terms of a seed that are looked up (its rarest, by weight); tails of one partition.
 SHARD_TAILS, QUERY_TERMS, PARTITION_TAILS = 4096, 24, 24_000
 K1, B = 1.2, 0.75
-#: Words that a worker remembers the ids of, before it starts anew.
-WORDS = 300_000
+#: Words, and pieces of words, that a worker remembers the ids of before it starts anew; characters that it splits at once.
+WORDS, BATCH_CHARS = 350_000, 2_000_000
 
-_words: dict[str, dict[bytes, bytes]] = {}
-_loaded: dict = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        _loaded[path] = Tokenizer.from_file(path)
-        _loaded[path].no_truncation()
-        _loaded[path].no_padding()
-    return _loaded[path]
-
+class Encoder:
+    """Ids by a word-level BPE file, each distinct word and piece encoded once while remembered.
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit numbers.
-
-    The tokenizer drops white space and no rule of it reaches over it, so texts are split at ASCII white space and each
-    distinct word is encoded once.
+    The file drops white space and no rule of it reaches over it, so texts are split at ASCII white space. New words are
+    normalised by the library in one string, split into the pieces its pre-tokenizer gives, and new pieces encoded many to a
+    call; an id that ends a word ends a piece. Words that hold a special token's string, and batches whose pieces don't add
+    up, are encoded by the library as they are.
     """
-    known = _words.setdefault(path, {})
-    split = [x.encode("utf-8", "surrogatepass").split() for x in texts]
-    if len(known) > WORDS:
-        known.clear()
-    new = list({w for ws in split for w in ws}.difference(known))
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, x in zip(part, _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.asarray(x.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) for ws in split]
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, normalizers
+
+        with open(path) as f:
+            spec = json.load(f)
+        self.whole = Tokenizer.from_file(path)
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.normalizer = normalizers.Sequence([])
+        for t in (self.whole, self.pieces):
+            t.no_truncation()
+            t.no_padding()
+        self.special = [x["content"].encode() for x in spec["added_tokens"]]
+        suffix = spec["model"].get("end_of_word_suffix")
+        first = next((x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"), None)
+        self.ends = None
+        if suffix and first and first["behavior"] == "Removed" and first["invert"]:
+            self.pattern = regex.compile(first["pattern"]["Regex"])
+            self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+            for token, i in self.whole.get_vocab().items():
+                self.ends[i] = token.endswith(suffix)
+        self.words: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _plain(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            for w, x in zip(part, self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                self.words[w] = np.asarray(x.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        if self.ends is None:
+            return self._plain(words)
+        odd = [w for w in words if b"|" in w and any(x in w for x in self.special)]
+        self._plain(odd)
+        words = list(set(words).difference(odd)) if odd else words
+        split: list = []
+        easy, rest = [], []
+        for w in words:
+            if w.isalpha():  # of bytes: ASCII letters only, one piece
+                easy.append(w)
+                split.append((w.decode().lower(),))
+            elif w[-1] in b".,!%&$*" and w[:-1].isalpha():  # a lone mark is a piece of its own
+                easy.append(w)
+                split.append((w[:-1].decode().lower(), chr(w[-1])))
+            else:
+                rest.append(w)
+        words = easy
+        if rest:
+            low = self.whole.normalizer.normalize_str(b" ".join(rest).decode("utf-8", "replace")).split(" ")
+            if len(low) != len(rest):
+                self._plain(rest)
+                low = rest = []
+            words = easy + rest
+            split += [self.pattern.findall(w) for w in low]
+        new = list({p for ps in split for p in ps}.difference(self.known))
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            ids = np.concatenate([np.asarray(x.ids, "<u4") for x in self.pieces.encode_batch_fast([" ".join(part[i : i + 1000]) for i in range(0, len(part), 1000)], add_special_tokens=False)])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                return self._plain(words)
+            data, last = ids.tobytes(), 0
+            for p, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self.known[p] = data[last:end]
+                last = end
+        for w, ps in zip(words, split, strict=True):
+            self.words[w] = self.known[ps[0]] if len(ps) == 1 else b"".join([self.known[p] for p in ps])
+
+    def encode(self, texts: list[str]):
+        """Each text's ids as little-endian 32-bit numbers."""
+        at = 0
+        while at < len(texts):
+            end, chars = at + 1, len(texts[at])
+            while end < len(texts) and chars + len(texts[end]) <= BATCH_CHARS:
+                chars += len(texts[end])
+                end += 1
+            split = [x.encode("utf-8", "surrogatepass").split() for x in texts[at:end]]
+            if len(self.words) > WORDS:
+                self.words.clear()
+            if len(self.known) > WORDS:
+                self.known.clear()
+            if new := list({w for ws in split for w in ws}.difference(self.words)):
+                self._learn(new)
+            for ws in split:
+                yield b"".join(map(self.words.__getitem__, ws))
+            at = end
+
+
+def encode(texts: list[str], path: str):
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def _signature(ids: np.ndarray) -> int:
@@ -138,14 +214,15 @@ class Shard:
         self.weights = idf[self.terms] * tf * (K1 + 1) / (tf + norm[self.docs])
         self.firsts, self.starts = np.unique(self.terms, return_index=True)
         self.starts = np.append(self.starts, len(self.terms))
-        by_doc = np.lexsort((-self.weights, self.docs))
-        self.own, self.cuts = by_doc, np.searchsorted(self.docs[by_doc], np.arange(len(tails) + 1))
+        self.own = np.argsort(self.docs.astype(np.uint16), kind="stable") if len(tails) <= 1 << 16 else np.argsort(self.docs, kind="stable")
+        self.cuts = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=len(tails)))))
         self.free = np.ones(len(tails), bool)
         self.next = 0
 
     def neighbours(self, seed: int, terms: int = QUERY_TERMS) -> np.ndarray:
         """Unused tails by falling score against the seed's weightiest terms."""
-        mine = self.terms[self.own[self.cuts[seed] : self.cuts[seed + 1]][:terms]]
+        mine = self.own[self.cuts[seed] : self.cuts[seed + 1]]
+        mine = self.terms[mine[np.argsort(-self.weights[mine], kind="stable")[:terms]]]
         score = np.zeros(len(self.lengths))
         for at in np.searchsorted(self.firsts, mine):
             a, b = self.starts[at], self.starts[at + 1]
