@@ -148,7 +148,7 @@ _word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def _pair(path: str):
-    """(tokenizers' form, sentencepiece's own, tokenizers' form for single words or None) of a model file, once a worker."""
+    """(tokenizers' form, sentencepiece's own, tokenizers' form for words or None, which ids start a word) of a model file, once a worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
@@ -163,7 +163,8 @@ def _pair(path: str):
 
             plain = build(m)
             plain.normalizer = normalizers.Sequence([])
-        _loaded[path] = build(m), sentencepiece.SentencePieceProcessor(model_proto=data), plain
+        starts = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
+        _loaded[path] = build(m), sentencepiece.SentencePieceProcessor(model_proto=data), plain, starts
     return _loaded[path]
 
 
@@ -180,25 +181,51 @@ def _parts(texts: list[str]):
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """The ids of each text. Words seen before are remembered, at most WORDS of them; new ones go to the library in one batch."""
-    tok, _, plain = _pair(path)
+    tok, _, plain, _ = _pair(path)
     if plain is None:
         return [np.asarray(x.ids, "<i4") for part in _parts(texts) for x in tok.encode_batch_fast(part, add_special_tokens=False)]
     known = _words.setdefault(path, {})
-    split = [_word.findall(tok.normalizer.normalize_str(x)) if x else [] for x in texts]
-    if len(known) > WORDS:
-        known.clear()
-    new = list({w for ws in split for w in ws}.difference(known))
-    for w, x in zip(new, tok_ids(plain, new), strict=True):
-        known[w] = np.asarray(x, "<i4").tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<i4") for ws in split]
+    out: list[np.ndarray] = []
+    for part in _parts(texts):
+        split = [_split(tok.normalizer.normalize_str(x)) if x else [] for x in part]
+        if len(known) > WORDS:
+            known.clear()
+        if new := list({w for ws in split for w in ws}.difference(known)):
+            _learn(new, known, plain, _loaded[path][3])
+        out += [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<i4") for ws in split]
+    return out
 
 
-def tok_ids(tok, words: list[str]) -> list[list[int]]:
-    return [x.ids for x in tok.encode_batch_fast(words, add_special_tokens=False)]
+def _split(text: str) -> list[str]:
+    """The words of a normalised text; those with one mark, at their start, without it."""
+    if text[:1] == MARK and MARK * 2 not in text and text[-1] != MARK:
+        return text[1:].split(MARK)
+    return [w[1:] if w[0] == MARK and len(w) > 1 and w[1] != MARK else MARK + w for w in _word.findall(text)]
+
+
+def _learn(new: list[str], known: dict[str, bytes], plain, starts: np.ndarray) -> None:
+    """Encodes many words to a call; an id whose piece starts with the mark starts a word. What doesn't add up goes word by word."""
+    easy, odd = [], []
+    for w in new:
+        (odd if w[:1] in (MARK, "") else easy).append(w)
+    for at in range(0, len(easy), 50_000):
+        part = easy[at : at + 50_000]
+        ids = np.concatenate([np.asarray(x.ids, "<i4") for x in plain.encode_batch_fast([MARK + MARK.join(part[i : i + 500]) for i in range(0, len(part), 500)], add_special_tokens=False)])
+        cuts = np.append(np.flatnonzero(starts[ids]), len(ids))
+        if len(cuts) != len(part) + 1 or cuts[0]:
+            odd += part
+            continue
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
+            known[w] = data[a:b]
+    for at in range(0, len(odd), 5000):
+        part = odd[at : at + 5000]
+        for w, x in zip(part, plain.encode_batch_fast([w[1:] if w[:1] == MARK else MARK + w for w in part], add_special_tokens=False), strict=True):
+            known[w] = np.asarray(x.ids, "<i4").tobytes()
 
 
 def decode(ids: list[list[int]], path: str) -> list[str]:
-    tok, _, _ = _pair(path)
+    tok = _pair(path)[0]
     return tok.decode_batch(ids, skip_special_tokens=False)
 
 
@@ -207,7 +234,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
     fields = [*df.schema.fields]
 
     def run(batches):
-        _, own, _ = _pair(path)
+        own = _pair(path)[1]
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             got, same = [], []
@@ -231,7 +258,7 @@ def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
 
     def run(batches):
-        tok, own, _ = _pair(path)
+        tok, own = _pair(path)[:2]
         for batch in batches:
             keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             n, crc, same, said, back, text_crc = [], [], [], [], [], []
