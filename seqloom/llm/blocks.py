@@ -59,9 +59,9 @@ class Blocks:
         renamed.mapInArrow(cut, out).write.bucketBy(self.buckets, "block").option("path", self.path).saveAsTable(name)
         self.table = spark.table(name)
 
-    def ask(self, function, keys: int | None = None) -> DataFrame:
-        """Rows (bucket, block, n, data) of function(table of a block)."""
-        return self.table.groupBy("block").applyInArrow(function, ASKED)
+    def ask(self, function, schema=ASKED) -> DataFrame:
+        """function(table of a block), for every block."""
+        return self.table.groupBy("block").applyInArrow(function, schema)
 
     def ask_with(self, answers: DataFrame, function, schema) -> DataFrame:
         """function(table of a block, table of its answers), for every block."""
@@ -97,10 +97,6 @@ def unpacked(data: bytes, n: int, *types) -> list[np.ndarray]:
     return out
 
 
-def sorted_rows(table: pa.Table, by: str) -> pa.Table:
-    return table.sort_by(by)
-
-
 def release(spark) -> None:
     """Lets Spark delete the shuffle files of what Python no longer holds; it does so when the driver's garbage is collected."""
     gc.collect()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, permutation_index, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_counts
+from . import jaccard_join, language_model, packing, permutation_index, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_bm25_packing": packing.op2_bm25_packing,
     "op3_crf": pii.op3_crf,
+    "op4_pitman_yor": language_model.op4_pitman_yor,
     "op5_hash_tree": sharding.op5_hash_tree,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_rlz": substring_dedup.op7_rlz,
