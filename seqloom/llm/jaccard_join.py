@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, packed, release
 from .common import WordHashes, documents, grams, mix, written
@@ -117,20 +118,43 @@ def segments(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _describe(table: pa.Table) -> pa.Table:
-    """A row for each document: where it is, the digest of its words, and its set's size."""
-    rows = {"block": [], "place": [], "id": [], "high": [], "low": [], "n_shingles": []}
-    rows["block"], rows["place"], rows["id"] = table["block"], table["place"], table["c0"]
-    for words in words_of(table["t"].to_pylist()):
-        d = xxhash.xxh3_128_intdigest(b" ".join(words))
-        rows["high"].append((d >> 64) - (1 << 63))
-        rows["low"].append((d & (1 << 64) - 1) - (1 << 63))
-        rows["n_shingles"].append(len(shingles(words)))
-    types = {"n_shingles": pa.int64(), "high": pa.int64(), "low": pa.int64()}
-    return pa.table({k: pa.array(v, types[k]) if isinstance(v, list) else v for k, v in rows.items()})
+SURVEYED = StructType([StructField(n, t) for n, t in (("bucket", IntegerType()), ("block", LongType()), ("n", LongType()), ("data", BinaryType()), ("place", LongType()), ("id", LongType()), ("high", LongType()), ("low", LongType()))])
 
 
-DESCRIBED = "block long, place long, id long, high long, low long, n_shingles long"
+class Block:
+    """A block's documents in order: their words' digests, and the sets of those whose words no earlier one has."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.take(pa.array(np.argsort(table["place"].to_numpy(), kind="stable")))
+        self.number = table["block"][0].as_py()
+        self.digests, self.sets, self.distinct, seen = [], [], [], {}
+        self.first: list[int] = []
+        for i, text in enumerate(self.table["t"].to_pylist()):
+            words = words_of([text])[0]
+            d = xxhash.xxh3_128_intdigest(b" ".join(words))
+            if d not in seen:
+                seen[d] = len(self.sets)
+                self.sets.append(shingles(words))
+                self.distinct.append(i)
+            self.first.append(seen[d])
+            self.digests.append(d)
+
+
+def _survey(buckets: int):
+    """A row for each document (no bucket; n: its set's size), and all segments of a block's distinct documents, to be counted."""
+
+    def run(table: pa.Table) -> pa.Table:
+        b = Block(table)
+        key, *_ = segments(b.sets)
+        key = np.sort(key)
+        keys = asked(b.number, bucket_of(key, buckets), buckets, key.astype(np.uint32))
+        n, k = len(b.digests), keys.num_rows
+        sizes = [len(b.sets[i]) for i in b.first]
+        described = [pa.nulls(n, pa.int32()), b.table["block"].combine_chunks(), pa.array(sizes, pa.int64()), pa.nulls(n, pa.binary()), b.table["place"].combine_chunks(), b.table["c0"].combine_chunks(), pa.array([(d >> 64) - (1 << 63) for d in b.digests], pa.int64()), pa.array([(d & (1 << 64) - 1) - (1 << 63) for d in b.digests], pa.int64())]
+        names = SURVEYED.names
+        return pa.concat_tables([pa.table(described, names=names), pa.table([*(keys[c].combine_chunks() for c in names[:4]), *[pa.nulls(k, pa.int64())] * 4], names=names)])
+
+    return run
 
 
 def _wanted(table: pa.Table, rows: pa.Table) -> tuple[np.ndarray, list[str]]:
@@ -142,20 +166,6 @@ def _wanted(table: pa.Table, rows: pa.Table) -> tuple[np.ndarray, list[str]]:
     return rows["node"].to_numpy()[order], table["t"].take(pa.array(by_place[at])).to_pylist()
 
 
-def _send_all(buckets: int):
-    """Every segment of a block, to be counted."""
-
-    def run(table: pa.Table, rows: pa.Table) -> pa.Table:
-        if not table.num_rows or not rows.num_rows:
-            return packed([])
-        _, texts = _wanted(table, rows)
-        key, *_ = segments([shingles(w) for w in words_of(texts)])
-        key = np.sort(key)
-        return asked(table["block"][0].as_py(), bucket_of(key, buckets), buckets, key.astype(np.uint32))
-
-    return run
-
-
 def _count(rows: pa.Table) -> pa.Table:
     """How many sets hold each segment, up to 255; the lower half of the key, in its bucket, stands for it."""
     key = np.concatenate([np.frombuffer(d, np.uint32) for d in rows["data"].to_pylist()])
@@ -176,9 +186,12 @@ def _send_shared(buckets: int):
         rows = rows.filter(pa.compute.is_valid(rows["node"]))
         if not table.num_rows or not rows.num_rows:
             return _sent([])
-        nodes, texts = _wanted(table, rows)
-        sets = [shingles(w) for w in words_of(texts)]
+        b = Block(table)
+        sets = b.sets
         key, doc, unit, send = segments(sets)
+        # only the first of a class of equal texts, over all blocks, is a node
+        node_of = dict(zip(rows["place"].to_pylist(), rows["node"].to_pylist(), strict=True))
+        nodes = np.array([node_of.get(p, -1) for p in b.table["place"].take(pa.array(b.distinct)).to_pylist()], np.int64)
         count = np.empty(len(key), np.uint8)
         by_bucket = np.argsort(counts["bucket"].to_numpy(), kind="stable")
         data = counts["data"].to_pylist()
@@ -186,13 +199,13 @@ def _send_shared(buckets: int):
         ranked = np.lexsort((key, count, unit))
         firsts = np.flatnonzero(np.concatenate(([True], unit[ranked][1:] != unit[ranked][:-1])))
         rank = np.arange(len(key)) - np.repeat(firsts, np.diff(np.append(firsts, len(key))))
-        chosen = ranked[(rank < send[ranked]) & (count[ranked] > 1)]
+        chosen = ranked[(rank < send[ranked]) & (count[ranked] > 1) & (nodes[doc[ranked]] >= 0)]
         chosen = chosen[np.argsort(key[chosen])]
         if not len(chosen):
             return _sent([])
         out = [(None, len(sets[i]), dense(sets[i]).tobytes(), int(nodes[i])) for i in np.unique(doc[chosen]).tolist()]
         key, node = key[chosen], nodes[doc[chosen]]
-        base = int(nodes.min())
+        base = int(node.min())
         cuts = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
         small = (node - base).astype(np.uint32)
         out += [(b, int(cuts[b + 1] - cuts[b]), key[cuts[b] : cuts[b + 1]].tobytes() + small[cuts[b] : cuts[b + 1]].tobytes(), base) for b in range(buckets) if cuts[b + 1] > cuts[b]]
@@ -270,14 +283,15 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataF
     """(rows, nodes): (node, id, n_shingles) for each row of df, and (node, component) for each node linked to another."""
     spark = df.sparkSession
     blocks = Blocks(df.select(df[key].cast("long").alias("id"), df[text].alias("text")))
-    described = written(blocks.table.groupBy("block").applyInArrow(_describe, DESCRIBED), "described")
+    buckets = buckets_for(blocks.bytes // 7)
+    surveyed = written(blocks.ask(_survey(buckets), SURVEYED), "survey")
+    described = surveyed.where("bucket IS NULL").select("block", "place", "id", "high", "low", F.col("n").alias("n_shingles"))
     # a row's number: its partition and its place there
     uid = F.shiftleft(F.shiftright("block", 32), 40) + F.col("place")
     classes = described.where("n_shingles > 0").groupBy("high", "low").agg(F.min(F.struct(uid.alias("node"), "block", "place")).alias("first"))
     firsts = written(classes.select("high", "low", "first.node", "first.block", "first.place"), "classes")
-    total = described.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = buckets_for(total)
-    counted = written(blocks.ask_with(firsts.select("block", "place", "node"), _send_all(buckets), ASKED).groupBy("bucket").applyInArrow(_count, ASKED), "counts")
+    segment = surveyed.where("bucket IS NOT NULL").select("bucket", "block", "n", "data")
+    counted = written(segment.groupBy("bucket").applyInArrow(_count, ASKED), "counts")
     release(spark)
     both = firsts.select("block", "place", "node").unionByName(counted.select("block", "bucket", "data"), allowMissingColumns=True)
     sent = written(blocks.ask_with(both, _send_shared(buckets), SENT), "sent")
