@@ -148,7 +148,7 @@ _word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def _pair(path: str):
-    """(tokenizers' form, sentencepiece's own, tokenizers' form for words or None, which ids start a word) of a model file, once a worker."""
+    """(tokenizers' form, sentencepiece's own, tokenizers' form for words or None, which ids start a word, the model, its pieces' bytes) of a model file, once a worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
@@ -164,7 +164,7 @@ def _pair(path: str):
             plain = build(m)
             plain.normalizer = normalizers.Sequence([])
         starts = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
-        _loaded[path] = build(m), sentencepiece.SentencePieceProcessor(model_proto=data), plain, starts
+        _loaded[path] = build(m), sentencepiece.SentencePieceProcessor(model_proto=data), plain, starts, m, _surface(m)
     return _loaded[path]
 
 
@@ -181,13 +181,13 @@ def _parts(texts: list[str]):
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """The ids of each text. Words seen before are remembered, at most WORDS of them; new ones go to the library in one batch."""
-    tok, _, plain, _ = _pair(path)
+    tok, _, plain = _pair(path)[:3]
     if plain is None:
         return [np.asarray(x.ids, "<i4") for part in _parts(texts) for x in tok.encode_batch_fast(part, add_special_tokens=False)]
     known = _words.setdefault(path, {})
     out: list[np.ndarray] = []
     for part in _parts(texts):
-        split = [_split(tok.normalizer.normalize_str(x)) if x else [] for x in part]
+        split = [_split(normalised(x, path)) if x else [] for x in part]
         if len(known) > WORDS:
             known.clear()
         if new := list({w for ws in split for w in ws}.difference(known)):
@@ -225,8 +225,35 @@ def _learn(new: list[str], known: dict[str, bytes], plain, starts: np.ndarray) -
 
 
 def decode(ids: list[list[int]], path: str) -> list[str]:
-    tok = _pair(path)[0]
-    return tok.decode_batch(ids, skip_special_tokens=False)
+    """Texts of id lists: the pieces' bytes in a row. Where byte pieces make no UTF-8, the library's decoder says what they become."""
+    tok, _, _, _, m, surface = _pair(path)
+    out: list = []
+    for x in ids:
+        try:
+            text = b"".join([surface[i] for i in x]).decode()
+            out.append(text[1:] if m.dummy_prefix and text[:1] == " " else text)
+        except (UnicodeDecodeError, TypeError):
+            out.append(tok.decode(x, skip_special_tokens=False))
+    return out
+
+
+def normalised(text: str, path: str) -> str:
+    """The text as the model's normaliser gives it. One that only marks white space is two replacements."""
+    tok, m = _pair(path)[0], _pair(path)[4]
+    if m.charsmap or m.remove_extra or not m.escape or m.whitespace_suffix or not text:
+        return tok.normalizer.normalize_str(text)
+    return (MARK if m.dummy_prefix else "") + text.replace(" ", MARK)
+
+
+def _surface(m: Model) -> list[bytes | None]:
+    """Bytes of each piece; None for those that the library has to spell."""
+
+    def of(piece: str, kind: int) -> bytes | None:
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return piece.replace(MARK, " ").encode() if kind in (NORMAL, USER_DEFINED) else None
+
+    return [of(p, kind) for p, _, kind in m.pieces]
 
 
 def encode_column(df: DataFrame, path: str, text: str = "text", ids: str = "ids", parity: str = "parity") -> DataFrame:
@@ -258,7 +285,7 @@ def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
 
     def run(batches):
-        tok, own = _pair(path)[:2]
+        own = _pair(path)[1]
         for batch in batches:
             keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             n, crc, same, said, back, text_crc = [], [], [], [], [], []
@@ -270,7 +297,7 @@ def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
                     n.append(len(x))
                     same.append(x == theirs)
                     said.append(out == own.decode(x) if x else out == "")
-                    plain = tok.normalizer.normalize_str(raw).replace(MARK, " ")
+                    plain = normalised(raw, path).replace(MARK, " ")
                     back.append(out == plain[1:] if plain[:1] == " " else out == plain)
                     text_crc.append(zlib.crc32(out.encode()))
             yield pa.record_batch([keys, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(said, pa.bool_()), pa.array(back, pa.bool_()), pa.array(text_crc, pa.int64())], ["doc_id", "n_tokens", "ids_crc32", "parity", "decode_parity", "round_trip", "decoded_crc32"])
