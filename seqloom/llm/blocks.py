@@ -56,7 +56,7 @@ class Blocks:
         name = f"blocks_{uuid.uuid4().hex}"
         self.buckets = int(max(1, min(100_000, 2 * self.bytes // size + 1)))
         self.path = new_path(spark, name)
-        renamed.mapInArrow(cut, out).write.bucketBy(self.buckets, "block").option("path", self.path).saveAsTable(name)
+        renamed.mapInArrow(cut, out).write.bucketBy(self.buckets, "block").option("path", self.path).option("compression", "zstd").saveAsTable(name)
         self.table = spark.table(name)
 
     def ask(self, function, schema=ASKED) -> DataFrame:
