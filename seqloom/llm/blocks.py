@@ -54,7 +54,7 @@ class Blocks:
                 yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(places), *batch.columns], out.names)
 
         name = f"blocks_{uuid.uuid4().hex}"
-        self.buckets = int(max(1, min(100_000, 2 * self.bytes // size + 1)))
+        self.buckets = int(max(1, min(100_000, self.bytes // size + 1)))
         self.path = new_path(spark, name)
         renamed.mapInArrow(cut, out).write.bucketBy(self.buckets, "block").option("path", self.path).option("compression", "zstd").saveAsTable(name)
         self.table = spark.table(name)

@@ -85,6 +85,8 @@ def segments(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     band = np.searchsorted(_LANES, sizes, "right") - 1
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
+    # a segment is a range of hashes: sorted sets are in order of segment already
+    upper, mixed = tokens >> np.uint64(32), mix(tokens, 5)
     out = []
     for lower in (0, 1):
         lane = np.maximum(band - lower, 0)
@@ -100,12 +102,9 @@ def segments(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         total = int(offset[-1])
         if not total:
             continue
-        mine = ok[owner]
-        t, d = tokens[mine], owner[mine]
-        h = mix(t, 31)
-        place = offset[d] + (h % m[d].astype(np.uint64)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        place, h = place[order], mix(h[order], 5)
+        mine = slice(None) if ok.all() else ok[owner]
+        d, h = owner[mine], mixed[mine]
+        place = offset[d] + (upper[mine] * m[d].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         firsts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         value = np.zeros(total, np.uint64)
         value[place[firsts]] = np.bitwise_xor.reduceat(h, firsts)
@@ -196,7 +195,8 @@ def _send_shared(buckets: int):
         by_bucket = np.argsort(counts["bucket"].to_numpy(), kind="stable")
         data = counts["data"].to_pylist()
         count[np.argsort(key, kind="stable")] = np.concatenate([np.frombuffer(data[i], np.uint8) for i in by_bucket])
-        ranked = np.lexsort((key, count, unit))
+        ranked = np.argsort((count.astype(np.uint64) << np.uint64(56)) | (key >> np.uint64(8)))
+        ranked = ranked[np.argsort(unit[ranked].astype(np.uint16) if 2 * len(sets) < 1 << 16 else unit[ranked], kind="stable")]
         firsts = np.flatnonzero(np.concatenate(([True], unit[ranked][1:] != unit[ranked][:-1])))
         rank = np.arange(len(key)) - np.repeat(firsts, np.diff(np.append(firsts, len(key))))
         chosen = ranked[(rank < send[ranked]) & (count[ranked] > 1) & (nodes[doc[ranked]] >= 0)]
