@@ -33,7 +33,7 @@ WINDOW, END = 2048, 1
 SHARD_TAILS, QUERY_TERMS, PARTITION_TAILS = 4096, 24, 24_000
 K1, B = 1.2, 0.75
 #: Words, and pieces of words, that a worker remembers the ids of before it starts anew; characters that it splits at once.
-WORDS, BATCH_CHARS = 350_000, 2_000_000
+WORDS, BATCH_CHARS = 250_000, 2_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -68,8 +68,11 @@ class Encoder:
             self.ends = np.zeros(self.whole.get_vocab_size(), bool)
             for token, i in self.whole.get_vocab().items():
                 self.ends[i] = token.endswith(suffix)
+        # two generations each: what is met again moves to the younger one, so clearing forgets rare words only
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.known_older: dict[str, bytes] = {}
 
     def _plain(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 5000):
@@ -83,26 +86,24 @@ class Encoder:
         odd = [w for w in words if b"|" in w and any(x in w for x in self.special)]
         self._plain(odd)
         words = list(set(words).difference(odd)) if odd else words
-        split: list = []
-        easy, rest = [], []
-        for w in words:
-            if w.isalpha():  # of bytes: ASCII letters only, one piece
-                easy.append(w)
-                split.append((w.decode().lower(),))
-            elif w[-1] in b".,!%&$*" and w[:-1].isalpha():  # a lone mark is a piece of its own
-                easy.append(w)
-                split.append((w[:-1].decode().lower(), chr(w[-1])))
-            else:
-                rest.append(w)
-        words = easy
+        plain = [w for w in words if w.isalpha()]  # of bytes: ASCII letters only, one piece
+        marked = [w for w in words if w[-1] in b".,!%&$*" and w[:-1].isalpha()]  # a lone mark is a piece of its own
+        rest = list(set(words).difference(plain, marked))
+        words = plain + marked
+        low = b" ".join(words).decode().lower().split(" ") if words else []
+        split: list = [(w,) for w in low[: len(plain)]] + [(w[:-1], w[-1]) for w in low[len(plain) :]]
         if rest:
             low = self.whole.normalizer.normalize_str(b" ".join(rest).decode("utf-8", "replace")).split(" ")
             if len(low) != len(rest):
                 self._plain(rest)
                 low = rest = []
-            words = easy + rest
+            words = words + rest
             split += [self.pattern.findall(w) for w in low]
-        new = list({p for ps in split for p in ps}.difference(self.known))
+        wanted = {p for ps in split for p in ps}.difference(self.known)
+        old = self.known_older
+        again = wanted.intersection(old)
+        self.known.update([(p, old[p]) for p in again])
+        new = list(wanted.difference(again))
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             ids = np.concatenate([np.asarray(x.ids, "<u4") for x in self.pieces.encode_batch_fast([" ".join(part[i : i + 1000]) for i in range(0, len(part), 1000)], add_special_tokens=False)])
@@ -110,11 +111,10 @@ class Encoder:
             if len(cuts) != len(part) or cuts[-1] != len(ids):
                 return self._plain(words)
             data, last = ids.tobytes(), 0
-            for p, end in zip(part, (4 * cuts).tolist(), strict=True):
-                self.known[p] = data[last:end]
-                last = end
-        for w, ps in zip(words, split, strict=True):
-            self.words[w] = self.known[ps[0]] if len(ps) == 1 else b"".join([self.known[p] for p in ps])
+            ends = (4 * cuts).tolist()
+            self.known.update(zip(part, [data[i:j] for i, j in zip([last, *ends], ends, strict=False)], strict=True))
+        get = self.known.__getitem__
+        self.words.update(zip(words, [get(ps[0]) if len(ps) == 1 else get(ps[0]) + get(ps[1]) if len(ps) == 2 else b"".join(map(get, ps)) for ps in split], strict=True))
 
     def encode(self, texts: list[str]):
         """Each text's ids as little-endian 32-bit numbers."""
@@ -126,10 +126,13 @@ class Encoder:
                 end += 1
             split = [x.encode("utf-8", "surrogatepass").split() for x in texts[at:end]]
             if len(self.words) > WORDS:
-                self.words.clear()
+                self.words, self.older = {}, self.words
             if len(self.known) > WORDS:
-                self.known.clear()
-            if new := list({w for ws in split for w in ws}.difference(self.words)):
+                self.known, self.known_older = {}, self.known
+            wanted = {w for ws in split for w in ws}.difference(self.words)
+            again = wanted.intersection(self.older)
+            self.words.update([(w, self.older[w]) for w in again])
+            if new := list(wanted.difference(again)):
                 self._learn(new)
             for ws in split:
                 yield b"".join(map(self.words.__getitem__, ws))
