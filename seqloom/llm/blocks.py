@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import new_path, text_of
+from .common import new_path, remove, text_of
 
 #: UTF-8 bytes of one block (one document at least), and keys of one bucket on average.
 BLOCK_BYTES, BUCKET_KEYS = 8_000_000, 1_500_000
@@ -53,12 +53,18 @@ class Blocks:
                 place += len(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(places), *batch.columns], out.names)
 
-        name = f"blocks_{uuid.uuid4().hex}"
+        name = self.name = f"blocks_{uuid.uuid4().hex}"
         self.buckets = int(max(1, min(100_000, self.bytes // size + 1)))
         self.path = new_path(spark, name)
         renamed.mapInArrow(cut, out).write.bucketBy(self.buckets, "block").option("path", self.path).option("compression", "zstd").saveAsTable(name)
         self.table = spark.table(name)
 
+    def drop(self) -> None:
+        """Deletes the blocks; nothing may read them any more."""
+        spark = self.table.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(spark, self.path)
+
     def ask(self, function, schema=ASKED) -> DataFrame:
         """function(table of a block), for every block."""
         return self.table.groupBy("block").applyInArrow(function, schema)

@@ -42,8 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once: written to the shared folder as Parquet and read again (cuts lineage, survives lost executors)."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, df.written_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, packed, release
-from .common import WordHashes, documents, grams, mix, written
+from .common import WordHashes, documents, dropped, grams, mix, written
 from .graph import components
 
 N = 5
@@ -140,7 +140,7 @@ class Block:
 
 
 def _survey(buckets: int):
-    """A row for each document (no bucket; n: its set's size), and all segments of a block's distinct documents, to be counted."""
+    """A row for each document (a bucket below 0; n: its set's size), and all segments of a block's distinct documents, to be counted."""
 
     def run(table: pa.Table) -> pa.Table:
         b = Block(table)
@@ -149,7 +149,7 @@ def _survey(buckets: int):
         keys = asked(b.number, bucket_of(key, buckets), buckets, key.astype(np.uint32))
         n, k = len(b.digests), keys.num_rows
         sizes = [len(b.sets[i]) for i in b.first]
-        described = [pa.nulls(n, pa.int32()), b.table["block"].combine_chunks(), pa.array(sizes, pa.int64()), pa.nulls(n, pa.binary()), b.table["place"].combine_chunks(), b.table["c0"].combine_chunks(), pa.array([(d >> 64) - (1 << 63) for d in b.digests], pa.int64()), pa.array([(d & (1 << 64) - 1) - (1 << 63) for d in b.digests], pa.int64())]
+        described = [pa.array(np.full(n, -1 - b.number % 64), pa.int32()), b.table["block"].combine_chunks(), pa.array(sizes, pa.int64()), pa.nulls(n, pa.binary()), b.table["place"].combine_chunks(), b.table["c0"].combine_chunks(), pa.array([(d >> 64) - (1 << 63) for d in b.digests], pa.int64()), pa.array([(d & (1 << 64) - 1) - (1 << 63) for d in b.digests], pa.int64())]
         names = SURVEYED.names
         return pa.concat_tables([pa.table(described, names=names), pa.table([*(keys[c].combine_chunks() for c in names[:4]), *[pa.nulls(k, pa.int64())] * 4], names=names)])
 
@@ -166,7 +166,9 @@ def _wanted(table: pa.Table, rows: pa.Table) -> tuple[np.ndarray, list[str]]:
 
 
 def _count(rows: pa.Table) -> pa.Table:
-    """How many sets hold each segment, up to 255; the lower half of the key, in its bucket, stands for it."""
+    """How many sets hold each segment, up to 255; the lower half of the key, in its bucket, stands for it. Other rows pass."""
+    if rows["bucket"][0].as_py() < 0:
+        return rows
     key = np.concatenate([np.frombuffer(d, np.uint32) for d in rows["data"].to_pylist()])
     _, group, n = np.unique(key, return_inverse=True, return_counts=True)
     count = np.minimum(n, 255).astype(np.uint8)[group]
@@ -174,7 +176,8 @@ def _count(rows: pa.Table) -> pa.Table:
     for bucket, block, n in zip(rows["bucket"].to_pylist(), rows["block"].to_pylist(), rows["n"].to_pylist(), strict=True):
         out.append((bucket, block, n, count[at : at + n].tobytes()))
         at += n
-    return packed(out)
+    counted = packed(out)
+    return pa.table([*(counted[c] for c in SURVEYED.names[:4]), *[pa.nulls(len(out), pa.int64())] * 4], names=SURVEYED.names)
 
 
 def _send_shared(buckets: int):
@@ -284,21 +287,20 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataF
     spark = df.sparkSession
     blocks = Blocks(df.select(df[key].cast("long").alias("id"), df[text].alias("text")))
     buckets = buckets_for(blocks.bytes // 7)
-    surveyed = written(blocks.ask(_survey(buckets), SURVEYED), "survey")
-    described = surveyed.where("bucket IS NULL").select("block", "place", "id", "high", "low", F.col("n").alias("n_shingles"))
+    surveyed = written(blocks.ask(_survey(buckets), SURVEYED).groupBy("bucket").applyInArrow(_count, SURVEYED), "survey")
+    release(spark)
+    described = surveyed.where("bucket < 0").select("block", "place", "id", "high", "low", F.col("n").alias("n_shingles"))
     # a row's number: its partition and its place there
     uid = F.shiftleft(F.shiftright("block", 32), 40) + F.col("place")
     classes = described.where("n_shingles > 0").groupBy("high", "low").agg(F.min(F.struct(uid.alias("node"), "block", "place")).alias("first"))
     firsts = written(classes.select("high", "low", "first.node", "first.block", "first.place"), "classes")
-    segment = surveyed.where("bucket IS NOT NULL").select("bucket", "block", "n", "data")
-    counted = written(segment.groupBy("bucket").applyInArrow(_count, ASKED), "counts")
-    release(spark)
+    counted = surveyed.where("bucket >= 0").select("bucket", "block", "n", "data")
     both = firsts.select("block", "place", "node").unionByName(counted.select("block", "bucket", "data"), allowMissingColumns=True)
     sent = written(blocks.ask_with(both, _send_shared(buckets), SENT), "sent")
     sketch = sent.where("bucket IS NULL").select("node", "n", "data")
-    groups = written(sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_groups, "set long, nodes array<long>"), "groups")
+    groups_ = written(sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_groups, "set long, nodes array<long>"), "groups")
     release(spark)
-    groups = groups.groupBy("set").agg(F.first("nodes").alias("nodes"))
+    groups = groups_.groupBy("set").agg(F.first("nodes").alias("nodes"))
 
     none = spark.createDataFrame([], "node long, component long")
 
@@ -315,7 +317,10 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataF
         wanted = firsts.join(ends, "node").select("block", "place", "node")
         sets = written(blocks.ask_with(wanted, _sets, "node long, items binary"), "sets")
         full = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        return written(full.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
+        out = written(full.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
+        dropped(sets)
+        release(spark)
+        return out
 
     member = written(groups.select("set", F.explode("nodes").alias("node")), "members")
     degree = member.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
@@ -351,7 +356,10 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataF
         if not more.isEmpty():
             found = more if found is None else found.unionByName(more)
             labels = components(found)
-    rows = described.join(firsts.select("high", "low", "node"), ["high", "low"], "left").select("node", "id", "n_shingles")
+    rows = written(described.join(firsts.select("high", "low", "node"), ["high", "low"], "left").select("node", "id", "n_shingles"), "nodes")
+    blocks.drop()
+    dropped(surveyed, sent, groups_, member, firsts)
+    release(spark)
     return rows, labels if found is not None else none
 
 

@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, packed, release, unpacked
-from .common import WordHashes, documents, grams, mix, new_path
+from .common import WordHashes, documents, grams, mix, new_path, written
 
 WINDOW, SEED = 35, 8
 #: Bits of a place in a block that share a key with an anchor's hash.
@@ -211,7 +211,7 @@ def spans_of(p: Parsed, answers: pa.Table, edges: pa.Table) -> np.ndarray:
 
 
 def parse(df: DataFrame, function, schema, text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """function(block of documents, words of each, repeated words of each) for every block: rows of `schema`.
+    """(blocks, function(block of documents, words of each, repeated words of each) for every block: rows of `schema`).
 
     The block's table has the columns of df as c0, c1, ... without the text, which is t.
     """
@@ -240,7 +240,7 @@ def parse(df: DataFrame, function, schema, text: str = "text", window: int = WIN
         covered = spans_of(p, rows.filter(pa.array(step == 1)), rows.filter(pa.array(step == 2)))
         return function(p.table, p.words, [covered[a:b] for a, b in zip(p.starts[:-1], p.starts[1:], strict=True)])
 
-    return blocks.ask_with(both, run, schema)
+    return blocks, blocks.ask_with(both, run, schema)
 
 
 def schema_table(rows: list[tuple], schema) -> pa.Table:
@@ -268,7 +268,10 @@ def strip_repeats(df: DataFrame, text: str = "text", window: int = WINDOW) -> Da
         return pa.table([out[f"c{i}"] for i in range(len(schema))], names=schema.names)
 
     # a null text comes back as empty: it has no words either way
-    return parse(df, run, schema, text, window)
+    blocks, out = parse(df, run, schema, text, window)
+    out = written(out, "stripped")
+    blocks.drop()
+    return out
 
 
 def op7_rlz(spark, sf_dir: str) -> DataFrame:
@@ -282,4 +285,4 @@ def op7_rlz(spark, sf_dir: str) -> DataFrame:
             rows.append((doc, len(ws), int(r.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), len(found), max((b - a for a, b in found), default=0)))
         return schema_table(rows, schema)
 
-    return parse(documents(spark, sf_dir).select("doc_id", "text"), run, schema)
+    return parse(documents(spark, sf_dir).select("doc_id", "text"), run, schema)[1]
