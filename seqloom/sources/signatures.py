@@ -1,0 +1,124 @@
+"""Signature files: a 64-bit little-endian width in bytes, then records of that width; and plain hash lists."""
+
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+END_OF_LIST = (1 << 64) - 1
+
+
+def _files(spark: SparkSession, path) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def bits_of(record: bytes) -> list[int]:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(record, np.uint8), bitorder="little")).tolist()
+
+
+def bytes_of(bits: list[int], width: int) -> bytes:
+    out = np.zeros(8 * width, np.uint8)
+    out[bits] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def flat(spark: SparkSession, path) -> DataFrame:
+    """(path, seq_id, bits) of flat files (a path, folder or list of paths); a record cut short at the end is left out."""
+
+    def run(batches):
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                width = struct.unpack_from("<Q", data)[0] if len(data) >= 8 else 0
+                n = (len(data) - 8) // width if width else 0
+                rows = [bits_of(data[8 + i * width : 8 + (i + 1) * width]) for i in range(n)]
+                yield pa.record_batch([pa.array([file] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["path", "seq_id", "bits"])
+
+    return _files(spark, path).mapInArrow(run, "path string, seq_id long, bits array<int>")
+
+
+def windowed(spark: SparkSession, path) -> DataFrame:
+    """(path, seq_id, window_id, bits); a record of zeros ends a sequence."""
+
+    def run(batches):
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                width = struct.unpack_from("<Q", data)[0] if len(data) >= 8 else 0
+                rows, seq, window = [], 0, 0
+                for i in range((len(data) - 8) // width if width else 0):
+                    bits = bits_of(data[8 + i * width : 8 + (i + 1) * width])
+                    if bits:
+                        rows.append((seq, window, bits))
+                        window += 1
+                    else:
+                        seq, window = seq + 1, 0
+                s, w, b = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.record_batch([pa.array([file] * len(rows), pa.string()), pa.array(s, pa.int64()), pa.array(w, pa.int32()), pa.array(b, pa.list_(pa.int32()))], ["path", "seq_id", "window_id", "bits"])
+
+    return _files(spark, path).mapInArrow(run, "path string, seq_id long, window_id int, bits array<int>")
+
+
+def hash_lists(spark: SparkSession, path) -> DataFrame:
+    """(path, seq_id, hashes) of lists that the greatest 64-bit number ends."""
+
+    def run(batches):
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(data, "<u8", len(data) // 8)
+                ends = np.flatnonzero(x == END_OF_LIST)
+                starts = np.concatenate(([0], ends[:-1] + 1)).astype(int) if len(ends) else []
+                rows = [x[a:b].astype(np.int64).tolist() for a, b in zip(starts, ends, strict=True)]
+                yield pa.record_batch([pa.array([file] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["path", "seq_id", "hashes"])
+
+    return _files(spark, path).mapInArrow(run, "path string, seq_id long, hashes array<bigint>")
+
+
+def listed(spark: SparkSession, list_file: str) -> list[str]:
+    """Paths in a list file, one a line."""
+    return [r["value"].strip() for r in spark.read.text(list_file).collect() if r["value"].strip()]
+
+
+def sample(signatures: DataFrame, n: int, seed: int) -> DataFrame:
+    """n signatures by a hash of seed and id: the same for the same seed."""
+    return signatures.orderBy(F.xxhash64("seq_id", F.lit(seed)), "seq_id").limit(n)
+
+
+def write_flat(signatures: DataFrame, bits: int, folder: str) -> None:
+    """Each partition's signatures, in order of id, as one flat file of a folder that all executors see."""
+    _write(signatures, bits, folder, False)
+
+
+def write_windowed(signatures: DataFrame, bits: int, folder: str) -> None:
+    """The same for windowed signatures (seq_id, window_id, bits), each sequence ended by a record of zeros."""
+    _write(signatures, bits, folder, True)
+
+
+def _write(signatures: DataFrame, bits: int, folder: str, windows: bool) -> None:
+    width = bits // 8
+    by = ["seq_id", "window_id"] if windows else ["seq_id"]
+    ordered = signatures.repartitionByRange(*[F.col("seq_id")]).sortWithinPartitions(*by).select(*by, "bits")
+
+    def run(batches):
+        import os
+        import uuid
+
+        last, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if windows and last is not None and row["seq_id"] != last:
+                    rows.append(bytes(width))
+                rows.append(bytes_of(row["bits"], width))
+                last = row["seq_id"]
+        if windows and rows:
+            rows.append(bytes(width))
+        if rows:
+            os.makedirs(folder, exist_ok=True)
+            part = os.path.join(folder, f"{last:020d}-{uuid.uuid4().hex}")
+            with open(f"{part}.tmp", "wb") as f:
+                f.write(struct.pack("<Q", width) + b"".join(rows))
+            os.rename(f"{part}.tmp", f"{part}.bin")
+        yield pa.record_batch([pa.array([len(rows)], pa.int64())], ["n"])
+
+    ordered.mapInArrow(run, "n long").agg(F.sum("n")).collect()
