@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 EDGES, COUNTS, CLUSTERS, HIERARCHY = "i long, j long, similarity double", "i long, count long", "seq_id long, cluster long", "parent long, child long, rank int"
 
@@ -99,11 +99,19 @@ def tree_json(nodes: list[tuple[int, int, float, list[int]]]) -> str:
 
 
 def sbt(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, depth, name, parent line) of a tree in which leading stars give the depth. Files have a line a node and come whole to a task."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''")
-    stars = F.length(F.regexp_extract("line", r"^(\**)", 1))
-    rows = lines.select("line_no", stars.alias("depth"), F.regexp_replace("line", r"^\**", "").alias("name"))
-    # the parent is the last line before with one star less
-    last = [F.max(F.when(F.col("depth") == F.lit(d), F.col("line_no"))).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)) for d in range(64)]
-    above = F.array(*last)
-    return rows.withColumn("parent", F.when(F.col("depth") > 0, F.get(above, F.col("depth") - 1)))
+    """(line_no, depth, name, parent line) of a tree in which leading stars give the depth. A file comes whole to a task."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows, last = [], {}
+                for i, line in enumerate(content.decode("utf-8", "replace").splitlines()):
+                    if line:
+                        name = line.lstrip("*")
+                        depth = len(line) - len(name)
+                        last[depth] = i
+                        rows.append((i, depth, name, last.get(depth - 1)))
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["line_no", "depth", "name", "parent"]) if rows else pa.record_batch([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.string(), pa.int32())], ["line_no", "depth", "name", "parent"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line_no int, depth int, name string, parent int")
