@@ -70,6 +70,17 @@ def text_of(df: DataFrame, column: str = "text"):
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered; forgets all at `most` words, so memory is bounded."""
 

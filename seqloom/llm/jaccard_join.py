@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, packed, release
-from .common import WordHashes, documents, dropped, grams, mix, written
+from .common import WordHashes, documents, dropped, fresh, grams, mix, written
 from .graph import components
 
 N = 5
@@ -373,8 +373,9 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one row of each component: the one of the smallest id. Rows without words all stay, and rows without an id."""
-    lows = clusters(df, key, text).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(lows, df[key].cast("long") == F.col("_gone"), "left_anti")
+    (gone,) = fresh(df, "gone")
+    lows = clusters(df, key, text).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
+    return df.join(lows, df[key].cast("long") == F.col(gone), "left_anti")
 
 
 def op9_parity_sketch(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, documents, text_of, written
+from .common import SPACE, documents, fresh, text_of, written
 
 #: Rows that cost and selectivity are estimated on, and the share of rows that the scan for them keeps.
 SAMPLE_ROWS, SAMPLE_SHARE = 1000, 0.02
@@ -162,8 +162,9 @@ def keep(df: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of its text; the text is split into words once."""
     t = text_of(df, text)
-    split = df.withColumn("_words", words(t))
-    return split.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": word_chars(t), "n_symbols": n_symbols(t), "n_dup_lines": n_dup_lines(t), "n_repeat_words": n_repeat_words(F.col("_words"))}).drop("_words")
+    (split_words,) = fresh(df, "words")
+    split = df.withColumn(split_words, words(t))
+    return split.withColumns({"n_words": F.size(split_words).cast("long"), "word_chars": word_chars(t), "n_symbols": n_symbols(t), "n_dup_lines": n_dup_lines(t), "n_repeat_words": n_repeat_words(F.col(split_words))}).drop(split_words)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

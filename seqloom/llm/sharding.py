@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import documents
+from .common import documents, fresh
 
 #: Rows that a bucket of the slot numbering has on average.
 BUCKET_ROWS = 20_000
@@ -76,25 +76,26 @@ def place(df: DataFrame, leaves: list[Leaf], key: str = "doc_id", shard: str = "
     node = F.lit("")
     for level in levels(leaves):
         node = _draw(k, node, level)
-    out = df.withColumn(path or "_path", node)
-    out = out.withColumn(shard, F.substring_index(F.col(path or "_path"), ".", -1).cast("int"))
-    return out if path else out.drop("_path")
+    name = path or fresh(df, "path")[0]
+    out = df.withColumn(name, node).withColumn(shard, F.substring_index(F.col(name), ".", -1).cast("int"))
+    return out if path else out.drop(name)
 
 
 def slots(df: DataFrame, shard: str, by: list[str], slot: str = "slot") -> DataFrame:
     """df with each row's number in its shard, in order of a hash bucket and then `by`."""
     n = df.count()
     buckets = max(1, -(-n // BUCKET_ROWS))
+    bucket, at, of, in_bucket, start, rows = fresh(df, "bucket", "at", "of", "in_bucket", "start", "rows")
     hashed = F.conv(F.substring(F.md5(F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by])), 1, 13), 16, 10).cast("long")
-    df = df.withColumn("_bucket", F.pmod(hashed, F.lit(buckets)).cast("long"))
-    counts = df.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_start"))
+    df = df.withColumn(bucket, F.pmod(hashed, F.lit(buckets)).cast("long"))
+    counts = df.groupBy(F.col(shard).alias(of), F.col(bucket).alias(in_bucket)).agg(F.count(F.lit(1)).alias(rows))
+    before = Window.partitionBy(of).orderBy(in_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(of, in_bucket, F.coalesce(F.sum(rows).over(before), F.lit(0)).cast("long").alias(start))
     # the counts have a row for 20,000 of the input and shard: they are joined, never assumed small
-    within = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*by))
-    numbered = df.withColumn("_at", within.cast("long") - 1)
-    out = numbered.join(starts, (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
-    return out.withColumn(slot, F.col("_start") + F.col("_at")).drop("_bucket", "_at", "_shard", "_b", "_start")
+    within = F.row_number().over(Window.partitionBy(shard, bucket).orderBy(*by))
+    numbered = df.withColumn(at, within.cast("long") - 1)
+    out = numbered.join(starts, (F.col(shard) == F.col(of)) & (F.col(bucket) == F.col(in_bucket)))
+    return out.withColumn(slot, F.col(start) + F.col(at)).drop(bucket, at, of, in_bucket, start)
 
 
 def op5_hash_tree(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, new_path, text_of
+from .common import documents, fresh, new_path, text_of
 
 SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Texts are encoded in batches of at most so many characters (one text at least).
@@ -92,8 +92,10 @@ def count_tokens(df: DataFrame, cache: str, tokenizer: str, text: str = "text",
     distinct = df.select(digest.alias("content"), body.alias("body")).groupBy("content").agg(F.first("body").alias("body"))
     missing = distinct.join(cached(), F.col("content") == F.col("_content"), "left_anti")
     missing.mapInArrow(encode, SCHEMA).write.mode("append").parquet(cache)
-    out = df.withColumn("_digest", digest).join(cached(), F.col("_digest") == F.col("_content"), "left")
-    return out.withColumn(n_tokens, F.col("_n")).drop("_digest", "_content", *([] if n_tokens == "_n" else ["_n"]))
+    own, content, n = fresh(df, "digest", "content", "n")
+    found = cached().select(F.col("_content").alias(content), F.col("_n").alias(n))
+    out = df.withColumn(own, digest).join(found, F.col(own) == F.col(content), "left")
+    return out.withColumnRenamed(n, n_tokens).drop(own, content) if n_tokens not in df.columns else out.withColumn(n_tokens, F.col(n)).drop(own, content, n)
 
 
 def op10_digest_cache(spark, sf_dir: str) -> DataFrame:
