@@ -8,6 +8,7 @@ from .base import DNA, query, table
 from .cluster_queries import _EDGES
 from .pair_queries import sim_filtered_inverted
 from ..operators import evaluate
+from ..sources.storage import written
 
 
 @query("SELECT n_name, r_name, count(c_custkey)::BIGINT AS customers, round(coalesce(sum(c_acctbal), 0), 2) AS balance FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
@@ -82,14 +83,14 @@ def standardised(spark, sf_dir: str) -> DataFrame:
 
 @query(f"{_EDGES} SELECT i, j, similarity FROM e UNION ALL SELECT j, i, similarity FROM e")
 def mirrored_edges(spark, sf_dir: str) -> DataFrame:
-    e = sim_filtered_inverted(spark, sf_dir)
+    e = written(sim_filtered_inverted(spark, sf_dir), "edges")
     return e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "similarity"))
 
 
 @query(f"{_EDGES}, n AS (SELECT i, count(*) AS n FROM e GROUP BY 1) SELECT count(*)::BIGINT AS ids, sum(n)::BIGINT AS edges, (sum(n) = (SELECT count(*) FROM e)) AS complete FROM n")
 def edge_checks(spark, sf_dir: str) -> DataFrame:
     """Edges by id add up to all edges."""
-    e = sim_filtered_inverted(spark, sf_dir)
+    e = written(sim_filtered_inverted(spark, sf_dir), "edges")
     n = e.groupBy("i").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("ids"), F.sum("n").alias("edges"))
     return n.join(e.agg(F.count(F.lit(1)).alias("total"))).select("ids", "edges", (F.col("edges") == F.col("total")).alias("complete"))
 
@@ -113,8 +114,6 @@ def ranked(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     n = rows.rdd.getNumPartitions()
     bounded = rows.repartitionByRange(max(2, n), F.desc("n_chars"), "doc_id").withColumn("part", F.spark_partition_id())
-    from ..sources.storage import written
-
     bounded = written(bounded, "ranked")
     sizes = bounded.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
