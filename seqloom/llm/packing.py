@@ -30,10 +30,12 @@ from .common import documents, text_of, written
 
 WINDOW, END = 2048, 1
 #: Tails of one index shard; terms of a seed that are looked up (its rarest, by weight); tails of one partition.
-SHARD_TAILS, QUERY_TERMS, PARTITION_TAILS = 4096, 24, 24_000
+SHARD_TAILS, QUERY_TERMS, PARTITION_TAILS = 4096, 12, 24_000
 K1, B = 1.2, 0.75
+#: Neighbours that are sorted at once.
+FEW = 32
 #: Words, and pieces of words, that a worker remembers the ids of before it starts anew; characters that it splits at once.
-WORDS, BATCH_CHARS = 250_000, 2_000_000
+WORDS, BATCH_CHARS = 250_000, 3_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -129,7 +131,7 @@ class Encoder:
                 self.words, self.older = {}, self.words
             if len(self.known) > WORDS:
                 self.known, self.known_older = {}, self.known
-            wanted = {w for ws in split for w in ws}.difference(self.words)
+            wanted = set().union(*split).difference(self.words)
             again = wanted.intersection(self.older)
             self.words.update([(w, self.older[w]) for w in again])
             if new := list(wanted.difference(again)):
@@ -169,6 +171,7 @@ def _cut(path: str, window: int):
     def run(batches):
         base = TaskContext.get().partitionId() << 40
         row = sequence = base
+        seen = Frequencies()
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), path), strict=True):
@@ -180,29 +183,47 @@ def _cut(path: str, window: int):
                     sequence += 1
                 if whole < n:
                     tail = ids[4 * whole :]
-                    rows.append((doc, whole, n - whole, None, n, None, _signature(np.frombuffer(tail, "<u4")), row, tail))
+                    numbers = np.frombuffer(tail, "<u4")
+                    seen.add(numbers)
+                    rows.append((doc, whole, n - whole, None, n, None, _signature(numbers), row, tail))
                 row += 1
                 if len(rows) >= 5000:
                     yield _arrow(rows, TAILS)
                     rows = []
             if rows:
                 yield _arrow(rows, TAILS)
+        yield _arrow([seen.row()], TAILS)
 
     return run
 
 
-def _frequencies(batches):
-    """Of a partition's tails: how many hold each id, and their count and length (as ids -1 and -2)."""
-    df, n, length = np.zeros(0, np.int64), 0, 0
+class Frequencies:
+    """Of a task's tails: how many hold each id, their number and their length."""
+
+    def __init__(self):
+        self.df, self.n, self.length = np.zeros(1 << 16, np.int64), 0, 0
+
+    def add(self, ids: np.ndarray) -> None:
+        x = np.sort(ids)
+        x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+        if x[-1] >= len(self.df):
+            self.df = np.concatenate((self.df, np.zeros(int(x[-1]) + 1 - len(self.df), np.int64)))
+        self.df[x] += 1
+        self.n, self.length = self.n + 1, self.length + len(ids)
+
+    def row(self) -> tuple:
+        """As a row of the cut table, without a document: terms and counts packed."""
+        terms = np.flatnonzero(self.df)
+        return (None, -1, self.n, None, self.length, None, None, None, terms.astype("<u4").tobytes() + self.df[terms].astype("<i8").tobytes())
+
+
+def _unpacked(batches):
+    """(term, n) of tasks' frequency rows; their numbers of tails and of ids as terms -1 and -2."""
     for batch in batches:
-        for ids in batch.column(0).to_pylist():
-            x = np.unique(np.frombuffer(ids, "<u4"))
-            if x[-1] >= len(df):
-                df = np.concatenate((df, np.zeros(int(x[-1]) + 1 - len(df), np.int64)))
-            df[x] += 1
-            n, length = n + 1, length + len(ids) // 4
-    terms = np.flatnonzero(df)
-    yield pa.record_batch([pa.array(np.concatenate((terms, [-1, -2]))), pa.array(np.concatenate((df[terms], [n, length])))], ["term", "n"])
+        for n, length, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            k = len(data) // 12
+            terms = np.concatenate((np.frombuffer(data, "<u4", k).astype(np.int64), [-1, -2]))
+            yield pa.record_batch([pa.array(terms), pa.array(np.concatenate((np.frombuffer(data, "<i8", k, 4 * k), [n, length])))], ["term", "n"])
 
 
 class Shard:
@@ -222,7 +243,7 @@ class Shard:
         self.free = np.ones(len(tails), bool)
         self.next = 0
 
-    def neighbours(self, seed: int, terms: int = QUERY_TERMS) -> np.ndarray:
+    def neighbours(self, seed: int, terms: int = QUERY_TERMS):
         """Unused tails by falling score against the seed's weightiest terms."""
         mine = self.own[self.cuts[seed] : self.cuts[seed + 1]]
         mine = self.terms[mine[np.argsort(-self.weights[mine], kind="stable")[:terms]]]
@@ -232,7 +253,12 @@ class Shard:
             score[self.docs[a:b]] += self.weights[a:b]
         score[~self.free] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        if len(found) > 4 * FEW:  # the best few first; the rest is sorted only if they don't fill the window
+            cut = np.partition(score[found], len(found) - FEW)[len(found) - FEW]
+            best = found[score[found] >= cut]
+            yield from best[np.argsort(-score[best], kind="stable")].tolist()
+            found = found[score[found] < cut]
+        yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
     def first_free(self) -> int | None:
         while self.next < len(self.free) and not self.free[self.next]:
@@ -267,7 +293,7 @@ def _pack(idf: np.ndarray, mean: float, window: int, shard_tails: int):
         while (seed := shard.first_free()) is not None:
             put(seed)
             before = state[0]
-            for i in shard.neighbours(seed).tolist():
+            for i in shard.neighbours(seed):
                 if state[0] != before or not state[2]:
                     break
                 put(i)
@@ -309,9 +335,9 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
     cut = df.select(df[key].cast("long").alias("doc_id"), text_of(df, text).alias("text")).mapInArrow(_cut(tokenizer, window), TAILS)
     cut = written(cut, "tails")
     whole = cut.where(F.col("ids").isNull()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
-    tails = cut.where(F.col("ids").isNotNull())
-    # one row for each id of the vocabulary at most, and each partition's two sums
-    counted = tails.select("ids").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    tails = cut.where(F.col("ids").isNotNull() & (F.col("start") >= 0))
+    # a row a task, added up by term; one row for each id of the vocabulary at most comes to the driver
+    counted = cut.where("start = -1").select("length", "doc_tokens", "ids").mapInArrow(_unpacked, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     stats = {r["term"]: r["n"] for r in counted.collect()}
     n, total = stats.pop(-1, 0), stats.pop(-2, 0)
     idf = np.zeros(max(stats, default=0) + 1)
