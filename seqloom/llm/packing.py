@@ -141,6 +141,11 @@ class Encoder:
             at = end
 
 
+    def rest(self) -> None:
+        """At a task's end: keeps the younger words only, since idle workers hold their memory."""
+        self.older, self.known, self.known_older = {}, {}, {}
+
+
 def encode(texts: list[str], path: str):
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -192,6 +197,8 @@ def _cut(path: str, window: int):
                     rows = []
             if rows:
                 yield _arrow(rows, TAILS)
+        if path in _encoders:
+            _encoders[path].rest()
         yield _arrow([seen.row()], TAILS)
 
     return run

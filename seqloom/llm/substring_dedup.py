@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, packed, release, unpacked
+from .blocks import ASKED, BLOCK_BYTES, Blocks, asked, bucket_of, buckets_for, packed, release, unpacked
 from .common import WordHashes, documents, grams, mix, new_path, written
 
 WINDOW, SEED = 35, 8
+#: UTF-8 bytes of a block: its words are held with several numbers each.
+BLOCK = 5_000_000
 #: Bits of a place in a block that share a key with an anchor's hash.
 PLACE_BITS = 28
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -59,8 +61,10 @@ class Parsed:
         self.words = split if keep_words else None
         self.lengths = np.array([len(x) for x in split], np.int64)
         h = np.concatenate([_hashes[0].of(x) for x in split]) if split else np.zeros(0, np.uint64)
+        docs = len(split)
+        del split
         n = self.n = len(h)
-        doc = np.repeat(np.arange(len(split)), self.lengths)
+        doc = np.repeat(np.arange(docs), self.lengths)
         starts = np.concatenate(([0], np.cumsum(self.lengths)))
         self.starts = starts
         self.valid = np.zeros(n, bool)  # a window starts here
@@ -216,7 +220,7 @@ def parse(df: DataFrame, function, schema, text: str = "text", window: int = WIN
     The block's table has the columns of df as c0, c1, ... without the text, which is t.
     """
     spark = df.sparkSession
-    blocks = Blocks(df, text)
+    blocks = Blocks(df, text, min(BLOCK, BLOCK_BYTES))
     n_keys = blocks.bytes // 60  # about one anchor in fifteen words
     buckets = buckets_for(n_keys)
     answers = blocks.ask(_send_anchors(buckets, window, seed)).groupBy("bucket").applyInArrow(_answer_anchors, ASKED)

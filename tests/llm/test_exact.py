@@ -25,6 +25,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BUCKET_KEYS", 3000)
     monkeypatch.setattr(blocks.Blocks.__init__, "__defaults__", ("text", 30_000))
     monkeypatch.setattr(language_model, "BLOCK", 30_000)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 30_000)
 
 
 @pytest.fixture(scope="module")
