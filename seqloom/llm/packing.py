@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -34,19 +35,27 @@ SHARD_TAILS, QUERY_TERMS, PARTITION_TAILS = 4096, 12, 24_000
 K1, B = 1.2, 0.75
 #: Neighbours that are sorted at once.
 FEW = 32
-#: Words, and pieces of words, that a worker remembers the ids of before it starts anew; characters that it splits at once.
-WORDS, BATCH_CHARS = 250_000, 3_000_000
+#: Pieces of words that a worker remembers the ids of before it forgets rare ones; characters that it splits at once.
+REMEMBERED, BATCH_CHARS = 300_000, 3_000_000
 
 _encoders: dict[str, Encoder] = {}
 
 
+#: The pre-tokenizer's pieces in lower-case ASCII, where letters and digits are these alone.
+_plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
+#: The same below U+0250, where NFC changes nothing and lower case is a matter of single characters.
+_beyond = re.compile("[^\\x00-\\x84\\x86-\u024f]")
+_LETTERS, _NUMBERS = "a-zªµºÀ-ÖØ-öø-\u02af\u2c65\u2c66", "0-9²³¹¼-¾"
+_latin = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r\x0b\x0c\xa0{_LETTERS}{_NUMBERS}]+")
+PRE_TOKENIZER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
-    """Ids by a word-level BPE file, each distinct word and piece encoded once while remembered.
+    """Ids by a word-level BPE file, each distinct piece encoded once while remembered.
 
-    The file drops white space and no rule of it reaches over it, so texts are split at ASCII white space. New words are
-    normalised by the library in one string, split into the pieces its pre-tokenizer gives, and new pieces encoded many to a
-    call; an id that ends a word ends a piece. Words that hold a special token's string, and batches whose pieces don't add
-    up, are encoded by the library as they are.
+    A text is normalised and split into the pieces that the file's pre-tokenizer gives; white space is dropped between them and no
+    merge reaches over it. New pieces are encoded many to a call: an id that ends a word ends a piece. Texts that hold a special
+    token's string, files of another make, and batches whose pieces don't add up go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -61,62 +70,41 @@ class Encoder:
         for t in (self.whole, self.pieces):
             t.no_truncation()
             t.no_padding()
-        self.special = [x["content"].encode() for x in spec["added_tokens"]]
+        self.special = [x["content"] for x in spec["added_tokens"]]
         suffix = spec["model"].get("end_of_word_suffix")
         first = next((x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"), None)
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         self.ends = None
-        if suffix and first and first["behavior"] == "Removed" and first["invert"]:
-            self.pattern = regex.compile(first["pattern"]["Regex"])
+        if suffix and first and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") == PRE_TOKENIZER and kinds == ["NFC", "Replace", "Lowercase"]:
+            self.pattern = regex.compile(PRE_TOKENIZER)
             self.ends = np.zeros(self.whole.get_vocab_size(), bool)
             for token, i in self.whole.get_vocab().items():
                 self.ends[i] = token.endswith(suffix)
-        # two generations each: what is met again moves to the younger one, so clearing forgets rare words only
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        # two generations: what is met again moves to the younger one, so clearing forgets rare pieces only
         self.known: dict[str, bytes] = {}
-        self.known_older: dict[str, bytes] = {}
-
-    def _plain(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            for w, x in zip(part, self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.words[w] = np.asarray(x.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        if self.ends is None:
-            return self._plain(words)
-        odd = [w for w in words if b"|" in w and any(x in w for x in self.special)]
-        self._plain(odd)
-        words = list(set(words).difference(odd)) if odd else words
-        plain = [w for w in words if w.isalpha()]  # of bytes: ASCII letters only, one piece
-        marked = [w for w in words if w[-1] in b".,!%&$*" and w[:-1].isalpha()]  # a lone mark is a piece of its own
-        rest = list(set(words).difference(plain, marked))
-        words = plain + marked
-        low = b" ".join(words).decode().lower().split(" ") if words else []
-        split: list = [(w,) for w in low[: len(plain)]] + [(w[:-1], w[-1]) for w in low[len(plain) :]]
-        if rest:
-            low = self.whole.normalizer.normalize_str(b" ".join(rest).decode("utf-8", "replace")).split(" ")
-            if len(low) != len(rest):
-                self._plain(rest)
-                low = rest = []
-            words = words + rest
-            split += [self.pattern.findall(w) for w in low]
-        wanted = {p for ps in split for p in ps}.difference(self.known)
-        old = self.known_older
-        again = wanted.intersection(old)
-        self.known.update([(p, old[p]) for p in again])
-        new = list(wanted.difference(again))
+        self.older: dict[str, bytes] = {}
+
+    def _split(self, text: str) -> list[str]:
+        if text.isascii():
+            return _plain.findall(text.lower())
+        if not _beyond.search(text):
+            return _latin.findall(text.lower())
+        return self.pattern.findall(self.whole.normalizer.normalize_str(text))
+
+    def _learn(self, new: list[str]) -> bool:
+        """Whether the ids of all pieces could be told apart."""
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             ids = np.concatenate([np.asarray(x.ids, "<u4") for x in self.pieces.encode_batch_fast([" ".join(part[i : i + 1000]) for i in range(0, len(part), 1000)], add_special_tokens=False)])
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(ids):
-                return self._plain(words)
-            data, last = ids.tobytes(), 0
-            ends = (4 * cuts).tolist()
-            self.known.update(zip(part, [data[i:j] for i, j in zip([last, *ends], ends, strict=False)], strict=True))
-        get = self.known.__getitem__
-        self.words.update(zip(words, [get(ps[0]) if len(ps) == 1 else get(ps[0]) + get(ps[1]) if len(ps) == 2 else b"".join(map(get, ps)) for ps in split], strict=True))
+                return False
+            data, ends = ids.tobytes(), (4 * cuts).tolist()
+            self.known.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        return True
+
+    def _direct(self, text: str) -> bytes:
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]):
         """Each text's ids as little-endian 32-bit numbers."""
@@ -126,24 +114,26 @@ class Encoder:
             while end < len(texts) and chars + len(texts[end]) <= BATCH_CHARS:
                 chars += len(texts[end])
                 end += 1
-            split = [x.encode("utf-8", "surrogatepass").split() for x in texts[at:end]]
-            if len(self.words) > WORDS:
-                self.words, self.older = {}, self.words
-            if len(self.known) > WORDS:
-                self.known, self.known_older = {}, self.known
-            wanted = set().union(*split).difference(self.words)
+            part, at = texts[at:end], end
+            if self.ends is None:
+                yield from map(self._direct, part)
+                continue
+            split = [None if "<" in x and any(s in x for s in self.special) else self._split(x) for x in part]
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
+            wanted = set().union(*[x for x in split if x]).difference(self.known)
             again = wanted.intersection(self.older)
-            self.words.update([(w, self.older[w]) for w in again])
-            if new := list(wanted.difference(again)):
-                self._learn(new)
-            for ws in split:
-                yield b"".join(map(self.words.__getitem__, ws))
-            at = end
-
+            self.known.update([(p, self.older[p]) for p in again])
+            if not self._learn(list(wanted.difference(again))):
+                yield from map(self._direct, part)
+                continue
+            get = self.known.__getitem__
+            for text, pieces in zip(part, split, strict=True):
+                yield self._direct(text) if pieces is None else b"".join(map(get, pieces))
 
     def rest(self) -> None:
-        """At a task's end: keeps the younger words only, since idle workers hold their memory."""
-        self.older, self.known, self.known_older = {}, {}, {}
+        """At a task's end: keeps the younger pieces only, since idle workers hold their memory."""
+        self.older = {}
 
 
 def encode(texts: list[str], path: str):
