@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-#: IUPAC letters and what they are read as; all others are A.
+#: IUPAC letters and what they are read as; all others are A.
 IUPAC_FROM, IUPAC_TO = "URYSWKMBDHVN", "TACCAGACAAAA"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import metrics
 
-#: Half the width of a normal distribution's middle half, in deviations.
+#: Fixed value: half the width of a normal distribution's middle half, in deviations.
 QUARTILE = 0.675
 
 
