@@ -84,7 +84,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered; forgets all at `most` words, so memory is bounded."""
 
-    def __init__(self, most: int = 400_000, lower: bool = False):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -98,6 +98,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: A worker's one memory of words, whatever operators it serves.
+HASHES = WordHashes()
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift), so that sums of hashes become hashes again."""
     with np.errstate(over="ignore"):

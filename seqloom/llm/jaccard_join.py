@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, packed, release
-from .common import WordHashes, documents, dropped, fresh, grams, mix, written
+from .common import HASHES, documents, dropped, fresh, grams, mix, written
 from .graph import components
 
 N = 5
@@ -39,9 +39,6 @@ CENTRES, PART = 2, 2000
 #: 64-bit words of the dense sketch that candidate pairs are compared by first.
 DENSE_WORDS = 32
 
-_hashes: list[WordHashes] = []
-
-
 def lanes(most: int = 1 << 40) -> list[int]:
     """Least sizes of the bands: partners of a band's sets have sizes in it or in the next."""
     out = [1]
@@ -67,9 +64,7 @@ def shingles(words: list[bytes], n: int = N) -> np.ndarray:
     """The distinct shingles' hashes, sorted."""
     if not words:
         return np.zeros(0, np.uint64)
-    if not _hashes:
-        _hashes.append(WordHashes())
-    h = _hashes[0].of(words)
+    h = HASHES.of(words)
     return np.unique(grams(h, n) if len(h) >= n else mix(grams(h, len(h), 11), 99 + len(h)))
 
 
@@ -149,7 +144,7 @@ def _survey(buckets: int):
         keys = asked(b.number, bucket_of(key, buckets), buckets, key.astype(np.uint32))
         n, k = len(b.digests), keys.num_rows
         sizes = [len(b.sets[i]) for i in b.first]
-        described = [pa.array(np.full(n, -1 - b.number % 64), pa.int32()), b.table["block"].combine_chunks(), pa.array(sizes, pa.int64()), pa.nulls(n, pa.binary()), b.table["place"].combine_chunks(), b.table["c0"].combine_chunks(), pa.array([(d >> 64) - (1 << 63) for d in b.digests], pa.int64()), pa.array([(d & (1 << 64) - 1) - (1 << 63) for d in b.digests], pa.int64())]
+        described = [pa.array(np.full(n, -1 - int(mix(np.array([b.number], np.uint64))[0] >> np.uint64(34))), pa.int32()), b.table["block"].combine_chunks(), pa.array(sizes, pa.int64()), pa.nulls(n, pa.binary()), b.table["place"].combine_chunks(), b.table["c0"].combine_chunks(), pa.array([(d >> 64) - (1 << 63) for d in b.digests], pa.int64()), pa.array([(d & (1 << 64) - 1) - (1 << 63) for d in b.digests], pa.int64())]
         names = SURVEYED.names
         return pa.concat_tables([pa.table(described, names=names), pa.table([*(keys[c].combine_chunks() for c in names[:4]), *[pa.nulls(k, pa.int64())] * 4], names=names)])
 

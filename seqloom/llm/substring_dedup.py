@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .blocks import ASKED, BLOCK_BYTES, Blocks, asked, bucket_of, buckets_for, packed, release, unpacked
-from .common import WordHashes, documents, grams, mix, new_path, written
+from .common import HASHES, documents, grams, mix, new_path, written
 
 WINDOW, SEED = 35, 8
 #: UTF-8 bytes of a block: its words are held with several numbers each.
@@ -41,9 +41,6 @@ PLACE_BITS = 28
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-_hashes: list[WordHashes] = []
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64))))[:n]
@@ -53,14 +50,12 @@ class Parsed:
     """A block's words as hashes, its windows and their anchors."""
 
     def __init__(self, table: pa.Table, window: int = WINDOW, seed: int = SEED, keep_words: bool = False):
-        if not _hashes:
-            _hashes.append(WordHashes())
         order = np.argsort(table["place"].to_numpy(), kind="stable")
         self.table = table.take(pa.array(order)) if len(order) > 1 else table
         split = [x.encode("utf-8", "surrogatepass").split() for x in self.table["t"].to_pylist()]
         self.words = split if keep_words else None
         self.lengths = np.array([len(x) for x in split], np.int64)
-        h = np.concatenate([_hashes[0].of(x) for x in split]) if split else np.zeros(0, np.uint64)
+        h = np.concatenate([HASHES.of(x) for x in split]) if split else np.zeros(0, np.uint64)
         docs = len(split)
         del split
         n = self.n = len(h)
