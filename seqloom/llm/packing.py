@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import documents, text_of, written
 
 WINDOW, END = 2048, 1
-#: Tails of one index shard; terms of a seed that are looked up (its rarest, by weight); tails of one partition.
-SHARD_TAILS, QUERY_TERMS, PARTITION_TAILS = 4096, 12, 24_000
+#: Tails of one index shard; tails of one partition.
+SHARD_TAILS, PARTITION_TAILS = 4096, 24_000
 K1, B = 1.2, 0.75
 #: Neighbours that are sorted at once.
 FEW = 32
@@ -230,24 +230,32 @@ class Shard:
         self.lengths = np.array([len(x) for x in tails])
         doc = np.repeat(np.arange(len(tails)), self.lengths)
         keys, tf = np.unique(np.concatenate(tails).astype(np.int64) * len(tails) + doc, return_counts=True)
-        self.terms, self.docs = keys // len(tails), keys % len(tails)
+        terms, self.docs = keys // len(tails), keys % len(tails)
         norm = K1 * (1 - B + B * self.lengths / mean)
-        self.weights = idf[self.terms] * tf * (K1 + 1) / (tf + norm[self.docs])
-        self.firsts, self.starts = np.unique(self.terms, return_index=True)
-        self.starts = np.append(self.starts, len(self.terms))
-        self.own = np.argsort(self.docs.astype(np.uint16), kind="stable") if len(tails) <= 1 << 16 else np.argsort(self.docs, kind="stable")
+        self.weights = idf[terms] * tf * (K1 + 1) / (tf + norm[self.docs])
+        _, self.starts, places = np.unique(terms, return_index=True, return_inverse=True)
+        self.starts = np.append(self.starts, len(terms))
+        own = np.argsort(self.docs.astype(np.uint16), kind="stable") if len(tails) <= 1 << 16 else np.argsort(self.docs, kind="stable")
         self.cuts = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=len(tails)))))
+        self.own = places[own]  # each tail's terms, by their place among the shard's
         self.free = np.ones(len(tails), bool)
-        self.next = 0
-
-    def neighbours(self, seed: int, terms: int = QUERY_TERMS):
-        """Unused tails by falling score against the seed's weightiest terms."""
+        self.next, self.unused, self.indexed = 0, len(tails), len(tails)
+
+    def _compact(self) -> None:
+        """Takes used tails out of the index: none is returned again."""
+        kept = self.free[self.docs]
+        self.starts = np.concatenate(([0], np.cumsum(kept)))[self.starts]
+        self.docs, self.weights = self.docs[kept], self.weights[kept]
+        self.indexed = self.unused
+
+    def neighbours(self, seed: int):
+        """Unused tails by falling score against all of the seed's terms."""
+        if 4 * self.unused < 3 * self.indexed:
+            self._compact()
         mine = self.own[self.cuts[seed] : self.cuts[seed + 1]]
-        mine = self.terms[mine[np.argsort(-self.weights[mine], kind="stable")[:terms]]]
-        score = np.zeros(len(self.lengths))
-        for at in np.searchsorted(self.firsts, mine):
-            a, b = self.starts[at], self.starts[at + 1]
-            score[self.docs[a:b]] += self.weights[a:b]
+        spans = list(zip(self.starts[mine].tolist(), self.starts[mine + 1].tolist(), strict=True))
+        docs, weights = (np.concatenate([x[a:b] for a, b in spans]) for x in (self.docs, self.weights))
+        score = np.bincount(docs, weights, len(self.lengths))
         score[~self.free] = 0
         found = np.flatnonzero(score)
         if len(found) > 4 * FEW:  # the best few first; the rest is sorted only if they don't fill the window
@@ -263,6 +271,7 @@ class Shard:
         return self.next if self.next < len(self.free) else None
 
     def use(self, tail: int) -> None:
+        self.unused -= int(self.free[tail])
         self.free[tail] = False
 
 

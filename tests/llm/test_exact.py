@@ -84,6 +84,27 @@ def test_packing_neighbours():
     assert list(shard.neighbours(0)) == [1]
 
 
+def test_packing_neighbours_by_all_terms():
+    """Scores add up over every term of the seed, however light, and stay so while tails are used up."""
+    r = np.random.default_rng(5)
+    tails = [np.concatenate((np.arange(1, 31), r.integers(1, 31, 10))), np.array([90, 91, 30]), *(r.integers(1, 120, r.integers(1, 60)) for _ in range(80))]
+    tails = [x.astype("<u4") for x in tails]
+    idf, mean = np.linspace(3, 0.1, 120), float(np.mean([len(x) for x in tails]))
+
+    def bm25(seed, i):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(tails[i]) / mean)
+        return sum(idf[w] * n * (packing.K1 + 1) / (n + norm) for w in np.unique(tails[seed]) if (n := int((tails[i] == w).sum())))
+
+    shard, left = packing.Shard(tails, idf, mean), set(range(len(tails)))
+    for seed in range(0, len(tails)):
+        shard.use(seed)
+        left.discard(seed)
+        scores = {i: x for i in left if (x := bm25(seed, i))}
+        got = list(shard.neighbours(seed))
+        assert set(got) == set(scores) and (seed or 1 in got)
+        assert [scores[i] for i in got] == pytest.approx(sorted(scores.values(), reverse=True))
+
+
 def test_word_encoder_is_the_library():
     encoder, r = packing.Encoder(WORD), random.Random(3)
     alphabet = ["a", "B", "é", "İ", "J̌", "'s", "'", "1", "२", "<|endoftext|>", " ", "\n", " ", "😀", ".", ",", "!!", "́", "Σ", "\x1c", "'ll"]
