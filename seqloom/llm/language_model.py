@@ -2,9 +2,10 @@
 
 Every context (the word before; before a text's first word, an end) is a restaurant whose customers are the words that follow
 it in the training texts. All contexts share one parent, the unigram restaurant, whose customers are their tables; its own
-parent is uniform over the V known words and one unknown. Seating is sampled by Gibbs: a customer is taken out, its table
-closed if it sat alone, and seated again at a table of its word by (size - discount) or at a new one by (concentration +
-discount * tables) * parent's probability. Table counts are averaged over the sweeps after burn-in, and the predictive
+parent is uniform over the V known words and one unknown. A customer sits at a table of its word by (size - discount) or at a new
+one by (concentration + discount * tables) * parent's probability. Tables are sampled by Gibbs, a word's at a time: all of its
+customers, however many, get up, and the number of tables they take again is drawn given the other words' tables. From settled
+expectations on, sweeps go over all words at once. Table counts are averaged over the sweeps after burn-in, and the predictive
 probability is that of the averages (it is linear in them).
 
 Counts are exchanged in blocks and buckets (see blocks): a context's words all meet in one bucket, as one entry a block, so a
@@ -17,6 +18,7 @@ are scored alike, and each counts in training.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -31,8 +33,12 @@ from .substring_dedup import schema_table
 END = np.uint64(0x5EED5EED5EED5EED)
 #: Concentrations of contexts and of their parent; the parent's discount (contexts' is estimated from their counts).
 STRENGTH, ROOT_STRENGTH, ROOT_DISCOUNT = 1.0, 1.0, 0.7
-#: Sweeps, those that aren't averaged, and customers of a word that one sweep seats anew.
-SWEEPS, BURN_IN, RESEATED = 4, 1, 4
+#: Sweeps, each of which seats all customers anew, and those that aren't averaged.
+SWEEPS, BURN_IN = 4, 1
+#: Before them, expected tables count as settled when a context's change by less than this share; rounds until then at most.
+SETTLED, ROUNDS = 1e-3, 200
+#: Customers of a word up to which its tables are drawn by their exact law; of more, their expectation is taken.
+EXACT = 64
 BLOCK = 16_000_000
 SENT = "kind int, bucket int, block long, n long, data binary"
 #: Kinds of rows: counts asked and answered, followers asked and answered, tables for the parent, the parent asked and
@@ -161,66 +167,75 @@ def _word_counts(rows: pa.Table, n: int) -> np.ndarray:
 # ---- seating
 
 
-def first_seating(c: np.ndarray, new: np.ndarray, d: float, rng) -> np.ndarray:
-    """Tables of c customers of one word who come in turn, a quarter of those seated at a time."""
-    order = np.argsort(-c, kind="stable")
-    top, weight, t, seated = c[order], new[order], np.ones(len(c)), 1
-    while len(top) and seated < top[0]:
-        live = int(np.searchsorted(-top, -seated, "left"))  # those with more customers
-        more = np.minimum(max(1, seated // 4), top[:live] - seated)
-        p = weight[:live] / (weight[:live] + seated - d * t[:live])
-        t[:live] += rng.binomial(more.astype(np.int64), np.clip(p, 0, 1))
-        seated += max(1, seated // 4)
-    out = np.empty(len(c))
-    out[order] = t
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers, by Stirling's series six places further on."""
+    y = x + 6
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+
+
+def ways(d: float) -> list[np.ndarray]:
+    """By customers c up to EXACT: at t - 1, the ways to seat them at t + 1 tables over those at t (weights of joining a table included)."""
+    out, logs = [np.zeros(0), np.zeros(0)], np.zeros(1)
+    for c in range(1, EXACT):
+        join = np.append(logs + np.log(c - d * np.arange(1, c + 1)), -np.inf)
+        logs = np.logaddexp(join, np.concatenate(([-np.inf], logs)))
+        out.append(np.exp(np.diff(logs)))
     return out
 
 
+def many_tables(c: np.ndarray, new: np.ndarray, d: float) -> np.ndarray:
+    """Expected tables of many customers, where a new table has weight new and an old one its size - d.
+
+    t tables have weight new^t times the ways to seat c customers, which is c! times the coefficient of x^c in
+    exp(new * (1 - (1 - x)^d) / d). It is taken from its series where tables are few for so many customers, else by its saddle point.
+    """
+    out = new / d
+    few = out < c**d
+    if few.any():
+        n, w, up, down = c[few], out[few], 0.0, 0.0
+        for j in range(1, 31):
+            a = -np.sin(np.pi * d * j) * (-1) ** j * np.exp(j * np.log(w) - math.lgamma(j + 1) + math.lgamma(1 + d * j) + _log_gamma(n - d * j) - _log_gamma(n - d))
+            up, down = up + j * a, down + a
+        out[few] = w + up / down
+    n, w = c[~few], new[~few]
+    low, high = -np.log1p(n / w) / (1 - d) - 1, np.zeros(len(n))
+    for _ in range(60):  # log of 1 - x
+        at = (low + high) / 2
+        less = np.log(-np.expm1(at)) - (1 - d) * at > np.log(n / w)
+        low, high = np.where(less, at, low), np.where(less, high, at)
+    x, rest = -np.expm1(low), np.exp(low)
+    out[~few] = w * -np.expm1(d * low) / d + x * (1 - d) / (2 * (rest + (1 - d) * x) ** 2)
+    return np.clip(out, 1, c)
+
+
 class Seating:
-    """Tables of many words, each with the same number of places; customers are reseated one a word at a time."""
+    """Tables of words with c customers, two at least, in their contexts."""
 
-    def __init__(self, c: np.ndarray, t: np.ndarray, room: int, d: float, rng):
-        self.c, self.d, self.rng = c, d, rng
-        t = np.minimum(t, c).astype(np.int64)
-        width = np.minimum(c, t + room)
+    def __init__(self, c: np.ndarray, parent: np.ndarray, strength: float, d: float):
+        self.c, self.parent, self.strength, self.d = c, parent, strength, d
+        self.ways = ways(d)
+        order = np.argsort(c, kind="stable")
+        cuts = np.searchsorted(c[order], np.arange(2, EXACT + 2))
         self.groups = []
-        bits = np.ceil(np.log2(np.maximum(width, 1))).astype(int) if len(c) else np.zeros(0, int)
-        for b in np.unique(bits):
-            rows = np.flatnonzero(bits == b)
-            n = int(width[rows].max())
-            sizes = (np.arange(n)[None, :] < t[rows, None]).astype(np.int32)
-            left = c[rows] - t[rows]
-            for k in range(n - 1):  # halves to each next table
-                share = np.where(k < t[rows] - 1, left - left // 2, left)
-                sizes[:, k] += (share * (t[rows] > k)).astype(np.int32)
-                left = left - share * (t[rows] > k)
-                if not left.any():
-                    break
-            sizes[:, n - 1] += left.astype(np.int32)
-            self.groups.append((rows, sizes))
-
-    def reseat(self, new: np.ndarray) -> None:
-        for rows, sizes in self.groups:
-            n, at = len(rows), np.arange(len(rows))
-            c, w = self.c[rows], new[rows]
-            pick = self.rng.random(n) * c
-            leaving = np.minimum((np.cumsum(sizes, 1) <= pick[:, None]).sum(1), sizes.shape[1] - 1)
-            sizes[at, leaving] -= 1
-            open_ = sizes > 0
-            joining = np.where(open_, sizes - self.d, 0.0)
-            total = joining.sum(1)
-            pick = self.rng.random(n) * (total + w)
-            table = np.minimum((np.cumsum(joining, 1) <= pick[:, None]).sum(1), sizes.shape[1] - 1)
-            alone = (pick >= total) | (total <= 0)
-            table = np.where(alone, (~open_).argmax(1), table)
-            full = alone & open_.all(1)  # no place left for one more: it sits down where it was
-            table = np.where(full, leaving, table)
-            sizes[at, table] += 1
-
-    def tables(self) -> np.ndarray:
-        out = np.zeros(len(self.c))
-        for rows, sizes in self.groups:
-            out[rows] = (sizes > 0).sum(1)
+        for n, start, end in zip(range(2, EXACT + 1), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            self.groups += [(n, order[i : min(end, i + 500_000 // n)]) for i in range(start, end, 500_000 // n)]
+        self.large = order[cuts[-1] :]
+
+    def seat(self, others: np.ndarray, tables: np.ndarray, rng=None) -> np.ndarray:
+        """All customers seated anew, beside so many tables of other words: drawn, or expected without rng; expected for more than EXACT."""
+        out = np.ones(len(self.c))
+        for n, rows in self.groups:
+            weight = np.ones((len(rows), n))
+            weight[:, 1:] = (self.parent[rows, None] * (self.strength + self.d * (others[rows, None] + np.arange(1, n)))) * self.ways[n]
+            weight = np.cumprod(weight, 1)
+            if rng is None:
+                out[rows] = weight @ np.arange(1.0, n + 1) / weight.sum(1)
+            else:
+                weight = np.cumsum(weight, 1)
+                out[rows] = 1 + (weight[:, :-1] <= rng.random(len(rows))[:, None] * weight[:, -1:]).sum(1)
+        at = self.large
+        if len(at):
+            out[at] = many_tables(self.c[at].astype(float), self.parent[at] * (self.strength + self.d * (others[at] + tables[at])), self.d)
         return out
 
 
@@ -233,19 +248,22 @@ def mean_tables(c: np.ndarray, context: np.ndarray, contexts: int, parent: np.nd
     many = np.flatnonzero(c > 1)
     if not len(many):
         return t
-    weight = lambda: ((strength + d * spread * np.bincount(context, weights=t, minlength=contexts))[context] * parent)[many]
-    seating = None
-    t[many] = first_seating(c[many], weight(), d, rng)
-    t[many] = np.minimum(t[many], c[many])
-    seating = Seating(c[many], t[many], SWEEPS * RESEATED, d, rng)
+    alone, place = np.bincount(context[c == 1], minlength=contexts), context[many]
+    seating = Seating(c[many], parent[many], strength, d)
+    tables = t[many]
+    others = lambda: np.maximum(spread * (alone + np.bincount(place, weights=tables, minlength=contexts))[place] - tables, 0)
+    # as expected, until no context's tables change: the sweeps start there
+    seen = others()
+    for _ in range(ROUNDS):
+        tables = seating.seat(seen, tables)
+        before, seen = seen, others()
+        if (np.abs(seen - before) <= SETTLED * (1 + before)).all():
+            break
     total, taken = np.zeros(len(many)), 0
     for sweep in range(SWEEPS):
-        new = weight()
-        for _ in range(RESEATED):
-            seating.reseat(new)
-        t[many] = seating.tables()
+        tables = seating.seat(others(), tables, rng)
         if sweep >= BURN_IN:
-            total += t[many]
+            total += tables
             taken += 1
     t[many] = total / taken
     return t

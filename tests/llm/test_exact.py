@@ -199,6 +199,42 @@ def test_gibbs_tables_match_their_expectation():
     assert t.mean() - 1 == pytest.approx(p, abs=0.05)
 
 
+def test_gibbs_tables_of_a_hot_context():
+    """Thousands of customers in one context, against sweeps that take customers out one at a time."""
+    r, d, strength = random.Random(2), 0.6, 1.0
+    f = 1 / np.arange(1, 101)
+    c, parent = np.maximum(np.rint(3000 * f / f.sum()), 1).astype(int), 0.3 * f / f.sum()
+    seats, total, seen = [[int(n)] for n in c], len(c), []
+    for sweep in range(160):
+        for w, sizes in enumerate(seats):
+            for _ in range(c[w]):
+                i = r.choices(range(len(sizes)), sizes)[0]
+                sizes[i] -= 1
+                if not sizes[i]:
+                    del sizes[i]
+                    total -= 1
+                i = r.choices(range(len(sizes) + 1), [*(x - d for x in sizes), (strength + d * total) * parent[w]])[0]
+                if i == len(sizes):
+                    sizes.append(0)
+                    total += 1
+                sizes[i] += 1
+        if sweep >= 40:
+            seen.append([len(x) for x in seats])
+    seen = np.mean(seen, 0)
+    got = np.mean([language_model.mean_tables(c, np.zeros(100, int), 1, parent, strength, d, np.random.default_rng(k)) for k in range(10)], 0)
+    assert got.sum() == pytest.approx(seen.sum(), rel=0.05)
+
+
+def test_tables_of_many_customers(monkeypatch):
+    """Expected tables of more customers than are drawn by the exact law, against that law."""
+    monkeypatch.setattr(language_model, "EXACT", 400)
+    for d in (0.2, 0.6, 0.95):
+        more = language_model.ways(d)[400]
+        for new in (0.01, 0.3, 2.0, 30.0, 500.0):
+            weight = np.exp(np.cumsum(np.log(np.append(1.0, new * more))) - np.cumsum(np.log(np.append(1.0, new * more))).max())
+            assert language_model.many_tables(np.array([400.0]), np.array([new]), d)[0] == pytest.approx((weight * np.arange(1, 401)).sum() / weight.sum(), rel=0.05)
+
+
 def test_sharding(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"))
     leaves = sharding.topology(24)
