@@ -135,7 +135,7 @@ def reinsert(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def treap_classify(spark, sf_dir: str) -> DataFrame:
-    return clustering.treap_classify(windowed(spark, sf_dir), CFG.bits)
+    return clustering.treap_classify(windowed(spark, sf_dir))
 
 
 _LISTS = f"WITH {DNA}, {KM}, {WIN}, li AS (SELECT seq_id, string_agg(h::VARCHAR, ',' ORDER BY window_id) AS hashes FROM win WHERE rn = 1 GROUP BY 1)"

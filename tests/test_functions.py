@@ -88,3 +88,15 @@ def test_prefix_filter_finds_all(spark):
     sigs = spark.createDataFrame(rows, "seq_id long, bits array<int>")
     want = {(i, j) for i, x in rows for j, y in rows if i < j and (x or y) and len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y))}
     assert {(p["i"], p["j"]) for p in pairs.similar(sigs, 0.5).collect()} == want
+
+
+def test_treap_inserts_what_it_does_not_find(spark):
+    """Sequences without an id that 26 divides find each other; with the reference's stride they match nothing."""
+    from seqloom.operators.clustering import Treap, treap_classify
+
+    rows = [(i, w, [100 * group + 10 * w + b for b in range(3)]) for i, group in ((0, 0), (1, 1), (2, 2), (3, 1), (27, 2), (53, 0)) for w in range(4)]
+    df = spark.createDataFrame(rows, "seq_id long, window_id int, bits array<int>")
+    got = {r["seq_id"]: r["cluster"] for r in treap_classify(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1, 27: 2, 53: 0}
+    none = Treap.NOT_FOUND
+    assert {r["seq_id"]: r["cluster"] for r in treap_classify(df, stride=26).collect()} == {0: 0, 1: none, 2: none, 3: none, 27: none, 53: 0}
