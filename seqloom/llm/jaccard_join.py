@@ -367,10 +367,18 @@ def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each component: the one of the smallest id. Rows without words all stay, and rows without an id."""
-    (gone,) = fresh(df, "gone")
-    lows = clusters(df, key, text).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
-    return df.join(lows, df[key].cast("long") == F.col(gone), "left_anti")
+    """df with one row of each component: one of the smallest id, or without an id if none has any. Rows without words all stay.
+
+    Rows are numbered and written first, so that rows of equal ids are told apart.
+    """
+    number, kept = fresh(df, "number", "kept")
+    numbered = written(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows, labels = links(numbered.select(number, text), number, text)
+    ids = numbered.select(F.col(number).alias("id"), numbered[key].cast("long").alias("own"))
+    named = rows.join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("component")).join(ids, "id")
+    first = named.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id")).alias("x"))
+    stay = first.select(F.col("x.id").alias(kept)).unionByName(named.where("component IS NULL").select(F.col("id").alias(kept)))
+    return numbered.join(stay, F.col(number) == F.col(kept), "left_semi").drop(number)
 
 
 def op9_parity_sketch(spark, sf_dir: str) -> DataFrame:

@@ -316,6 +316,16 @@ def test_jaccard(docs, corpus):
     assert jaccard_join.first_of_each(docs).count() == len({root(d) for d in sets})
 
 
+def test_first_of_each_equal_ids(spark):
+    """One row of each component, where ids repeat or are missing."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (2, c), (5, c), (5, d), (3, ""), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.first_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted([(1, a), (None, b), (2, c), (5, d), (3, ""), (3, "")], key=lambda r: r[1])
+
+
 def test_permutation_index(spark):
     x = np.random.default_rng(2).normal(size=(1500, 24))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
