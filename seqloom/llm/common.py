@@ -7,10 +7,12 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: The six ASCII characters that end a word: \x20 and \x09-\x0D. bytes.split() splits on exactly these.
+#: The six ASCII characters that end a word: \x20 and \x09-\x0D. bytes.split() and Arrow's split exactly at these.
 SPACE = "\\x20\\x09-\\x0D"
 
 _local_dir: str | None = None
@@ -81,6 +83,29 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def coded_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hashes of distinct words, the words of all texts one after the other as places among them, bounds of each text's).
+
+    Words are split and told apart by Arrow, A-Z in lower case if so asked; only distinct ones are hashed.
+    """
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = lists.flatten().dictionary_encode()
+    words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.binary())), b"\n")[0].as_py().split(b"\n") if len(coded.dictionary) else []
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    at, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    if b"" in words:  # white space at an end of a text
+        real = at != words.index(b"")
+        return hashes, at[real], np.concatenate(([0], np.cumsum(real)))[bounds]
+    return hashes, at, bounds
+
+
+def hashed_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words one after the other, and the bounds of each text's."""
+    hashes, at, bounds = coded_words(texts, lower)
+    return hashes[at], bounds
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered; forgets all at `most` words, so memory is bounded."""
 

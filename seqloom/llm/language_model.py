@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from .blocks import Blocks, bucket_of, buckets_for, release
-from .common import HASHES, documents, new_path
+from .common import coded_words, documents, new_path
 from .substring_dedup import schema_table
 
 END = np.uint64(0x5EED5EED5EED5EED)
@@ -57,15 +57,15 @@ class Tokens:
         table = table.take(pa.array(order))
         self.keys = table["c0"].to_pylist()
         self.block = table["block"][0].as_py()
-        parts = []
-        for x in table["t"].to_pylist():
-            parts += [HASHES.of(x.encode("utf-8", "surrogatepass").lower().split()), [END]]
-        self.lengths = np.array([len(x) + 1 for x in parts[::2]], np.int64)
-        flat = np.concatenate(parts).astype(np.uint64)
+        hashes, at, bounds = coded_words(table["t"], lower=True)
+        self.lengths = np.diff(bounds) + 1
+        self.words, place = np.unique(np.append(hashes, END), return_inverse=True)
+        # each text's words and the end
+        self.at = np.insert(place[at], bounds[1:], place[-1])
+        used = np.bincount(self.at, minlength=len(self.words)) > 0
+        self.words, self.at = self.words[used], (np.cumsum(used) - 1)[self.at]
         self.held = np.array([held_out(k) for k in self.keys])
         self.train = np.repeat(~self.held, self.lengths)
-        self.words, at = np.unique(flat, return_inverse=True)
-        self.at = at.astype(np.int64)
         before = np.concatenate((np.searchsorted(self.words, [END]), self.at[:-1]))
         pairs, which = np.unique(before * len(self.words) + self.at, return_inverse=True)
         self.before, self.after, self.which = pairs // len(self.words), pairs % len(self.words), which
