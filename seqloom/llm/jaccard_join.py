@@ -5,13 +5,17 @@ bits) as their sets differ in shingles. A pair of sizes a and b with Jaccard at
 shingles, so of a size band's segments all but that many agree. Each document therefore sends, to the band of its size and to
 the next smaller one if a partner can be there, D + 1 of its segments in an order all documents share (rarest first, then
 by hash; all segments are counted before): two documents within the bound meet in one at least. Segments that no other
-document holds need not be sent. Groups of documents that share a segment give candidate pairs:
+document holds need not be sent. Documents that share a segment are a group, and groups are resolved in rounds:
 
-1. each member with the group's centre (the member that most groups hold), whose sketches' Hamming distance and then whole
-   shingle sets are compared; again with another centre for groups whose members are still in several components;
-2. of groups that are still in several components then, every pair of different components not compared yet.
+1. every document in a group that still holds several components compares with one centre, the one that most of its groups
+   name (a group's centre is its member in most groups): the sketches' Hamming distance first, then the whole sets. Links
+   contract components, so what a round adds is at most one link a document. A pair is compared once;
+2. after CENTRES rounds, of groups that still hold several components, every pair of different components not compared yet, in
+   blocks of PART documents by PART.
 
-So pairs within a component that is known already are never compared, and no link between components is lost.
+So pairs within a component that is known already are never compared, and no link between components is lost. A group of a
+rare segment is one row of fewer than HOT documents; a frequent segment's group is never put together: each document carries
+the segment's key, and groups are only aggregated by it.
 
 Texts of equal words are one node. Documents without words (null, empty) link with nothing. Texts of fewer than N words are one
 shingle of all their words. Ties and repeated rows: a component's id is the smallest id among its members; rows without an id take
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, packed, release
-from .common import HASHES, documents, dropped, fresh, grams, mix, written
+from .common import documents, dropped, fresh, grams, hashed_words, mix, written
 from .graph import components
 
 N = 5
@@ -38,6 +42,15 @@ SLACK, SPARSE, SMALL = 1.6, 8, 24
 CENTRES, PART = 2, 2000
 #: 64-bit words of the dense sketch that candidate pairs are compared by first.
 DENSE_WORDS = 32
+#: Counts of segments in a byte: exact below EXACT, then in sixths of an octave; a segment of HOT documents and more is frequent.
+EXACT, HOT = 128, 256
+
+
+def coded(count: np.ndarray) -> np.ndarray:
+    """A count as a byte that keeps the order of counts."""
+    more = EXACT + 6 * np.log2(np.maximum(count, EXACT) / EXACT)
+    return np.where(count < EXACT, count, np.minimum(more, 255)).astype(np.uint8)
+
 
 def lanes(most: int = 1 << 40) -> list[int]:
     """Least sizes of the bands: partners of a band's sets have sizes in it or in the next."""
@@ -56,16 +69,20 @@ def _segments(lane: np.ndarray) -> np.ndarray:
     return np.where(top < SMALL, SPARSE * (top + 1), np.ceil(SLACK * (differ + 1))).astype(np.int64)
 
 
-def words_of(texts: list[str]) -> list[list[bytes]]:
-    return [x.encode("utf-8", "surrogatepass").lower().split() for x in texts]  # bytes.lower: A-Z only
-
-
-def shingles(words: list[bytes], n: int = N) -> np.ndarray:
-    """The distinct shingles' hashes, sorted."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = HASHES.of(words)
-    return np.unique(grams(h, n) if len(h) >= n else mix(grams(h, len(h), 11), 99 + len(h)))
+def shingles(texts: pa.Array | pa.ChunkedArray, n: int = N) -> tuple[list[np.ndarray], list[int]]:
+    """Of each text the distinct shingles' hashes, sorted, and a digest of its words in order."""
+    h, bounds = hashed_words(texts, lower=True)
+    g, sets, digests = grams(h, n), [], []
+    data = h.tobytes()
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= n:
+            x = np.sort(g[a : b - n + 1])
+            x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+        else:
+            x = mix(grams(h[a:b], b - a, 11), 99 + b - a) if b > a else g[:0]
+        sets.append(x)
+        digests.append(xxhash.xxh3_128_intdigest(data[8 * a : 8 * b]))
+    return sets, digests
 
 
 def dense(s: np.ndarray) -> np.ndarray:
@@ -121,17 +138,15 @@ class Block:
     def __init__(self, table: pa.Table):
         self.table = table.take(pa.array(np.argsort(table["place"].to_numpy(), kind="stable")))
         self.number = table["block"][0].as_py()
-        self.digests, self.sets, self.distinct, seen = [], [], [], {}
+        every, self.digests = shingles(self.table["t"])
+        self.sets, self.distinct, seen = [], [], {}
         self.first: list[int] = []
-        for i, text in enumerate(self.table["t"].to_pylist()):
-            words = words_of([text])[0]
-            d = xxhash.xxh3_128_intdigest(b" ".join(words))
+        for i, (x, d) in enumerate(zip(every, self.digests, strict=True)):
             if d not in seen:
                 seen[d] = len(self.sets)
-                self.sets.append(shingles(words))
+                self.sets.append(x)
                 self.distinct.append(i)
             self.first.append(seen[d])
-            self.digests.append(d)
 
 
 def _survey(buckets: int):
@@ -151,22 +166,13 @@ def _survey(buckets: int):
     return run
 
 
-def _wanted(table: pa.Table, rows: pa.Table) -> tuple[np.ndarray, list[str]]:
-    """Nodes asked of a block, with their texts."""
-    order = np.argsort(rows["place"].to_numpy())
-    at = np.searchsorted(own := np.sort(table["place"].to_numpy()), rows["place"].to_numpy()[order])
-    by_place = np.argsort(table["place"].to_numpy())
-    assert (own[at] == rows["place"].to_numpy()[order]).all()
-    return rows["node"].to_numpy()[order], table["t"].take(pa.array(by_place[at])).to_pylist()
-
-
 def _count(rows: pa.Table) -> pa.Table:
-    """How many sets hold each segment, up to 255; the lower half of the key, in its bucket, stands for it. Other rows pass."""
+    """How many sets hold each segment, coded; the lower half of the key, in its bucket, stands for it. Other rows pass."""
     if rows["bucket"][0].as_py() < 0:
         return rows
     key = np.concatenate([np.frombuffer(d, np.uint32) for d in rows["data"].to_pylist()])
     _, group, n = np.unique(key, return_inverse=True, return_counts=True)
-    count = np.minimum(n, 255).astype(np.uint8)[group]
+    count = coded(n)[group]
     out, at = [], 0
     for bucket, block, n in zip(rows["bucket"].to_pylist(), rows["block"].to_pylist(), rows["n"].to_pylist(), strict=True):
         out.append((bucket, block, n, count[at : at + n].tobytes()))
@@ -201,24 +207,29 @@ def _send_shared(buckets: int):
         chosen = chosen[np.argsort(key[chosen])]
         if not len(chosen):
             return _sent([])
-        out = [(None, len(sets[i]), dense(sets[i]).tobytes(), int(nodes[i])) for i in np.unique(doc[chosen]).tolist()]
-        key, node = key[chosen], nodes[doc[chosen]]
-        base = int(node.min())
+        hot = count[chosen] >= coded(np.array([HOT]))[0]
+        of = doc[chosen[hot]]
+        order = np.argsort(of, kind="stable")
+        hot_keys, cut = key[chosen[hot]][order], np.searchsorted(of[order], np.arange(len(sets) + 1))
+        out = [(None, len(sets[i]), dense(sets[i]).tobytes(), int(nodes[i]), np.unique(hot_keys[cut[i] : cut[i + 1]]).astype(np.int64)) for i in np.unique(doc[chosen]).tolist()]
+        cold = chosen[~hot]
+        key, node = key[cold], nodes[doc[cold]]
+        base = int(node.min()) if len(node) else 0
         cuts = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
         small = (node - base).astype(np.uint32)
-        out += [(b, int(cuts[b + 1] - cuts[b]), key[cuts[b] : cuts[b + 1]].tobytes() + small[cuts[b] : cuts[b + 1]].tobytes(), base) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+        out += [(b, int(cuts[b + 1] - cuts[b]), key[cuts[b] : cuts[b + 1]].tobytes() + small[cuts[b] : cuts[b + 1]].tobytes(), base, None) for b in range(buckets) if cuts[b + 1] > cuts[b]]
         return _sent(out)
 
     return run
 
 
-SENT = "bucket int, n long, data binary, node long"
+SENT = "bucket int, n long, data binary, node long, hot array<long>"
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
-    """Rows of a bucket's keys and nodes (as distances from `node`), or, without a bucket, of a node's set size and sketch."""
-    b, n, data, node = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.table({"bucket": pa.array(b, pa.int32()), "n": pa.array(n, pa.int64()), "data": pa.array(data, pa.binary()), "node": pa.array(node, pa.int64())})
+    """Rows of a bucket's keys and nodes (as distances from `node`), or, without a bucket, of a node's set size, sketch and frequent segments."""
+    b, n, data, node, hot = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+    return pa.table({"bucket": pa.array(b, pa.int32()), "n": pa.array(n, pa.int64()), "data": pa.array(data, pa.binary()), "node": pa.array(node, pa.int64()), "hot": pa.array(hot, pa.list_(pa.int64()))})
 
 
 def _groups(rows: pa.Table) -> pa.Table:
@@ -243,21 +254,32 @@ def _groups(rows: pa.Table) -> pa.Table:
     return pa.table({"set": pa.array([d for d, _ in out], pa.int64()), "nodes": pa.array([x for _, x in out], pa.list_(pa.int64()))})
 
 
-def _sets(table: pa.Table, rows: pa.Table) -> pa.Table:
-    nodes, texts = _wanted(table, rows) if table.num_rows and rows.num_rows else ([], [])
-    return pa.table({"node": pa.array(nodes, pa.int64()), "items": pa.array([shingles(w).tobytes() for w in words_of(texts)], pa.binary())})
+def _sets(batches):
+    """(node, items) of (node, text)."""
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in shingles(batch.column(1))[0]], pa.binary())], ["node", "items"])
+
+
+def _near(batches):
+    """(a, b, near) of pairs with both sizes and sketches: whether these allow a link."""
+    for batch in batches:
+        na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(batch), DENSE_WORDS) for i in (4, 5))
+        hamming = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        near = (4 * na >= 3 * nb) & (4 * nb >= 3 * na) & (7 * hamming <= na + nb)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(near)], ["a", "b", "near"])
 
 
 def _linked(batches):
     """Of pairs with both sets, those with 100 * intersection >= 75 * union."""
     for batch in batches:
-        a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
         keep = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            keep.append(100 * both >= 75 * (len(p) + len(q) - both))
-        yield pa.record_batch([pa.array([u for u, k in zip(a, keep, strict=True) if k], pa.int64()), pa.array([u for u, k in zip(b, keep, strict=True) if k], pa.int64())], ["a", "b"])
+        for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x = np.sort(np.concatenate((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))), kind="stable")
+            both = int((x[1:] == x[:-1]).sum())
+            keep.append(100 * both >= 75 * (len(x) - both))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
 def _crossing(rows: pa.Table) -> pa.Table:
@@ -292,70 +314,85 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataF
     counted = surveyed.where("bucket >= 0").select("bucket", "block", "n", "data")
     both = firsts.select("block", "place", "node").unionByName(counted.select("block", "bucket", "data"), allowMissingColumns=True)
     sent = written(blocks.ask_with(both, _send_shared(buckets), SENT), "sent")
-    sketch = sent.where("bucket IS NULL").select("node", "n", "data")
-    groups_ = written(sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_groups, "set long, nodes array<long>"), "groups")
+    groups = written(sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_groups, "set long, nodes array<long>"), "groups")
     release(spark)
-    groups = groups_.groupBy("set").agg(F.first("nodes").alias("nodes"))
+    # a set of nodes that several segments share is one group; each node's groups are as many as it has segments at most
+    cold = groups.groupBy("set").agg(F.first("nodes").alias("nodes")).select("set", F.explode("nodes").alias("node"))
+    cold = cold.groupBy("node").agg(F.collect_list("set").alias("cold"))
+    member = sent.where("bucket IS NULL").select("node", "n", "data", "hot").join(cold, "node", "left")
+    none_ = F.array().cast("array<long>")
+    member = written(member.select("node", "n", "data", F.concat(F.coalesce("hot", none_), F.coalesce("cold", none_)).alias("sets")).where(F.size("sets") > 0), "members")
+    dropped(sent, groups)
+    labels = _resolved(blocks, firsts, member)
+    rows = written(described.join(firsts.select("high", "low", "node"), ["high", "low"], "left").select("node", "id", "n_shingles"), "nodes")
+    blocks.drop()
+    dropped(surveyed, firsts, member)
+    release(spark)
+    return rows, labels
 
-    none = spark.createDataFrame([], "node long, component long")
 
-    def sketched(pairs: DataFrame) -> DataFrame:
-        """The pairs that sizes and sketches allow: 32 words each, whose Hamming distance is a lower bound of the difference."""
-        word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-        near = pairs.join(sketch.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("data").alias("da")), "a").join(sketch.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("db")), "b")
-        near = near.where((F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3))
-        hamming = sum(F.bit_count(word(F.col("da"), i).bitwiseXOR(word(F.col("db"), i))) for i in range(DENSE_WORDS))
-        return near.where(hamming * 7 <= F.col("na") + F.col("nb")).select("a", "b")
+def _resolved(blocks: Blocks, firsts: DataFrame, member: DataFrame) -> DataFrame:
+    """(node, component) of the members (node, n, data, sets)."""
+    spark = member.sparkSession
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(a, b, near) of pairs (a, b)."""
+        sketch = lambda x: member.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("data").alias(f"d{x}"))
+        return written(pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "da", "db").mapInArrow(_near, "a long, b long, near boolean"), "pairs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets link. Only texts that are asked for leave their blocks."""
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = firsts.join(ends, "node").select("block", "place", "node")
-        sets = written(blocks.ask_with(wanted, _sets, "node long, items binary"), "sets")
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        out = written(full.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
+        texts = blocks.table.select("block", "place", "t").join(wanted.hint("shuffle_hash"), ["block", "place"])
+        sets = written(texts.select("node", "t").mapInArrow(_sets, "node long, items binary"), "sets")
+        items = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}"))
+        out = written(pairs.select("a", "b").join(items("a"), "a").join(items("b"), "b").select("a", "b", "ia", "ib").mapInArrow(_linked, "a long, b long"), "links")
         dropped(sets)
         release(spark)
         return out
 
-    member = written(groups.select("set", F.explode("nodes").alias("node")), "members")
-    degree = member.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    labels = member.select("node").distinct().withColumn("component", F.col("node"))
-    found = tried = centres = None
+    labels = written(member.select("node", F.col("node").alias("component")), "labels")
+    tried = []
     for turn in range(CENTRES + 1):
-        labelled = member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_sets = labelled.groupBy("set").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("set")
-        labelled = written(labelled.join(open_sets, "set"), "open")
-        if turn == CENTRES:
-            parts = labelled.join(labelled.groupBy("set").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts")), "set").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
-            parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(sketch, "node")
-            parts = parts.select("set", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n", "data")
-            pairs = parts.groupBy("set", "lo", "hi").applyInArrow(lambda t: _crossing(t), "a long, b long")
-        else:
-            able = labelled.join(degree, "node")
-            if centres is not None:
-                able = able.join(centres, ["set", "node"], "left_anti")
-            centre = written(able.groupBy("set").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"), "node", F.col("component").alias("c"))).alias("x")).select("set", F.col("x.node").alias("centre"), "x.c"), "centres")
-            used = centre.select("set", F.col("centre").alias("node"))
-            centres = used if centres is None else centres.unionByName(used)
-            pairs = labelled.join(centre, "set").where("component <> c").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs if turn == CENTRES else sketched(pairs), "pairs")
-        if turn < CENTRES and pairs.isEmpty():
-            continue
-        if pairs.isEmpty():
+        each = member.select("node", "sets").join(labels, "node").select("node", "component", F.size("sets").alias("degree"), F.explode("sets").alias("set"))
+        best = F.max(F.struct("degree", (-F.col("node")).alias("least"), "node", "component")).alias("x")
+        open_sets = each.groupBy("set").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), best).where("lo <> hi")
+        open_sets = written(open_sets.select("set", "members", F.col("x.node").alias("centre"), F.col("x.degree").alias("of"), F.col("x.component").alias("its")), "open")
+        if open_sets.isEmpty():
+            dropped(open_sets)
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = verified(pairs)
-        if not more.isEmpty():
-            found = more if found is None else found.unionByName(more)
-            labels = components(found)
-    rows = written(described.join(firsts.select("high", "low", "node"), ["high", "low"], "left").select("node", "id", "n_shingles"), "nodes")
-    blocks.drop()
-    dropped(surveyed, sent, groups_, member, firsts)
-    release(spark)
-    return rows, labels if found is not None else none
+        if turn < CENTRES:
+            met = each.join(open_sets, "set").where("component <> its").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"), F.max("of").alias("of"))
+            pairs = met.select("node", "centre", "shared", "of", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+            for t in tried:
+                pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.groupBy("node").agg(F.max(F.struct("shared", "of", (-F.col("centre")).alias("least"), "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+            pairs = compared(pairs)
+            tried.append(pairs)
+            near = pairs.where("near")
+        else:
+            parts = each.join(open_sets.select("set", F.ceil(F.col("members") / PART).cast("long").alias("parts")), "set")
+            parts = parts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            parts = parts.join(member.select("node", "n", "data"), "node").select("set", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n", "data")
+            near = parts.groupBy("set", "lo", "hi").applyInArrow(lambda t: _crossing(t), "a long, b long").distinct()
+            for t in tried:
+                near = near.join(t.select("a", "b"), ["a", "b"], "left_anti")
+            near = written(near, "pairs")
+            tried.append(near)
+        more = linked(near)
+        # links between components, which they contract: a forest is all that stays
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        between = written(more.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "between")
+        if not between.isEmpty():
+            joined = components(between)
+            new = written(labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+            dropped(labels, joined)
+            labels = new
+        dropped(open_sets, more, between)
+        release(spark)
+    dropped(*tried)
+    return labels
 
 
 def clusters(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
