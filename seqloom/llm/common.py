@@ -106,27 +106,6 @@ def hashed_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tupl
     return hashes[at], bounds
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), remembered; forgets all at `most` words, so memory is bounded."""
-
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-#: A worker's one memory of words, whatever operators it serves.
-HASHES = WordHashes()
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift), so that sums of hashes become hashes again."""
     with np.errstate(over="ignore"):

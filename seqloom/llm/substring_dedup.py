@@ -4,19 +4,21 @@ The reference is the corpus, in blocks. Its index holds anchors: of every window
 hash (about one word in fifteen starts an anchor). All blocks' anchors meet in hash buckets, so a document is factored
 against every reference block at once, wherever its text also is.
 
-1. Anchors carry a digest of their context: all words that any window with this anchor can hold. Contexts found twice make
-   every window of the anchor repeated. These are the interiors of the factors.
+1. Anchors carry a digest of their context: all words that any window with this anchor can hold. A context found twice makes
+   every window of the anchor repeated, and the bucket answers with a source: the first other place (block and word) that holds
+   the context. These are the interiors of the factors.
 2. An anchor found with several contexts lies at a factor's boundary, where two copies part. Its windows' own digests are
-   sent to the buckets, and those found twice are repeated too.
-3. Per document the repeated windows are joined greedily, left to right, into factors: the longest runs of words that
-   repeated windows cover. Those are the duplicate spans.
+   sent to the buckets, and those found twice are repeated too, with a source of their own.
+3. A document is parsed from left to right: a factor goes on while the next window is repeated and its source is the next
+   window of the same source, so it is the longest copy from that place of the reference, WINDOW words at least. The next
+   factor is the one that reaches furthest on from there. Words of factors are the duplicate spans.
 
 A window is repeated exactly if its words also start anywhere else, same document included: both copies hold the same
 anchor at the same place in the window, and their contexts are either equal (1) or both sent (2). Digests have 128 bits in
 step 1 and 96 in step 2.
 
 Nulls, empty texts and texts shorter than a window have no spans. Repeated rows cover each other wholly if they are as long as
-a window. All rows and columns stay.
+a window. All rows and columns stay; a null text stays null.
 """
 
 from __future__ import annotations
@@ -28,16 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .blocks import ASKED, BLOCK_BYTES, Blocks, asked, bucket_of, buckets_for, packed, release, unpacked
-from .common import HASHES, documents, grams, mix, new_path, written
+from .common import documents, fresh, grams, hashed_words, mix, new_path, written
 
 WINDOW, SEED = 35, 8
 #: UTF-8 bytes of a block: its words are held with several numbers each.
 BLOCK = 5_000_000
-#: Bits of a place in a block that share a key with an anchor's hash.
-PLACE_BITS = 28
+#: Bits of a place in a block that share a key with an anchor's hash: as many as an Arrow string has bytes.
+PLACE_BITS = 31
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -49,19 +51,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Parsed:
     """A block's words as hashes, its windows and their anchors."""
 
-    def __init__(self, table: pa.Table, window: int = WINDOW, seed: int = SEED, keep_words: bool = False):
+    def __init__(self, table: pa.Table, window: int = WINDOW, seed: int = SEED):
         order = np.argsort(table["place"].to_numpy(), kind="stable")
         self.table = table.take(pa.array(order)) if len(order) > 1 else table
-        split = [x.encode("utf-8", "surrogatepass").split() for x in self.table["t"].to_pylist()]
-        self.words = split if keep_words else None
-        self.lengths = np.array([len(x) for x in split], np.int64)
-        h = np.concatenate([HASHES.of(x) for x in split]) if split else np.zeros(0, np.uint64)
-        docs = len(split)
-        del split
+        self.block, self.window = table["block"][0].as_py(), window
+        h, starts = hashed_words(self.table["t"])
+        self.starts, self.lengths = starts, np.diff(starts)
         n = self.n = len(h)
-        doc = np.repeat(np.arange(docs), self.lengths)
-        starts = np.concatenate(([0], np.cumsum(self.lengths)))
-        self.starts = starts
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.valid = np.zeros(n, bool)  # a window starts here
         if n >= window:
             self.valid[: n - window + 1] = doc[: n - window + 1] == doc[window - 1 :]
@@ -90,7 +87,6 @@ class Parsed:
         lo = np.maximum(self.anchors - reach, starts[doc[self.anchors]])
         hi = np.minimum(self.anchors + seed + reach, starts[doc[self.anchors] + 1])
         self.contexts = mix(self.digest(lo, hi) ^ mix((self.anchors - lo).astype(np.uint64) * np.uint64(131) + (hi - self.anchors).astype(np.uint64), 5), 7)
-        self.window = window
 
     def digest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Of the words lo to hi (exclusive), the same wherever they are."""
@@ -98,84 +94,108 @@ class Parsed:
             return mix((self._sums[hi] - self._sums[lo]) * self._inverse[lo], 3)
 
 
-def _merge(keys: list[np.ndarray], checks: list[np.ndarray], twice: list[np.ndarray]):
-    """All blocks' keys together: group of each entry, and by group its first entry's key and whether it was found twice."""
-    a, b, t = np.concatenate(keys), np.concatenate(checks), np.concatenate(twice)
-    order = np.lexsort((b, a))
-    a, b, t = a[order], b[order], t[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    group = np.cumsum(new) - 1
-    found = np.bincount(group, weights=1 + t.astype(np.int64))
-    back = np.empty(len(order), np.int64)
-    back[order] = group
-    return back, a[new], found >= 2
+class Distinct:
+    """A block's distinct pairs of keys in order, and where each was first and (-1: nowhere) next."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, at: np.ndarray):
+        order = np.lexsort((at, b, a))
+        x, y = a[order], b[order]
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.pair = np.empty(len(x), np.int64)
+        self.pair[order] = np.cumsum(new) - 1
+        self.a, self.b, self.first = x[new], y[new], at[order[first]]
+        again = np.append(~new, False)[first + 1] if len(first) else np.zeros(0, bool)
+        self.next = np.full(len(first), -1)
+        self.next[again] = at[order[first[again] + 1]]
+
+    def rows(self, block: int, buckets: int) -> pa.Table:
+        return asked(block, bucket_of(self.a, buckets), buckets, self.a, self.b, self.first.astype(np.uint32), self.next >= 0)
+
+
+class Sources:
+    """For each entry that a block sent: state (1: found elsewhere, 2: one of several contexts) and the place of a copy."""
+
+    def __init__(self, p: Parsed, sent: Distinct, at: np.ndarray, answers: pa.Table):
+        order = np.argsort(answers["bucket"].to_numpy(), kind="stable")
+        data, ns = answers["data"].to_pylist(), answers["n"].to_pylist()
+        parts = []
+        for i in order.tolist():
+            state = np.frombuffer(data[i], np.uint8, ns[i])
+            k = int((state & 1).sum())
+            parts.append((state, np.frombuffer(data[i], np.int64, k, ns[i]), np.frombuffer(data[i], np.int64, k, ns[i] + 8 * k)))
+        state, block, place = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
+        blocks, places = np.full(len(state), -1), np.full(len(state), -1)
+        twice = (state & 1) > 0
+        blocks[twice], places[twice] = block, place
+        # the first copy of all has its next in the same block, if nowhere else
+        own = twice & (places < 0)
+        blocks[own], places[own] = p.block, sent.next[own]
+        self.state, self.block, self.place = state[sent.pair], blocks[sent.pair], places[sent.pair]
+        # a block's later copies point to its first
+        later = at != sent.first[sent.pair] if len(at) else np.zeros(0, bool)
+        self.block[later], self.place[later] = p.block, sent.first[sent.pair][later]
+
+
+def _answer(b_type):
+    """Of each entry: 1 if its pair is found twice, 2 more if its first key has several second ones; and where its first copy
+    is, in order of block and place (of that copy itself: where the second one is, -1 in its own block)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows["block"].to_numpy(), kind="stable")))
+        ns = rows["n"].to_pylist()
+        parts = [unpacked(d, n, np.uint64, b_type, np.uint32, np.bool_) for n, d in zip(ns, rows["data"].to_pylist(), strict=True)]
+        a, b, place, again = (np.concatenate(x) for x in zip(*parts, strict=True))
+        block = np.repeat(rows["block"].to_numpy(), ns)
+        order = np.lexsort((b, a))  # entries of a pair stay in order of block
+        x, y = a[order], b[order]
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(x)))
+        group = np.cumsum(new) - 1
+        twice = (size > 1) | again[order[first]]
+        several = np.zeros(len(first), bool)
+        same = x[first][1:] == x[first][:-1]
+        several[1:] |= same
+        several[:-1] |= same
+        source = order[first][group]
+        second = first[size > 1]
+        source[second] = order[second + 1]
+        alone = first[size == 1]
+        state, blocks, places = np.empty(len(x), np.uint8), np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+        state[order] = (twice + 2 * several)[group]
+        blocks[order], places[order] = block[source], place[source]
+        places[order[alone]] = -1
+        out, at = [], 0
+        for bucket, own, n in zip(rows["bucket"].to_pylist(), rows["block"].to_pylist(), ns, strict=True):
+            s = state[at : at + n]
+            found = at + np.flatnonzero(s & 1)
+            out.append((bucket, own, n, s.tobytes() + blocks[found].tobytes() + places[found].tobytes()))
+            at += n
+        return packed(out)
+
+    return run
 
 
 def _send_anchors(buckets: int, window: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
         p = Parsed(table, window, seed)
-        _, seeds, contexts, twice, _ = _distinct(p.seeds, p.contexts)
-        return asked(block, bucket_of(seeds, buckets), buckets, seeds, contexts, twice)
+        return Distinct(p.seeds, p.contexts, p.anchors).rows(p.block, buckets)
 
     return run
 
 
-def _distinct(a: np.ndarray, b: np.ndarray):
-    """Distinct pairs in order: (entry -> pair, a, b, found twice, number)."""
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, bool)
-    pair = np.empty(len(x), np.int64)
-    pair[order] = np.cumsum(new) - 1
-    return pair, x[new], y[new], np.bincount(pair, minlength=int(new.sum())) >= 2, int(new.sum())
-
-
-def _answer_anchors(rows: pa.Table) -> pa.Table:
-    """Of each anchor: 1 if its context is found twice, 2 more if it has several contexts."""
-    parts = [unpacked(d, n, np.uint64, np.uint64, np.bool_) for n, d in zip(rows["n"].to_pylist(), rows["data"].to_pylist(), strict=True)]
-    group, seeds, dup = _merge(*zip(*parts, strict=True))
-    several = np.zeros(len(seeds), bool)
-    same = seeds[1:] == seeds[:-1]
-    several[1:] |= same
-    several[:-1] |= same
-    state = (dup + 2 * several).astype(np.uint8)[group]
-    return _back(rows, state)
-
-
-def _answer_windows(rows: pa.Table) -> pa.Table:
-    parts = [unpacked(d, n, np.uint64, np.uint32, np.bool_) for n, d in zip(rows["n"].to_pylist(), rows["data"].to_pylist(), strict=True)]
-    group, _, dup = _merge(*zip(*parts, strict=True))
-    return _back(rows, dup.astype(np.uint8)[group])
+def _anchor_sources(p: Parsed, answers: pa.Table) -> Sources:
+    return Sources(p, Distinct(p.seeds, p.contexts, p.anchors), p.anchors, answers)
 
 
-def _back(rows: pa.Table, values: np.ndarray) -> pa.Table:
-    out, at = [], 0
-    for bucket, block, n in zip(rows["bucket"].to_pylist(), rows["block"].to_pylist(), rows["n"].to_pylist(), strict=True):
-        out.append((bucket, block, n, values[at : at + n].tobytes()))
-        at += n
-    return packed(out)
-
-
-def _joined(answers: pa.Table, dtype) -> np.ndarray:
-    """A block's answers in the order it asked."""
-    order = np.argsort(answers["bucket"].to_numpy(), kind="stable")
-    data = answers["data"].to_pylist()
-    return np.concatenate([np.frombuffer(data[i], dtype) for i in order]) if len(order) else np.zeros(0, dtype)
-
-
-def _edge_windows(p: Parsed, state: np.ndarray):
-    """The windows to be compared one by one: (places in p.at, digests, checks)."""
+def _edge_windows(p: Parsed, state: np.ndarray) -> tuple[np.ndarray, Distinct]:
+    """The windows to be compared one by one: places in p.at, and their digests and checks."""
     which = np.flatnonzero((state[np.searchsorted(p.anchors, p.anchor)] & 2) > 0) if len(p.at) else np.zeros(0, np.int64)
     starts = p.at[which]
+    digests = p.digest(starts, starts + p.window) if len(which) else np.zeros(0, np.uint64)
     seeds = p.seeds[np.searchsorted(p.anchors, p.anchor[which])] if len(which) else np.zeros(0, np.uint64)
-    return which, (p.digest(starts, starts + p.window) if len(which) else np.zeros(0, np.uint64)), (seeds >> np.uint64(32)).astype(np.uint32)
-
-
-def _states(p: Parsed, answers: pa.Table) -> np.ndarray:
-    pair, *_ = _distinct(p.seeds, p.contexts)
-    got = _joined(answers, np.uint8)
-    return got[pair] if len(pair) else np.zeros(0, np.uint8)
+    return which, Distinct(digests, (seeds >> np.uint64(32)).astype(np.uint32), starts)
 
 
 def _send_windows(buckets: int, window: int, seed: int):
@@ -183,61 +203,65 @@ def _send_windows(buckets: int, window: int, seed: int):
         if not table.num_rows:
             return packed([])
         p = Parsed(table, window, seed)
-        _, digests, checks = _edge_windows(p, _states(p, answers))
-        _, a, b, twice, _ = _distinct(digests, checks)
-        return asked(table["block"][0].as_py(), bucket_of(a, buckets), buckets, a, b, twice)
+        return _edge_windows(p, _anchor_sources(p, answers).state)[1].rows(p.block, buckets)
 
     return run
 
 
-def spans_of(p: Parsed, answers: pa.Table, edges: pa.Table) -> np.ndarray:
-    """Whether each word of the block lies in a repeated window."""
-    state = _states(p, answers)
-    repeated = np.zeros(len(p.at), bool)
-    if len(p.at):
-        repeated = (state[np.searchsorted(p.anchors, p.anchor)] & 1) > 0
-        which, digests, checks = _edge_windows(p, state)
-        pair, *_ = _distinct(digests, checks)
-        got = _joined(edges, np.uint8)
-        if len(which):
-            repeated[which] |= got[pair] > 0
-    cover = np.zeros(p.n + 1, np.int64)
-    hot = p.at[repeated]
-    cover[hot] += 1
-    if len(hot):
-        cover[hot + p.window] -= 1
-    return np.cumsum(cover[:-1]) > 0
-
-
-def parse(df: DataFrame, function, schema, text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(blocks, function(block of documents, words of each, repeated words of each) for every block: rows of `schema`).
-
-    The block's table has the columns of df as c0, c1, ... without the text, which is t.
+class Factors:
+    """A block's factors in order: places of their first words in the block, lengths, and the places they are copied from."""
+
+    def __init__(self, p: Parsed, answers: pa.Table, edges: pa.Table):
+        anchors = _anchor_sources(p, answers)
+        near = np.searchsorted(p.anchors, p.anchor)
+        repeated = (anchors.state[near] & 1) > 0
+        block, place = anchors.block[near], anchors.place[near] - (p.anchor - p.at)
+        which, sent = _edge_windows(p, anchors.state)
+        own = Sources(p, sent, p.at[which], edges)
+        # a window that a context vouches for keeps that source
+        more = ((own.state & 1) > 0) & ~repeated[which]
+        block[which[more]], place[which[more]] = own.block[more], own.place[more]
+        repeated[which[more]] = True
+        at, block, place = p.at[repeated], block[repeated], place[repeated]
+        goes_on = (np.diff(at) == 1) & (np.diff(block) == 0) & (np.diff(place) == 1)
+        first = np.flatnonzero(np.concatenate(([True], ~goes_on))) if len(at) else at
+        last = np.append(first[1:], len(at)) - 1 if len(at) else at
+        self.start, self.length = at[first], at[last] - at[first] + p.window
+        self.block, self.place = block[first], place[first]
+        cover = np.zeros(p.n + 1, np.int64)
+        np.add.at(cover, self.start, 1)
+        np.add.at(cover, self.start + self.length, -1)
+        self.covered = np.cumsum(cover[:-1]) > 0
+        self.cuts = np.searchsorted(self.start, p.starts)
+
+
+def parse(df: DataFrame, function, schema, text: str = "text", window: int = WINDOW, seed: int = SEED) -> tuple[Blocks, DataFrame]:
+    """(blocks, function(block of documents, repeated words of each, its factors, bounds of each document's) for every block).
+
+    The block's table has the columns of df as c0, c1, ... without the text, which is t. The blocks must stay until the rows
+    (of `schema`) have been written.
     """
     spark = df.sparkSession
     blocks = Blocks(df, text, min(BLOCK, BLOCK_BYTES))
-    n_keys = blocks.bytes // 60  # about one anchor in fifteen words
-    buckets = buckets_for(n_keys)
-    answers = blocks.ask(_send_anchors(buckets, window, seed)).groupBy("bucket").applyInArrow(_answer_anchors, ASKED)
-    path = new_path(spark, "anchors")
-    answers.write.parquet(path)
-    answers = spark.read.schema(ASKED).parquet(path)
-    release(spark)
-    buckets = buckets_for(blocks.bytes // 12)
-    edges = blocks.ask_with(answers, _send_windows(buckets, window, seed), ASKED).groupBy("bucket").applyInArrow(_answer_windows, ASKED)
-    path = new_path(spark, "edges")
-    edges.write.parquet(path)
-    edges = spark.read.schema(ASKED).parquet(path)
-    release(spark)
+
+    def kept(answers: DataFrame, name: str) -> DataFrame:
+        path = new_path(spark, name)
+        answers.write.option("compression", "zstd").parquet(path)
+        release(spark)
+        return spark.read.schema(ASKED).parquet(path)
+
+    # about one anchor in fifteen words
+    answers = kept(blocks.ask(_send_anchors(buckets_for(blocks.bytes // 60), window, seed)).groupBy("bucket").applyInArrow(_answer(np.uint64), ASKED), "anchors")
+    edges = kept(blocks.ask_with(answers, _send_windows(buckets_for(blocks.bytes // 12), window, seed), ASKED).groupBy("bucket").applyInArrow(_answer(np.uint32), ASKED), "edges")
     both = answers.withColumn("step", F.lit(1)).unionByName(edges.withColumn("step", F.lit(2)))
 
     def run(table: pa.Table, rows: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema_table([], schema)
-        p = Parsed(table, window, seed, keep_words=True)
+        p = Parsed(table, window, seed)
         step = rows["step"].to_numpy()
-        covered = spans_of(p, rows.filter(pa.array(step == 1)), rows.filter(pa.array(step == 2)))
-        return function(p.table, p.words, [covered[a:b] for a, b in zip(p.starts[:-1], p.starts[1:], strict=True)])
+        f = Factors(p, rows.filter(pa.array(step == 1)), rows.filter(pa.array(step == 2)))
+        return function(p.table, np.split(f.covered, p.starts[1:-1]), f, p)
 
     return blocks, blocks.ask_with(both, run, schema)
 
@@ -248,40 +272,49 @@ def schema_table(rows: list[tuple], schema) -> pa.Table:
     return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
 
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of each run of true words."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
 def strip_repeats(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """df with repeated passages cut out of its text: the words left, joined by a space; texts without any stay as they are."""
+    """df with repeated passages cut out of its text: the words left, joined by a space; texts without any stay as they are, null too."""
     schema = df.schema
     at = df.columns.index(text)
+    (none,) = fresh(df, "no_text")
 
-    def run(table: pa.Table, words, repeated) -> pa.Table:
-        old = table["t"].to_pylist()
-        new = [b" ".join(compress(ws, (~r).tolist())).decode("utf-8", "replace") if r.any() else x for x, ws, r in zip(old, words, repeated, strict=True)]
+    def run(table: pa.Table, repeated, factors, parsed) -> pa.Table:
+        flag = table[f"c{len(schema)}"].to_pylist()
+        new = [None if null else b" ".join(compress(x.encode().split(), (~r).tolist())).decode("utf-8", "replace") if r.any() else x for x, null, r in zip(table["t"].to_pylist(), flag, repeated, strict=True)]
         names = [f"c{i}" for i in range(len(schema)) if i != at]
         out = {n: table[n] for n in names} | {f"c{at}": pa.chunked_array([pa.array(new, pa.string())])}
         return pa.table([out[f"c{i}"] for i in range(len(schema))], names=schema.names)
 
-    # a null text comes back as empty: it has no words either way
-    blocks, out = parse(df, run, schema, text, window)
+    blocks, out = parse(df.withColumn(none, F.col(f"`{text}`").isNull()), run, schema, text, window)
     out = written(out, "stripped")
     blocks.drop()
     return out
 
 
+FACTORS = StructType([StructField(n, LongType()) for n in ("block", "start", "length", "source_block", "source_start")])
+
+
+def factors(df: DataFrame, text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(blocks, factors): blocks has (block, place, t); a factor is `length` words from word `start` of its block on, which are
+    also those from `source_start` on in the source's block. Words are counted over the block's texts in order of place."""
+
+    def run(table: pa.Table, repeated, f, parsed) -> pa.Table:
+        own = np.full(len(f.start), parsed.block)
+        return pa.table([pa.array(x.astype(np.int64)) for x in (own, f.start, f.length, f.block, f.place)], names=FACTORS.names)
+
+    blocks, out = parse(df.select(text), run, FACTORS, text, window)
+    return blocks.table, out
+
+
 def op7_rlz(spark, sf_dir: str) -> DataFrame:
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, longest_factor long")
 
-    def run(table: pa.Table, words, repeated) -> pa.Table:
+    def run(table: pa.Table, repeated, f, parsed) -> pa.Table:
         rows = []
-        for doc, ws, r in zip(table["c0"].to_pylist(), words, repeated, strict=True):
-            found = runs(r) if r.any() else []
-            kept = compress(ws, (~r).tolist()) if found else ws
-            rows.append((doc, len(ws), int(r.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), len(found), max((b - a for a, b in found), default=0)))
+        for doc, x, r, a, b in zip(table["c0"].to_pylist(), table["t"].to_pylist(), repeated, f.cuts[:-1].tolist(), f.cuts[1:].tolist(), strict=True):
+            words = x.encode("utf-8", "surrogatepass").split()
+            kept = compress(words, (~r).tolist()) if b > a else words
+            rows.append((doc, len(words), int(r.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), b - a, int(f.length[a:b].max()) if b > a else 0))
         return schema_table(rows, schema)
 
     return parse(documents(spark, sf_dir).select("doc_id", "text"), run, schema)[1]
