@@ -1,8 +1,9 @@
 """Quality rules: a short-circuit cascade, ordered by rejection per cost as estimated on a sample.
 
 Everything is built from DataFrame functions. A rule is a lazily evaluated condition; the cascade is one CASE
-expression, so the first rule that rejects a document ends its evaluation. The verdict is the same in any order,
-only the work differs.
+expression, so the first rule that rejects a document ends its evaluation. A text is split into words once, which all rules
+read. Rules are timed as they will run: on the sample's words, or on the columns that hold measures already. The verdict is
+the same in any order, only the work differs.
 
 Nulls, empty texts and texts without words have no words and fail `few_words`. A row is judged by its text alone, so
 ties and repeated rows get equal verdicts. All columns of the input are kept; the columns added are named by the caller.
@@ -16,10 +17,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, documents, fresh, text_of, written
+from .common import SPACE, documents, fresh, text_of
 
-#: Rows that cost and selectivity are estimated on, and the share of rows that the scan for them keeps.
-SAMPLE_ROWS, SAMPLE_SHARE = 1000, 0.02
+#: Rows that cost and selectivity are estimated on, the share of rows that the scan for them keeps, and the UTF-8 bytes of the
+#: longest text among them (they come to the driver, so at most some 60 MB do).
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES = 1000, 0.2, 60_000
 GRAM = 5
 
 
@@ -32,10 +34,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
-
-
 def word_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long")
 
@@ -74,24 +72,24 @@ def n_repeat_words(words_: Column) -> Column:
 
 
 class Measures:
-    """What the rules measure of a text, each an expression of it, or a column where it has been computed already."""
+    """What the rules measure of a text, each an expression of it and of its words, or a column where it has been computed already."""
 
-    def __init__(self, text: Column, **known: Column):
-        self.text, self.known = text, known
+    def __init__(self, text: Column, words_: Column | None = None, **known: Column):
+        self.text, self.words, self.known = text, words(text) if words_ is None else words_, known
 
     def __getattr__(self, name: str) -> Column:
         known = self.__dict__["known"]
-        return known[name] if name in known else MEASURES[name](self.text)
+        return known[name] if name in known else MEASURES[name](self)
 
 
-MEASURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "n_dup_lines": n_dup_lines,
-    "n_repeat_words": lambda t: n_repeat_words(words(t)),
-    "n_lines": lambda t: F.size(F.split(t, "\n")),
-    "marks": lambda t: F.regexp_count(t, F.lit(f"!!(?=[{SPACE}]|$)")),
+MEASURES: dict[str, Callable[[Measures], Column]] = {
+    "n_words": lambda m: F.size(m.words).cast("long"),
+    "word_chars": lambda m: word_chars(m.text),
+    "n_symbols": lambda m: n_symbols(m.text),
+    "n_dup_lines": lambda m: n_dup_lines(m.text),
+    "n_repeat_words": lambda m: n_repeat_words(m.words),
+    "n_lines": lambda m: F.size(F.split(m.text, "\n")),
+    "marks": lambda m: F.regexp_count(m.text, F.lit(f"!!(?=[{SPACE}]|$)")),
 }
 
 
@@ -114,25 +112,31 @@ RULES = (
 )
 
 
-def order(df: DataFrame, rules=RULES, text: str = "text", rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE) -> list[tuple[Rule, float, float]]:
+def order(df: DataFrame, rules=RULES, text: str = "text", prepare: Callable[[DataFrame], DataFrame] = lambda df: df, known: dict[str, str] | None = None, rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE) -> list[tuple[Rule, float, float]]:
     """The rules by falling rejection per second, as (rule, seconds a row, share rejected).
 
-    The sample is at most `rows` rows, drawn at random until there are enough, so its cost doesn't grow with the table.
-    It decides the order only; a poor estimate makes the cascade slower, never different.
+    `known` names columns of prepare(df) that hold measures already (measure -> column).
+    The sample is at most `rows` rows of the first partitions that have so many, drawn at random until there are enough, so its
+    cost doesn't grow with the table. It decides the order only; a poor estimate makes the cascade slower, never different.
     """
-    texts = df.select(text_of(df, text).alias("t"))
-    sample = written(texts.sample(False, share, 7).limit(rows).coalesce(1), "sample")
-    if sample.isEmpty():
-        sample = written(texts.limit(rows).coalesce(1), "sample")
-    n = max(1, sample.count())
-    rated = []
-    for rule in rules:
-        took = []
-        for _ in range(2):  # the first run compiles
-            began = time.perf_counter()
-            bad = sample.agg(F.sum(rule.rejects(Measures(F.col("t"))).cast("long"))).first()[0] or 0
-            took.append(time.perf_counter() - began)
-        rated.append((rule, min(took) / n, bad / n))
+    texts = df.select(text_of(df, text).alias(text)).where(F.octet_length(text) <= SAMPLE_BYTES)
+    drawn = texts.sample(False, share, 7).take(rows) or texts.take(rows)
+    sample = prepare(df.sparkSession.createDataFrame(drawn, texts.schema).coalesce(1))
+    (ws,) = fresh(sample, "ws")
+    sample = sample.withColumn(ws, words(F.col(text))).cache()
+    try:
+        n = max(1, sample.count())
+        measures = Measures(F.col(text), F.col(ws), **{k: F.col(c) for k, c in (known or {}).items()})
+        rated = []
+        for rule in rules:
+            took = []
+            for _ in range(2):  # the first run compiles
+                began = time.perf_counter()
+                bad = sample.agg(F.sum(rule.rejects(measures).cast("long"))).first()[0] or 0
+                took.append(time.perf_counter() - began)
+            rated.append((rule, min(took) / n, bad / n))
+    finally:
+        sample.unpersist()
     return sorted(rated, key=lambda x: (-x[2] / max(x[1], 1e-9), x[0].name))
 
 
@@ -144,19 +148,20 @@ def cascade(measures: Measures, rules) -> Column:
     return out
 
 
-def judge(df: DataFrame, rules=RULES, text: str = "text", verdict: str = "rejected_by", known: dict[str, str] | None = None) -> DataFrame:
-    """df with the first rejecting rule, in estimated order, as column `verdict` (null: kept).
+def judge(df: DataFrame, rules=RULES, text: str = "text", verdict: str = "rejected_by") -> DataFrame:
+    """df with the first rejecting rule, in estimated order, as column `verdict` (null: kept)."""
+    return df.withColumn(verdict, _verdict(df, rules, text))
 
-    `known` names columns of df that hold measures already (measure -> column); the cascade reads them.
-    """
-    ranked = [r for r, _, _ in order(df, rules, text)]
-    return df.withColumn(verdict, cascade(Measures(text_of(df, text), **{k: df[c] for k, c in (known or {}).items()}), ranked))
+
+def _verdict(df: DataFrame, rules, text: str) -> Column:
+    """The cascade in estimated order, over words that are bound once."""
+    ranked, t = [r for r, _, _ in order(df, rules, text)], text_of(df, text)
+    return _let(words(t), lambda ws: cascade(Measures(t, ws), ranked))
 
 
 def keep(df: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows that no rule rejects, with the columns of df."""
-    ranked = [r for r, _, _ in order(df, rules, text)]
-    return df.where(cascade(Measures(text_of(df, text)), ranked).isNull())
+    return df.where(_verdict(df, rules, text).isNull())
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
@@ -168,10 +173,14 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged = judge(measured(documents(spark, sf_dir).select("doc_id", "text")), verdict="_rejected", known={n: n for n in names})
+    """All measures are part of the result, so the cascade reads them, and its rules are timed on them."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    known = {n: n for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    ranked = [r for r, _, _ in order(docs, prepare=measured, known=known)]
+    rows = measured(docs)
+    rejected = cascade(Measures(text_of(rows), **{k: rows[c] for k, c in known.items()}), ranked)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return judged.select("doc_id", *names, failed.alias("base_failed"), (~failed & F.col("_rejected").isNull()).alias("kept"))
+    return rows.select("doc_id", *known, failed.alias("base_failed"), (~failed & rejected.isNull()).alias("kept"))
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
