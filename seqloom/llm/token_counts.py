@@ -5,6 +5,12 @@ empty; byte-level tokens allow no more), digested, and joined to it; only distin
 counts are appended. Digests are 128-bit MD5 of the UTF-8 bytes, the tokenizer's is SHA-256 of its file and library version,
 so another tokenizer never meets old counts. An append is one Parquet write: it is committed whole or not at all, and a row
 appended twice by two jobs counts once, since readers take one count a key.
+
+The folder is the session's spark.seqloom.tokenCache; where that is unset, `token-counts` in the shared folder. Texts move
+once, those that are missing: equal ones meet before the shuffle. Counts come back to rows by digest, without the text unless it
+is among the columns kept; a digest that a third of all rows share is split, since neither side of that join is aggregated.
+
+Null and empty texts count 0; repeated rows count alike; an empty table gives an empty one and appends nothing.
 """
 
 from __future__ import annotations
@@ -15,11 +21,13 @@ from importlib.metadata import version
 
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, fresh, new_path, text_of
+from .common import documents, dropped, fresh, shared_dir, text_of, written
 
 SCHEMA = "content string, tokenizer string, n_tokens long"
+#: Digests that are sent to all tasks at most (32 characters each), to pick the texts that are missing where they lie.
+FEW_MISSING = 200_000
 #: Texts are encoded in batches of at most so many characters (one text at least).
 BATCH_CHARS = 1_000_000
 _loaded: dict[str, object] = {}
@@ -62,10 +70,14 @@ def _batches(texts: list[str]):
         yield part
 
 
-def count_tokens(df: DataFrame, cache: str, tokenizer: str, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
-    """df with the token count of its text in column `n_tokens`; missing counts are computed and appended to `cache`.
+def cache_path(spark: SparkSession) -> str:
+    return spark.conf.get("spark.seqloom.tokenCache", None) or f"{shared_dir(spark)}/token-counts"
+
 
-    Empty and null texts count 0. All rows and columns stay. `tokenizer` is a file that every executor has.
+def count_tokens(df: DataFrame, cache: str, tokenizer: str, text: str = "text", n_tokens: str = "n_tokens", keep: list[Column] | None = None) -> DataFrame:
+    """df, or its columns `keep`, with the token count of its text in column `n_tokens`; missing counts are appended to `cache`.
+
+    `tokenizer` is a file that every executor has.
     """
     spark = df.sparkSession
     version_digest = tokenizer_digest(tokenizer)
@@ -80,7 +92,7 @@ def count_tokens(df: DataFrame, cache: str, tokenizer: str, text: str = "text",
                 raise
             found = spark.createDataFrame([], SCHEMA)
         own = found.where(F.col("tokenizer") == version_digest)
-        return own.groupBy(F.col("content").alias("_content")).agg(F.max("n_tokens").alias("_n"))
+        return own.groupBy("content").agg(F.max("n_tokens").alias("n"))
 
     def encode(batches):
         counts = load(tokenizer)
@@ -89,19 +101,29 @@ def count_tokens(df: DataFrame, cache: str, tokenizer: str, text: str = "text",
             n = [c for part in _batches(texts) for c in counts(part)]
             yield pa.record_batch([batch.column(0), pa.array([version_digest] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 
-    distinct = df.select(digest.alias("content"), body.alias("body")).groupBy("content").agg(F.first("body").alias("body"))
-    missing = distinct.join(cached(), F.col("content") == F.col("_content"), "left_anti")
-    missing.mapInArrow(encode, SCHEMA).write.mode("append").parquet(cache)
+    def texts(rows: DataFrame) -> DataFrame:
+        """(content, body) of distinct contents; equal ones meet before they move."""
+        return rows.select(digest.alias("content"), body.alias("body")).groupBy("content").agg(F.first("body").alias("body"))
+
+    known = cached()
+    if known.isEmpty():
+        todo = texts(df)
+    else:
+        missing = written(df.select(digest.alias("content")).distinct().join(known, "content", "left_anti"), "missing")
+        if missing.count() <= FEW_MISSING:  # then no other text moves
+            todo = texts(df.join(F.broadcast(missing), digest == missing["content"], "left_semi"))
+        else:
+            todo = texts(df).join(missing, "content", "left_semi")
+    todo.mapInArrow(encode, SCHEMA).write.mode("append").parquet(cache)
+    counts = written(cached(), "counts")
     own, content, n = fresh(df, "digest", "content", "n")
-    found = cached().select(F.col("_content").alias(content), F.col("_n").alias(n))
-    out = df.withColumn(own, digest).join(found, F.col(own) == F.col(content), "left")
-    return out.withColumnRenamed(n, n_tokens).drop(own, content) if n_tokens not in df.columns else out.withColumn(n_tokens, F.col(n)).drop(own, content, n)
+    rows = df.withColumn(own, digest) if keep is None else df.select(*keep, digest.alias(own))
+    out = rows.join(counts.select(F.col("content").alias(content), F.col("n").alias(n)), F.col(own) == F.col(content), "left")
+    return out.select(*[out[c] for c in rows.columns if c not in (own, n_tokens)], F.col(n).alias(n_tokens))
 
 
 def op10_digest_cache(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    body = F.coalesce(F.col("text"), F.lit(""))
-    # the text itself isn't wanted after its digest: the digest's join carries three narrow columns
-    rows = docs.select("doc_id", "text")
-    counted = count_tokens(rows, new_path(spark, "token-counts"), public_tokenizers.path("byte_bpe_50k.json"))
-    return counted.select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    keep = [docs["doc_id"], F.octet_length(text_of(docs)).cast("long").alias("n_bytes")]
+    counted = count_tokens(docs, cache_path(spark), public_tokenizers.path("byte_bpe_50k.json"), keep=keep)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
