@@ -73,5 +73,8 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("v", F.lit("x"))
     got = permutation_index.nearest(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
     assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 1.0), (2, 2, 1.0), (3, 10, 1.0)]
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = permutation_index.nearest(twice, F.col("vec_id") == 0, k=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (0, 2, 1)]  # each is the other's neighbour
     assert permutation_index.nearest(df.limit(0), F.lit(True)).count() == 0
     assert permutation_index.nearest(df.where("vec_id = 8"), F.lit(True)).count() == 0
