@@ -83,21 +83,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def coded_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hashes of distinct words, the words of all texts one after the other as places among them, bounds of each text's).
-
-    Words are split and told apart by Arrow, A-Z in lower case if so asked; only distinct ones are hashed.
-    """
+def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the words of all texts one after the other as places among them, bounds of each text's), split by Arrow."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
-    words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.binary())), b"\n")[0].as_py().split(b"\n") if len(coded.dictionary) else []
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    at, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-    if b"" in words:  # white space at an end of a text
-        real = at != words.index(b"")
-        return hashes, at[real], np.concatenate(([0], np.cumsum(real)))[bounds]
-    return hashes, at, bounds
+    at, bounds, words = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64), coded.dictionary
+    empty = pc.index(words, pa.scalar("", words.type)).as_py() if len(words) else -1
+    if empty >= 0:  # white space at an end of a text
+        real = at != empty
+        return words, at[real], np.concatenate(([0], np.cumsum(real)))[bounds]
+    return words, at, bounds
+
+
+def listed(words: pa.Array) -> list:
+    """Words without ASCII white space as Python values (str or bytes)."""
+    mark = "\n" if pa.types.is_string(words.type) else b"\n"
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), mark)[0].as_py().split(mark) if len(words) else []
+
+
+def coded_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hashes of distinct words, the words of all texts as places among them, bounds of each text's); A-Z in lower case, if
+    so asked. Only distinct words are hashed."""
+    words, at, bounds = split_words(pc.ascii_lower(texts) if lower else texts)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, listed(words.cast(pa.binary()))), np.uint64, len(words)), at, bounds
 
 
 def hashed_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, text_of, written
+from .common import documents, listed, text_of, written
 
 WINDOW, END = 2048, 1
 #: Tails of one index shard; tails of one partition.
@@ -54,11 +54,6 @@ _latin = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\
 PRE_TOKENIZER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def listed(words: pa.Array) -> list[str]:
-    """Words without ASCII white space, as Python strings."""
-    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py().split("\n") if len(words) else []
-
-
 def picked(sizes: np.ndarray, flat: np.ndarray, numbers: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of lists that lie one after the other: the sizes of those numbered, and their items one after the other."""
     starts = np.cumsum(sizes) - sizes if starts is None else starts

@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes for what they miss.
 
 The field is trained from a small labelled table (labelled_rows(), or any rows of tokens and tags) by gradient ascent on
-the exact log-likelihood, and decoded by Viterbi over numpy batches. It sees the words near any word that holds a digit or
-an at-sign, wherever they are in the text; far from those every word is outside by definition. A decoded span becomes a
-finding if it doesn't touch a pattern's finding and passes the check of its kind. Findings are (kind, start, end) in code
-points, end exclusive. Null and empty texts have none. A row depends on its own text only.
+the exact log-likelihood, and decoded over each whole text by Viterbi, many texts to a numpy batch. Words are described once
+while they are remembered, by the shape of the whole word. A decoded span becomes a finding if it doesn't touch a pattern's finding
+and passes the check of its kind. Findings are (kind, start, end) in code points, end exclusive. Null and empty texts have none. A
+row depends on its own text only.
 
 The patterns are matched in linear time, also over very long runs of digits or letters.
 """
@@ -20,24 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from .common import documents, text_of
+from .common import documents, listed, split_words, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Words to either side of a word with a digit or at-sign that the field sees.
-CONTEXT = 3
-#: Cells (words times tags) of one Viterbi batch.
-CELLS = 2_000_000
+#: Words of one Viterbi batch (one run at least), and descriptions of words that a worker remembers.
+BATCH_WORDS, REMEMBERED = 250_000, 100_000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local_end = re.compile(r"[A-Za-z0-9._%+-]")
-_local_run = re.compile(r"[A-Za-z0-9._%+-]++(@?)")
 _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
 _nondigit = re.compile(r"[^0-9]")
-_hint = re.compile(r"[0-9@]|[\[(]at[\])]")
 
 
 def luhn(digits: str) -> bool:
@@ -73,6 +69,10 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Words that stand for the marks of an address.
+LINKS = ("at", "dot", "AT", "DOT", "punkt", "punto", "arobase")
+
+
 # ---- the labelled table
 
 
@@ -80,7 +80,7 @@ def labelled_rows(n: int = 600, seed: int = 11) -> list[tuple[list[str], list[st
     """A small labelled table, made by rule: (tokens, tags) with personal data in forms the patterns miss and miss not, and look-alikes without."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice(["an", "er", "the", "on", "in", "st", "ou", "re", "de", "la"]) for _ in range(r.randint(1, 3)))
+    word = lambda: r.choice(["at", "dot", "com", "Mail"]) if r.random() < 0.05 else "".join(r.choice(["an", "er", "the", "on", "in", "st", "ou", "re", "de", "la"]) for _ in range(r.randint(1, 3)))
     tail = lambda x: x + r.choice(["", "", "", ".", ",", "!!", "%%%"])
 
     def card() -> str:
@@ -88,8 +88,13 @@ def labelled_rows(n: int = 600, seed: int = 11) -> list[tuple[list[str], list[st
         return next(d + c for c in "0123456789" if luhn(d + c))
 
     def email() -> list[str]:
-        user, host = f"{word()}.{num(2)}", f"mail{num(1)}"
-        return r.choice([[f"{user}@{host}.example.com"], [user, "(at)", f"{host}.example.com"], [user, "[at]", host, "[dot]", "com"], [f"{user}[at]{host}[dot]com"], [f"{user}(at){host}.org"]])
+        user = r.choice([lambda: f"{word()}.{num(2)}", word, lambda: f"{word()}.{word()}", lambda: f"{word()}{num(2)}", lambda: word().capitalize()])()
+        host, end = r.choice([lambda: f"mail{num(1)}", word, lambda: f"{word()}{num(1)}", lambda: f"{word()}-{word()}"])(), r.choice(["com", "org", "net", "de"])
+        at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), ("at", "dot")])
+        forms = [[f"{user}@{host}.example.{end}"], [user, at, host, dot, end], [user, at, host, dot, end]]
+        if at != "at":
+            forms += [[user, at, f"{host}.{end}"], [user, at, f"{host}.example.{end}"], [f"{user}{at}{host}{dot}{end}"], [f"{user}{at}{host}.{end}"]]
+        return r.choice(forms)
 
     def ip() -> list[str]:
         p = [str(r.randint(1, 255)) for _ in range(4)]
@@ -128,31 +133,53 @@ def labelled_rows(n: int = 600, seed: int = 11) -> list[tuple[list[str], list[st
 
 # ---- the field
 
-_runs = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^\x00-\x7F]+")
-_edge = re.compile(r"^[^\w+(\[@]+|[^\w)\]]+$")
+class _Kinds(dict):
+    """Each character's kind, for str.translate: a, A, d, u beyond ASCII (a mark there: \\x7f), and ASCII marks as they are."""
+
+    def __missing__(self, c: int) -> str:
+        x = chr(c)
+        if c < 128:
+            kind = "a" if "a" <= x <= "z" else "A" if "A" <= x <= "Z" else "d" if "0" <= x <= "9" else x
+        else:
+            kind = "u" if x.isalnum() else "\x7f"
+        self[c] = kind
+        return kind
 
 
-def shape(word: str, lengths: bool) -> str:
-    def of(m) -> str:
-        x = m[0]
-        kind = "d" if "0" <= x[0] <= "9" else "a" if "a" <= x[0] <= "z" else "A" if "A" <= x[0] <= "Z" else "u"
-        return f"{kind}{min(len(x), 17)}" if lengths and kind == "d" else kind
+_kinds = _Kinds()
+_edge = re.compile(r"^[^aAud_+(\[@]+|[^aAud_)\]]+$")
+_repeated = re.compile(r"([aAu])\1+")
+_digits = re.compile(r"d+")
 
-    return _runs.sub(of, word[:64])[:40] if len(word) <= 64 else "long"
 
+def described(word: str) -> tuple[str, str, bool]:
+    """All that a word's features say: the kinds of its characters, whether it stands for a mark, and whether it holds a bracketed at."""
+    kinds = word.translate(_kinds)
+    link = word.strip(MARKS) if len(word) < 16 else ""
+    return kinds, link if link in LINKS else "", "at]" in word or "at)" in word
 
-def features(word: str) -> list[str]:
-    """Of the word without surrounding marks: its shape with and without lengths of digit runs, digits, dots and at-sign."""
-    core = _edge.sub("", word)
-    digits = sum(c in "0123456789" for c in core[:64])
-    return [f"s:{shape(core, True)}", f"c:{shape(core, False)}", f"n:{digits}", f"p:{min(core.count('.'), 4)}", f"a:{'@' in core}:{'at]' in core or 'at)' in core}", f"+:{core[:1] in '+(['}", "bias"]
+
+def features(kinds: str, link: str, bracketed: bool) -> list[str]:
+    """Of the word without surrounding marks: its shape with and without lengths of digit runs (17 stands for more), digits, dots and at-sign."""
+    core = _repeated.sub(r"\1", _edge.sub("", kinds))
+    digits = core.count("d")
+    sized = _digits.sub(lambda m: f"d{min(len(m[0]), 17)}", core) if digits else core
+    plain = _digits.sub("d", core) if digits else core
+    return [f"s:{sized}", f"c:{plain}", f"n:{digits}", f"p:{min(core.count('.'), 4)}", f"a:{'@' in core}:{bracketed}", f"w:{link}", f"+:{core[:1] in '+(['}", "bias"]
 
 
 class Field:
-    """Weights of a linear-chain CRF: by offset (-1, 0, +1), feature and tag; and by tag and next tag."""
+    """Weights of a linear-chain CRF: by offset (-1, 0, +1), feature and tag; and by tag and next tag.
+
+    Decoding gives a best path of the whole text. It runs Viterbi only where that can leave tag O: a span's words are worth, against
+    O in all their places, at most the sum of a bound for each of them, so a word that is in no run of words with a positive
+    sum is O, and what lies between such words is decoded by itself, from O to O.
+    """
 
     def __init__(self, index: dict[str, int], w: np.ndarray, trans: np.ndarray):
-        self.index, self.w, self.trans, self._memo = index, w, trans, {}
+        self.index, self.w, self.trans = index, w, trans
+        self._classes: dict[tuple, int] = {}
+        self._parts = np.zeros((0, 3, len(TAGS)))
 
     def __getstate__(self):
         return self.index, self.w, self.trans
@@ -160,58 +187,94 @@ class Field:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def parts(self, word: str) -> np.ndarray:
-        """The word's share in the scores of the next, its own and the last place: 3 x tags."""
-        got = self._memo.get(word)
-        if got is None:
-            if len(self._memo) > 100_000:
-                self._memo.clear()
-            ids = [self.index[f] for f in features(word) if f in self.index]
-            got = self._memo[word] = self.w[:, ids].sum(1)
-        return got
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        p = np.stack([self.parts(x) for x in words])
-        out = p[:, 1].copy()
-        out[1:] += p[:-1, 0]
-        out[:-1] += p[1:, 2]
+    def classes(self, words: list[str]) -> np.ndarray:
+        """The number of each word's description. The worker forgets descriptions beyond REMEMBERED."""
+        if len(self._classes) > REMEMBERED:
+            self.__init__(self.index, self.w, self.trans)
+        known, new, out = self._classes, [], []
+        for word in words:
+            key = described(word)
+            n = known.get(key)
+            if n is None:
+                n = known[key] = len(known)
+                new.append(self.w[:, [self.index[f] for f in features(*key) if f in self.index]].sum(1))
+            out.append(n)
+        if new:
+            self._parts = np.concatenate((self._parts, np.stack(new)))
+        return np.array(out, np.int64)
+
+    def scores(self, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Each word's scores of the tags, from its own description, the last word's and the next one's."""
+        before, own, after = (np.ascontiguousarray(self._parts[:, i]) for i in range(3))
+        out = own[c]
+        if len(c) > 1:
+            inner = np.ones(len(c), bool)
+            inner[bounds[:-1][np.diff(bounds) > 0]] = False  # a text's first word has none before it
+            at = np.flatnonzero(inner)
+            out[at] += before[c[at - 1]]
+            out[at - 1] += after[c[at]]
+        return out
+
+    def open_words(self, em: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether a best path may have another tag than O at each word."""
+        out, starts = np.zeros(len(em), bool), bounds[:-1][np.diff(bounds) > 0]
+        words = np.ones(len(em) + len(starts), bool)
+        words[starts + np.arange(len(starts))] = False  # a place before each text, which no run is worth going over
+        for i in range(1, len(TAGS), 2):
+            begin = max(0.0, (self.trans[:, i] - self.trans[:, 0]).max()) + max(0.0, (self.trans[i : i + 2] - self.trans[0])[:, [0, *range(1, len(TAGS), 2)]].max())
+            inside = max(self.trans[i, i + 1], self.trans[i + 1, i + 1]) - self.trans[0, 0]
+            worth = np.maximum(em[:, i] + begin, em[:, i + 1] + inside) - em[:, 0]
+            apart = np.full(len(words), -1.0 - np.add.reduceat(np.maximum(worth, 0), starts).max())
+            apart[words] = worth
+            # the best sum of a run that ends at each word, and that begins there: sums up to it less the least sum before
+            left, right = ((up := np.cumsum(x)) - np.minimum.accumulate(np.concatenate(([0.0], up[:-1]))) for x in (apart, apart[::-1]))
+            out |= left[words] + right[::-1][words] - worth > -1e-4
         return out
 
-    def viterbi(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The best tags of each word list, in batches of like length."""
-        out: list = [None] * len(texts)
-        by_length = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        at = 0
-        while at < len(by_length):
-            end = at + 1
-            while end < len(by_length) and (end + 1 - at) * len(texts[by_length[end]]) * len(TAGS) <= CELLS:
-                end += 1
-            part = by_length[at:end]
-            t, n = len(texts[part[-1]]), len(part)
-            em = np.zeros((n, t, len(TAGS)))
-            for row, i in enumerate(part):
-                em[row, : len(texts[i])] = self.scores(texts[i])
-            best = em[:, 0] + START
-            back = np.zeros((n, t, len(TAGS)), np.int8)
-            ends = np.array([len(texts[i]) for i in part])
-            final = best.copy()
-            for k in range(1, t):
-                options = best[:, :, None] + self.trans
-                back[:, k] = options.argmax(1)
-                best = options.max(1) + em[:, k]
-                final = np.where((ends > k)[:, None], best, final)
-            tag = final.argmax(1)
-            path = np.zeros((n, t), np.int8)
-            for k in range(t - 1, -1, -1):
-                inside = ends > k
-                path[:, k] = np.where(inside, tag, 0)
-                if k:
-                    tag = np.where(inside, back[np.arange(n), k, tag], tag)
-            for row, i in enumerate(part):
-                out[i] = path[row, : ends[row]]
-            at = end
+    def decode(self, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The best tag of every word. c: the words' classes, text by text; bounds: each text's."""
+        out = np.zeros(len(c), np.int8)
+        if not len(c):
+            return out
+        em = self.scores(c, bounds)
+        edge = np.zeros(len(c) + 1, bool)
+        edge[bounds] = True
+        inside = np.concatenate(([False], self.open_words(em, bounds), [False]))
+        start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+        end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+        n = end - start
+        by_length = np.argsort(-n, kind="stable")
+        done = 0
+        while done < len(by_length):  # runs of like length, the longest first
+            some = by_length[done : done + max(1, BATCH_WORDS // int(n[by_length[done]]))]
+            done += len(some)
+            self._viterbi(em, start[some], n[some], edge[start[some]], edge[end[some]], out)
         return out
 
+    def _viterbi(self, em: np.ndarray, start: np.ndarray, n: np.ndarray, opens: np.ndarray, closes: np.ndarray, out: np.ndarray) -> None:
+        """Best tags of runs of n words (longest first), which lie between O's where they don't begin (opens) or end (closes) a text."""
+        longest, rows = int(n[0]), np.arange(len(n))
+        back = np.zeros((longest, len(n), len(TAGS)), np.int8)
+        best = em[start] + np.where(opens[:, None], START, START + self.trans[0])
+        final = best.copy()
+        for step in range(1, longest):
+            m = int(np.searchsorted(-n, -step, "left"))  # runs that reach this step
+            options = best[:m, :, None] + self.trans
+            back[step, :m] = options.argmax(1)
+            best = final[:m] = options.max(1) + em[start[:m] + step]
+        tag = (final + np.where(closes[:, None], 0.0, self.trans[:, 0])).argmax(1)
+        for step in range(longest - 1, -1, -1):
+            m = int(np.searchsorted(-n, -step, "left"))
+            out[start[:m] + step] = tag[:m]
+            if step:
+                tag[:m] = back[step, rows[:m], tag[:m]]
+
+    def tags(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The best tags of each word list."""
+        bounds = np.cumsum([0, *map(len, texts)])
+        tags = self.decode(self.classes([w for x in texts for w in x]), bounds)
+        return [tags[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
 
 def _allowed() -> np.ndarray:
     ok = np.zeros((len(TAGS), len(TAGS)))
@@ -223,19 +286,22 @@ def _allowed() -> np.ndarray:
 
 LEGAL = _allowed()
 START = np.array([-1e4 if t[0] == "I" else 0.0 for t in TAGS])
+BEGINS = np.array([t[0] == "B" for t in TAGS])
+#: Marks that don't belong to a span's ends.
+MARKS = ".,;:!?\"'|%$#*&<>=-"
 
 
 def train(rows: list[tuple[list[str], list[str]]], steps: int = 60, rate: float = 0.25, decay: float = 1e-3) -> Field:
     """Adam on the mean log-likelihood with an L2 penalty; the gradient by forward and backward sums over the padded batch."""
-    index = {f: i for i, f in enumerate(sorted({f for ws, _ in rows for w in ws for f in features(w)}))}
+    index = {f: i for i, f in enumerate(sorted({f for ws, _ in rows for w in ws for f in features(*described(w))}))}
     n, t, s = len(rows), max(len(ws) for ws, _ in rows), len(TAGS)
-    width = max(len(features("x")), 1)
+    width = len(features(*described("x")))
     feats = np.full((n, t + 2, width), len(index))  # the last row of the weights stays 0
     gold, mask = np.zeros((n, t), int), np.zeros((n, t), bool)
     for i, (ws, tags) in enumerate(rows):
         mask[i, : len(ws)] = True
         for k, (w, tag) in enumerate(zip(ws, tags, strict=True)):
-            feats[i, k + 1] = [index[f] for f in features(w)]
+            feats[i, k + 1] = [index[f] for f in features(*described(w))]
             gold[i, k] = TAGS.index(tag)
     w, trans = np.zeros((3, len(index) + 1, s)), np.zeros((s, s))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)]
@@ -272,7 +338,7 @@ def train(rows: list[tuple[list[str], list[str]]], steps: int = 60, rate: float
 def _valid(kind: str, text: str) -> bool:
     digits = _nondigit.sub("", text)
     if kind == "email":
-        return bool(re.search(r"[A-Za-z0-9]\s*(@|[\[(]at[\])])\s*[A-Za-z0-9]", text) and re.search(r"\.|[\[(]dot[\])]", text))
+        return bool(re.search(r"[A-Za-z0-9]\s*(@|[\[(]at[\])]|\sat\s)\s*[A-Za-z0-9]", text) and re.search(r"\.|[\[(]dot[\])]|\sdot\s", text))
     if kind == "ip":
         parts = re.split(r"[^0-9]+", text.strip(".()[]"))
         return len(parts) == 4 and all(x and len(x) <= 3 and int(x) <= 255 for x in parts)
@@ -281,50 +347,35 @@ def _valid(kind: str, text: str) -> bool:
     return 10 <= len(digits) <= 15 and not re.search(r"[A-Za-z]", text)
 
 
-def _windows(text: str):
-    """Word lists near digits and at-signs, each as [(start, end)]."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    space = (chars == 32) | ((chars >= 9) & (chars <= 13))
-    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    hot = np.fromiter((m.start() for m in _hint.finditer(text)), np.int64)
-    if not len(starts) or not len(hot):
-        return
-    which = np.unique(np.searchsorted(starts, hot, "right") - 1)
-    near = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(near, np.maximum(which - CONTEXT, 0), 1)
-    np.add.at(near, np.minimum(which + CONTEXT + 1, len(starts)), -1)
-    inside = np.concatenate(([False], np.cumsum(near[:-1]) > 0, [False]))
-    cuts = np.flatnonzero(np.diff(inside.astype(np.int8)))
-    for a, b in zip(cuts[::2], cuts[1::2], strict=True):
-        yield list(zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True))
+_word = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """For each text, the patterns' findings, and all findings; both by kind and start."""
     base = [patterns(x) if x else [] for x in texts]
-    places = [(i, window) for i, x in enumerate(texts) if x and _hint.search(x) for window in _windows(x)]
-    added: dict[int, list] = {}
-    for (i, window), tags in zip(places, field.viterbi([[texts[i][a:b] for a, b in window] for i, window in places]), strict=True):
-        k = 0
-        while k < len(tags):
-            if not tags[k]:
-                k += 1
-                continue
-            kind, end = TAGS[tags[k]][2:], k + 1
-            while end < len(tags) and TAGS[tags[end]] == f"I-{kind}":
-                end += 1
-            a, b = window[k][0], window[end - 1][1]
-            span = texts[i][a:b]
-            lead = len(span) - len(span.lstrip(".,;:!?\"'|%$#*&<>=-"))
-            a, b = a + lead, a + len(span.rstrip(".,;:!?\"'|%$#*&<>=-"))
-            if a < b and _valid(kind, texts[i][a:b]) and not any(x < b and a < y for _, x, y in base[i]):
-                added.setdefault(i, []).append((KINDS.index(kind), a, b))
-            k = end
-    return [(b, sorted(b + added.get(i, []))) for i, b in enumerate(base)]
-
-
-def listed(spans) -> str:
+    words, at, bounds = split_words(pa.array([x or "" for x in texts], pa.string()))
+    tags = field.decode(field.classes(listed(words))[at], bounds)
+    out = []
+    for i in range(len(texts)):
+        own, added = tags[bounds[i] : bounds[i + 1]], []
+        begins = np.flatnonzero(BEGINS[own])
+        if len(begins):
+            places = [m.span() for m in _word.finditer(texts[i])]
+            for k in begins.tolist():
+                kind, end = TAGS[own[k]][2:], k + 1
+                while end < len(own) and TAGS[own[end]] == f"I-{kind}":
+                    end += 1
+                a, b = places[k][0], places[end - 1][1]
+                span = texts[i][a:b]
+                lead = len(span) - len(span.lstrip(MARKS))
+                a, b = a + lead, a + len(span.rstrip(MARKS))
+                if a < b and _valid(kind, texts[i][a:b]) and not any(x < b and a < y for _, x, y in base[i]):
+                    added.append((KINDS.index(kind), a, b))
+        out.append((base[i], sorted(base[i] + added)))
+    return out
+
+
+def written_out(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
@@ -367,8 +418,8 @@ def op3_crf(spark, sf_dir: str) -> DataFrame:
             for i, (base, _) in enumerate(found):
                 for k, _, _ in base:
                     counts[k, i] += 1
-            sha = [hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found]
-            yield pa.record_batch([batch.column(0), *(pa.array(c) for c in counts), pa.array(sha, pa.string()), pa.array([listed(s) for _, s in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            sha = [hashlib.sha256(written_out(base).encode()).hexdigest() for base, _ in found]
+            yield pa.record_batch([batch.column(0), *(pa.array(c) for c in counts), pa.array(sha, pa.string()), pa.array([written_out(s) for _, s in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, schema)

@@ -113,43 +113,95 @@ def test_word_encoder_is_the_library():
         assert np.frombuffer(next(encoder.encode([x])), "<u4").tolist() == encoder.whole.encode(x, add_special_tokens=False).ids
 
 
-def test_pii_patterns():
+def _plain_patterns(text):
     want = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    for k, pattern in enumerate(want):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if (k == 1 and max(map(int, m[0].split("."))) > 255) or (k == 2 and not (13 <= len(digits) <= 19 and pii.luhn(digits))) or (k == 3 and not 9 <= len(digits) <= 15):
+                continue
+            yield k, m.start(), m.end()
 
-    def brute(text):
-        for k, pattern in enumerate(want):
-            for m in re.finditer(pattern, text):
-                digits = re.sub("[^0-9]", "", m[0])
-                if (k == 1 and max(map(int, m[0].split("."))) > 255) or (k == 2 and not (13 <= len(digits) <= 19 and pii.luhn(digits))) or (k == 3 and not 9 <= len(digits) <= 15):
-                    continue
-                yield k, m.start(), m.end()
 
+def test_pii_patterns():
     r = random.Random(5)
     for _ in range(20_000):
         text = "".join(r.choice("a@@..0123456789- +()%é\n") for _ in range(r.randint(0, 30)))
-        assert pii.patterns(text) == list(brute(text))
+        assert pii.patterns(text) == list(_plain_patterns(text))
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
 def test_field_on_held_out_rows():
     field = pii.train(pii.labelled_rows())
     rows = pii.labelled_rows(200, seed=99)
-    got = field.viterbi([w for w, _ in rows])
+    got = field.tags([w for w, _ in rows])
     pairs = [(pii.TAGS[g], t) for (_, tags), path in zip(rows, got, strict=True) for g, t in zip(path, tags, strict=True)]
     assert np.mean([a == b for a, b in pairs]) > 0.99
     (_, found), (_, none) = pii.find(["write to bob.12 [at] mail3 [dot] com or (743) 555-3824", "on 2024-05-17 at 10:30 we sold 12 of 400 for v1.2.3"], field)
     assert [pii.KINDS[k] for k, _, _ in found] == ["email", "phone"] and none == []
 
 
+#: Written by hand: texts, and what the field must add to the patterns' findings.
+HELD_OUT = [
+    ("please mail ann.lee at host dot com today", [("email", "ann.lee at host dot com")]),
+    ("Send it to jane (at) mail7.example.com, thanks.", [("email", "jane (at) mail7.example.com")]),
+    ("her server was 10[.]2[.]33[.]4 until May", [("ip", "10[.]2[.]33[.]4")]),
+    ("card 4111.1111.1111.1111 was used twice", [("card", "4111.1111.1111.1111")]),
+    ("call 555-867-5309 or 555.867.5309 now", [("phone", "555-867-5309"), ("phone", "555.867.5309")]),
+    ("On 2024-05-17 at 10:30 we sold 12 of 400 for v1.2.3.", []),
+    ("look at the dot com boom at night", []),
+    ("she came at 10:30 to dot the i", []),
+    ("Der Höhenweg über 2000 Meter: 3 Stunden, 14 km.", []),
+]
+
+
+def test_field_on_rows_written_by_hand():
+    field = pii.train(pii.labelled_rows())
+    for (text, want), (base, found) in zip(HELD_OUT, pii.find([t for t, _ in HELD_OUT], field), strict=True):
+        assert [(pii.KINDS[k], text[a:b]) for k, a, b in found if (k, a, b) not in base] == want, text
+
+
+def test_pii_query(spark):
+    """All columns of the query, against patterns by plain regular expressions; spans hold them and what the field adds."""
+    texts = [(i, t) for i, (t, _) in enumerate(HELD_OUT)] + [(50, "a.b@c.org and 1.2.3.4, 4111 1111 1111 1111, +1 (555) 555-0100"), (51, None), (52, ""), (None, "x@y.z")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.op3_crf(_Tables(df), "").collect()}
+    for i, text in texts:
+        base = sorted(_plain_patterns(text or ""))
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in range(4)]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        added = [(pii.KINDS.index(k), text.index(x), text.index(x) + len(x)) for t, want in HELD_OUT if t == text for k, x in want]
+        assert got[i]["spans"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(base + added))
+    assert pii.op3_crf(_Tables(df.limit(0)), "").count() == 0
+
+
+def test_runs_decode_as_whole_texts():
+    """Decoding the runs that may leave tag O gives a best path of the whole text."""
+    field, r = pii.train(pii.labelled_rows(200), steps=25), random.Random(3)
+    pool = [w for ws, _ in pii.labelled_rows(200, seed=5) for w in ws]
+    texts = [[r.choice(pool) if r.random() < 0.3 else r.choice(["the", "and", "Haus", "schön", "x."]) for _ in range(r.randint(0, 60))] for _ in range(600)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    c = field.classes([w for x in texts for w in x])
+    em, tags = field.scores(c, bounds), field.decode(c, bounds)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if a < b:
+            best = em[a] + pii.START
+            for k in range(a + 1, b):
+                best = (best[:, None] + field.trans).max(0) + em[k]
+            path = tags[a:b].tolist()
+            own = em[a:b][range(b - a), path].sum() + pii.START[path[0]] + sum(field.trans[x, y] for x, y in zip(path, path[1:], strict=False))
+            assert own == pytest.approx(best.max(), abs=1e-6)
+
+
 def test_viterbi_is_the_best_path():
     field = pii.train(pii.labelled_rows(60), steps=5)
     words = ["call", "(743)", "555-3824"]
-    em = field.scores(words)
+    em = field.scores(field.classes(words), np.array([0, 3]))
     import itertools
 
     score = lambda p: em[range(3), p].sum() + pii.START[p[0]] + sum(field.trans[a, b] for a, b in itertools.pairwise(p))
     best = max(itertools.product(range(len(pii.TAGS)), repeat=3), key=lambda p: score(list(p)))
-    assert field.viterbi([words])[0].tolist() == list(best)
+    assert field.tags([words])[0].tolist() == list(best)
 
 
 def test_language_model(docs, corpus):
@@ -283,6 +335,31 @@ def test_substring_dedup(docs, corpus):
     assert any(r["n_removed"] for r in got.values())
 
 
+def test_factors_are_copies(spark, docs, corpus):
+    """Every factor's words are those at its source, and factors cover exactly what windows repeat."""
+    blocks_, found = substring_dedup.factors(docs)
+    words, owner = collections.defaultdict(list), collections.defaultdict(list)
+    for r in blocks_.orderBy("block", "place").collect():
+        own = r["t"].encode().split()
+        words[r["block"]] += own
+        owner[r["block"]] += [(r["block"], r["place"])] * len(own)
+    covered = collections.defaultdict(set)
+    rows = found.collect()
+    assert len(words) > 1 and any(r["block"] != r["source_block"] for r in rows)
+    for r in rows:
+        a, b, n = words[r["block"]], words[r["source_block"]], r["length"]
+        i, j = r["start"], r["source_start"]
+        assert n >= 35 and (r["block"], i) != (r["source_block"], j) and a[i : i + n] == b[j : j + n]
+        assert len(set(owner[r["block"]][i : i + n])) == len(set(owner[r["source_block"]][j : j + n])) == 1
+        covered[r["block"]].update(range(i, i + n))
+    windows = collections.Counter()
+    for block, own in words.items():
+        windows.update(tuple(own[i : i + 35]) for i in range(len(own) - 34) if owner[block][i] == owner[block][i + 34])
+    for block, own in words.items():
+        want = {i + k for i in range(len(own) - 34) if owner[block][i] == owner[block][i + 34] and windows[tuple(own[i : i + 35])] > 1 for k in range(35)}
+        assert covered[block] == want
+
+
 class _Tables:
     """A session whose tables are one DataFrame."""
 
@@ -316,6 +393,35 @@ def test_jaccard(docs, corpus):
     assert jaccard_join.first_of_each(docs).count() == len({root(d) for d in sets})
 
 
+def test_links_grow_with_the_group(spark, monkeypatch):
+    """A group of near copies, doubled: each round compares a document with one centre at most, so pairs double too."""
+    compared = []
+    plain = jaccard_join.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name in ("pairs", "links"):
+            compared.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    r, seen = random.Random(4), []
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    for n in (300, 600):
+        rows = []
+        for i in range(n):
+            own = list(base)
+            for _ in range(2):
+                own[r.randrange(len(own))] = f"x{r.randrange(10**9)}"
+            rows.append((i, " ".join(own)))
+        compared.clear()
+        got = jaccard_join.clusters(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert got.select("component_id").distinct().count() == 1
+        seen.append(sum(k for _, k in compared))
+        assert all(k <= n for _, k in compared)
+    assert seen[1] <= 2.5 * seen[0]
+
+
 def test_first_of_each_equal_ids(spark):
     """One row of each component, where ids repeat or are missing."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
