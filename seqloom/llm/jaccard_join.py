@@ -254,10 +254,13 @@ def _groups(rows: pa.Table) -> pa.Table:
     return pa.table({"set": pa.array([d for d, _ in out], pa.int64()), "nodes": pa.array([x for _, x in out], pa.list_(pa.int64()))})
 
 
-def _sets(batches):
-    """(node, items) of (node, text)."""
-    for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in shingles(batch.column(1))[0]], pa.binary())], ["node", "items"])
+def _sets(table: pa.Table, wanted: pa.Table) -> pa.Table:
+    """(node, items) of the texts of a block that are asked for: (place, node)."""
+    own = table["place"].to_numpy()
+    order = np.argsort(own)
+    at = order[np.searchsorted(own[order], wanted["place"].to_numpy())] if len(own) else order
+    sets = shingles(table["t"].take(pa.array(at)))[0]
+    return pa.table({"node": wanted["node"].combine_chunks(), "items": pa.array([x.tobytes() for x in sets], pa.binary())})
 
 
 def _near(batches):
@@ -341,11 +344,10 @@ def _resolved(blocks: Blocks, firsts: DataFrame, member: DataFrame) -> DataFrame
         return written(pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "da", "db").mapInArrow(_near, "a long, b long, near boolean"), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets link. Only texts that are asked for leave their blocks."""
+        """The pairs whose whole sets link. Texts stay in their blocks."""
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = firsts.join(ends, "node").select("block", "place", "node")
-        texts = blocks.table.select("block", "place", "t").join(wanted.hint("shuffle_hash"), ["block", "place"])
-        sets = written(texts.select("node", "t").mapInArrow(_sets, "node long, items binary"), "sets")
+        sets = written(blocks.ask_with(wanted, _sets, "node long, items binary"), "sets")
         items = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"i{x}"))
         out = written(pairs.select("a", "b").join(items("a"), "a").join(items("b"), "b").select("a", "b", "ia", "ib").mapInArrow(_linked, "a long, b long"), "links")
         dropped(sets)

@@ -10,8 +10,8 @@ against every reference block at once, wherever its text also is.
 2. An anchor found with several contexts lies at a factor's boundary, where two copies part. Its windows' own digests are
    sent to the buckets, and those found twice are repeated too, with a source of their own.
 3. A document is parsed from left to right: a factor goes on while the next window is repeated and its source is the next
-   window of the same source, so it is the longest copy from that place of the reference, WINDOW words at least. The next
-   factor is the one that reaches furthest on from there. Words of factors are the duplicate spans.
+   window of the same source, so a factor is a copy of WINDOW words at least from one place of the reference. The next factor
+   begins with the first window whose source is another. Words of factors are the duplicate spans.
 
 A window is repeated exactly if its words also start anywhere else, same document included: both copies hold the same
 anchor at the same place in the window, and their contexts are either equal (1) or both sent (2). Digests have 128 bits in
