@@ -39,7 +39,7 @@ N = 5
 #: Segments over those that must be sent, for large bands; and segments a shingle, for bands of small sets.
 SLACK, SPARSE, SMALL = 1.6, 8, 24
 #: Rounds of comparing with centres before all pairs of what is left; members of a group that one task compares with as many.
-CENTRES, PART = 2, 2000
+CENTRES, PART = 2, 500
 #: 64-bit words of the dense sketch that candidate pairs are compared by first.
 DENSE_WORDS = 32
 #: Counts of segments in a byte: exact below EXACT, then in sixths of an octave; a segment of HOT documents and more is frequent.
