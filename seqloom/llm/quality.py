@@ -112,6 +112,12 @@ RULES = (
 )
 
 
+def _taken(df: DataFrame, n: int) -> DataFrame | None:
+    """n rows of the first partitions that have so many, as a local table; all within the JVM. None if there are none."""
+    rows = df._jdf.takeAsList(n)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(rows, df._jdf.schema()), df.sparkSession).coalesce(1) if rows.size() else None
+
+
 def order(df: DataFrame, rules=RULES, text: str = "text", prepare: Callable[[DataFrame], DataFrame] = lambda df: df, known: dict[str, str] | None = None, rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE) -> list[tuple[Rule, float, float]]:
     """The rules by falling rejection per second, as (rule, seconds a row, share rejected).
 
@@ -120,8 +126,7 @@ def order(df: DataFrame, rules=RULES, text: str = "text", prepare: Callable[[Dat
     cost doesn't grow with the table. It decides the order only; a poor estimate makes the cascade slower, never different.
     """
     texts = df.select(text_of(df, text).alias(text)).where(F.octet_length(text) <= SAMPLE_BYTES)
-    drawn = texts.sample(False, share, 7).take(rows) or texts.take(rows)
-    sample = prepare(df.sparkSession.createDataFrame(drawn, texts.schema).coalesce(1))
+    sample = prepare(_taken(texts.sample(False, share, 7), rows) or _taken(texts, rows) or texts.limit(0))
     (ws,) = fresh(sample, "ws")
     sample = sample.withColumn(ws, words(F.col(text))).cache()
     try:
