@@ -8,6 +8,7 @@ order asked. So a key that a third of all rows share costs one entry a block, an
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -67,11 +68,26 @@ class Blocks:
 
     def ask(self, function, schema=ASKED) -> DataFrame:
         """function(table of a block), for every block."""
-        return self.table.groupBy("block").applyInArrow(function, schema)
+        return self.table.groupBy("block").applyInArrow(lambda t: tidied(function, t), schema)
 
     def ask_with(self, answers: DataFrame, function, schema) -> DataFrame:
         """function(table of a block, table of its answers), for every block."""
-        return self.table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(function, schema)
+        return self.table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: tidied(function, t, a), schema)
+
+
+def tidied(function, *tables: pa.Table) -> pa.Table:
+    """function(tables), after which the worker gives free memory back: it waits for other tasks with what it holds."""
+    out = function(*tables)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    return out
+
+
+def in_buckets(asked_: DataFrame, function, schema, *by: str) -> DataFrame:
+    """function(rows of a bucket), for every bucket."""
+    return asked_.groupBy(*(by or ("bucket",))).applyInArrow(lambda t: tidied(function, t), schema)
 
 
 def buckets_for(keys: int) -> int:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, packed, release
+from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, in_buckets, packed, release
 from .common import documents, dropped, fresh, grams, hashed_words, mix, written
 from .graph import components
 
@@ -307,7 +307,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataF
     spark = df.sparkSession
     blocks = Blocks(df.select(df[key].cast("long").alias("id"), df[text].alias("text")))
     buckets = buckets_for(blocks.bytes // 7)
-    surveyed = written(blocks.ask(_survey(buckets), SURVEYED).groupBy("bucket").applyInArrow(_count, SURVEYED), "survey")
+    surveyed = written(in_buckets(blocks.ask(_survey(buckets), SURVEYED), _count, SURVEYED), "survey")
     release(spark)
     described = surveyed.where("bucket < 0").select("block", "place", "id", "high", "low", F.col("n").alias("n_shingles"))
     # a row's number: its partition and its place there
@@ -317,7 +317,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataF
     counted = surveyed.where("bucket >= 0").select("bucket", "block", "n", "data")
     both = firsts.select("block", "place", "node").unionByName(counted.select("block", "bucket", "data"), allowMissingColumns=True)
     sent = written(blocks.ask_with(both, _send_shared(buckets), SENT), "sent")
-    groups = written(sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_groups, "set long, nodes array<long>"), "groups")
+    groups = written(in_buckets(sent.where("bucket IS NOT NULL"), _groups, "set long, nodes array<long>"), "groups")
     release(spark)
     # a set of nodes that several segments share is one group; each node's groups are as many as it has segments at most
     cold = groups.groupBy("set").agg(F.first("nodes").alias("nodes")).select("set", F.explode("nodes").alias("node"))

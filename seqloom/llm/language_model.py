@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .blocks import Blocks, bucket_of, buckets_for, release
+from .blocks import Blocks, bucket_of, buckets_for, in_buckets, release
 from .common import coded_words, documents, new_path
 from .substring_dedup import schema_table
 
@@ -425,13 +425,13 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     blocks = Blocks(df.select(df[key].cast("long").alias("id"), df[text].alias("text")), size=BLOCK)
     word_buckets, buckets = buckets_for(blocks.bytes // 40), buckets_for(blocks.bytes // 10)
-    words = kept(blocks.ask(_ask_words(word_buckets), SENT).groupBy("bucket").applyInArrow(_count_words, SENT), "words")
+    words = kept(in_buckets(blocks.ask(_ask_words(word_buckets), SENT), _count_words, SENT), "words")
     n_types, (n_tokens, *_) = sums(words)
     words = words.where(F.col("kind") == WORDS)
     asked = blocks.ask_with(words, _ask_followers(word_buckets, buckets), SENT)
-    seated = kept(asked.groupBy("kind", "bucket").applyInArrow(_seat_followers(word_buckets, n_tokens, n_types), SENT), "followers")
+    seated = kept(in_buckets(asked, _seat_followers(word_buckets, n_tokens, n_types), SENT, "kind", "bucket"), "followers")
     above = seated.where(F.col("kind").isin(PARENT, TABLES))
-    parent = kept(above.groupBy("bucket").applyInArrow(_seat_parent(n_types), SENT), "parent")
+    parent = kept(in_buckets(above, _seat_parent(n_types), SENT), "parent")
     _, (guests, tables) = sums(parent)
     answers = words.unionByName(seated.where(F.col("kind") == FOLLOWERS)).unionByName(parent.where(F.col("kind") == PARENT))
     return blocks.ask_with(answers, _score(int(n_tokens), n_types, guests, tables), SCORES)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .blocks import ASKED, BLOCK_BYTES, Blocks, asked, bucket_of, buckets_for, packed, release, unpacked
+from .blocks import ASKED, BLOCK_BYTES, Blocks, asked, bucket_of, buckets_for, in_buckets, packed, release, unpacked
 from .common import documents, fresh, grams, hashed_words, mix, new_path, written
 
 WINDOW, SEED = 35, 8
@@ -251,8 +251,8 @@ def parse(df: DataFrame, function, schema, text: str = "text", window: int = WIN
         return spark.read.schema(ASKED).parquet(path)
 
     # about one anchor in fifteen words
-    answers = kept(blocks.ask(_send_anchors(buckets_for(blocks.bytes // 60), window, seed)).groupBy("bucket").applyInArrow(_answer(np.uint64), ASKED), "anchors")
-    edges = kept(blocks.ask_with(answers, _send_windows(buckets_for(blocks.bytes // 12), window, seed), ASKED).groupBy("bucket").applyInArrow(_answer(np.uint32), ASKED), "edges")
+    answers = kept(in_buckets(blocks.ask(_send_anchors(buckets_for(blocks.bytes // 60), window, seed)), _answer(np.uint64), ASKED), "anchors")
+    edges = kept(in_buckets(blocks.ask_with(answers, _send_windows(buckets_for(blocks.bytes // 12), window, seed), ASKED), _answer(np.uint32), ASKED), "edges")
     both = answers.withColumn("step", F.lit(1)).unionByName(edges.withColumn("step", F.lit(2)))
 
     def run(table: pa.Table, rows: pa.Table) -> pa.Table:
