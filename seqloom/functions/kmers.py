@@ -25,8 +25,8 @@ def text_as_dna(text: Column) -> Column:
 
 
 def coerce_dna(seq: Column) -> Column:
-    """A sequence over the IUPAC letters as one over ACGT."""
-    return F.regexp_replace(F.translate(F.upper(seq), IUPAC_FROM, IUPAC_TO), "[^ACGT]", "A")
+    """A sequence over the IUPAC letters as one over ACGT. What isn't ASCII is A before letters get their upper case."""
+    return F.regexp_replace(F.translate(F.upper(F.regexp_replace(seq, "[^\\x00-\\x7F]", "A")), IUPAC_FROM, IUPAC_TO), "[^ACGT]", "A")
 
 
 def codes(seq: Column) -> Column:

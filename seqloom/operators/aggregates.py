@@ -73,16 +73,20 @@ def priority(members: DataFrame, group: str) -> DataFrame:
     return out.select(group, F.when(F.col("n") > 1, F.coalesce("p", F.lit(0.0))).otherwise(0.0).alias("priority"))
 
 
-def centroid_distances(members: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(seq_id, cluster, hd) of every sequence to every centroid that shares a bit or not. centroids: (cluster, bit), few.
+def centroid_distances(ids: DataFrame, members: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(seq_id, cluster, hd) of every sequence to each centroid that it shares a bit with, and to the one of fewest bits.
 
-    A distance is na + nb - 2 * inter, so only the common bits are joined; the pair table is ids times centroids.
+    ids: (seq_id), sequences without bits too; members: (seq_id, bit); centroids: (cluster, bit). A distance is na + nb - 2 * inter, so
+    of centroids without a common bit only that of fewest bits (ties to the smaller) can be nearest: no product is formed.
     """
     na = members.groupBy("seq_id").agg(F.count(F.lit(1)).alias("na"))
+    na = ids.select("seq_id").join(na, "seq_id", "left").fillna(0, ["na"])
     nb = centroids.groupBy("cluster").agg(F.count(F.lit(1)).alias("nb"))
     inter = members.join(centroids, "bit").groupBy("seq_id", "cluster").agg(F.count(F.lit(1)).alias("inter"))
-    pairs = na.crossJoin(nb).join(inter, ["seq_id", "cluster"], "left").fillna(0, ["inter"])
-    return pairs.select("seq_id", "cluster", metrics.hamming(F.col("na"), F.col("nb"), F.col("inter")).alias("hd"))
+    met = inter.join(na, "seq_id").join(nb, "cluster").select("seq_id", "cluster", metrics.hamming(F.col("na"), F.col("nb"), F.col("inter")).alias("hd"))
+    least = nb.agg(F.min(F.struct("nb", "cluster")).alias("x")).select("x.cluster", "x.nb")
+    apart = na.join(F.broadcast(least)).join(inter.select("seq_id", "cluster"), ["seq_id", "cluster"], "left_anti")
+    return met.unionByName(apart.select("seq_id", "cluster", (F.col("na") + F.col("nb")).alias("hd")))
 
 
 def nearest_cluster(distances: DataFrame, value: str = "hd") -> DataFrame:

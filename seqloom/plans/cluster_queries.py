@@ -68,12 +68,12 @@ def cluster_stdev(spark, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.round(F.sqrt(F.avg(hd * hd)), 4).alias("stdev"))
 
 
-@query(_MEAN + ", na AS (SELECT seq_id, count(*) AS n FROM m GROUP BY 1), nb AS (SELECT lang, count(*) AS n FROM mean GROUP BY 1), c AS (SELECT m.seq_id, mean.lang, count(*) AS c FROM m JOIN mean USING (bit) GROUP BY 1, 2), d AS (SELECT na.seq_id, nb.lang AS cluster, na.n + nb.n - 2 * coalesce(c.c, 0) AS hd FROM na CROSS JOIN nb LEFT JOIN c ON c.seq_id = na.seq_id AND c.lang = nb.lang) SELECT seq_id, arg_min(cluster, hd * 1000 + ascii(cluster) * 1.0 + ascii(cluster[2:]) / 1000.0) AS cluster, min(hd)::BIGINT AS hd FROM d GROUP BY 1")
+@query(_MEAN + ", na AS (SELECT seq_id, count(bit) AS n FROM dna LEFT JOIN m USING (seq_id) GROUP BY 1), nb AS (SELECT lang, count(*) AS n FROM mean GROUP BY 1), c AS (SELECT m.seq_id, mean.lang, count(*) AS c FROM m JOIN mean USING (bit) GROUP BY 1, 2), d AS (SELECT na.seq_id, nb.lang AS cluster, na.n + nb.n - 2 * coalesce(c.c, 0) AS hd FROM na CROSS JOIN nb LEFT JOIN c ON c.seq_id = na.seq_id AND c.lang = nb.lang) SELECT seq_id, arg_min(cluster, hd * 1000 + ascii(cluster) * 1.0 + ascii(cluster[2:]) / 1000.0) AS cluster, min(hd)::BIGINT AS hd FROM d GROUP BY 1")
 def kmeans_assign_step(spark, sf_dir: str) -> DataFrame:
     """Each sequence's nearest language by Hamming distance to its majority mean."""
     m = _members(spark, sf_dir)
     centroids = aggregates.mean_signature(m, "majority", "lang").withColumnRenamed("lang", "cluster")
-    return aggregates.nearest_cluster(aggregates.centroid_distances(m.select("seq_id", "bit"), centroids))
+    return aggregates.nearest_cluster(aggregates.centroid_distances(dna(spark, sf_dir), m.select("seq_id", "bit"), centroids))
 
 
 _POINTS = "p AS (SELECT vec_id, label, embedding FROM embeddings), l AS (SELECT vec_id, label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM p), ce AS (SELECT label, dim, avg(x) AS m FROM l GROUP BY 1, 2)"
@@ -100,11 +100,11 @@ def davies_bouldin(spark, sf_dir: str) -> DataFrame:
     return aggregates.davies_bouldin(s, "label").select(_SIX(F.col("davies_bouldin")).alias("davies_bouldin"))
 
 
-@query(f"WITH {DNA}, {KM}, b AS (SELECT DISTINCT source, lang, {bit_sql('h')} AS bit FROM km) SELECT bit, count(DISTINCT source)::BIGINT AS n FROM b WHERE lang = 'es' GROUP BY 1 HAVING count(DISTINCT source) > 2")
+@query(f"WITH {DNA}, {KM}, b AS (SELECT DISTINCT source, lang, {bit_sql('h')} AS bit FROM km) SELECT lang, bit, count(DISTINCT source)::BIGINT AS n FROM b GROUP BY 1, 2 HAVING count(DISTINCT source) > 2")
 def shared_child_bits(spark, sf_dir: str) -> DataFrame:
-    """Bits set in more than two children (sources) of a node (a language)."""
-    child = sketches.merged(flat(spark, sf_dir, "source", "lang"), "source", "lang").where("lang = 'es'")
-    return child.groupBy("bit").agg(F.count_distinct("source").alias("n")).where("n > 2")
+    """Bits set in more than two children (sources) of each node (a language)."""
+    child = sketches.merged(flat(spark, sf_dir, "source", "lang"), "source", "lang")
+    return child.groupBy("lang", "bit").agg(F.count_distinct("source").alias("n")).where("n > 2")
 
 
 @query()
@@ -135,7 +135,7 @@ def reinsert(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def treap_classify(spark, sf_dir: str) -> DataFrame:
-    return clustering.treap_classify(windowed(spark, sf_dir))
+    return clustering.treap_classify(dna(spark, sf_dir), windowed(spark, sf_dir))
 
 
 _LISTS = f"WITH {DNA}, {KM}, {WIN}, li AS (SELECT seq_id, string_agg(h::VARCHAR, ',' ORDER BY window_id) AS hashes FROM win WHERE rn = 1 GROUP BY 1)"
@@ -215,7 +215,8 @@ def pure_clusters(spark, sf_dir: str) -> DataFrame:
 def group_sizes(spark, sf_dir: str) -> DataFrame:
     """Labels joined to their documents, with the size of their group."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return rows.select(F.col("doc_id").alias("seq_id"), "quality", "toxic", "source", F.count(F.lit(1)).over(Window.partitionBy("source")).alias("size"))
+    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
+    return rows.join(sizes, "source").select(F.col("doc_id").alias("seq_id"), "quality", "toxic", "source", "size")
 
 
 @query(f"{_EDGES}, sc AS (SELECT doc_id AS seq_id, source AS cluster FROM documents), b AS (SELECT i, j, similarity FROM e UNION ALL SELECT j, i, similarity FROM e), tg AS (SELECT b.*, x.cluster AS ci, y.cluster AS cj FROM b JOIN sc x ON x.seq_id = i JOIN sc y ON y.seq_id = j), o AS (SELECT i, j, similarity, row_number() OVER (PARTITION BY i ORDER BY similarity DESC, j) AS rk FROM tg WHERE ci <> cj AND i NOT IN (SELECT i FROM tg WHERE ci = cj)) SELECT i AS seq_id, j AS neighbour, similarity FROM o WHERE rk = 1")

@@ -147,9 +147,7 @@ def split_threshold(spark, sf_dir: str) -> DataFrame:
     return _spread(spark, sf_dir, 10).agg(_SIX(F.avg("q3") / 100).alias("split_threshold"))
 
 
-@query("SELECT a.r_name AS a, b.r_name AS b, levenshtein(a.r_name, b.r_name)::INT AS distance FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
+@query("SELECT p_partkey, levenshtein(p_name, p_type)::INT AS distance FROM part")
 def edit_distance(spark, sf_dir: str) -> DataFrame:
-    """Global edit distance of pairs of names."""
-    r = table(spark, sf_dir, "region")
-    a, b = r.select(F.col("r_regionkey").alias("i"), F.col("r_name").alias("a")), r.select(F.col("r_regionkey").alias("j"), F.col("r_name").alias("b"))
-    return a.join(b, F.col("i") < F.col("j")).select("a", "b", F.levenshtein("a", "b").alias("distance"))
+    """Global edit distance of each part's name and type."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance"))

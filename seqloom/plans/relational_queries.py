@@ -11,18 +11,19 @@ from ..operators import evaluate
 from ..sources.storage import written
 
 
-@query("SELECT n_name, r_name, count(c_custkey)::BIGINT AS customers, round(coalesce(sum(c_acctbal), 0), 2) AS balance FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+@query("SELECT source, lang, count(*)::BIGINT AS documents, count(l.doc_id)::BIGINT AS labelled, round(coalesce(avg(quality), 0), 6) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1, 2")
 def join_truth_left(spark, sf_dir: str) -> DataFrame:
-    """Truth joined to metadata, and results where there are any."""
-    n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
-    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return rows.groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("customers"), F.round(F.coalesce(F.sum("c_acctbal"), F.lit(0.0)), 2).alias("balance"))
+    """Documents joined to the truth about them, where there is any."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), "quality")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(labels, F.col("doc_id") == F.col("of"), "left")
+    return rows.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("documents"), F.count("of").alias("labelled"), F.round(F.coalesce(F.avg("quality"), F.lit(0.0)), 6).alias("quality"))
 
 
-@query("WITH h AS (SELECT n_regionkey AS parent, n_nationkey AS child, n_regionkey % 2 AS rank FROM nation) SELECT parent, child, CASE WHEN rank = 0 AND parent = 0 AND child NOT IN (SELECT parent FROM h) THEN -1 ELSE rank END::INT AS rank FROM h")
+@query("WITH h AS (SELECT doc_id // 26 AS parent, doc_id AS child, (doc_id % 3)::INT AS rank FROM documents) SELECT parent, child, CASE WHEN rank = 0 AND parent = 0 AND child NOT IN (SELECT parent FROM h) THEN -1 ELSE rank END::INT AS rank FROM h")
 def hierarchy_repair(spark, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("parent"), F.col("n_nationkey").alias("child"), (F.col("n_regionkey") % 2).alias("rank"))
-    return evaluate.repaired(h)
+    """Groups of 26 as parents, repaired where a root is no one's parent."""
+    i = F.col("doc_id")
+    return evaluate.repaired(table(spark, sf_dir, "documents").select(F.floor(i / 26).cast("long").alias("parent"), i.alias("child"), F.pmod(i, F.lit(3)).cast("int").alias("rank")))
 
 
 @query("SELECT tag, count(*)::BIGINT AS n, count(DISTINCT id)::BIGINT AS ids FROM (SELECT 'document' AS tag, doc_id AS id FROM documents UNION ALL SELECT 'page', page_id FROM pages UNION ALL SELECT 'item', item_id FROM benchmark UNION ALL SELECT 'turn', conv_id FROM conversations) GROUP BY 1")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import SketchConfig
-from ..functions import bloom, kmers
-from ..operators import evaluate, sketches
+from ..functions import bloom, kmers, metrics
+from ..operators import evaluate, pairs, sketches
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, bit_sql, dna, flat, kmer_sql, query, table, windowed
 
 CANON_ALL = SketchConfig(k=9, w=9, s=1, canonical=True)
@@ -32,11 +32,11 @@ def dna_length_hist(spark, sf_dir: str) -> DataFrame:
     return dna(spark, sf_dir).groupBy(bins).agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("SELECT doc_id AS seq_id, md5(regexp_replace(translate(upper(coalesce(text, '')), 'URYSWKMBDHVN', 'TACCAGACAAAA'), '[^ACGT]', 'A', 'g')) AS digest FROM documents WHERE coalesce(text, '') = strip_accents(coalesce(text, ''))")
+@query("SELECT doc_id AS seq_id, md5(regexp_replace(translate(upper(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'A', 'g')), 'URYSWKMBDHVN', 'TACCAGACAAAA'), '[^ACGT]', 'A', 'g')) AS digest FROM documents")
 def iupac_coercion(spark, sf_dir: str) -> DataFrame:
-    """Texts in plain letters read as sequences over the IUPAC alphabet."""
-    plain = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.coalesce("text", F.lit("")).alias("t")).where(~F.col("t").rlike("[^\\x00-\\x7F]"))
-    return plain.select("seq_id", F.md5(kmers.coerce_dna(F.col("t"))).alias("digest"))
+    """Texts read as sequences over the IUPAC alphabet."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("seq_id"), F.md5(kmers.coerce_dna(F.coalesce("text", F.lit("")))).alias("digest"))
 
 
 @query(f"WITH {DNA}, {KM} SELECT seq_id, pos::INT AS pos, h FROM km")
@@ -180,15 +180,16 @@ def bloom_compress(spark, sf_dir: str) -> DataFrame:
     return sketches.bit_rows(flat(spark, sf_dir)).select("seq_id", bloom.compressed_bit(F.col("bit"), [10000, 5000]).alias("bit")).distinct()
 
 
-@query(f"""WITH {DNA}, {KM}, b AS (SELECT DISTINCT lang, {bit_sql('h')} AS bit FROM km), en AS (SELECT bit FROM b WHERE lang = 'en'), de AS (SELECT bit FROM b WHERE lang = 'de')
-SELECT 'union' AS op, count(*)::BIGINT AS n FROM (SELECT bit FROM en UNION SELECT bit FROM de) UNION ALL SELECT 'intersection', count(*) FROM (SELECT bit FROM en INTERSECT SELECT bit FROM de)
-UNION ALL SELECT 'difference', count(*) FROM ((SELECT bit FROM en EXCEPT SELECT bit FROM de) UNION ALL (SELECT bit FROM de EXCEPT SELECT bit FROM en))""")
+@query(f"""WITH {DNA}, {KM}, b AS (SELECT DISTINCT lang, {bit_sql('h')} AS bit FROM km), n AS (SELECT lang, count(*) AS n FROM b GROUP BY 1),
+c AS (SELECT x.lang AS a, y.lang AS b, count(*) AS c FROM b x JOIN b y ON x.bit = y.bit AND x.lang < y.lang GROUP BY 1, 2)
+SELECT a, b, (x.n + y.n - c)::BIGINT AS union_, c::BIGINT AS intersection, (x.n + y.n - 2 * c)::BIGINT AS difference FROM c JOIN n x ON x.lang = a JOIN n y ON y.lang = b""")
 def bloom_set_operations(spark, sf_dir: str) -> DataFrame:
-    """Union, intersection and symmetric difference of two languages' signatures."""
-    b = sketches.merged(flat(spark, sf_dir, "lang"), "lang")
-    side = b.where(F.col("lang").isin("en", "de")).groupBy("bit").agg(F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") == "de").alias("de"))
-    n = side.agg(F.count(F.lit(1)).alias("union"), F.count_if(F.expr("en > 0 AND de > 0")).alias("intersection"), F.count_if(F.expr("en + de = 1")).alias("difference"))
-    return n.unpivot([], ["union", "intersection", "difference"], "op", "n")
+    """Union, intersection and symmetric difference of each two languages' signatures."""
+    bits = sketches.merged(flat(spark, sf_dir, "lang"), "lang").select(F.col("lang").alias("seq_id"), "bit")
+    n = bits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
+    p = pairs.with_sizes(pairs.shared(bits), n)
+    na, nb, c = F.col("na"), F.col("nb"), F.col("inter")
+    return p.select(F.col("i").alias("a"), F.col("j").alias("b"), metrics.union_size(na, nb, c).alias("union_"), c.alias("intersection"), metrics.hamming(na, nb, c).alias("difference"))
 
 
 @query(f"WITH {DNA}, {KM}, {WIN} SELECT count(DISTINCT h)::BIGINT AS n FROM win")
