@@ -110,6 +110,13 @@ def windows(h: Column, width: int, step: int, s: int) -> Column:
     return let(h, lambda x: F.transform(starts(x), lambda j: F.slice(F.sort_array(F.slice(x, j * step + 1, width)), 1, s)))
 
 
+def window_minima(h: Column, width: int, step: int) -> Column:
+    """For each window its least hash and the right-most place that has it."""
+    starts = lambda x: F.when(F.size(x) > width, F.sequence(F.lit(0), n_windows(F.size(x), width, step) - 1)).otherwise(F.array().cast("array<int>"))
+    least = lambda x, j: let(F.slice(x, j * step + 1, width), lambda w: F.struct(F.array_min(w).alias("h"), (j * step + F.size(w) - F.array_position(F.reverse(w), F.array_min(w))).cast("int").alias("pos")))
+    return let(h, lambda x: F.transform(starts(x), lambda j: least(x, j)))
+
+
 def mer(h: Column, k: int) -> Column:
     """The k-mer of a hash."""
     return F.translate(F.lpad(F.conv(h.cast("string"), 10, 4), k, "0"), "0123", "ACGT")

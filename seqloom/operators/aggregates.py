@@ -116,3 +116,30 @@ def davies_bouldin(spread_: DataFrame, group: str) -> DataFrame:
     b = spread_.select(F.col(group).alias("j"), F.col("centre").alias("cj"), F.col("rms").alias("rj"))
     pairs = a.join(b, F.col("i") != F.col("j")).select("i", F.try_divide(F.col("ri") + F.col("rj"), metrics.euclidean(F.col("ci"), F.col("cj"))).alias("r"))
     return pairs.groupBy("i").agg(F.max("r").alias("worst")).agg(F.avg("worst").alias("davies_bouldin"))
+
+
+def node_distances(members: DataFrame) -> DataFrame:
+    """(seq_id, cluster, hd): each member's Hamming distance to its cluster's majority mean. Members: (cluster, seq_id, bit)."""
+    rows = to_centroid(members, mean_signature(members, "majority", "cluster"), "cluster")
+    return rows.select("seq_id", "cluster", metrics.hamming(F.col("na"), F.col("nb"), F.col("inter")).alias("hd"))
+
+
+def farthest(members: DataFrame, group: str) -> DataFrame:
+    """(group, hd, seq_id): the member at the greatest Hamming distance from the mean, ties to the smaller id."""
+    rows = node_distances(members.withColumnRenamed(group, "cluster"))
+    best = F.max(F.struct("hd", (-F.col("seq_id")).alias("least"), "seq_id")).alias("x")
+    return rows.groupBy(F.col("cluster").alias(group)).agg(best).select(group, "x.hd", "x.seq_id")
+
+
+def davies_bouldin_hamming(members: DataFrame, group: str) -> DataFrame:
+    """One number: the mean over clusters of the worst (deviation_i + deviation_j) / Hamming distance of their majority means."""
+    means = mean_signature(members, "majority", group)
+    sizes = means.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    rows = to_centroid(members, means, group)
+    hd = metrics.hamming(F.col("na"), F.col("nb"), F.col("inter")).cast("double")
+    deviation = rows.groupBy(group).agg(F.sqrt(F.avg(hd * hd)).alias("deviation")).join(sizes, group)
+    a, b = (deviation.select(F.col(group).alias(x), F.col("deviation").alias(f"d{x}"), F.col("n").alias(f"n{x}")) for x in ("i", "j"))
+    inter = means.select(F.col(group).alias("i"), "bit").join(means.select(F.col(group).alias("j"), "bit"), "bit").groupBy("i", "j").agg(F.count(F.lit(1)).alias("inter"))
+    both = a.join(b, F.col("i") != F.col("j")).join(inter, ["i", "j"], "left").fillna(0, ["inter"])
+    worst = both.groupBy("i").agg(F.max(F.try_divide(F.col("di") + F.col("dj"), metrics.hamming(F.col("ni"), F.col("nj"), F.col("inter")).cast("double"))).alias("worst"))
+    return worst.agg(F.avg("worst").alias("davies_bouldin"))

@@ -6,7 +6,7 @@ explode is narrow, and bits are made distinct inside the row's own array, so bui
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import SketchConfig
 from ..functions import bloom, kmers
@@ -78,3 +78,32 @@ def elements(seqs: DataFrame, cfg: SketchConfig, approximate: bool = False, all_
     rows = rows if all_windows else rows.where("window_id = 0")
     h = rows.select(F.explode("hashes").alias("h"))
     return h.agg((F.approx_count_distinct("h") if approximate else F.count_distinct("h")).alias("n"))
+
+
+def disjoint(seqs: DataFrame, cfg: SketchConfig, *keep: str) -> DataFrame:
+    """(seq_id, kept, window_id, h, pos): the least hash of each window and its right-most place; windows don't overlap in bases."""
+    return seqs.select("seq_id", *keep, F.posexplode(kmers.window_minima(hash_array(cfg), cfg.width, cfg.hop)).alias("window_id", "x")).select("seq_id", *keep, "window_id", "x.h", "x.pos")
+
+
+def membership(asked: DataFrame, signatures: DataFrame, by: str) -> DataFrame:
+    """(seq_id, by, contains_all, contains_none, first_missing, first_found): asked (seq_id, bits) against signatures (by, bit), few."""
+    names = signatures.select(by).distinct()
+    bits = asked.select("seq_id", F.explode("bits").alias("bit")).join(names)
+    found = bits.join(signatures.withColumn("found", F.lit(True)), [by, "bit"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    bit = lambda found: F.min(F.when(F.col("found") == found, F.col("bit")))
+    return found.groupBy("seq_id", by).agg(F.every("found").alias("contains_all"), (~F.some("found")).alias("contains_none"), bit(False).alias("first_missing"), bit(True).alias("first_found"))
+
+
+def shuffled(seqs: DataFrame, seed: int) -> DataFrame:
+    """With a column `order` that a seed gives: the order in which sequences are inserted."""
+    return seqs.withColumn("order", F.md5(F.concat_ws("/", F.lit(seed), "seq_id")))
+
+
+def capped(seqs: DataFrame, most: int, *by: str) -> DataFrame:
+    """The first `most` sequences in an order."""
+    return seqs.orderBy(*(by or ("seq_id",))).limit(most)
+
+
+def placed(seqs: DataFrame, *by: str) -> DataFrame:
+    """(seq_id, place) of a capped table."""
+    return seqs.select("seq_id", (F.row_number().over(Window.orderBy(*by)) - 1).cast("long").alias("place"))

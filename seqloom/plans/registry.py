@@ -1,4 +1,4 @@
 """All queries of the library, with their SQL where there is any."""
 
-from . import cluster_queries, pair_queries, relational_queries, sketch_queries  # noqa: F401
+from . import cluster_queries, pair_queries, relational_queries, sketch_queries, window_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
