@@ -49,9 +49,3 @@ def compressed_bit(bit: Column, sizes: list[int]) -> Column:
     for size in sizes:
         bit = F.pmod(bit, F.lit(size))
     return bit
-
-
-def packed(bits: Column, size: int) -> Column:
-    """A signature's bytes from its ascending bits; bit b is bit b % 8 of byte b // 8."""
-    by_byte = F.transform(F.sequence(F.lit(0), F.lit(size // 8 - 1)), lambda i: F.aggregate(F.filter(bits, lambda b: F.floor(b / 8) == i), F.lit(0), lambda a, b: a + F.shiftleft(F.lit(1), F.pmod(b, F.lit(8)).cast("int"))))
-    return F.unhex(F.array_join(F.transform(by_byte, lambda x: F.lpad(F.hex(x), 2, "0")), ""))

@@ -37,18 +37,5 @@ def array_jaccard(a: Column, b: Column) -> Column:
     return jaccard(F.size(a), F.size(b), F.size(F.array_intersect(a, b)))
 
 
-def word_popcount(a: Column) -> Column:
-    """Set bits of packed 64-bit words."""
-    return F.aggregate(F.transform(a, F.bit_count), F.lit(0), lambda x, y: x + y)
-
-
-def word_intersection(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda x, y: x + y)
-
-
-def word_hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-
-
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x))
