@@ -118,10 +118,12 @@ def hashed_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> tupl
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift), so that sums of hashes become hashes again."""
     with np.errstate(over="ignore"):
-        x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(np.uint64)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
+        x = np.bitwise_xor(x, np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1), dtype=np.uint64)
+        for _ in range(2):
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        return x
 
 
 def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
@@ -132,5 +134,6 @@ def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = mix(h[:m], salt + 1)
         for k in range(1, n):
-            out = out * np.uint64(0x9FB21C651E98DF25) + h[k : k + m]
+            out *= np.uint64(0x9FB21C651E98DF25)
+            out += h[k : k + m]
         return mix(out, salt)

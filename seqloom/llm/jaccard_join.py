@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .blocks import ASKED, Blocks, asked, bucket_of, buckets_for, in_buckets, packed, release
+from .blocks import ASKED, BLOCK_BYTES, Blocks, asked, bucket_of, buckets_for, in_buckets, packed, release
 from .common import documents, dropped, fresh, grams, hashed_words, mix, written
 from .graph import components
 
@@ -40,6 +40,8 @@ N = 5
 SLACK, SPARSE, SMALL = 1.6, 8, 24
 #: Rounds of comparing with centres before all pairs of what is left; members of a group that one task compares with as many.
 CENTRES, PART = 2, 500
+#: UTF-8 bytes of a block: its shingles and segments are held with several numbers each.
+BLOCK = 5_000_000
 #: 64-bit words of the dense sketch that candidate pairs are compared by first.
 DENSE_WORDS = 32
 #: Counts of segments in a byte: exact below EXACT, then in sixths of an octave; a segment of HOT documents and more is frequent.
@@ -305,7 +307,7 @@ def _crossing(rows: pa.Table) -> pa.Table:
 def links(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): (node, id, n_shingles) for each row of df, and (node, component) for each node linked to another."""
     spark = df.sparkSession
-    blocks = Blocks(df.select(df[key].cast("long").alias("id"), df[text].alias("text")))
+    blocks = Blocks(df.select(df[key].cast("long").alias("id"), df[text].alias("text")), size=min(BLOCK, BLOCK_BYTES))
     buckets = buckets_for(blocks.bytes // 7)
     surveyed = written(in_buckets(blocks.ask(_survey(buckets), SURVEYED), _count, SURVEYED), "survey")
     release(spark)

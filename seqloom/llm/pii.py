@@ -24,8 +24,9 @@ from .common import documents, listed, split_words, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Words of one Viterbi batch (one run at least), and descriptions of words that a worker remembers.
-BATCH_WORDS, REMEMBERED = 250_000, 100_000
+#: Characters of the texts that are decoded at once (one text at least), words of one Viterbi batch (one run at least), and
+#: descriptions of words that a worker remembers.
+BATCH_CHARS, BATCH_WORDS, REMEMBERED = 2_000_000, 250_000, 100_000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local_end = re.compile(r"[A-Za-z0-9._%+-]")
@@ -205,14 +206,14 @@ class Field:
 
     def scores(self, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Each word's scores of the tags, from its own description, the last word's and the next one's."""
-        before, own, after = (np.ascontiguousarray(self._parts[:, i]) for i in range(3))
+        before, own, after = (np.ascontiguousarray(self._parts[:, i], np.float32) for i in range(3))
         out = own[c]
-        if len(c) > 1:
-            inner = np.ones(len(c), bool)
-            inner[bounds[:-1][np.diff(bounds) > 0]] = False  # a text's first word has none before it
-            at = np.flatnonzero(inner)
-            out[at] += before[c[at - 1]]
-            out[at - 1] += after[c[at]]
+        out[1:] += before[c[:-1]]
+        out[:-1] += after[c[1:]]
+        first = bounds[1:-1][np.diff(bounds)[1:] > 0]  # a text's first word has none before it, nor the last text's end one after it
+        first = first[first > 0]
+        out[first] -= before[c[first - 1]]
+        out[first - 1] -= after[c[first]]
         return out
 
     def open_words(self, em: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -352,6 +353,18 @@ _word = re.compile(r"[^\x20\x09-\x0D]+")
 
 def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """For each text, the patterns' findings, and all findings; both by kind and start."""
+    out, at = [], 0
+    while at < len(texts):
+        end, chars = at + 1, len(texts[at] or "")
+        while end < len(texts) and chars + len(texts[end] or "") <= BATCH_CHARS:
+            chars += len(texts[end] or "")
+            end += 1
+        out += _found(texts[at:end], field)
+        at = end
+    return out
+
+
+def _found(texts: list[str], field: Field) -> list[tuple[list, list]]:
     base = [patterns(x) if x else [] for x in texts]
     words, at, bounds = split_words(pa.array([x or "" for x in texts], pa.string()))
     tags = field.decode(field.classes(listed(words))[at], bounds)

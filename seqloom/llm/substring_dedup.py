@@ -37,7 +37,7 @@ from .common import documents, fresh, grams, hashed_words, mix, new_path, writte
 
 WINDOW, SEED = 35, 8
 #: UTF-8 bytes of a block: its words are held with several numbers each.
-BLOCK = 5_000_000
+BLOCK = 4_000_000
 #: Bits of a place in a block that share a key with an anchor's hash: as many as an Arrow string has bytes.
 PLACE_BITS = 31
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -26,6 +26,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks.Blocks.__init__, "__defaults__", ("text", 30_000))
     monkeypatch.setattr(language_model, "BLOCK", 30_000)
     monkeypatch.setattr(substring_dedup, "BLOCK", 30_000)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 30_000)
 
 
 @pytest.fixture(scope="module")
@@ -182,7 +183,7 @@ def test_runs_decode_as_whole_texts():
     texts = [[r.choice(pool) if r.random() < 0.3 else r.choice(["the", "and", "Haus", "schön", "x."]) for _ in range(r.randint(0, 60))] for _ in range(600)]
     bounds = np.cumsum([0, *map(len, texts)])
     c = field.classes([w for x in texts for w in x])
-    em, tags = field.scores(c, bounds), field.decode(c, bounds)
+    em, tags = field.scores(c, bounds).astype(float), field.decode(c, bounds)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if a < b:
             best = em[a] + pii.START
@@ -196,7 +197,7 @@ def test_runs_decode_as_whole_texts():
 def test_viterbi_is_the_best_path():
     field = pii.train(pii.labelled_rows(60), steps=5)
     words = ["call", "(743)", "555-3824"]
-    em = field.scores(field.classes(words), np.array([0, 3]))
+    em = field.scores(field.classes(words), np.array([0, 3])).astype(float)
     import itertools
 
     score = lambda p: em[range(3), p].sum() + pii.START[p[0]] + sum(field.trans[a, b] for a, b in itertools.pairwise(p))
