@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import metrics
+from ..sources.storage import written
 
 
 def shared(bits: DataFrame, *on: str) -> DataFrame:
@@ -77,6 +78,7 @@ def similar(signatures: DataFrame, least: float) -> DataFrame:
     Of n bits in order of rarity, the first n - ceil(least * n) + 1 hold one that any such partner has among its own first. What two
     share there, and what can come after the last of it, bounds what they share at all; only pairs that this leaves are compared.
     """
+    signatures = written(signatures.select("seq_id", "bits"), "signatures")
     rows = signatures.select("seq_id", F.size("bits").alias("n"), F.explode("bits").alias("bit"))
     rarity = rows.groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("seq_id").orderBy("df", "bit"))

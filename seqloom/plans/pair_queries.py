@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import metrics
-from ..operators import aggregates, pairs, sketches
+from ..operators import aggregates, block_pairs, pairs, sketches
 from .base import ALL, DNA, FLAT, FLAT_ALL, KM, WIN_ALL, bit_sql, dna, flat, kmer_sql, query, table, window_counts, windowed
 
 #: Common bits at which two windows match.
@@ -17,6 +17,11 @@ def _bits(spark, sf_dir: str) -> DataFrame:
     return sketches.bit_rows(flat(spark, sf_dir))
 
 
+def _measured(signatures: DataFrame, *columns) -> DataFrame:
+    """(i, j, columns) of all pairs with a common bit, by blocks of signatures."""
+    return block_pairs.counted(signatures).select("i", "j", *columns)
+
+
 def _window_bits(spark, sf_dir: str) -> DataFrame:
     return sketches.bit_rows(windowed(spark, sf_dir))
 
@@ -25,15 +30,16 @@ def _window_bits(spark, sf_dir: str) -> DataFrame:
 @query(f"{FLAT_ALL}, s AS (SELECT i, j, c / (na + nb - c)::DOUBLE AS s FROM px) SELECT i, j, s AS similarity FROM s UNION ALL SELECT j, i, s FROM s UNION ALL SELECT seq_id, seq_id, 1.0 FROM cnt")
 def sim_jaccard_all(spark, sf_dir: str) -> DataFrame:
     """Full matrix of flat Jaccard, without its zeros."""
-    bits = _bits(spark, sf_dir)
-    upper = pairs.measure(bits, metrics.jaccard)
-    return pairs.both_ways(upper, bits.select("seq_id").distinct())
+    signatures = flat(spark, sf_dir)
+    upper = _measured(signatures, metrics.jaccard(F.col("na"), F.col("nb"), F.col("inter")).alias("similarity"))
+    return pairs.both_ways(upper, signatures.where(F.size("bits") > 0))
 
 
 @query(f"{WIN_ALL}, bits AS (SELECT DISTINCT seq_id, bit FROM wbits), cnt AS (SELECT seq_id, count(*) AS n FROM bits GROUP BY 1), pr AS (SELECT a.seq_id AS i, b.seq_id AS j, count(*) AS c FROM bits a JOIN bits b ON a.bit = b.bit AND a.seq_id < b.seq_id GROUP BY 1, 2) SELECT i, j, c / (x.n + y.n - c)::DOUBLE AS similarity FROM pr JOIN cnt x ON x.seq_id = i JOIN cnt y ON y.seq_id = j")
 def sim_global(spark, sf_dir: str) -> DataFrame:
     """Jaccard of all windows' bits together."""
-    return pairs.measure(_window_bits(spark, sf_dir).select("seq_id", "bit").distinct(), metrics.jaccard)
+    unions = windowed(spark, sf_dir).groupBy("seq_id").agg(F.array_distinct(F.flatten(F.collect_list("bits"))).alias("bits"))
+    return _measured(unions, metrics.jaccard(F.col("na"), F.col("nb"), F.col("inter")).alias("similarity"))
 
 
 @query(f"{WIN_ALL} SELECT i, j, round(sum(c / (na + nb - c)::DOUBLE) / least(any_value(x.n), any_value(y.n)), 6) AS similarity FROM wpx JOIN nw x ON x.seq_id = i JOIN nw y ON y.seq_id = j GROUP BY i, j")
@@ -62,16 +68,13 @@ def sim_mean_window(spark, sf_dir: str) -> DataFrame:
 @query(f"{FLAT_ALL} SELECT i, j, c / nb::DOUBLE AS overlap, c / least(na, nb)::DOUBLE AS of_smaller FROM px")
 def sim_overlap(spark, sf_dir: str) -> DataFrame:
     """Share of the second's bits, and of the smaller's, that are common."""
-    bits = _bits(spark, sf_dir)
-    sizes = bits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
-    p = pairs.with_sizes(pairs.shared(bits), sizes)
     a, b, i = F.col("na"), F.col("nb"), F.col("inter")
-    return p.select("i", "j", metrics.containment(b, i).alias("overlap"), metrics.smaller_share(a, b, i).alias("of_smaller"))
+    return _measured(flat(spark, sf_dir), metrics.containment(b, i).alias("overlap"), metrics.smaller_share(a, b, i).alias("of_smaller"))
 
 
 @query(f"{FLAT_ALL} SELECT i, j, (na + nb - 2 * c)::BIGINT AS hd FROM px")
 def sim_hamming(spark, sf_dir: str) -> DataFrame:
-    return pairs.measure(_bits(spark, sf_dir), metrics.hamming, "hd")
+    return _measured(flat(spark, sf_dir), metrics.hamming(F.col("na"), F.col("nb"), F.col("inter")).alias("hd"))
 
 
 @query(f"{WIN_ALL}, t AS (SELECT seq_id, count(*) AS n FROM wbits GROUP BY 1), s AS (SELECT i, j, sum(c) AS c FROM wpr GROUP BY 1, 2) SELECT i, j, (x.n + y.n - 2 * c)::BIGINT AS hd FROM s JOIN t x ON x.seq_id = i JOIN t y ON y.seq_id = j")
@@ -81,8 +84,14 @@ def sim_hamming_windowed(spark, sf_dir: str) -> DataFrame:
 
 @query(f"{FLAT_ALL} SELECT i, j, c / (na + nb - c)::DOUBLE AS similarity FROM px WHERE c / (na + nb - c)::DOUBLE >= 0.5")
 def sim_filtered_inverted(spark, sf_dir: str) -> DataFrame:
-    """Pairs with Jaccard 0.5 and more, by their rarest bits."""
-    return pairs.similar(flat(spark, sf_dir), 0.5)
+    """Pairs with Jaccard 0.5 and more."""
+    return block_pairs.similar(flat(spark, sf_dir), 0.5)
+
+
+@query(f"{FLAT_ALL} SELECT i, j, c / (na + nb - c)::DOUBLE AS similarity FROM px WHERE c / (na + nb - c)::DOUBLE >= 0.9")
+def sim_filtered_prefix(spark, sf_dir: str) -> DataFrame:
+    """Pairs with Jaccard 0.9 and more, by their rarest bits: near copies, where few bits need be joined."""
+    return pairs.similar(flat(spark, sf_dir), 0.9)
 
 
 _BENCH = "bdna AS (SELECT item_id AS seq_id, '' AS lang, '' AS source, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark)"
@@ -99,13 +108,8 @@ def sim_vs_benchmark(spark, sf_dir: str) -> DataFrame:
 
 @query(f"{FLAT_ALL}, s AS (SELECT (floor(c * 10 / (na + nb - c)::DOUBLE + 1e-9) * 10)::INT AS bin, count(*) AS n FROM px GROUP BY 1), z AS (SELECT (SELECT count(*) * (count(*) - 1) / 2 FROM cnt) - (SELECT count(*) FROM px) AS n) SELECT b.bin::INT AS bin, (coalesce(s.n, 0) + CASE WHEN b.bin = 0 THEN z.n ELSE 0 END)::BIGINT AS count FROM (SELECT unnest(range(0, 101, 10)) AS bin) b LEFT JOIN s ON s.bin = b.bin, z")
 def sim_histogram(spark, sf_dir: str) -> DataFrame:
-    """Histogram of the flat Jaccard of all pairs of sequences that have a k-mer; pairs without a common bit are counted, not formed."""
-    bits = _bits(spark, sf_dir)
-    found = pairs.measure(bits, metrics.jaccard)
-    n = bits.agg(F.count_distinct("seq_id").alias("ids"))
-    formed = found.agg(F.count(F.lit(1)).alias("formed"))
-    zero = n.join(formed).select((F.col("ids") * (F.col("ids") - 1) / 2 - F.col("formed")).cast("long").alias("n"))
-    return aggregates.histogram(spark, found, zero)
+    """Histogram of the flat Jaccard of all pairs of sequences that have a k-mer; pairs are counted, not formed."""
+    return block_pairs.histogram(flat(spark, sf_dir))
 
 
 def _runs_sql(runs: int, size: int) -> str:

@@ -100,3 +100,27 @@ def test_treap_inserts_what_it_does_not_find(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 1, 27: 2, 53: 0}
     none = Treap.NOT_FOUND
     assert {r["seq_id"]: r["cluster"] for r in treap_classify(df.select("seq_id").distinct(), df, stride=26).collect()} == {0: 0, 1: none, 2: none, 3: none, 27: none, 53: 0}
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    """Many blocks, sizes that many rows share, and rows without bits, against all pairs."""
+    from seqloom.operators import block_pairs
+
+    monkeypatch.setattr(block_pairs, "BLOCK", 6)
+    r = random.Random(6)
+    rows = [(i, sorted(r.sample(range(70), r.choice([0, 3, 3, 3, 20, 40])))) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq_id long, bits array<int>")
+    want = {}
+    for i, x in rows:
+        for j, y in rows:
+            if i < j and set(x) & set(y):
+                want[i, j] = (len(x), len(y), len(set(x) & set(y)))
+    assert {(p["i"], p["j"]): (p["na"], p["nb"], p["inter"]) for p in block_pairs.counted(df).collect()} == want
+    for least in (0.1, 0.5, 1.0):
+        got = {(p["i"], p["j"]) for p in block_pairs.similar(df, least).collect()}
+        assert got == {k for k, (a, b, c) in want.items() if c / (a + b - c) >= least}
+    full = [i for i, x in rows if x]
+    bins = {p["bin"]: p["count"] for p in block_pairs.histogram(df).collect()}
+    assert sum(bins.values()) == len(full) * (len(full) - 1) // 2 and len(bins) == 11
+    assert bins[100] == sum(c == a == b for a, b, c in want.values())
+    assert block_pairs.counted(df.limit(0)).count() == 0
