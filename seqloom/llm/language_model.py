@@ -6,7 +6,8 @@ parent is uniform over the V known words and one unknown. A customer sits at a t
 one by (concentration + discount * tables) * parent's probability. Tables are sampled by Gibbs, a word's at a time: all of its
 customers, however many, get up, and the number of tables they take again is drawn given the other words' tables. From settled
 expectations on, sweeps go over all words at once. Table counts are averaged over the sweeps after burn-in, and the predictive
-probability is that of the averages (it is linear in them).
+probability is that of the averages: an approximation of the average of the sweeps' own probabilities, equal to it only while
+the parent's stay the same.
 
 Counts are exchanged in blocks and buckets (see blocks): a context's words all meet in one bucket, as one entry a block, so a
 frequent word costs no more than its distinct followers. While contexts are seated, the parent's probability is taken from
