@@ -51,7 +51,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: The near-duplicate, field and packing stages are beyond SQL; tests hold run() against a brute-force version.
+#: The near-duplicate, field and packing stages are beyond SQL; tests hold the stages against the operators, and these against brute force.
 ORACLE_SQL = None
 
 
