@@ -519,6 +519,57 @@ def test_pipeline(spark, docs, corpus):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(seen[3][2])
 
 
+def test_pipeline_run(spark, corpus, tmp_path):
+    """run() over odd rows against plain near-duplicate and passage stages; quality's verdicts and redaction depend on a row alone."""
+    from pyspark.sql.types import StructType
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    repeated = corpus[0]
+    rows = [*corpus, repeated, repeated, (None, corpus[5][1] + " and some more words that nothing else holds"), (9001, None), (9002, ""), (9003, " \n ")]
+    schema = StructType.fromDDL("doc_id long, text string, lang string, source string, n_chars long, kept int, number string, component long, c0 string, t string")
+    frame = lambda pairs: spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, "x", 2, "y", "z") for d, t in pairs], schema)
+    frame(rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]].append(r)
+
+    kept = sorted(((r["doc_id"], r["text"]) for r in quality.keep(frame(rows)).collect()), key=lambda x: (x[0] is None, x[0] or 0))
+    shingled = []
+    for _, text in kept:
+        w = text.encode().lower().split()
+        shingled.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    group = list(range(len(kept)))
+    for i, x in enumerate(shingled):
+        for j in range(i):
+            if x and 100 * len(x & shingled[j]) >= 75 * len(x | shingled[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    stay = [kept[i] for i in range(len(kept)) if group[i] == i]
+    assert 10 < len(stay) < len(kept) < len(rows)
+    split = [t.encode().split() for _, t in stay]
+    counts = collections.Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    stripped = []
+    for (doc, text), w in zip(stay, split, strict=True):
+        cut = {i + k for i in range(len(w) - 34) if counts[tuple(w[i : i + 35])] > 1 for k in range(35)}
+        stripped.append((doc, b" ".join(x for i, x in enumerate(w) if i not in cut).decode() if cut else text))
+    assert stripped != stay
+    want = {r["doc_id"]: r["text"] for r in pii.redact(frame(stripped)).collect()}
+    assert set(got) == set(want) and len(want) == len(stay)
+    t = Tokenizer.from_file(WORD)
+    for doc, text in want.items():
+        ids, at = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4"), 0
+        for p in sorted(got[doc], key=lambda p: p["start"]):
+            assert (p["start"], p["doc_tokens"], p["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + p["length"]].tobytes()))
+            at += p["length"]
+        assert at == len(ids)
+
+    empty = tmp_path / "empty"
+    frame([]).write.parquet(str(empty / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_as_sql(spark, duck, name):
     import pandas as pd
