@@ -51,7 +51,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: The near-duplicate, field and packing stages are beyond SQL; tests hold the stages against the operators, and these against brute force.
+#: The near-duplicate, field and packing stages are beyond SQL; a test holds run() against plain near-duplicate and passage stages.
 ORACLE_SQL = None
 
 
