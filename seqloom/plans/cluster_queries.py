@@ -107,16 +107,6 @@ def shared_child_bits(spark, sf_dir: str) -> DataFrame:
     return child.groupBy("lang", "bit").agg(F.count_distinct("source").alias("n")).where("n > 2")
 
 
-@query()
-def kmeans_4_rounds(spark, sf_dir: str) -> DataFrame:
-    return clustering.kmeans(flat(spark, sf_dir), 5, 4, seed=7)
-
-
-@query()
-def kmeans_majority(spark, sf_dir: str) -> DataFrame:
-    return clustering.kmeans(flat(spark, sf_dir), 5, 4, seed=7, how="majority")
-
-
 def _tree(spark, sf_dir: str) -> DataFrame:
     return clustering.leader_tree(flat(spark, sf_dir), ALL.bits, 0.5, 0.1)
 
