@@ -209,20 +209,20 @@ def _nearer(members: DataFrame, means: DataFrame, side: DataFrame) -> DataFrame:
 def trim(nodes: DataFrame, filled: DataFrame) -> DataFrame:
     """(node, parent) without nodes that have no filled one below them, and without empty ones that have a single child.
 
-    filled: (node) that hold members. A node hangs from its nearest ancestor that stays, or else from what the top one hung from.
+    nodes: trees, without a cycle; filled: (node) that hold members. A node hangs from its nearest ancestor that stays, or else from what the top one hung from.
     """
     nodes = written(nodes.select("node", "parent"), "nodes")
     filled = written(filled.select("node").distinct().join(nodes, "node", "left_semi"), "filled")
-    kept = new = filled
-    while not new.isEmpty():
-        up = nodes.join(new, "node").select(F.col("parent").alias("node")).distinct().join(nodes, "node", "left_semi")
-        new = written(up.join(kept, "node", "left_anti"), "kept")
-        kept = kept.unionByName(new)
+    # each round doubles the steps upwards, so their number is the logarithm of the depth
+    kept, jump = filled, nodes.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", F.col("parent").alias("to"))
+    while not (jump := written(jump, "jumps")).isEmpty():
+        kept = written(kept.unionByName(kept.join(jump, "node").select(F.col("to").alias("node"))).distinct(), "kept")
+        jump = jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"))
     edges = written(nodes.join(kept, "node", "left_semi"), "edges")
     children = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     gone = edges.join(children, "node").where("n = 1").join(filled, "node", "left_anti").select(F.col("node").alias("parent"), F.col("parent").alias("to"))
     gone = written(gone, "gone")
-    while True:  # each round doubles the steps upwards
+    while True:
         next_ = gone.select(F.col("parent").alias("to"), F.col("to").alias("further"))
         if gone.join(next_, "to", "left_semi").isEmpty():
             break

@@ -94,7 +94,7 @@ def test_ktree(spark):
     r = random.Random(8)
     rows = {i: tuple(sorted(r.sample(range(40), r.randint(1, 9)))) for i in range(20)} | {i: (1, 2, 3) for i in range(20, 35)}
     bits = spark.createDataFrame([(i, b) for i, own in rows.items() for b in own], "seq_id long, bit int")
-    members, nodes = trees.ktree(bits, 10)
+    members, nodes = trees.ktree(bits, 10, refine=1)
     got = found(members)
     assert set(got) == set(rows)
     leaves = collections.defaultdict(set)
