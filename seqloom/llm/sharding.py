@@ -121,7 +121,8 @@ def _sql_draws(name: str, leaves: list[Leaf]) -> str:
 
 
 
-def _remainder(byte: int) -> int:
+def crc_step(byte: int) -> int:
+    """Entry of the CRC-32 table for a byte."""
     for _ in range(8):
         byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
     return byte
@@ -129,7 +130,7 @@ def _remainder(byte: int) -> int:
 
 def oracle(shards: int = 24) -> str:
     """DuckDB twin of op5_hash_tree. CRC-32 is folded over the bytes, as that engine has no such function."""
-    table = ", ".join(str(_remainder(b)) for b in range(256))
+    table = ", ".join(str(crc_step(b)) for b in range(256))
     leaves = topology(shards)
     last = len(levels(leaves))
     hashed = "('0x' || substr(md5(doc_id::VARCHAR || '/' || text_crc32::VARCHAR || '/' || size::VARCHAR), 1, 13))::BIGINT"
