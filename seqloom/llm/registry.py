@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, jaccard_join, language_model, packing, permutation_index, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_counts
+from . import alignment, importance, jaccard_join, language_model, packing, permutation_index, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_parity_sketch": jaccard_join.op9_parity_sketch,
     "op10_digest_cache": token_counts.op10_digest_cache,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_byte_owners": alignment.op12_byte_owners,
 }
 ORACLE_SQL = {**quality.SQL, **sharding.SQL, **importance.SQL}
