@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, importance, jaccard_join, language_model, packing, permutation_index, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_counts
+from . import alignment, importance, jaccard_join, language_model, packing, permutation_index, pii, quality, secret_scan, sentencepiece_codec, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_digest_cache": token_counts.op10_digest_cache,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_byte_owners": alignment.op12_byte_owners,
+    "op13_randomness_tests": secret_scan.op13_randomness_tests,
 }
 ORACLE_SQL = {**quality.SQL, **sharding.SQL, **importance.SQL}
