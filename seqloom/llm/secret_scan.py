@@ -91,11 +91,13 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def base_spans(text: Column) -> Column:
     """(start, rank, end) of the fixed patterns' matches, by start, then rank."""
-    each = []
-    for rank, (kind, (pattern, group, least)) in enumerate(BASE.items()):
-        good = F.filter(matches(text, _FASTER.get(kind, pattern), group), lambda m, n=least: F.length(m["what"]) >= n)
-        each.append(F.transform(good, lambda m, r=rank: F.struct(m["start"].alias("start"), F.lit(r).alias("rank"), m["end"].alias("end"))))
-    return F.array_sort(F.concat(*each))
+
+    def of(rank: int, kind: str) -> Column:
+        pattern, group, least = BASE[kind]
+        good = F.filter(matches(text, _FASTER.get(kind, pattern), group), lambda m: F.length(m["what"]) >= least)
+        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
+
+    return F.array_sort(F.concat(*[of(rank, kind) for rank, kind in enumerate(BASE)]))
 
 
 def upper_tail(z: Column) -> Column:
@@ -125,8 +127,9 @@ def battery(token: Column, e: Encoding, share: float) -> Column:
     both = lambda z: 2 * upper_tail(F.abs(z))
 
     def uniform(v: Column, n: Column) -> Column:
-        seen = [F.pow(F.size(F.filter(v, lambda x, j=j: F.floor(x / e.width) == j)).cast("double"), F.lit(2.0)) * k / len(b) for j, b in enumerate(bins)]
-        return sum(seen[1:], seen[0]) / n - n
+        seen = lambda j: F.size(F.filter(v, lambda x: F.floor(x / e.width) == j)).cast("double")
+        parts = [F.pow(seen(j), F.lit(2.0)) * k / len(b) for j, b in enumerate(bins)]
+        return sum(parts[1:], parts[0]) / n - n
 
     def runs(v: Column, n: Column) -> Column:
         low = F.transform(v, lambda x: x < k // 2)
@@ -233,6 +236,6 @@ def named(spans: str) -> Column:
 
 def op13_randomness_tests(spark, sf_dir: str) -> DataFrame:
     rows = find(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
-    counts = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{k}") for r, k in enumerate(BASE)]
-    n_random = F.size(F.filter("secrets", lambda s: s["rank"] == len(BASE))).cast("long").alias("n_random")
+    n = lambda spans, rank: F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+    counts, n_random = [n("base", r).alias(f"n_{k}") for r, k in enumerate(BASE)], n("secrets", len(BASE)).alias("n_random")
     return rows.select("doc_id", *counts, F.sha2(named("base").cast("binary"), 256).alias("base_sha256"), named("secrets").alias("spans"), n_random)
