@@ -69,7 +69,8 @@ def features(texts: pa.Array, n: int) -> Keyed:
     counts = np.bincount(owners, minlength=len(bounds) - 1)
     at_bounds = np.concatenate(([0], np.cumsum(counts)))
     ptr, at, times = per_document(which[by], at_bounds, begun)
-    return Keyed(pa.concat_arrays(keys), ptr, at, times, [pa.array(n_words.astype(np.int64)), pa.array(counts.astype(np.int64))])
+    used, at = np.unique(at, return_inverse=True)  # the empty string between white space is no word
+    return Keyed(pa.concat_arrays(keys).take(pa.array(used)), ptr, at, times, [pa.array(n_words.astype(np.int64)), pa.array(counts.astype(np.int64))])
 
 
 def gain(s: Column, t: Column, all_s: Column, all_t: Column, buckets: int) -> Column:
@@ -130,7 +131,7 @@ def drawn(df: DataFrame, percent: int, least: int, seed: int, key: str = "doc_id
     sizes = sizes.select(part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before), F.sum(n).over(Window.partitionBy(F.lit(0))).alias(all_n))
     out = placed.join(F.broadcast(sizes), part, "left")
     rank = F.col(before) + F.col(at) + 1
-    return out.select(*df.columns, "score", F.when(F.col(able) & (rank <= F.floor(F.lit(percent) * F.col(all_n) / 100)), rank).cast("long").alias("rank"))
+    return out.select(*[c for c in df.columns if c not in ("score", "rank")], "score", F.when(F.col(able) & (rank <= F.floor(F.lit(percent) * F.col(all_n) / 100)), rank).cast("long").alias("rank"))
 
 
 def op11_importance_resampling(spark, sf_dir: str) -> DataFrame:

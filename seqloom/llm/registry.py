@@ -19,4 +19,4 @@ QUERIES = {
     "op12_byte_owners": alignment.op12_byte_owners,
     "op13_randomness_tests": secret_scan.op13_randomness_tests,
 }
-ORACLE_SQL = {**quality.SQL, **sharding.SQL, **importance.SQL}
+ORACLE_SQL = {**quality.SQL, **sharding.SQL, **importance.SQL, **secret_scan.SQL}

@@ -239,3 +239,62 @@ def op13_randomness_tests(spark, sf_dir: str) -> DataFrame:
     n = lambda spans, rank: F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
     counts, n_random = [n("base", r).alias(f"n_{k}") for r, k in enumerate(BASE)], n("secrets", len(BASE)).alias("n_random")
     return rows.select("doc_id", *counts, F.sha2(named("base").cast("binary"), 256).alias("base_sha256"), named("secrets").alias("spans"), n_random)
+
+
+def _sql_tail(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    tail = f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"(CASE WHEN {z} < 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def oracle(q: float = 0.05) -> str:
+    """DuckDB twin of op13_randomness_tests: places by window sums, tests by groups of (string, symbol) rows."""
+    patterns = [(k, r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""" if k == "assign" else p, g, n) for k, (p, g, n) in BASE.items()]
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {r} AS rank, what, doc_end - length(what) AS s, doc_end AS e FROM (SELECT doc_id, i, what, sum(length(gap) + coalesce(length(what), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS doc_end"
+        f" FROM (SELECT doc_id, unnest(range(len(gaps))) AS i, unnest(gaps) AS gap, unnest(list_append(ms, NULL)) AS what FROM (SELECT doc_id, string_split_regex(t, {lit(p)}) AS gaps, regexp_extract_all(t, {lit(p)}) AS ms FROM d)))"
+        f" WHERE what IS NOT NULL AND length({f'regexp_extract(what, {lit(p)}, {g})' if g else 'what'}) >= {n}"
+        for r, (_, p, g, n) in enumerate([*patterns, (RANDOM, CANDIDATE, 0, 0)])
+    )
+    codes = ", ".join(f"({i}, {lit(e.alphabet)}, {len(e.alphabet)}, {e.width}, {len(e.bins()) - 1})" for i, e in enumerate(ENCODINGS))
+    which = " ".join(f"WHEN regexp_full_match(what, {lit(f'({e.fits})=*')}) THEN {i}" for i, e in enumerate(ENCODINGS))
+    lowered = " OR ".join(f"enc = {i}" for i, e in enumerate(ENCODINGS) if e.lower)
+    cube = lambda x, mean, df: f"((pow({x} / ({mean}), 1.0 / 3) - (1 - 2.0 / (9.0 * ({df})))) / sqrt(2.0 / (9.0 * ({df}))))"
+    kinds = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate([*BASE, RANDOM]))
+    text = f"string_agg((CASE rank {kinds} END) || ':' || s || ':' || e, ',' ORDER BY s, rank)"
+    classes = " + ".join(f"(n >= {x})::INT" for x in LENGTHS[1:])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+c AS (SELECT *, CASE {which} END AS enc FROM f WHERE rank = {len(BASE)} AND NOT EXISTS (SELECT 1 FROM f AS b WHERE b.rank < {len(BASE)} AND b.doc_id = f.doc_id AND b.s < f.e AND b.e > f.s)),
+codes(enc, alphabet, k, width, df) AS (VALUES {codes}),
+symbols AS (SELECT enc, k, width, df, unnest(range(k)) AS v, substr(alphabet, unnest(range(k))::INT + 1, 1) AS c FROM codes),
+bins AS (SELECT enc, k, v // width AS bin, count(*) AS size FROM symbols GROUP BY ALL),
+seen AS (SELECT c, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_-]')) AS c FROM d) GROUP BY c),
+shares AS (SELECT enc, sum(n * n / total / total * k / size) - 1 AS share FROM (SELECT enc, bin, k, size, coalesce(n, 0)::DOUBLE AS n, sum(coalesce(n, 0)) OVER (PARTITION BY enc)::DOUBLE AS total
+             FROM bins LEFT JOIN (SELECT enc, v // width AS bin, sum(n) AS n FROM symbols JOIN seen USING (c) GROUP BY ALL) USING (enc, bin)) WHERE total > 0 GROUP BY enc),
+chars AS (SELECT doc_id, s, enc, unnest(range(length(body))) AS i, substr(body, unnest(range(length(body)))::INT + 1, 1) AS c
+          FROM (SELECT doc_id, s, enc, rtrim(CASE WHEN {lowered} THEN lower(what) ELSE what END, '=') AS body FROM c)),
+vs AS (SELECT doc_id, s, enc, i, v, k, df, v // width AS bin, v < k // 2 AS low, lag(v) OVER w AS before, lag(v < k // 2) OVER w AS low_before, avg(v) OVER (PARTITION BY doc_id, s) AS mean
+       FROM chars JOIN symbols USING (enc, c) WINDOW w AS (PARTITION BY doc_id, s ORDER BY i)),
+chi AS (SELECT doc_id, s, sum(o * o * k / size) / sum(o) - sum(o) AS x FROM (SELECT doc_id, s, enc, bin, count(*)::DOUBLE AS o FROM vs GROUP BY ALL) JOIN bins USING (enc, bin) GROUP BY ALL),
+st AS (SELECT doc_id, s, enc, df, count(*)::DOUBLE AS n, count(*) FILTER (low)::DOUBLE AS below, count(*) FILTER (low <> low_before) AS changes,
+              sum((v - mean) * (before - mean)) AS lagged, sum((v - mean) * (v - mean)) AS squares FROM vs GROUP BY ALL),
+zs AS (SELECT *, 2 * below * (n - below) / n AS expected FROM st JOIN chi USING (doc_id, s) LEFT JOIN shares USING (enc)),
+zz AS (SELECT *, {cube('x', 'df', 'df')} AS z1, (changes - expected) / greatest(sqrt(greatest(expected * (expected - 1), 0) / (n - 1)), 1e-9) AS z2, (lagged / nullif(squares, 0) + 1 / n) * sqrt(n) AS z3,
+              {cube('x', 'df + n * share', '(df + n * share) * (df + n * share) / (df + 2 * n * share)')} AS z4 FROM zs),
+ps AS (SELECT *, -ln(greatest({_sql_tail('z1')}, 1e-300)) - ln(greatest(CASE WHEN below = 0 OR below = n THEN 0.0 ELSE 2 * {_sql_tail('abs(z2)')} END, 1e-300))
+                 - ln(greatest(CASE WHEN squares = 0 THEN 0.0 ELSE 2 * {_sql_tail('abs(z3)')} END, 1e-300)) AS h, greatest({_sql_tail('-z4')}, 1e-300) AS ordinary FROM zz),
+t AS (SELECT doc_id, s, {classes} AS class, least(floor(-10 * log10(ordinary))::INT, {BINS - 1}) AS bin, exp(-h) * (1 + h + h * h / 2) >= {PASSES} AS passes FROM ps),
+ks AS (SELECT class, bin, sum(count(*)) OVER (PARTITION BY class ORDER BY bin DESC) AS k, sum(count(*)) OVER (PARTITION BY class) AS m FROM (SELECT DISTINCT class, bin, what FROM t JOIN c USING (doc_id, s)) GROUP BY class, bin),
+least_bin AS (SELECT class, min(bin) AS least FROM ks WHERE pow(10.0, -bin / 10.0) <= {q} * k / m GROUP BY class),
+added AS (SELECT c.doc_id, c.rank, c.s, c.e FROM c JOIN t USING (doc_id, s) JOIN least_bin USING (class) WHERE passes AND bin >= least),
+spans AS (SELECT doc_id, rank, s, e FROM f WHERE rank < {len(BASE)} UNION ALL SELECT * FROM added),
+b AS (SELECT doc_id, {text} AS base FROM spans WHERE rank < {len(BASE)} GROUP BY doc_id),
+a AS (SELECT doc_id, {text} AS spans, {', '.join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate([*BASE, RANDOM]))} FROM spans GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in [*BASE, RANDOM])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)"""
+
+
+SQL = {"op13_randomness_tests": oracle()}
