@@ -36,7 +36,12 @@ def _matrix(column) -> np.ndarray:
     """The vectors of an Arrow list column as rows of doubles."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(flat)
-    return np.asarray(flat.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    return scaled(np.asarray(flat.flatten(), np.float64).reshape(n, -1)) if n else np.zeros((0, 0))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither over- nor underflow; cosines stay what they are to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
@@ -94,7 +99,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
     # numbered once, since a number must be the same wherever it is read
     usable = written(usable.where(F.size(v) == usual["n"]).withColumn("row", F.monotonically_increasing_id()), "vectors")
     drawn = {tuple(r["v"]) for r in usable.select("v", "id").orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).collect()}
-    pivot = spread(np.array(sorted(drawn)), pivots)
+    pivot = spread(scaled(np.array(sorted(drawn))), pivots)
     posted = min(posted, max(1, len(pivot) // 2) if len(pivot) > 1 else 1)
 
     copies = Window.partitionBy("v").orderBy("id", "row")

@@ -61,7 +61,7 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
             at = text.find("@", floor)
     if _digit.search(text):
         if "." in text:
-            out += [(1, m.start(), m.end()) for m in _ip.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".") if len(x) < 4000) and all(len(x.lstrip("0")) <= 3 for x in m[0].split("."))]
+            out += [(1, m.start(), m.end()) for m in _ip.finditer(text) if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split(".")))]
         for m in _card.finditer(text):
             if 13 <= m.end() - m.start() <= 37 and 13 <= len(d := _nondigit.sub("", m[0])) <= 19 and luhn(d):
                 out.append((2, m.start(), m.end()))

@@ -78,3 +78,17 @@ def test_odd_vectors(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (0, 2, 1)]  # each is the other's neighbour
     assert permutation_index.nearest(df.limit(0), F.lit(True)).count() == 0
     assert permutation_index.nearest(df.where("vec_id = 8"), F.lit(True)).count() == 0
+
+
+def test_vectors_of_any_length(spark):
+    """Cosines of vectors whose squares leave the range of doubles."""
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [3e-320, 0.0]), (3, [0.0, 5e300])]
+    got = permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [(r["vec_id"], round(r["score"], 12)) for r in got] == [(2, 1.0), (1, round(0.5**0.5, 12)), (3, 0.0)]
+
+
+def test_addresses_with_zeros():
+    """Parts of an address are compared as numbers, however many zeros lead them."""
+    zeros = "0" * 5000
+    found = lambda text: [x for x in pii.patterns(text) if x[0] == 1]
+    assert not found(f"{zeros}999.1.2.3") and found(f"{zeros}255.1.{zeros}.3") == [(1, 0, 5000 + 3 + 3 + 5000 + 2)] and found("x 1.2.3.4") == [(1, 2, 9)]
