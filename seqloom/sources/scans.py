@@ -6,7 +6,7 @@ import struct
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import signatures
+from . import split_sequences
 from .splits import SignatureSource, files, opened
 
 
@@ -120,4 +120,10 @@ def by_name(spark: SparkSession, folder: str, pattern: str, schema: str, paramet
 
 
 def hash_lists(spark: SparkSession, *where: str) -> DataFrame:
-    return signatures.hash_lists(spark, list(where))
+    """(path, seq_id, hashes) of lists that the greatest 64-bit number ends, by byte ranges."""
+    return split_sequences.hash_lists(spark, *where).withColumnRenamed("file", "path")
+
+
+def sample(signatures: DataFrame, n: int, seed: int) -> DataFrame:
+    """n signatures by a hash of seed and id: the same for the same seed."""
+    return signatures.orderBy(F.xxhash64("seq_id", F.lit(seed)), "seq_id").limit(n)

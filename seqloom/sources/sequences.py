@@ -56,7 +56,7 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
 def read(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(file, seq_id, id, seq) of a file or folder, through Spark's own readers, so any store they reach will do.
 
-    A file is one record for its task; formats without an index can't be split, so large inputs should come as many files.
+    A file is one record for its task; split_sequences reads large files by byte ranges.
     """
     import pyarrow as pa
 
@@ -73,10 +73,10 @@ def read(spark: SparkSession, path: str, pattern: str | None = None) -> DataFram
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq) of FASTA files by Spark's text reader alone: a record is what lies between '>' signs."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    lines = F.split("value", "\r?\n")
-    return rows.select(F.trim(lines[0]).alias("id"), F.regexp_replace(F.array_join(F.slice(lines, 2, 1 << 30), ""), "\\s", "").alias("seq"))
+    """(id, seq) of FASTA files, by byte ranges; only a '>' that begins a line begins a record."""
+    from . import split_sequences
+
+    return split_sequences.records(spark, path).select("id", "seq")
 
 
 class FileList(InputPartition):

@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: written below spark.checkpoint.dir (a temporary folder for local sessions without one) and read again."""
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a temporary folder for local sessions without one."""
     global _local
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and spark.sparkContext.master.startswith("local["):
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.startswith("local["):
         _local = _local or f"file://{tempfile.mkdtemp(prefix='seqloom-')}"
-        folder = _local
-    folder = folder or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        found = _local
+    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written below the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

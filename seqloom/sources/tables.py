@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,11 +40,14 @@ def skipping(spark: SparkSession, path: str, skip: int, header: bool = True, sep
     lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     first = lines.orderBy("at").limit(skip + int(header)).collect()
     start = first[-1]["at"] if first else -1
-    names = first[-1]["value"].split(sep) if header and len(first) > skip else None
+    cells = lambda line: next(csv.reader([line], delimiter=sep), [])
     body = lines.where(F.col("at") > start)
-    parts = F.split("value", sep)
-    n = len(names) if names else len((body.first() or {"value": ""})["value"].split(sep))
-    return body.select(*[F.trim(parts[i]).alias(names[i].strip().strip('"') if names else f"_c{i}") for i in range(n)])
+    names = [x.strip() for x in cells(first[-1]["value"])] if header and len(first) > skip else None
+    names = names or [f"_c{i}" for i in range(len(cells((body.first() or {"value": ""})["value"])))]
+    if not names:
+        return body.select()
+    parts = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"sep": sep})
+    return body.select(parts.alias("x")).select(*[F.trim(f"x.c{i}").alias(name) for i, name in enumerate(names)])
 
 
 def write_edges(pairs: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import clustering
-from seqloom.sources import sequences, signatures, tables
+from seqloom.sources import scans, sequences, sinks, tables
 
 
 def test_sequence_formats(spark, tmp_path):
@@ -21,14 +21,15 @@ def test_sequence_formats(spark, tmp_path):
 def test_signature_round_trip(spark, tmp_path):
     rows = [(i, [i, 8 + i]) for i in range(5)]
     df = spark.createDataFrame(rows, "seq_id long, bits array<int>")
-    signatures.write_flat(df.coalesce(1), 32, str(tmp_path / "flat"))
-    got = signatures.flat(spark, str(tmp_path / "flat")).collect()
+    sinks.signatures(df, 32, str(tmp_path / "flat"))
+    got = scans.flat(spark, str(tmp_path / "flat")).collect()
     assert sorted(r["bits"] for r in got) == [b for _, b in rows]
     w = spark.createDataFrame([(0, 0, [1]), (0, 1, [2]), (1, 0, [3])], "seq_id long, window_id int, bits array<int>")
-    signatures.write_windowed(w, 16, str(tmp_path / "win"))
-    assert sorted((r["window_id"], r["bits"]) for r in signatures.windowed(spark, str(tmp_path / "win")).collect()) == [(0, [1]), (0, [3]), (1, [2])]
-    (tmp_path / "h.bin").write_bytes(b"".join(x.to_bytes(8, "little") for x in (5, 6, signatures.END_OF_LIST, signatures.END_OF_LIST, 7, signatures.END_OF_LIST)))
-    assert [r["hashes"] for r in signatures.hash_lists(spark, str(tmp_path / "h.bin")).orderBy("seq_id").collect()] == [[5, 6], [], [7]]
+    sinks.windowed_signatures(w, 16, str(tmp_path / "win"))
+    assert sorted((r["window_id"], r["bits"]) for r in scans.windowed(spark, str(tmp_path / "win")).collect()) == [(0, [1]), (0, [3]), (1, [2])]
+    end = (1 << 64) - 1
+    (tmp_path / "h.bin").write_bytes(b"".join(x.to_bytes(8, "little") for x in (5, 6, end, end, 7, end)))
+    assert [r["hashes"] for r in scans.hash_lists(spark, str(tmp_path / "h.bin")).orderBy("seq_id").collect()] == [[5, 6], [], [7]]
 
 
 def test_tables(spark, tmp_path):
@@ -38,6 +39,8 @@ def test_tables(spark, tmp_path):
     assert sorted(map(tuple, tables.merged(spark, str(tmp_path / "config.csv")).collect())) == [(0, 3, 3), (1, 4, 4)]
     (tmp_path / "s.csv").write_text("junk\nmore\na,b\n1,2\n3,4\n")
     assert [r.asDict() for r in tables.skipping(spark, str(tmp_path / "s.csv"), 2).collect()] == [{"a": "1", "b": "2"}, {"a": "3", "b": "4"}]
+    (tmp_path / "q.csv").write_text('junk\nid|"a name"|n\n1|"x|y, z"|3\n2||4\n')
+    assert [tuple(r) for r in tables.skipping(spark, str(tmp_path / "q.csv"), 1, sep="|").collect()] == [("1", "x|y, z", "3"), ("2", None, "4")]
     (tmp_path / "tree.txt").write_text(tables.write_tree([(1, 0, 0.5, "b"), (2, 1, 0.25, "l"), (3, 1, 1, "l")], 90))
     assert {(r["parent"], r["child"]) for r in tables.tree(spark, str(tmp_path / "tree.txt")).collect()} == {(0, 1), (1, 2), (1, 3)}
     (tmp_path / "x.sbt").write_text("root\n*a\n**b\n**c\n*d\n")
