@@ -141,3 +141,44 @@ def histogram(signatures: DataFrame) -> DataFrame:
     found = each_two(signatures, run, "bin int, count long").groupBy("bin").agg(F.sum("count").alias("count"))
     bins = signatures.sparkSession.range(11).select((F.col("id") * 10).cast("int").alias("bin"))
     return bins.join(found, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
+def product(items: DataFrame, nodes: DataFrame, least: float, best: bool = False) -> DataFrame:
+    """(seq_id, node, alike): Jaccard of items (seq_id, bits) and nodes (node, bits) above `least`, every two blocks in a task.
+
+    With `best`, only the most alike node of a block for each item, ties to the smaller. Pairs without a common bit are left out.
+    """
+    full = lambda df, key: df.where(F.size("bits") > 0).select(F.col(key).cast("long").alias("id"), F.col("bits").cast("array<int>").alias("bits"))
+    a, b = full(items, "seq_id"), full(nodes, "node")
+    na, nb = (max(1, -(-x.count() // BLOCK)) for x in (a, b))
+    block = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.select("id", "bits", block("id", na).alias("a"), every(nb).alias("b"))
+    right = b.select("id", "bits", every(na).alias("a"), block("id", nb).alias("b"))
+
+    def packed(t: pa.Table):
+        lists = t["bits"].combine_chunks()
+        n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        return t["id"].to_numpy(), n, (lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(n))))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"seq_id": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "alike": pa.array([], pa.float64())})
+        (i, m, p), (j, n, q) = packed(x), packed(y.sort_by("id"))
+        inter = common(p, q)
+        alike = inter / (m[:, None] + n[None, :] - inter)
+        if best:
+            at, to = np.arange(len(i)), alike.argmax(1)
+            real = (inter[at, to] > 0) & (alike[at, to] > least)
+            at, to = at[real], to[real]
+        else:
+            at, to = np.nonzero((alike > least) & (inter > 0))
+        return pa.table({"seq_id": pa.array(i[at]), "node": pa.array(j[to]), "alike": pa.array(alike[at, to])})
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, "seq_id long, node long, alike double")
+
+
+def nearest(items: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(seq_id, node, similarity): the most alike node of each item that shares a bit with any; ties to the smaller."""
+    found = product(items, nodes, 0.0, best=True).groupBy("seq_id").agg(F.min(F.struct((-F.col("alike")).alias("far"), "node")).alias("x"))
+    return found.select("seq_id", "x.node", (-F.col("x.far")).alias("similarity"))

@@ -1,20 +1,17 @@
 """Trees of clusters as tables: nodes (node, parent), members (node, seq_id, bit) and signatures of nodes (node, bit).
 
 A node is a leaf if no other names it as its parent; a root's own parent isn't a node. Everything goes level by level, by
-joins, and each level is written, so a tree may have any number of nodes. Only `cluster` builds in one task, since there each
-insertion depends on all before; its rounds of reassigning are joins again.
+joins, and each level is written, so a tree may have any number of nodes. `cluster` grows its tree in batches (leader.py).
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import metrics
 from ..sources.sinks import tree_levels
 from ..sources.storage import written
-from . import aggregates, windowed
-from .clustering import LeaderTree, WindowTree
+from . import aggregates, block_pairs, leader, windowed
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -93,11 +90,13 @@ def without_singletons(members: DataFrame, singleton: int = 1) -> DataFrame:
 
 def most_alike(ids: DataFrame, bits: DataFrame, means: DataFrame) -> DataFrame:
     """(seq_id, node, similarity): the node of the greatest Jaccard, ties to the smaller; null where no bit is shared."""
-    na = bits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("na"))
-    nb = means.groupBy("node").agg(F.count(F.lit(1)).alias("nb"))
-    inter = bits.join(means, "bit").groupBy("seq_id", "node").agg(F.count(F.lit(1)).alias("c")).join(na, "seq_id").join(nb, "node")
-    like = inter.withColumn("similarity", metrics.jaccard(F.col("na"), F.col("nb"), F.col("c")))
-    return _best(ids, like)
+    lists = lambda df, key: df.groupBy(key).agg(F.collect_list("bit").alias("bits"))
+    names = means.select("node").distinct()
+    # names that are no numbers are numbered in order, so that ties go to the smaller one
+    names = names.withColumn("no", F.col("node").cast("long")) if dict(means.dtypes)["node"] in ("int", "bigint") else leader.ordered(names, F.col("node")).withColumnRenamed("rank", "no")
+    near = block_pairs.nearest(lists(bits, "seq_id"), lists(means.join(names, "node").select(F.col("no").alias("node"), "bit"), "node"))
+    found = near.withColumnRenamed("node", "no").join(names, "no").select("seq_id", "node", "similarity")
+    return ids.select("seq_id").join(found, "seq_id", "left")
 
 
 def _best(ids: DataFrame, like: DataFrame) -> DataFrame:
@@ -109,6 +108,16 @@ def most_alike_windowed(ids: DataFrame, bits: DataFrame, means: DataFrame, metho
     """(seq_id, node, similarity) as most_alike, for windowed signatures (seq_id, window_id, bit) and means (node, window_id, bit), by one of windowed.METHODS."""
     if method == "global":
         return most_alike(ids, bits.select("seq_id", "bit").distinct(), means.select("node", "bit").distinct())
+    return _best(ids, similarities(bits, means, method, threshold))
+
+
+def similarities(bits: DataFrame, means: DataFrame, method: str, threshold: int = 2) -> DataFrame:
+    """(seq_id, node, similarity) of windowed signatures and means that share a bit in a window (or at all, for the global method)."""
+    if method == "global":
+        bits, means = bits.select("seq_id", "bit").distinct(), means.select("node", "bit").distinct()
+        na, nb = (x.groupBy(k).agg(F.count(F.lit(1)).alias(n)) for x, k, n in ((bits, "seq_id", "na"), (means, "node", "nb")))
+        inter = bits.join(means, "bit").groupBy("seq_id", "node").agg(F.count(F.lit(1)).alias("c")).join(na, "seq_id").join(nb, "node")
+        return inter.select("seq_id", "node", metrics.jaccard(F.col("na"), F.col("nb"), F.col("c")).alias("similarity"))
     if method not in windowed.METHODS:
         raise ValueError(f"{method!r} is none of {windowed.METHODS}")
     counted = window_counts(bits, means)
@@ -116,7 +125,7 @@ def most_alike_windowed(ids: DataFrame, bits: DataFrame, means: DataFrame, metho
     per = F.sum(metrics.jaccard(na, nb, c)) if method == "local" else F.count_if((c >= threshold) | ((c == na) & (c == nb)))
     out = counted.groupBy("seq_id", "node", "wa", "wb").agg(per.alias("v"))
     of = F.least("wa", "wb") if method == "local" else F.greatest("wa", "wb")
-    return _best(ids, out.select("seq_id", "node", (F.col("v") / of).alias("similarity")))
+    return out.select("seq_id", "node", (F.col("v") / of).alias("similarity"))
 
 
 def window_counts(bits: DataFrame, means: DataFrame) -> DataFrame:
@@ -259,19 +268,14 @@ def cluster(signatures: DataFrame, ids: DataFrame, bits: int, stay: float = 0.8,
         own = signatures.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("window_id", "bits"))), lambda s: s["bits"]).alias("bits"))
         packed = ids.select("seq_id").join(own, "seq_id", "left").withColumn("bits", F.coalesce("bits", F.array().cast("array<array<int>>")))
 
-    def build(batches):
-        tree = LeaderTree(bits, stay, split, loosen) if method is None else WindowTree(method, threshold, stay, split, loosen)
-        for batch in batches:
-            found = [tree.insert(i, own) for i, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(found, pa.int32()), pa.nulls(len(found), pa.int32())], ["seq_id", "node", "parent"])
-        n = len(tree.parent) - 1
-        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.array(tree.parent[1:], pa.int32())], ["seq_id", "node", "parent"])
-
-    order = [F.xxhash64("seq_id", F.lit(seed)), F.col("seq_id")] if seed is not None else [F.col("seq_id")]
-    some = packed if first is None else packed.orderBy(*order).limit(first)
-    built = written(some.repartition(1).sortWithinPartitions(*order).mapInArrow(build, "seq_id long, node int, parent int"), "tree")
-    nodes = built.where("seq_id IS NULL").select("node", "parent")
-    members = ids.select("seq_id").join(built.where("seq_id IS NOT NULL").select("seq_id", "node"), "seq_id", "left")
+    order = [F.xxhash64("seq_id", F.lit(seed))] if seed is not None else []
+    some = packed
+    if first is not None:
+        some = leader.ordered(packed, *order, F.col("seq_id")).where(F.col("rank") < first)
+    kind = leader.Flat(bits) if method is None else leader.Windowed(method, threshold)
+    built, nodes, _ = leader.grow(some, kind, stay, split, loosen, order)
+    nodes = nodes.select("node", "parent")
+    members = ids.select("seq_id").join(built, "seq_id", "left")
     rows = written(signatures.select(*[c for c in signatures.columns if c in ("seq_id", "window_id")], F.explode("bits").alias("bit")), "bits")
     for _ in range(iterations):
         ends = leaves(nodes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import metrics
-from ..operators import aggregates, clustering, evaluate, pairs, prefix, sketches
+from ..operators import aggregates, clustering, evaluate, leader, pairs, prefix, sketches
 from .base import ALL, CFG, DNA, FLAT, FLAT_ALL, KM, WBITS, WIN, bit_sql, dna, flat, query, table, windowed
 from .pair_queries import _SIX, sim_filtered_inverted
 
@@ -108,7 +108,7 @@ def shared_child_bits(spark, sf_dir: str) -> DataFrame:
 
 
 def _tree(spark, sf_dir: str) -> DataFrame:
-    return clustering.leader_tree(flat(spark, sf_dir), ALL.bits, 0.5, 0.1)
+    return leader.leader_tree(flat(spark, sf_dir), ALL.bits, 0.5, 0.1)
 
 
 @query()

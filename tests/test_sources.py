@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import clustering
+from seqloom.operators import clustering, leader
 from seqloom.sources import scans, sequences, sinks, tables
 
 
@@ -62,7 +62,7 @@ def test_leader_tree():
 
 def test_equal_sequences_share_a_node(spark):
     sigs = spark.createDataFrame([(i, [i % 3, 10 + i % 3, 20]) for i in range(12)], "seq_id long, bits array<int>")
-    nodes = clustering.leader_tree(sigs, 64, 0.6, 0.1).select("node", "bits")
+    nodes = leader.leader_tree(sigs, 64, 0.6, 0.1).select("node", "bits")
     got = clustering.reinsert(sigs, nodes, 2).collect()
     assert len(got) == 12
     for k in range(3):
