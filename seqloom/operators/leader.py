@@ -38,13 +38,49 @@ def ordered(rows: DataFrame, *by: Column) -> DataFrame:
     return placed.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "before")
 
 
+class Packed:
+    """Flat signatures as rows of one matrix of 64-bit words, all compared with another at once."""
+
+    def __init__(self, bits: int):
+        self.rows, self.sizes, self.n = np.zeros((64, -(-bits // 64)), np.uint64), np.zeros(64, np.int64), 0
+
+    def described(self, bits: list[int]) -> tuple[np.ndarray, int]:
+        out = np.zeros(self.rows.shape[1] * 64, np.uint8)
+        out[bits] = 1
+        return np.packbits(out, bitorder="little").view(np.uint64), len(bits)
+
+    def add(self, own: tuple[np.ndarray, int]) -> None:
+        if self.n == len(self.rows):
+            self.rows, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.rows, self.sizes))
+        self.rows[self.n], self.sizes[self.n] = own
+        self.n += 1
+
+    def likeness(self, own: tuple[np.ndarray, int]) -> np.ndarray:
+        both = np.bitwise_count(self.rows[: self.n] & own[0]).sum(1, dtype=np.int64)
+        return both / np.maximum(self.sizes[: self.n] + own[1] - both, 1)
+
+
+class Listed:
+    """Windowed signatures, compared one by one."""
+
+    def __init__(self, method: str, threshold: int):
+        self.method, self.threshold, self.rows = method, threshold, []
+
+    def described(self, windows: list[list[int]]) -> clustering.Windows:
+        return clustering.Windows(windows)
+
+    def add(self, own: clustering.Windows) -> None:
+        self.rows.append(own)
+
+    def likeness(self, own: clustering.Windows) -> np.ndarray:
+        return np.array([clustering.alike(x, own, self.method, self.threshold) for x in self.rows])
+
+
 @dataclass
 class Flat:
     """Flat signatures (seq_id, bits) by Jaccard."""
 
     bits: int
-    plain = "array<int>"
-
     def alike(self, items: DataFrame, means: DataFrame, least: float) -> DataFrame:
         nodes = means.groupBy("node").agg(F.array_sort(F.collect_list("bit")).alias("bits"))
         return block_pairs.product(items, nodes, least)
@@ -55,12 +91,8 @@ class Flat:
     def means(self, inside: DataFrame) -> DataFrame:
         return aggregates.mean_signature(inside, "majority", "node")
 
-    def described(self, bits: list[int]):
-        return frozenset(bits)
-
-    def likeness(self, own, other) -> float:
-        both = len(own & other)
-        return both / (len(own) + len(other) - both) if both else 0.0
+    def shelf(self) -> Packed:
+        return Packed(self.bits)
 
 
 @dataclass
@@ -69,8 +101,6 @@ class Windowed:
 
     method: str
     threshold: int
-    plain = "array<array<int>>"
-
     def alike(self, items: DataFrame, means: DataFrame, least: float) -> DataFrame:
         from .trees import similarities
 
@@ -82,11 +112,8 @@ class Windowed:
     def means(self, inside: DataFrame) -> DataFrame:
         return windowed.truncated_mean(inside, "node")
 
-    def described(self, windows: list[list[int]]):
-        return clustering.Windows(windows)
-
-    def likeness(self, own, other) -> float:
-        return clustering.alike(other, own, self.method, self.threshold)
+    def shelf(self) -> Listed:
+        return Listed(self.method, self.threshold)
 
 
 @dataclass
@@ -120,18 +147,19 @@ class Made:
     """What one task of insertions makes of the tree."""
 
     rule: Rule
-    likeness: Callable
+    shelf: Packed | Listed
     next_node: int
     next_place: int
     members: list[tuple] = field(default_factory=list)
     nodes: dict[int, tuple[int, int]] = field(default_factory=dict)  # new and moved ones: (parent, place)
     branches: set[int] = field(default_factory=set)
-    own: dict[int, object] = field(default_factory=dict)  # signatures of new ones
+    new: list[int] = field(default_factory=list)  # those whose signatures are on the shelf, in its order
 
     def node(self, parent: int, signature) -> int:
         node, self.next_node = self.next_node, self.next_node + 1
         self.put(node, parent)
-        self.own[node] = signature
+        self.shelf.add(signature)
+        self.new.append(node)
         return node
 
     def put(self, node: int, parent: int) -> None:
@@ -139,39 +167,51 @@ class Made:
         self.branches.add(parent)
         self.next_place += 1
 
-    def insert(self, seq_id, signature, met: list[tuple]) -> None:
-        """met: (node, parent, place, branch, alike) of the kin nodes that were there before."""
-        below = defaultdict(list)
-        for node, parent, place, branch, alike in met:
-            parent, place = self.nodes.get(node, (parent, place))
-            below[parent].append((place, node, branch or node in self.branches, alike))
-        for node, other in self.own.items():
-            if (alike := self.likeness(signature, other)) > self.rule.split:
-                parent, place = self.nodes[node]
-                below[parent].append((place, node, node in self.branches, alike))
+    def insert(self, seq_id, bits: list, met: list[dict]) -> None:
+        """met: node, parent, place, branch and likeness of the kin nodes that were there before."""
+        signature, below = self.shelf.described(bits), defaultdict(list)
+        for x in met:
+            parent, place = self.nodes.get(x["node"], (x["parent"], x["place"]))
+            below[parent].append((place, x["node"], x["branch"] or x["node"] in self.branches, x["alike"]))
+        if self.new:
+            alike = self.shelf.likeness(signature)
+            for i in np.flatnonzero(alike > self.rule.split).tolist():
+                parent, place = self.nodes[self.new[i]]
+                below[parent].append((place, self.new[i], self.new[i] in self.branches, float(alike[i])))
         kind, *where = self.rule.way(lambda at: sorted(below[at]))
-        if kind == "stay":
-            node = where[0]
-        elif kind == "leaf":
-            node = self.node(where[0], signature)
-        else:
-            node = self.node(where[0], signature)
-            for kin in where[1]:
-                self.put(kin, node)
+        node = where[0] if kind == "stay" else self.node(where[0], signature)
+        for kin in where[1] if kind == "gather" else ():
+            self.put(kin, node)
         self.members.append((seq_id, node))
 
 
+MET_ROWS = "array<struct<node:bigint,parent:bigint,place:bigint,branch:boolean,alike:double>>"
+_met = pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("place", pa.int64()), ("branch", pa.bool_()), ("alike", pa.float64())]))
+
+
 def _descend(rule: Rule):
-    """(seq_id, node) of where sequences stay in the tree as it is; null for those that stay nowhere."""
+    """Where sequences stay in the tree as it is; null, and the nodes whose ancestors are all kin, for those that stay nowhere."""
 
     def run(t: pa.Table) -> pa.Table:
         below: dict = defaultdict(lambda: defaultdict(list))
-        for i, node, parent, place, branch, alike in zip(*(t[c].to_pylist() for c in ("seq_id", "node", "parent", "place", "branch", "alike")), strict=True):
-            below[i]
+        ranks = {}
+        for i, rank, node, parent, place, branch, alike in zip(*(t[c].to_pylist() for c in ("seq_id", "rank", "node", "parent", "place", "branch", "alike")), strict=True):
+            ranks[i] = rank
             if node is not None:
                 below[i][parent].append((place, node, branch, alike))
-        found = [(i, w[1] if (w := rule.way(lambda at, x=x: sorted(x[at])))[0] == "stay" else None) for i, x in below.items()]
-        return pa.table({"seq_id": pa.array([i for i, _ in found], pa.int64()), "node": pa.array([n for _, n in found], pa.int64())})
+        rows = []
+        for i, rank in ranks.items():
+            kin = below[i]
+            kind, node, *_ = rule.way(lambda at, kin=kin: sorted(kin[at]))
+            met, todo = [], [ROOT] if kind != "stay" else []
+            while todo:
+                at = todo.pop()
+                for place, child, branch, alike in kin[at]:
+                    met.append({"node": child, "parent": at, "place": place, "branch": branch, "alike": alike})
+                    todo.append(child)
+            rows.append((i, rank, node if kind == "stay" else None, met))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), _met), strict=True)], names=["seq_id", "rank", "node", "met"])
 
     return run
 
@@ -180,10 +220,10 @@ def _insert(rule: Rule, kind: Flat | Windowed, next_node: int, next_place: int):
     """(seq_id, node) of sequences inserted in order of rank, and (node, parent, place) of nodes made or moved."""
 
     def run(t: pa.Table) -> pa.Table:
-        tree = Made(rule, kind.likeness, next_node, next_place)
+        tree = Made(rule, kind.shelf(), next_node, next_place)
         ids, bits, met = (t[c].to_pylist() for c in ("seq_id", "bits", "met"))
         for i in np.argsort(t["rank"].to_numpy(), kind="stable").tolist():
-            tree.insert(ids[i], kind.described(bits[i]), [(x["node"], x["parent"], x["place"], x["branch"], x["alike"]) for x in met[i]])
+            tree.insert(ids[i], bits[i], met[i])
         rows = [(i, n, None, None) for i, n in tree.members] + [(None, n, p, at) for n, (p, at) in tree.nodes.items()]
         columns = list(zip(*rows, strict=True)) or [()] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["seq_id", "node", "parent", "place"])
@@ -191,16 +231,6 @@ def _insert(rule: Rule, kind: Flat | Windowed, next_node: int, next_place: int):
     return run
 
 
-def reachable(met: DataFrame) -> DataFrame:
-    """The rows of met (seq_id, node, parent, ...) whose ancestors are all met by the same sequence."""
-    met = written(met, "met")
-    out = level = met.where(F.col("parent") == ROOT)
-    while not level.isEmpty():
-        level = written(met.join(level.select("seq_id", F.col("node").alias("parent")), ["seq_id", "parent"], "left_semi"), "met")
-        out = out.unionByName(level)
-    return out
-
-
 def grow(signatures: DataFrame, kind: Flat | Windowed, stay: float, split: float, loosen: float = 0.0, order: list[Column] | None = None, first: int = FIRST, misfits: int = MISFITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((seq_id, node), (node, parent, place), means): a tree over all signatures (seq_id, bits), grown in batches.
 
@@ -208,48 +238,45 @@ def grow(signatures: DataFrame, kind: Flat | Windowed, stay: float, split: float
     """
     if not 0 <= split < stay:
         raise ValueError("0 <= split < stay")
-    rule = Rule(stay, split, loosen)
-    spark = signatures.sparkSession
+    rule, spark = Rule(stay, split, loosen), signatures.sparkSession
     ranked = written(ordered(signatures.select("seq_id", "bits"), *(order or []), F.col("seq_id")), "ranked")
     total, done, size = ranked.count(), 0, first
     members = spark.createDataFrame([], "seq_id long, node long")
     nodes = spark.createDataFrame([], "node long, parent long, place long")
-    means = kind.means(members.withColumn("bit", F.lit(0)).withColumn("window_id", F.lit(0)) if isinstance(kind, Windowed) else members.withColumn("bit", F.lit(0)))
-    waiting = None
-    n_nodes = n_places = 0
-    while done < total or waiting is not None:
+    means = kind.means(kind.rows(ranked.limit(0)).join(members, "seq_id"))
+    waiting, left, n_nodes, n_places = None, 0, 0, 0
+    while done < total or left:
         batch = ranked.where((F.col("rank") >= done) & (F.col("rank") < done + size)).select("seq_id", "bits", "rank")
-        batch = written(batch if waiting is None else batch.unionByName(waiting), "batch")
+        batch = batch if waiting is None else batch.unionByName(waiting)
+        some = max(1, -(-(min(size, total - done) + left) // DESCENTS))
         done, size = min(total, done + size), min(total, done + size)  # a batch is as large as all before it
         branch = nodes.select(F.col("parent").alias("node"), F.lit(True).alias("branch")).distinct()
-        known = written(nodes.join(branch, "node", "left").withColumn("branch", F.coalesce("branch", F.lit(False))), "known")
-        met = written(kind.alike(batch, means, split).join(known, "node"), "alike")
-        way = batch.select("seq_id", "rank").join(met, "seq_id", "left")
-        some = max(1, -(-batch.count() // DESCENTS))
-        found = way.withColumn("some", F.pmod(F.xxhash64("seq_id"), F.lit(some))).groupBy("some").applyInArrow(_descend(rule), "seq_id long, node long")
-        found = written(found, "found")
-        rest = batch.join(found.where("node IS NULL").select("seq_id"), "seq_id", "left_semi")
-        near = reachable(met.join(rest.select("seq_id"), "seq_id", "left_semi"))
-        near = near.groupBy("seq_id").agg(F.collect_list(F.struct("node", "parent", "place", "branch", "alike")).alias("met"))
-        rest = written(rest.join(near, "seq_id", "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<node:bigint,parent:bigint,place:bigint,branch:boolean,alike:double>>"))), "misfits")
+        known = nodes.join(branch, "node", "left").withColumn("branch", F.coalesce("branch", F.lit(False)))
+        # where nothing can be met yet, nothing is compared
+        met = kind.alike(batch, means, split) if n_nodes else spark.createDataFrame([], "seq_id long, node long, alike double")
+        way = batch.select("seq_id", "rank").join(met.join(known, "node"), "seq_id", "left").withColumn("some", F.pmod(F.xxhash64("seq_id"), F.lit(some)))
+        found = written(way.groupBy("some").applyInArrow(_descend(rule), f"seq_id long, rank long, node long, met {MET_ROWS}"), "found")
+        rest = found.where("node IS NULL")
         # as many as one task may hold, in order; the first one in any case
         few = rest.select("rank", F.size("met").alias("n")).orderBy("rank").limit(misfits)
-        upto = few.select("rank", F.sum("n").over(Window.orderBy("rank")).alias("held")).where((F.col("held") <= MET) | (F.col("held") == 0))
-        last = upto.agg(F.max("rank")).first()[0]
-        last = few.agg(F.min("rank")).first()[0] if last is None else last
-        made = None
+        held = few.select("rank", F.sum("n").over(Window.orderBy("rank")).alias("held"))
+        counts = held.agg(F.max(F.when(F.col("held") <= MET, F.col("rank"))).alias("last"), F.min("rank").alias("least")).crossJoin(rest.agg(F.count(F.lit(1)).alias("n"))).first()
+        last, made = counts["least"] if counts["last"] is None else counts["last"], None
+        joined = found.where("node IS NOT NULL").select("seq_id", "node")
         if last is not None:
-            task = rest.where(F.col("rank") <= last)
-            made = written(task.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_insert(rule, kind, n_nodes + 1, n_places), "seq_id long, node long, parent long, place long"), "made")
+            task = rest.where(F.col("rank") <= last).join(batch.select("seq_id", "bits"), "seq_id").withColumn("one", F.lit(0))
+            made = written(task.groupBy("one").applyInArrow(_insert(rule, kind, n_nodes + 1, n_places), "seq_id long, node long, parent long, place long"), "made")
             changed = made.where("seq_id IS NULL").select("node", "parent", "place")
             nodes = written(nodes.join(changed.select("node"), "node", "left_anti").unionByName(changed), "nodes")
-            n_nodes, n_places = nodes.agg(F.max("node"), F.max("place") + 1).first()
-        waiting = rest.where(F.col("rank") > (last if last is not None else -1)).select("seq_id", "bits", "rank")
-        waiting = None if last is None or waiting.isEmpty() else waiting
-        joined = found.where("node IS NOT NULL")
-        joined = joined.unionByName(made.where("seq_id IS NOT NULL").select("seq_id", "node")) if made is not None else joined
-        members = written(members.unionByName(joined), "members")
-        inside = kind.rows(ranked.join(members, "seq_id", "left_semi").select("seq_id", "bits")).join(members, "seq_id")
+            joined = joined.unionByName(made.where("seq_id IS NOT NULL").select("seq_id", "node"))
+            top = made.agg(F.max("node").alias("node"), F.max("place").alias("place"), F.count("seq_id").alias("n")).first()
+            n_nodes, n_places = max(n_nodes, top["node"]), max(n_places, (top["place"] if top["place"] is not None else -1) + 1)
+            left = counts["n"] - top["n"]
+            waiting = batch.join(rest.where(F.col("rank") > last).select("seq_id"), "seq_id", "left_semi") if left else None
+        else:
+            waiting, left = None, 0
+        members = members.unionByName(joined)
+        inside = kind.rows(ranked.select("seq_id", "bits")).join(members, "seq_id")
         means = written(kind.means(inside), "means")
     return members, nodes, means
 
