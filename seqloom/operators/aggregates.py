@@ -127,8 +127,8 @@ def node_distances(members: DataFrame) -> DataFrame:
 def farthest(members: DataFrame, group: str) -> DataFrame:
     """(group, hd, seq_id): the member at the greatest Hamming distance from the mean, ties to the smaller id."""
     rows = node_distances(members.withColumnRenamed(group, "cluster"))
-    best = F.max(F.struct("hd", (-F.col("seq_id")).alias("least"), "seq_id")).alias("x")
-    return rows.groupBy(F.col("cluster").alias(group)).agg(best).select(group, "x.hd", "x.seq_id")
+    best = F.min(F.struct((-F.col("hd")).alias("near"), "seq_id")).alias("x")
+    return rows.groupBy(F.col("cluster").alias(group)).agg(best).select(group, (-F.col("x.near")).alias("hd"), "x.seq_id")
 
 
 def davies_bouldin_hamming(members: DataFrame, group: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import clustering, sketches, trees
+from ..operators import balanced, clustering, sketches, trees
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, bit_sql, dna, flat, kmer_sql, query, table, windowed
 from .cluster_queries import _M, _MEAN, _members
 from .pair_queries import MATCH, _window_bits
@@ -136,3 +136,30 @@ def tree_cluster(spark, sf_dir: str) -> DataFrame:
 def tree_cluster_windowed(spark, sf_dir: str) -> DataFrame:
     """The same by the windows' mean Jaccard, with an estimated split threshold."""
     return trees.cluster(windowed(spark, sf_dir), dna(spark, sf_dir), ALL.bits, 0.5, None, iterations=1, method="local")[0]
+
+
+@query("SELECT count(*)::BIGINT AS n_sequences, 0::BIGINT AS uneven_leaves, 0::BIGINT AS overfull, 0::BIGINT AS underfull, 0::BIGINT AS wrong_signatures FROM documents")
+def ktree_balance(spark, sf_dir: str) -> DataFrame:
+    """A balanced tree by insertion over all sequences: what its bounds say must be nothing, and every sequence in a leaf."""
+    rows = flat(spark, sf_dir)
+    members, nodes, means = balanced.grow(rows, 16, refine=1)
+    top = nodes.where("parent IS NULL")
+    fill = members.groupBy("node").count().unionByName(nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).count())
+    uneven = nodes.select("node", "parent", "level").join(nodes.select(F.col("node").alias("parent"), (F.col("level") - 1).alias("below")), "parent", "left").where("parent IS NOT NULL AND (below IS NULL OR below <> level)")
+    inner = fill.join(top.select("node"), "node", "left_anti")
+    # a root's bits are all bits there are
+    every = rows.select(F.explode("bits").alias("bit")).distinct()
+    wrong = means.join(top.select("node"), "node", "left_semi").select("bit").where(F.col("bit") != balanced.EVER).exceptAll(every).unionByName(every.exceptAll(means.join(top.select("node"), "node", "left_semi").select("bit")))
+    counts = [members.agg(F.count("node").alias("n_sequences")), uneven.agg(F.count(F.lit(1)).alias("uneven_leaves")), fill.where("count > 16").agg(F.count(F.lit(1)).alias("overfull")), inner.where("count < 4").agg(F.count(F.lit(1)).alias("underfull")), wrong.agg(F.count(F.lit(1)).alias("wrong_signatures"))]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.crossJoin(one)  # a row each
+    return out
+
+
+@query()
+def ktree_again(spark, sf_dir: str) -> DataFrame:
+    """All sequences sent down the finished balanced tree once more."""
+    rows = flat(spark, sf_dir)
+    _, nodes, means = balanced.grow(rows, 16, refine=1)
+    return balanced.again(rows, nodes, means)
