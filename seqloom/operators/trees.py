@@ -78,6 +78,59 @@ def descend(ids: DataFrame, bits: DataFrame, nodes: DataFrame, means: DataFrame)
             return out
 
 
+def search(ids: DataFrame, bits: DataFrame, nodes: DataFrame, means: DataFrame, beam: int = 4) -> DataFrame:
+    """(seq_id, node, hd): the nearest leaf (Hamming, ties to the smaller) that a search with look-ahead finds.
+
+    At each level a sequence keeps the `beam` nearest of all children of the nodes it stands at. With a beam of all nodes of a level
+    the search is exhaustive; with one it is `descend`.
+    """
+    nb = means.groupBy("node").agg(F.count(F.lit(1)).alias("nb"))
+    inner = nodes.select(F.col("parent").alias("node"), F.lit(True).alias("branch")).distinct()
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
+    kids = nodes.join(nb, "node", "left").fillna(0, ["nb"]).join(known, "parent", "left").join(inner, "node", "left")
+    kids = written(kids.select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), "nb", F.coalesce("branch", F.lit(False)).alias("branch")), "children")
+    na = bits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("na"))
+    state = ids.select("seq_id").join(na, "seq_id", "left").fillna(0, ["na"]).withColumn("at", F.lit(None).cast(dict(nodes.dtypes)["node"]))
+    best = None
+    while True:
+        ahead = written(state.join(kids, state["at"].eqNullSafe(kids["parent"])).select("seq_id", "na", "node", "nb", "branch"), "ahead")
+        inter = ahead.select("seq_id", "node").join(bits, "seq_id").join(means, ["node", "bit"]).groupBy("seq_id", "node").agg(F.count(F.lit(1)).alias("c"))
+        near = ahead.join(inter, ["seq_id", "node"], "left").withColumn("hd", metrics.hamming(F.col("na"), F.col("nb"), F.coalesce("c", F.lit(0))))
+        rank = F.row_number().over(Window.partitionBy("seq_id").orderBy("hd", "node"))
+        kept = written(near.withColumn("rank", rank).where(F.col("rank") <= beam).select("seq_id", "na", "node", "hd", "branch"), "beam")
+        ends = kept.where("NOT branch").select("seq_id", "node", "hd")
+        best = ends if best is None else best.unionByName(ends)
+        state = kept.where("branch").select("seq_id", "na", F.col("node").alias("at"))
+        if state.isEmpty():
+            return best.groupBy("seq_id").agg(F.min(F.struct("hd", "node")).alias("x")).select("seq_id", "x.node", "x.hd")
+
+
+def extent(nodes: DataFrame, members: DataFrame, means: DataFrame) -> DataFrame:
+    """(node, radius, distortion) of all nodes and of what roots hang from, by Hamming distances, from the leaves upwards.
+
+    A leaf's radius is its farthest member's distance from its mean; a branch's the greatest of its branches' radii and of its leaves'
+    radii and distances from its mean. Distortion is the root of the mean square of distances from a node's mean: of a leaf's members,
+    of a branch's children, to which a child that is a branch adds its own distortion. Only sums of the children move upwards.
+    """
+    hd = metrics.hamming(F.col("na"), F.col("nb"), F.col("inter")).alias("hd")
+    rows = aggregates.to_centroid(members.join(leaves(nodes), "node", "left_semi"), means, "node").select("node", hd)
+    at = written(rows.groupBy("node").agg(F.max("hd").cast("double").alias("radius"), F.sqrt(F.avg(F.col("hd") * F.col("hd"))).alias("distortion"), F.lit(False).alias("branch")), "extent")
+    n = means.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    edges = nodes.select("node", "parent")
+    common = edges.join(means, "node").join(means.withColumnRenamed("node", "parent"), ["parent", "bit"]).groupBy("node").agg(F.count(F.lit(1)).alias("inter"))
+    sized = edges.join(n.withColumnRenamed("n", "na"), "node", "left").join(n.select(F.col("node").alias("parent"), F.col("n").alias("nb")), "parent", "left").join(common, "node", "left").fillna(0, ["na", "nb", "inter"])
+    levels = written(sized.select("node", hd).join(tree_levels(nodes).select("node", "parent", "level"), "node"), "levels")
+    out = at
+    for level in range(levels.agg(F.max("level")).first()[0] or 0, 0, -1):
+        below = levels.where(F.col("level") == level).join(at, "node")
+        far = F.when(F.col("branch"), F.col("radius")).otherwise(F.col("hd") + F.col("radius"))
+        off = F.col("hd") + F.when(F.col("branch"), F.col("distortion")).otherwise(0)
+        up = below.groupBy(F.col("parent").alias("node")).agg(F.max(far).alias("radius"), F.sqrt(F.avg(off * off)).alias("distortion"), F.lit(True).alias("branch"))
+        at = written(at.join(levels.where(F.col("level") < level).select("node"), "node", "left_semi").unionByName(up), "extent")
+        out = out.unionByName(up)
+    return out.select("node", "radius", "distortion")
+
+
 def without_singletons(members: DataFrame, singleton: int = 1) -> DataFrame:
     """(seq_id, node): groups of `singleton` members at most are dissolved, their members go to the remaining group whose majority is most alike by Jaccard (ties to the smaller), or to none (null)."""
     sizes = members.groupBy("node").agg(F.count_distinct("seq_id").alias("size"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import balanced, clustering, sketches, trees
+from ..operators import balanced, clustering, sketches, treap, trees
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, bit_sql, dna, flat, kmer_sql, query, table, windowed
 from .cluster_queries import _M, _MEAN, _members
 from .pair_queries import MATCH, _window_bits
@@ -102,8 +102,10 @@ def tree_trim(spark, sf_dir: str) -> DataFrame:
 
 
 def _kmeans_sql(how: str, k: int = 5, rounds: int = 4, seed: int = 7) -> str:
-    """Rounds as one table after the other."""
-    out = f"""WITH {DNA}, {KM}, {FLAT}, sig AS (SELECT min(seq_id) AS seq_id FROM (SELECT seq_id, list(bit ORDER BY bit) AS s FROM bits GROUP BY 1) GROUP BY s),
+    """Rounds as one table after the other. For how = "windows", bits are windows and bits in one number and means end with the shortest member."""
+    rows = f"{WIN}, {WBITS}, bits AS (SELECT seq_id, window_id * {clustering.WINDOW} + bit AS bit FROM wbits)" if how == "windows" else FLAT
+    cut = lambda i: f" AND bit // {clustering.WINDOW} <= (SELECT min(last) FROM (SELECT cluster, max(bit // {clustering.WINDOW}) AS last FROM m{i} GROUP BY cluster, seq_id) e WHERE e.cluster = v.cluster)" if how == "windows" else ""
+    out = f"""WITH {DNA}, {KM}, {rows}, sig AS (SELECT min(seq_id) AS seq_id FROM (SELECT seq_id, list(bit ORDER BY bit) AS s FROM bits GROUP BY 1) GROUP BY s),
 first AS (SELECT seq_id FROM sig ORDER BY md5('{seed}/' || seq_id), seq_id LIMIT {k}), num AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS cluster FROM first),
 c0 AS (SELECT cluster, bit FROM num JOIN bits USING (seq_id)), na AS (SELECT dna.seq_id, count(bit) AS n FROM dna LEFT JOIN bits USING (seq_id) GROUP BY 1)"""
     for i in range(rounds):
@@ -111,7 +113,7 @@ c0 AS (SELECT cluster, bit FROM num JOIN bits USING (seq_id)), na AS (SELECT dna
 d{i} AS (SELECT na.seq_id, b.cluster, row_number() OVER (PARTITION BY na.seq_id ORDER BY na.n + b.n - 2 * coalesce(c, 0), b.cluster) AS rk FROM na CROSS JOIN (SELECT cluster, count(*) AS n FROM c{i} GROUP BY 1) b LEFT JOIN i{i} i ON i.seq_id = na.seq_id AND i.cluster = b.cluster),
 a{i} AS MATERIALIZED (SELECT seq_id, CASE WHEN (SELECT count(DISTINCT cluster) FROM d{i} WHERE rk = 1) = 1 THEN seq_id % {k} ELSE cluster END AS cluster FROM d{i} WHERE rk = 1),
 m{i} AS (SELECT cluster, seq_id, bit FROM bits JOIN a{i} USING (seq_id)),
-c{i + 1} AS (SELECT v.cluster, bit FROM (SELECT cluster, bit, count(*) AS votes FROM m{i} GROUP BY 1, 2) v JOIN (SELECT cluster, count(DISTINCT seq_id) AS n FROM m{i} GROUP BY 1) s USING (cluster) WHERE {'true' if how == 'or' else 'votes >= (n + 1) // 2'})"""
+c{i + 1} AS (SELECT v.cluster, bit FROM (SELECT cluster, bit, count(*) AS votes FROM m{i} GROUP BY 1, 2) v JOIN (SELECT cluster, count(DISTINCT seq_id) AS n FROM m{i} GROUP BY 1) s USING (cluster) WHERE {'true' if how == 'or' else 'votes >= (n + 1) // 2'}{cut(i)})"""
     return f"{out} SELECT seq_id, cluster::INT AS cluster FROM a{rounds - 1}"
 
 
@@ -126,6 +128,12 @@ def kmeans_majority(spark, sf_dir: str) -> DataFrame:
     return clustering.kmeans(flat(spark, sf_dir), 5, 4, seed=7, how="majority")
 
 
+@query(_kmeans_sql("windows"))
+def kmeans_windowed(spark, sf_dir: str) -> DataFrame:
+    """Four rounds of 5-means of windowed signatures, with majority means as long as the shortest member."""
+    return clustering.kmeans_windowed(dna(spark, sf_dir), windowed(spark, sf_dir), 5, 4, seed=7)
+
+
 @query()
 def tree_cluster(spark, sf_dir: str) -> DataFrame:
     """A tree by insertion and two rounds of reassigning, flat signatures."""
@@ -163,3 +171,48 @@ def ktree_again(spark, sf_dir: str) -> DataFrame:
     rows = flat(spark, sf_dir)
     _, nodes, means = balanced.grow(rows, 16, refine=1)
     return balanced.again(rows, nodes, means)
+
+
+@query(f"""{_TREE}, {_NA}, nl AS (SELECT sz.node, count(bit) AS n FROM (SELECT node FROM sz) sz LEFT JOIN lm USING (node) GROUP BY 1), c AS (SELECT m.seq_id, lm.node, count(*) AS c FROM m JOIN lm USING (bit) GROUP BY 1, 2)
+SELECT seq_id, node, hd FROM (SELECT na.seq_id, nl.node, (na.n + nl.n - 2 * coalesce(c, 0))::BIGINT AS hd, row_number() OVER (PARTITION BY na.seq_id ORDER BY na.n + nl.n - 2 * coalesce(c, 0), nl.node) AS rk FROM na CROSS JOIN nl LEFT JOIN c ON c.seq_id = na.seq_id AND c.node = nl.node) WHERE rk = 1""")
+def tree_search_full(spark, sf_dir: str) -> DataFrame:
+    """The nearest leaf of each sequence by a search whose beam holds whole levels: equal to the scan of all leaves."""
+    nodes, members = _leaves(spark, sf_dir)
+    return trees.search(dna(spark, sf_dir), members.select("seq_id", "bit"), nodes, trees.centroids(nodes, members), beam=1000)
+
+
+@query()
+def tree_search_beam(spark, sf_dir: str) -> DataFrame:
+    """The same with a beam of two."""
+    nodes, members = _leaves(spark, sf_dir)
+    return trees.search(dna(spark, sf_dir), members.select("seq_id", "bit"), nodes, trees.centroids(nodes, members), beam=2)
+
+
+@query(f"""{_TREE}, ns AS (SELECT node, seq_id, count(*) AS n FROM m GROUP BY 1, 2), nl AS (SELECT sz.lang, sz.node, count(bit) AS n FROM sz LEFT JOIN lm USING (node) GROUP BY 1, 2), nb AS (SELECT l.lang, count(bit) AS n FROM (SELECT DISTINCT lang FROM sz) l LEFT JOIN bm USING (lang) GROUP BY 1),
+ld AS (SELECT ns.node, ns.n + nl.n - 2 * coalesce(c, 0) AS hd FROM ns JOIN nl USING (node) LEFT JOIN (SELECT m.node, m.seq_id, count(*) AS c FROM m JOIN lm ON lm.node = m.node AND lm.bit = m.bit GROUP BY 1, 2) USING (node, seq_id)),
+le AS (SELECT node, max(hd)::DOUBLE AS radius, sqrt(avg(hd * hd)) AS distortion FROM ld GROUP BY 1),
+e1 AS (SELECT nl.lang, nl.node, nl.n + nb.n - 2 * coalesce(c, 0) AS hd FROM nl JOIN nb USING (lang) LEFT JOIN (SELECT lm.node, count(*) AS c FROM lm JOIN bm ON bm.lang = lm.lang AND bm.bit = lm.bit GROUP BY 1) USING (node)),
+be AS (SELECT lang, max(hd + radius) AS radius, sqrt(avg(hd * hd)) AS distortion FROM e1 JOIN le USING (node) GROUP BY 1),
+e2 AS (SELECT nb.lang, (SELECT count(DISTINCT bit) FROM bm) - nb.n AS hd FROM nb)
+SELECT node, round(radius, 6) AS radius, round(distortion, 6) AS distortion FROM (SELECT * FROM le UNION ALL SELECT * FROM be UNION ALL SELECT 'all', max(radius), sqrt(avg((hd + distortion) * (hd + distortion))) FROM be JOIN e2 USING (lang))""")
+def tree_extent(spark, sf_dir: str) -> DataFrame:
+    """How far nodes reach and how much they are off their means, from the leaves to the root."""
+    nodes, members = _leaves(spark, sf_dir)
+    rows = trees.extent(nodes, members, trees.centroids(nodes, members))
+    return rows.select("node", F.round("radius", 6).alias("radius"), F.round("distortion", 6).alias("distortion"))
+
+
+@query("SELECT count(*)::BIGINT AS n_sequences, 0::BIGINT AS out_of_heap, 0::BIGINT AS misrouted, 0::BIGINT AS unlike FROM documents")
+def treap_by_priority(spark, sf_dir: str) -> DataFrame:
+    """A treap of all sequences by priorities that a hash gives: what its heap, its routing and its members break must be nothing."""
+    rows = treap.ranked(dna(spark, sf_dir), windowed(spark, sf_dir), seed=3)
+    return treap.violations(treap.written(treap.grow(rows, MATCH), "treap"), rows, MATCH)
+
+
+@query("SELECT count(*)::BIGINT AS n_sequences, 0::BIGINT AS out_of_heap, 0::BIGINT AS misrouted, 0::BIGINT AS unlike FROM documents WHERE lang IS DISTINCT FROM 'de'")
+def treap_delete(spark, sf_dir: str) -> DataFrame:
+    """The same after all German sequences were deleted."""
+    ids = dna(spark, sf_dir, "lang")
+    rows = treap.ranked(ids, windowed(spark, sf_dir), seed=3)
+    left = treap.delete(treap.grow(rows, MATCH), rows, ids.where("lang = 'de'").select("seq_id"), MATCH)
+    return treap.violations(treap.written(left, "treap"), rows, MATCH)
