@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import kmers, metrics
 from ..operators import balanced, clustering, sketches, treap, trees
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, bit_sql, dna, flat, kmer_sql, query, table, windowed
 from .cluster_queries import _M, _MEAN, _members
@@ -104,6 +105,7 @@ def tree_trim(spark, sf_dir: str) -> DataFrame:
 def _kmeans_sql(how: str, k: int = 5, rounds: int = 4, seed: int = 7) -> str:
     """Rounds as one table after the other. For how = "windows", bits are windows and bits in one number and means end with the shortest member."""
     rows = f"{WIN}, {WBITS}, bits AS (SELECT seq_id, window_id * {clustering.WINDOW} + bit AS bit FROM wbits)" if how == "windows" else FLAT
+    rows = f"{WIN}, bits AS (SELECT seq_id, window_id * 64 + n AS bit FROM win, (SELECT unnest(range(64)) AS n) WHERE rn = 1 AND (h >> n) & 1 = 1)" if how == "hashes" else rows
     cut = lambda i: f" AND bit // {clustering.WINDOW} <= (SELECT min(last) FROM (SELECT cluster, max(bit // {clustering.WINDOW}) AS last FROM m{i} GROUP BY cluster, seq_id) e WHERE e.cluster = v.cluster)" if how == "windows" else ""
     out = f"""WITH {DNA}, {KM}, {rows}, sig AS (SELECT min(seq_id) AS seq_id FROM (SELECT seq_id, list(bit ORDER BY bit) AS s FROM bits GROUP BY 1) GROUP BY s),
 first AS (SELECT seq_id FROM sig ORDER BY md5('{seed}/' || seq_id), seq_id LIMIT {k}), num AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS cluster FROM first),
@@ -113,7 +115,7 @@ c0 AS (SELECT cluster, bit FROM num JOIN bits USING (seq_id)), na AS (SELECT dna
 d{i} AS (SELECT na.seq_id, b.cluster, row_number() OVER (PARTITION BY na.seq_id ORDER BY na.n + b.n - 2 * coalesce(c, 0), b.cluster) AS rk FROM na CROSS JOIN (SELECT cluster, count(*) AS n FROM c{i} GROUP BY 1) b LEFT JOIN i{i} i ON i.seq_id = na.seq_id AND i.cluster = b.cluster),
 a{i} AS MATERIALIZED (SELECT seq_id, CASE WHEN (SELECT count(DISTINCT cluster) FROM d{i} WHERE rk = 1) = 1 THEN seq_id % {k} ELSE cluster END AS cluster FROM d{i} WHERE rk = 1),
 m{i} AS (SELECT cluster, seq_id, bit FROM bits JOIN a{i} USING (seq_id)),
-c{i + 1} AS (SELECT v.cluster, bit FROM (SELECT cluster, bit, count(*) AS votes FROM m{i} GROUP BY 1, 2) v JOIN (SELECT cluster, count(DISTINCT seq_id) AS n FROM m{i} GROUP BY 1) s USING (cluster) WHERE {'true' if how == 'or' else 'votes >= (n + 1) // 2'}{cut(i)})"""
+c{i + 1} AS (SELECT v.cluster, bit FROM (SELECT cluster, bit, count(*) AS votes FROM m{i} GROUP BY 1, 2) v JOIN (SELECT cluster, count(DISTINCT seq_id) AS n FROM m{i} GROUP BY 1) s USING (cluster) WHERE {'true' if how in ('or', 'hashes') else 'votes >= (n + 1) // 2'}{cut(i)})"""
     return f"{out} SELECT seq_id, cluster::INT AS cluster FROM a{rounds - 1}"
 
 
@@ -134,6 +136,14 @@ def kmeans_windowed(spark, sf_dir: str) -> DataFrame:
     return clustering.kmeans_windowed(dna(spark, sf_dir), windowed(spark, sf_dir), 5, 4, seed=7)
 
 
+@query(_kmeans_sql("hashes"))
+def kmeans_hash_lists(spark, sf_dir: str) -> DataFrame:
+    """Four rounds of 5-means over lists of each window's least hash."""
+    least = lambda h: F.transform(kmers.windows(h, CFG.width, CFG.hop, 1), lambda w: w[0])
+    lists = dna(spark, sf_dir).select("seq_id", least(kmers.kmers(F.col("seq"), CFG.k)).alias("hashes"))
+    return clustering.kmeans_hash_lists(lists, 5, 4, seed=7)
+
+
 @query()
 def tree_cluster(spark, sf_dir: str) -> DataFrame:
     """A tree by insertion and two rounds of reassigning, flat signatures."""
@@ -216,3 +226,16 @@ def treap_delete(spark, sf_dir: str) -> DataFrame:
     rows = treap.ranked(ids, windowed(spark, sf_dir), seed=3)
     left = treap.delete(treap.grow(rows, MATCH), rows, ids.where("lang = 'de'").select("seq_id"), MATCH)
     return treap.violations(treap.written(left, "treap"), rows, MATCH)
+
+
+@query(f"""WITH {DNA}, {KM}, {WIN}, {WBITS}, x AS (SELECT seq_id, window_id, count(*) AS n FROM wbits GROUP BY 1, 2), nw AS (SELECT seq_id, n FROM nwin WHERE n > 0),
+p AS (SELECT a.seq_id, b.seq_id AS node, least(a.n, b.n) AS n FROM nw a JOIN nw b ON b.seq_id = a.seq_id + 1),
+c AS (SELECT p.seq_id, a.window_id, count(*) AS c FROM p JOIN wbits a ON a.seq_id = p.seq_id JOIN wbits b ON b.seq_id = p.node AND b.window_id = a.window_id AND b.bit = a.bit GROUP BY 1, 2),
+s AS (SELECT p.seq_id, p.n, coalesce(c, 0) AS c, x.n AS own FROM p JOIN x ON x.seq_id = p.seq_id AND x.window_id < p.n LEFT JOIN c ON c.seq_id = x.seq_id AND c.window_id = x.window_id)
+SELECT seq_id, count(*) FILTER (WHERE c > least({MATCH}, own))::INT AS matching, count(*) FILTER (WHERE c > least({MATCH}, own)) >= n * 0.3 AS is_match, sum(c)::INT AS common, 2 * sum(c) >= sum(own) AS goes_left FROM s GROUP BY seq_id, n""")
+def treap_predicates(spark, sf_dir: str) -> DataFrame:
+    """Of each sequence and the one of the next id: matching windows, whether three in ten match, common bits, and the side it would go to."""
+    rows = treap.packed(dna(spark, sf_dir), windowed(spark, sf_dir)).where(F.size("windows") > 0)
+    two = rows.join(rows.select((F.col("seq_id") - 1).alias("seq_id"), F.col("windows").alias("node")), "seq_id")
+    x, y = F.col("windows"), F.col("node")
+    return two.select("seq_id", metrics.windows_matching(x, y, MATCH).alias("matching"), metrics.windows_match(x, y, MATCH, 0.3).alias("is_match"), metrics.windows_inter(x, y).alias("common"), metrics.goes_left(x, y).alias("goes_left"))
