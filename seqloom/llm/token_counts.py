@@ -6,7 +6,7 @@ counts are appended. Digests are 128-bit MD5 of the UTF-8 bytes, the tokenizer's
 so another tokenizer never meets old counts. An append is one Parquet write: it is committed whole or not at all, and a row
 appended twice by two jobs counts once, since readers take one count a key.
 
-The folder is the session's spark.seqloom.tokenCache; where that is unset, `token-counts` in the shared folder. Texts move
+The folder is the session's spark.seqloom.tokenCache; where that is unset, a folder of the shared one for each source. Texts move
 once, those that are missing: equal ones meet before the shuffle. Counts come back to rows by digest, without the text unless it
 is among the columns kept; a digest that a third of all rows share is split, since neither side of that join is aggregated.
 
@@ -70,8 +70,9 @@ def _batches(texts: list[str]):
         yield part
 
 
-def cache_path(spark: SparkSession) -> str:
-    return spark.conf.get("spark.seqloom.tokenCache", None) or f"{shared_dir(spark)}/token-counts"
+def cache_path(spark: SparkSession, source: str) -> str:
+    """The session's cache, or else one that belongs to where the texts are read from: runs over the same place share it."""
+    return spark.conf.get("spark.seqloom.tokenCache", None) or f"{shared_dir(spark)}/token-counts-{hashlib.md5(source.encode()).hexdigest()}"
 
 
 def count_tokens(df: DataFrame, cache: str, tokenizer: str, text: str = "text", n_tokens: str = "n_tokens", keep: list[Column] | None = None) -> DataFrame:
@@ -125,5 +126,5 @@ def count_tokens(df: DataFrame, cache: str, tokenizer: str, text: str = "text",
 def op10_digest_cache(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     keep = [docs["doc_id"], F.octet_length(text_of(docs)).cast("long").alias("n_bytes")]
-    counted = count_tokens(docs, cache_path(spark), public_tokenizers.path("byte_bpe_50k.json"), keep=keep)
+    counted = count_tokens(docs, cache_path(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep=keep)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
