@@ -143,10 +143,11 @@ def histogram(signatures: DataFrame) -> DataFrame:
     return bins.join(found, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def product(items: DataFrame, nodes: DataFrame, least: float, best: bool = False) -> DataFrame:
+def product(items: DataFrame, nodes: DataFrame, least: float = 0.0, best: bool = False, within: float | None = None) -> DataFrame:
     """(seq_id, node, alike): Jaccard of items (seq_id, bits) and nodes (node, bits) above `least`, every two blocks in a task.
 
     With `best`, only the most alike node of a block for each item, ties to the smaller. Pairs without a common bit are left out.
+    With `within`, Hamming distances up to that instead, of pairs without a common bit too. Items and nodes without bits are left out.
     """
     full = lambda df, key: df.where(F.size("bits") > 0).select(F.col(key).cast("long").alias("id"), F.col("bits").cast("array<int>").alias("bits"))
     a, b = full(items, "seq_id"), full(nodes, "node")
@@ -167,7 +168,10 @@ def product(items: DataFrame, nodes: DataFrame, least: float, best: bool = False
         (i, m, p), (j, n, q) = packed(x), packed(y.sort_by("id"))
         inter = common(p, q)
         alike = inter / (m[:, None] + n[None, :] - inter)
-        if best:
+        if within is not None:
+            alike = (m[:, None] + n[None, :] - 2 * inter).astype(np.float64)
+            at, to = np.nonzero(alike <= within)
+        elif best:
             at, to = np.arange(len(i)), alike.argmax(1)
             real = (inter[at, to] > 0) & (alike[at, to] > least)
             at, to = at[real], to[real]

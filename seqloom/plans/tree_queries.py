@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import kmers, metrics
-from ..operators import balanced, clustering, sketches, treap, trees
+from ..operators import balanced, clustering, radius, sketches, treap, trees
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, bit_sql, dna, flat, kmer_sql, query, table, windowed
 from .cluster_queries import _M, _MEAN, _members
 from .pair_queries import MATCH, _window_bits
@@ -239,3 +239,11 @@ def treap_predicates(spark, sf_dir: str) -> DataFrame:
     two = rows.join(rows.select((F.col("seq_id") - 1).alias("seq_id"), F.col("windows").alias("node")), "seq_id")
     x, y = F.col("windows"), F.col("node")
     return two.select("seq_id", metrics.windows_matching(x, y, MATCH).alias("matching"), metrics.windows_match(x, y, MATCH, 0.3).alias("is_match"), metrics.windows_inter(x, y).alias("common"), metrics.goes_left(x, y).alias("goes_left"))
+
+
+@query("SELECT count(*)::BIGINT AS n_sequences, 0::BIGINT AS uncovered, 0::BIGINT AS outside FROM documents")
+def radius_tree(spark, sf_dir: str) -> DataFrame:
+    """A tree of radii over all sequences: every member within its leaf's radius, every founder within that of the node above."""
+    rows = flat(spark, sf_dir)
+    members, nodes = radius.grow(rows, 60.0)
+    return radius.violations(rows, members, nodes, 60.0)
