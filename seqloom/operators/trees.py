@@ -293,6 +293,31 @@ def trim(nodes: DataFrame, filled: DataFrame) -> DataFrame:
     return stays.join(gone, "parent", "left").select("node", F.coalesce("to", "parent").alias("parent"))
 
 
+def by_frequency(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(node, parent, n): the tree with its nodes moved so that no child was accessed more often than its parent.
+
+    nodes: (node, parent); counts: (node, n), 0 where there is none. The shape stays: a node changes places with its parent where it is the
+    parent's most accessed child (ties to the smaller) and more accessed than it, parents of even and of odd levels in turn, all at
+    once, until nothing moves. What a node holds goes with it. Roots hang from what they hung from.
+    """
+    rows = tree_levels(nodes).select(F.col("node").alias("slot"), F.col("parent").alias("above"), "level")
+    state = written(rows.join(nodes.select(F.col("node").alias("slot"), "node"), "slot").join(counts.select("node", "n"), "node", "left").select("slot", "above", "level", "node", F.coalesce("n", F.lit(0)).cast("long").alias("n")), "slots")
+    still, turn = 0, 0
+    while still < 2:
+        up = state.where(F.pmod("level", F.lit(2)) == turn % 2).select(F.col("slot").alias("above"), F.col("node").alias("upper"), F.col("n").alias("most"))
+        best = state.join(up, "above").groupBy("above", "upper", "most").agg(F.min(F.struct((-F.col("n")).alias("less"), "node", "slot")).alias("x"))
+        swaps = written(best.where(-F.col("x.less") > F.col("most")).select("above", "upper", "most", F.col("x.slot").alias("below"), F.col("x.node").alias("lower"), (-F.col("x.less")).alias("least")), "swaps")
+        if swaps.isEmpty():
+            still += 1
+        else:
+            still = 0
+            moved = swaps.select(F.col("above").alias("slot"), F.col("lower").alias("new"), F.col("least").alias("of")).unionByName(swaps.select(F.col("below").alias("slot"), F.col("upper").alias("new"), F.col("most").alias("of")))
+            state = written(state.join(moved, "slot", "left").select("slot", "above", "level", F.coalesce("new", "node").alias("node"), F.coalesce("of", "n").alias("n")), "slots")
+        turn += 1
+    names = state.select(F.col("slot").alias("above"), F.col("node").alias("parent"))
+    return state.join(names, "above", "left").select("node", F.coalesce("parent", "above").alias("parent"), "n")
+
+
 def estimated_split(signatures: DataFrame, ids: DataFrame, method: str | None = None, threshold: int = 2) -> float:
     """The upper quartile of similarities of sampled pairs: 10 runs of 100 sequences."""
     if method is None:

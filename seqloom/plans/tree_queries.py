@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import kmers, metrics
 from ..operators import balanced, clustering, radius, sketches, treap, trees
+from ..sources.storage import written
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, bit_sql, dna, flat, kmer_sql, query, table, windowed
 from .cluster_queries import _M, _MEAN, _members
 from .pair_queries import MATCH, _window_bits
@@ -216,7 +217,7 @@ def tree_extent(spark, sf_dir: str) -> DataFrame:
 def treap_by_priority(spark, sf_dir: str) -> DataFrame:
     """A treap of all sequences by priorities that a hash gives: what its heap, its routing and its members break must be nothing."""
     rows = treap.ranked(dna(spark, sf_dir), windowed(spark, sf_dir), seed=3)
-    return treap.violations(treap.written(treap.grow(rows, MATCH), "treap"), rows, MATCH)
+    return treap.violations(written(treap.grow(rows, MATCH), "treap"), rows, MATCH)
 
 
 @query("SELECT count(*)::BIGINT AS n_sequences, 0::BIGINT AS out_of_heap, 0::BIGINT AS misrouted, 0::BIGINT AS unlike FROM documents WHERE lang IS DISTINCT FROM 'de'")
@@ -225,7 +226,7 @@ def treap_delete(spark, sf_dir: str) -> DataFrame:
     ids = dna(spark, sf_dir, "lang")
     rows = treap.ranked(ids, windowed(spark, sf_dir), seed=3)
     left = treap.delete(treap.grow(rows, MATCH), rows, ids.where("lang = 'de'").select("seq_id"), MATCH)
-    return treap.violations(treap.written(left, "treap"), rows, MATCH)
+    return treap.violations(written(left, "treap"), rows, MATCH)
 
 
 @query(f"""WITH {DNA}, {KM}, {WIN}, {WBITS}, x AS (SELECT seq_id, window_id, count(*) AS n FROM wbits GROUP BY 1, 2), nw AS (SELECT seq_id, n FROM nwin WHERE n > 0),
@@ -247,3 +248,15 @@ def radius_tree(spark, sf_dir: str) -> DataFrame:
     rows = flat(spark, sf_dir)
     members, nodes = radius.grow(rows, 60.0)
     return radius.violations(rows, members, nodes, 60.0)
+
+
+@query("SELECT count(*)::BIGINT AS n_nodes, sum(coalesce(n_chars, 0))::BIGINT AS n_accesses, count(DISTINCT doc_id)::BIGINT AS n_distinct, 0::BIGINT AS out_of_order, (max(coalesce(n_chars, 0)))::BIGINT AS n_root FROM documents WHERE doc_id > 0")
+def tree_by_frequency(spark, sf_dir: str) -> DataFrame:
+    """A binary tree over all ids, reordered by their texts' lengths as if these counted accesses: what is out of order must be nothing."""
+    rows = table(spark, sf_dir, "documents").where("doc_id > 0")
+    nodes = rows.select(F.col("doc_id").alias("node"), F.floor(F.col("doc_id") / 2).cast("long").alias("parent"))
+    got = written(trees.by_frequency(nodes, rows.select(F.col("doc_id").alias("node"), F.col("n_chars").alias("n"))), "reordered")
+    wrong = got.join(got.select(F.col("node").alias("parent"), F.col("n").alias("above")), "parent").where("above < n")
+    root = got.where("parent = 0").agg(F.max("n").alias("n_root"))
+    total = got.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n").alias("n_accesses"), F.count_distinct("node").alias("n_distinct"))
+    return total.crossJoin(wrong.agg(F.count(F.lit(1)).alias("out_of_order"))).crossJoin(root)  # a row each

@@ -151,3 +151,32 @@ def test_descent_and_centroids(spark):
     to = {p["seq_id"]: (p["node"], p["hd"]) for p in trees.descend(ids, members.select("seq_id", "bit"), nodes, means).collect()}
     assert to[10] == to[11] == (3, 0) and to[12] == to[13] == (4, 0) and to[15] == (2, 0) and to[16] == (2, 1)
     assert to[20] == (2, 2) and to[14] == (2, 3)
+
+
+def test_search_with_look_ahead(spark):
+    """A beam of one is the plain descent; a beam of all nodes is the scan of all leaves."""
+    r = random.Random(2)
+    nodes = spark.createDataFrame([(1, 0), (2, 0), *[(10 + i, 1 + i % 2) for i in range(6)]], "node long, parent long")
+    own = {10 + i: {r.randrange(25) for _ in range(6)} for i in range(6)}
+    own |= {p: set().union(*(own[10 + i] for i in range(6) if 1 + i % 2 == p)) for p in (1, 2)}
+    means = spark.createDataFrame([(n, b) for n, bits in own.items() for b in bits], "node long, bit int")
+    seqs = {i: {r.randrange(25) for _ in range(5)} for i in range(30)} | {99: set()}
+    ids = spark.createDataFrame([(i,) for i in seqs], "seq_id long")
+    bits = spark.createDataFrame([(i, b) for i, own_ in seqs.items() for b in own_], "seq_id long, bit int")
+    rows = lambda df: {p["seq_id"]: (p["node"], p["hd"]) for p in df.collect()}
+    assert rows(trees.search(ids, bits, nodes, means, 1)) == rows(trees.descend(ids, bits, nodes, means))
+    want = {i: min((len(s ^ own[n]), n) for n in own if n >= 10) for i, s in seqs.items()}
+    full, two = rows(trees.search(ids, bits, nodes, means, 8)), rows(trees.search(ids, bits, nodes, means, 2))
+    assert full == {i: (n, hd) for i, (hd, n) in want.items()}
+    assert sum(two[i] == full[i] for i in seqs) >= 0.8 * len(seqs) and all(two[i][1] >= full[i][1] for i in seqs)
+
+
+def test_by_frequency(spark):
+    """The shape stays, each node is there once, and no path gets more frequent downwards; ties stay."""
+    r = random.Random(4)
+    parent = {n: r.randrange(n) for n in range(1, 25)}
+    n = {i: r.randrange(5) for i in range(1, 22)}
+    got = {p["node"]: (p["parent"], p["n"]) for p in trees.by_frequency(spark.createDataFrame(list(parent.items()), "node long, parent long"), spark.createDataFrame(list(n.items()), "node long, n long")).collect()}
+    assert set(got) == set(parent) and all(k == n.get(i, 0) for i, (_, k) in got.items())
+    assert all(p not in got or got[p][1] >= k for p, k in got.values())
+    assert sorted(collections.Counter(p for p, _ in got.values() if p).values()) == sorted(collections.Counter(p for p in parent.values() if p).values())
