@@ -293,6 +293,56 @@ def trim(nodes: DataFrame, filled: DataFrame) -> DataFrame:
     return stays.join(gone, "parent", "left").select("node", F.coalesce("to", "parent").alias("parent"))
 
 
+def super_clusters(nodes: DataFrame) -> DataFrame:
+    """(node, top): the ancestor of each node, or itself, that hangs from no node. Steps upwards double, so rounds are the logarithm of the depth."""
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
+    state = nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("up"))
+    state = written(state.select("node", "up", F.coalesce("up", "node").alias("top")), "tops")
+    while not state.where("up IS NOT NULL").isEmpty():
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("top").alias("higher"))
+        state = written(state.join(above, "up", "left").select("node", F.col("further").alias("up"), F.coalesce("higher", "top").alias("top")), "tops")
+    return state.select("node", "top")
+
+
+def like_siblings(nodes: DataFrame, means: DataFrame, within: int) -> DataFrame:
+    """(node, into): children that merge into an earlier one of the same parent, which stays.
+
+    In order of their numbers, a child merges into the first sibling that stays and whose mean (node, bit) is less than `within` away
+    (Hamming); else it stays. A child is settled as soon as all earlier siblings near it are, so rounds are as many as the
+    longest chain of near siblings; only near pairs leave the comparison of blocks. Siblings of equal means fare alike, so only the
+    first of them is compared.
+    """
+    bits = F.concat(F.array(F.lit(0)), F.transform(F.array_sort(F.collect_list("bit")), lambda b: b.cast("int") + 1))
+    each = nodes.join(means, "node", "left").groupBy("node", "parent").agg(bits.alias("bits"))
+    alike = each.groupBy("parent", "bits").agg(F.min("node").alias("first"))
+    copies = written(each.join(alike, ["parent", "bits"]).where("node <> first").select("node", "first"), "copies")
+    lists = alike.select(F.col("first").alias("node"), "bits")
+    near = block_pairs.product(lists.withColumnRenamed("node", "seq_id"), lists, within=within - 1)
+    parent = nodes.select("node", "parent")
+    pairs = near.where("node < seq_id").select(F.col("seq_id").alias("later"), F.col("node").alias("earlier"))
+    pairs = pairs.join(parent.select(F.col("node").alias("later"), F.col("parent").alias("p")), "later").join(parent.select(F.col("node").alias("earlier"), F.col("parent").alias("q")), "earlier")
+    open_ = written(pairs.where("p = q").select("later", "earlier"), "near")
+    out = nodes.sparkSession.createDataFrame([], "node long, into long")
+    kept = written(nodes.select("node").join(copies, "node", "left_anti").join(open_.select(F.col("later").alias("node")), "node", "left_anti"), "kept")
+    while not open_.isEmpty():
+        known = kept.select(F.col("node").alias("earlier"), F.lit(True).alias("stays")).unionByName(out.select(F.col("node").alias("earlier"), F.lit(False).alias("stays")))
+        seen = open_.join(known, "earlier", "left")
+        # the first near sibling that stays, if all before it are settled
+        each = seen.groupBy("later").agg(F.min(F.when(F.col("stays"), F.col("earlier"))).alias("into"), F.min(F.when(F.col("stays").isNull(), F.col("earlier"))).alias("unknown"))
+        done = written(each.where("unknown IS NULL OR into < unknown").select(F.col("later").alias("node"), "into"), "settled")
+        kept = written(kept.unionByName(done.where("into IS NULL").select("node")), "kept")
+        out = written(out.unionByName(done.where("into IS NOT NULL")), "merged")
+        open_ = written(open_.join(done.select(F.col("node").alias("later")), "later", "left_anti"), "near")
+    return out.unionByName(copies.join(out.select(F.col("node").alias("first"), "into"), "first", "left").select("node", F.coalesce("into", "first").alias("into")))
+
+
+def contracted(nodes: DataFrame, members: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, parent), (seq_id, node)) with merged nodes' (node, into) members and children taken over."""
+    to = merged.select(F.col("node").alias("gone"), "into")
+    left = nodes.join(merged, "node", "left_anti").join(to, F.col("parent") == F.col("gone"), "left").select("node", F.coalesce("into", "parent").alias("parent"))
+    return left, members.join(to, F.col("node") == F.col("gone"), "left").select("seq_id", F.coalesce("into", "node").alias("node"))
+
+
 def by_frequency(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     """(node, parent, n): the tree with its nodes moved so that no child was accessed more often than its parent.
 

@@ -260,3 +260,22 @@ def tree_by_frequency(spark, sf_dir: str) -> DataFrame:
     root = got.where("parent = 0").agg(F.max("n").alias("n_root"))
     total = got.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n").alias("n_accesses"), F.count_distinct("node").alias("n_distinct"))
     return total.crossJoin(wrong.agg(F.count(F.lit(1)).alias("out_of_order"))).crossJoin(root)  # a row each
+
+
+@query("""WITH RECURSIVE t AS (SELECT a.doc_id AS node, CASE WHEN b.lang IS NOT DISTINCT FROM a.lang THEN b.doc_id END AS parent FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id // 2 AND a.doc_id > 0),
+w AS (SELECT node, node AS top FROM t WHERE parent IS NULL UNION ALL SELECT t.node, w.top FROM w JOIN t ON t.parent = w.node) SELECT node, top FROM w""")
+def tree_super_clusters(spark, sf_dir: str) -> DataFrame:
+    """The topmost node above each document in the forest that a binary tree over all ids falls into where languages change."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "lang")
+    above = rows.select(F.col("node").alias("half"), F.col("lang").alias("other"))
+    joined = rows.join(above, (F.floor(F.col("node") / 2).cast("long") == F.col("half")) & (F.col("node") > 0), "left")
+    nodes = joined.select("node", F.when(F.col("lang").eqNullSafe(F.col("other")), F.col("half")).alias("parent"))
+    return trees.super_clusters(nodes)
+
+
+@query()
+def tree_like_siblings(spark, sf_dir: str) -> DataFrame:
+    """Near sequences of a language that merge into an earlier one: languages as nodes, their sequences as children."""
+    rows = flat(spark, sf_dir, "lang")
+    nodes = rows.select(F.col("seq_id").alias("node"), F.coalesce("lang", F.lit("")).alias("parent"))
+    return trees.like_siblings(nodes, rows.select(F.col("seq_id").alias("node"), F.explode("bits").alias("bit")), 40)

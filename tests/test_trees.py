@@ -180,3 +180,32 @@ def test_by_frequency(spark):
     assert set(got) == set(parent) and all(k == n.get(i, 0) for i, (_, k) in got.items())
     assert all(p not in got or got[p][1] >= k for p, k in got.values())
     assert sorted(collections.Counter(p for p, _ in got.values() if p).values()) == sorted(collections.Counter(p for p in parent.values() if p).values())
+
+
+def test_super_clusters_of_long_chains(spark):
+    parent = {i: i - 1 for i in range(1, 1000)} | {2000: 1, 2001: 2000, 3000: -5, 3001: 3000}
+    got = {p["node"]: p["top"] for p in trees.super_clusters(spark.createDataFrame(list(parent.items()), "node long, parent long")).collect()}
+    assert got == {i: 3000 if i >= 3000 else 1 for i in parent}
+
+
+def test_like_siblings(spark):
+    """As one child after another would merge, and what hung below merged ones is taken over."""
+    r = random.Random(7)
+    own = {i: {40 * (i % 3) + b for b in range(10) if r.random() > 0.15} for i in range(1, 31)} | {40: set(), 41: set(), 43: set()}
+    own |= {50 + i: own[1 + i] for i in range(8)}
+    parent = {i: 100 + i % 2 for i in own}
+    kept, want = [], {}
+    for i in sorted(own):
+        into = next((k for k in kept if parent[k] == parent[i] and len(own[k] ^ own[i]) < 4), None)
+        if into is None:
+            kept.append(i)
+        else:
+            want[i] = into
+    nodes = spark.createDataFrame(list(parent.items()) + [(200 + i, i) for i in own], "node long, parent long")
+    means = spark.createDataFrame([(i, b) for i, bits in own.items() for b in bits] + [(200 + i, 900 + 7 * i + b) for i in own for b in range(5)], "node long, bit int")
+    merged = trees.like_siblings(nodes, means, 4)
+    assert {p["node"]: p["into"] for p in merged.collect()} == want and len(want) > 5
+    members = spark.createDataFrame([(i, i) for i in own], "seq_id long, node long")
+    left, moved = trees.contracted(nodes, members, merged)
+    assert {p["seq_id"]: p["node"] for p in moved.collect()} == {i: want.get(i, i) for i in own}
+    assert {p["node"]: p["parent"] for p in left.collect()} == {i: p for i, p in parent.items() if i not in want} | {200 + i: want.get(i, i) for i in own}
