@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import kmers, metrics
-from ..operators import balanced, clustering, radius, sketches, treap, trees
+from ..operators import balanced, clustering, radius, sketches, tour, treap, trees
 from ..sources.storage import written
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, bit_sql, dna, flat, kmer_sql, query, table, windowed
 from .cluster_queries import _M, _MEAN, _members
@@ -103,6 +103,16 @@ def tree_trim(spark, sf_dir: str) -> DataFrame:
     return trees.trim(nodes, rows.where("lang = 'de'").select(F.col("doc_id").alias("node")))
 
 
+@query("""WITH RECURSIVE t AS (SELECT doc_id AS node, doc_id // 2 AS parent FROM documents WHERE doc_id > 0),
+w AS (SELECT node, NULL::BIGINT AS parent, 1 AS level, [node] AS path FROM t WHERE parent NOT IN (SELECT node FROM t) UNION ALL SELECT t.node, t.parent, level + 1, list_append(path, t.node) FROM w JOIN t ON t.parent = w.node),
+p AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS before FROM w), s AS (SELECT node, count(*) AS size FROM (SELECT unnest(path) AS node FROM w) GROUP BY 1)
+SELECT node, parent, level::INT AS level, (2 * before - level + 1)::BIGINT AS enters, (2 * before - level + 2 * size)::BIGINT AS leaves FROM p JOIN s USING (node)""")
+def tree_tour(spark, sf_dir: str) -> DataFrame:
+    """Where a walk around a binary tree over all ids enters and leaves each node, and levels."""
+    rows = table(spark, sf_dir, "documents").where("doc_id > 0")
+    return tour.tour(rows.select(F.col("doc_id").alias("node"), F.floor(F.col("doc_id") / 2).cast("long").alias("parent")))
+
+
 def _kmeans_sql(how: str, k: int = 5, rounds: int = 4, seed: int = 7) -> str:
     """Rounds as one table after the other. For how = "windows", bits are windows and bits in one number and means end with the shortest member."""
     rows = f"{WIN}, {WBITS}, bits AS (SELECT seq_id, window_id * {clustering.WINDOW} + bit AS bit FROM wbits)" if how == "windows" else FLAT

@@ -72,6 +72,42 @@ def tree_levels(nodes_: DataFrame) -> DataFrame:
     return out.join(branches, "node", "left").withColumn("isBranch", F.coalesce("isBranch", F.lit(False)))
 
 
+def tree_json(nodes_: DataFrame, members: DataFrame, path: str, most: int = 1000) -> None:
+    """Nested JSON of (node, parent, priority) and (node, seq_id): `path` holds parts of one text, in the order of their names, to be read one after the other.
+
+    The outermost node is 0, with priority 0 and no members; all roots hang from it, siblings by node. The text has a space between two nodes and
+    after each `most` members of a node, nowhere else, so no row is longer than that many members. Nodes on a cycle have no place.
+    """
+    from ..operators.leader import ordered
+    from ..operators.tour import tour
+    from .storage import written
+
+    places = written(tour(nodes_), "places")
+    rows = written(ordered(members.select("node", "seq_id").distinct(), F.col("node"), F.col("seq_id")), "members")
+    begins = rows.groupBy("node").agg(F.min("rank").alias("begin"), F.count(F.lit(1)).alias("n"))
+    part = F.floor((F.col("rank") - F.col("begin")) / most)
+    lists = rows.join(begins, "node").groupBy("node", part.alias("part")).agg(F.array_sort(F.collect_list("seq_id")).alias("ids"))
+    # the first list stands in the row that opens the node, each further one in a row of its own
+    listed = F.concat(F.when(F.col("part") > 0, F.lit(",")).otherwise(F.lit("")), F.array_join("ids", ","))
+    lists = lists.select("node", "part", listed.alias("listed"))
+    quoted = lambda c: F.to_json(F.struct(c.cast("string").alias("x")))
+    name = F.replace(F.regexp_extract(quoted(F.col("node")), r'(?s)^\{"x":(.*)\}$', 1), F.lit(" "), F.lit("\\u0020"))
+    head = F.concat(F.when(F.col("comma"), F.lit(",")).otherwise(F.lit("")), F.lit('{"node":'), name, F.lit(',"priority":"'), F.format_string("%.2f", F.coalesce(F.col("priority").cast("double"), F.lit(0.0))), F.lit('","childCount":"'), F.coalesce("n", F.lit(0)).cast("string"), F.lit('","content":"*'))
+    ended = F.lit('","children":[')
+    # a node that isn't entered right after its parent has an elder sibling
+    parents = places.select(F.col("node").alias("parent"), F.col("enters").alias("above"))
+    opened = places.join(nodes_.select("node", "priority"), "node").join(begins, "node", "left").join(parents, "parent", "left").withColumn("comma", F.col("enters") > F.coalesce(F.col("above") + 1, F.lit(0)))
+    last = F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / most) - 1, F.lit(0))
+    opened = opened.join(lists.where("part = 0"), "node", "left").select(F.col("enters").alias("at"), F.lit(0).cast("long").alias("part"), F.concat(head, F.coalesce("listed", F.lit("")), F.when(last == 0, ended).otherwise(F.lit(""))).alias("value"))
+    further = lists.where("part > 0").join(places.select("node", "enters"), "node").join(begins.select("node", last.alias("last")), "node")
+    further = further.select(F.col("enters").alias("at"), "part", F.concat("listed", F.when(F.col("part") == F.col("last"), ended).otherwise(F.lit(""))).alias("value"))
+    closed = places.select(F.col("leaves").alias("at"), F.lit(0).cast("long").alias("part"), F.lit("]}").alias("value"))
+    top = 'var treeData = {"node":"0","priority":"0.00","childCount":"0","content":"*","children":['
+    ends = nodes_.sparkSession.createDataFrame([(-1, 0, top), (2**62, 0, "]}")], "at long, part long, value string")
+    every = opened.unionByName(further).unionByName(closed).unionByName(ends)
+    every.repartitionByRange("at", "part").sortWithinPartitions("at", "part").select("value").write.option("lineSep", " ").text(path)
+
+
 def tree_text(nodes_: DataFrame, path: str) -> None:
     """A line a node in level order: as many spaces as its level, its number and its parent's."""
     rows = tree_levels(nodes_)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -89,19 +88,6 @@ def write_tree(nodes: list[tuple[int, int, float, str]], width: int) -> str:
     return "\n".join(lines) + "\n"
 
 
-def tree_json(nodes: list[tuple[int, int, float, list[int]]]) -> str:
-    """Nested JSON of (node, parent, priority, members); roots hang below 0."""
-    below: dict[int, list] = {}
-    for row in nodes:
-        below.setdefault(row[1], []).append(row)
-
-    def of(node: int, priority: float, members: list[int]) -> dict:
-        children = [of(n, p, m) for n, _, p, m in below.get(node, [])]
-        return {"node": str(node), "priority": f"{priority:.2f}", "childCount": str(len(members)), "content": "*" + ",".join(map(str, members)), "children": children}
-
-    return "var treeData = " + json.dumps(of(0, 0.0, []))
-
-
 def sbt(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, depth, name, parent line) of a tree in which leading stars give the depth. A file comes whole to a task."""
     import pyarrow as pa
