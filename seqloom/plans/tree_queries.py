@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import kmers, metrics
 from ..operators import balanced, clustering, radius, sketches, tour, treap, trees
-from ..sources.storage import written
+from ..sources.storage import folder, written
+from ..streaming import means as moving
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, bit_sql, dna, flat, kmer_sql, query, table, windowed
 from .cluster_queries import _M, _MEAN, _members
 from .pair_queries import MATCH, _window_bits
@@ -113,6 +116,27 @@ def tree_tour(spark, sf_dir: str) -> DataFrame:
     return tour.tour(rows.select(F.col("doc_id").alias("node"), F.floor(F.col("doc_id") / 2).cast("long").alias("parent")))
 
 
+@query("SELECT count(*)::BIGINT AS n_arrived, 0::BIGINT AS n_unlike FROM benchmark")
+def tree_stream(spark, sf_dir: str) -> DataFrame:
+    """The benchmark's texts arrive as a stream at the tree of all documents: how many stand at a leaf, and how many means differ from those of a tree that is built of all members."""
+    nodes, members = _leaves(spark, sf_dir)
+    nodes, members = written(nodes, "nodes"), written(members, "members")
+    base = f"{folder(spark)}/moving-{uuid.uuid4().hex}"
+    items = sketches.dna(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    items.repartition(3).write.parquet(f"{base}/arrivals")
+    moving.begin(nodes, members, base)
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrivals")
+    moving.follow(stream, nodes, ALL, base, f"{base}/checkpoint", once=True).awaitTermination()
+    came = moving.members(spark, base, "string")
+    bits = sketches.bit_rows(sketches.flat(items, ALL))
+    # ids of items and of documents are apart in name
+    every = members.select("node", F.concat(F.lit("d"), "seq_id").alias("seq_id"), "bit").unionByName(came.join(bits, "seq_id").select("node", F.concat(F.lit("b"), "seq_id").alias("seq_id"), "bit"))
+    built = trees.centroids(nodes, every).select("node", "bit")
+    kept = moving.means(spark, base, "string").select("node", F.explode("bits").alias("bit"))
+    unlike = kept.exceptAll(built).unionByName(built.exceptAll(kept)).agg(F.count(F.lit(1)).alias("n_unlike"))
+    return came.agg(F.count("node").alias("n_arrived")).crossJoin(unlike)  # a row each
+
+
 def _kmeans_sql(how: str, k: int = 5, rounds: int = 4, seed: int = 7) -> str:
     """Rounds as one table after the other. For how = "windows", bits are windows and bits in one number and means end with the shortest member."""
     rows = f"{WIN}, {WBITS}, bits AS (SELECT seq_id, window_id * {clustering.WINDOW} + bit AS bit FROM wbits)" if how == "windows" else FLAT

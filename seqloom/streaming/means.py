@@ -27,17 +27,15 @@ def _schema(name: str, node: str) -> str:
 def _added(spark: SparkSession, path: str, name: str, node: str, before: int) -> DataFrame:
     """Rows of a state table as of a batch, with the column `batch`: the last sum and what came after it."""
     fold = (before - 1) // FOLD * FOLD if before > 0 else -1
-    rows = spark.read.schema(f"{_schema(name, node)}, batch long").option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
-    if name == "members":
-        return rows.where(F.col("batch") < before)
+    rows = spark.read.schema(f"{_schema(name, node)}, batch long").parquet(f"{path}/{name}")
     return rows.where((F.col("batch") >= fold) & (F.col("batch") < before))
 
 
-def means(spark: SparkSession, path: str, node: str = "long", before: int = 1 << 62, last: int | None = None) -> DataFrame:
-    """(node, bits): all nodes' means as they are before a batch, or after batch `last`."""
-    before = before if last is None else last + 1
-    found = _added(spark, path, "means", node, before).groupBy("node").agg(F.max_by("bits", "batch").alias("bits"))
-    return found
+def means(spark: SparkSession, path: str, node: str = "long", before: int | None = None) -> DataFrame:
+    """(node, bits): all nodes' means as they were before batch `before`, or as they are after the last one."""
+    if before is None:  # parts are named by batch, so no rows are read
+        before = spark.read.schema(f"{_schema('means', node)}, batch long").parquet(f"{path}/means").agg(F.max("batch")).first()[0] + 1
+    return _added(spark, path, "means", node, before).groupBy("node").agg(F.max_by("bits", "batch").alias("bits"))
 
 
 def members(spark: SparkSession, path: str, node: str = "long") -> DataFrame:
@@ -119,11 +117,12 @@ def advance(rows: DataFrame, nodes: DataFrame, path: str, number: int, singleton
     _put(own.select(F.col("id").cast("long").alias("seq_id"), "node", F.col("hd").cast("long").alias("hd")), path, "members", number)
 
 
-def follow(seqs: DataFrame, nodes: DataFrame, cfg: SketchConfig, path: str, checkpoint: str, singleton: int = 1) -> StreamingQuery:
-    """Moves the tree whose state `begin` wrote to `path` by each micro-batch of a streaming (seq_id, seq) table."""
+def follow(seqs: DataFrame, nodes: DataFrame, cfg: SketchConfig, path: str, checkpoint: str, singleton: int = 1, once: bool = False) -> StreamingQuery:
+    """Moves the tree whose state `begin` wrote to `path` by each micro-batch of a streaming (seq_id, seq) table; with `once`, by what is there now."""
     nodes = written(nodes.select("node", "parent"), "nodes")
 
     def batch(df: DataFrame, number: int) -> None:
         advance(sketches.flat(df, cfg), nodes, path, number, singleton)
 
-    return seqs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    out = seqs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
