@@ -102,6 +102,20 @@ def point_centroids(points: DataFrame, group: str, vector: str) -> DataFrame:
     return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s["m"]).alias("centre"))
 
 
+def nearest_centre(points: DataFrame, centres: DataFrame, key: str, vector: str, digits: int = 9) -> DataFrame:
+    """(key, cluster, d): each point's nearest centre (Euclidean, rounded to `digits`), ties to the smaller cluster. centres: (cluster, centre), any number.
+
+    A point meets centres a block at a time, as an array in its row, and hands on the best of each block. Points without a vector
+    have distance null and the smallest cluster; where there are no centres, there are no rows.
+    """
+    from .facing import facing
+
+    met = facing(points.select(key, vector), F.col(key), centres.select("cluster", "centre"), "cluster")
+    far = lambda c: F.round(metrics.euclidean(F.col(vector), c), digits)
+    best = F.array_min(F.transform("block", lambda c: F.struct(far(c["centre"]).alias("d"), c["cluster"].alias("cluster"))))
+    return met.select(key, best.alias("x")).groupBy(key).agg(F.min("x").alias("x")).select(key, "x.cluster", "x.d")
+
+
 def point_spread(points: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, centre, rms, n): root mean square distance to the centre, 0 for one point."""
     joined = points.join(point_centroids(points, group, vector), group)

@@ -86,12 +86,23 @@ def disjoint(seqs: DataFrame, cfg: SketchConfig, *keep: str) -> DataFrame:
 
 
 def membership(asked: DataFrame, signatures: DataFrame, by: str) -> DataFrame:
-    """(seq_id, by, contains_all, contains_none, first_missing, first_found): asked (seq_id, bits) against signatures (by, bit), few."""
-    names = signatures.select(by).distinct()
-    bits = asked.select("seq_id", F.explode("bits").alias("bit")).join(names)
-    found = bits.join(signatures.withColumn("found", F.lit(True)), [by, "bit"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    bit = lambda found: F.min(F.when(F.col("found") == found, F.col("bit")))
-    return found.groupBy("seq_id", by).agg(F.every("found").alias("contains_all"), (~F.some("found")).alias("contains_none"), bit(False).alias("first_missing"), bit(True).alias("first_found"))
+    """(seq_id, by, contains_all, contains_none, first_missing, first_found): asked (seq_id, bits), a row an id, against signatures (by, bit).
+
+    Only bits that both have meet, by an equi-join; names come to the asked rows in blocks. An asked row without bits has no result.
+    """
+    from ..sources.storage import written
+    from .facing import facing
+
+    asked = written(asked.select("seq_id", F.array_distinct("bits").alias("asked_bits")).where(F.size("asked_bits") > 0), "asked")
+    signatures = written(signatures.select(by, "bit").distinct(), "signatures")
+    names = facing(asked.select("seq_id"), F.col("seq_id"), signatures.select(by).distinct(), by)
+    pairs = names.select("seq_id", F.inline("block"))
+    bits = asked.select("seq_id", F.explode("asked_bits").alias("bit"))
+    got = bits.join(signatures, "bit").groupBy("seq_id", by).agg(F.collect_list("bit").alias("got"))  # at most a signature's bits
+    met = pairs.join(got, ["seq_id", by], "left").join(asked, "seq_id")
+    got = F.coalesce("got", F.array().cast("array<int>"))
+    missing = F.array_except("asked_bits", got)
+    return met.select("seq_id", by, (F.size(missing) == 0).alias("contains_all"), (F.size(got) == 0).alias("contains_none"), F.array_min(missing).alias("first_missing"), F.array_min(got).alias("first_found"))
 
 
 def shuffled(seqs: DataFrame, seed: int) -> DataFrame:

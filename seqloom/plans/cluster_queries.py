@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import metrics
 from ..operators import aggregates, clustering, evaluate, leader, pairs, prefix, sketches
+from ..sources.storage import written
 from .base import ALL, CFG, DNA, FLAT, FLAT_ALL, KM, WBITS, WIN, bit_sql, dna, flat, query, table, windowed
 from .pair_queries import _SIX, sim_filtered_inverted
 
 
 def _members(spark, sf_dir: str) -> DataFrame:
-    """(lang, seq_id, bit)."""
-    return sketches.bit_rows(flat(spark, sf_dir, "lang"))
+    """(lang, seq_id, bit), of signatures that are computed once: means, sizes and distances each read them."""
+    return sketches.bit_rows(written(flat(spark, sf_dir, "lang"), "signatures"))
 
 
 _M = f"WITH {DNA}, {KM}, m AS (SELECT DISTINCT lang, seq_id, {bit_sql('h')} AS bit FROM km), sz AS (SELECT lang, count(DISTINCT seq_id) AS n FROM m GROUP BY 1), v AS (SELECT lang, bit, count(*) AS votes FROM m GROUP BY 1, 2)"
@@ -84,8 +85,7 @@ def nearest_centroid(spark, sf_dir: str) -> DataFrame:
     """Each vector's nearest label centre."""
     points = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     centres = aggregates.point_centroids(points, "label", "embedding").withColumnRenamed("label", "cluster")
-    d = points.crossJoin(centres).select(F.col("vec_id").alias("seq_id"), "cluster", F.round(metrics.euclidean(F.col("embedding"), F.col("centre")), 9).alias("d"))
-    return aggregates.nearest_cluster(d, "d").select(F.col("seq_id").alias("vec_id"), "cluster", F.round("d", 4).alias("distance"))
+    return aggregates.nearest_centre(points, centres, "vec_id", "embedding").select("vec_id", "cluster", F.round("d", 4).alias("distance"))
 
 
 @query(f"WITH {_POINTS}, d AS (SELECT vec_id, label, sum((x - m) ** 2) AS d2 FROM l JOIN ce USING (label, dim) GROUP BY 1, 2) SELECT label, round(sqrt(avg(d2)), 6) AS rms, count(*)::BIGINT AS n FROM d GROUP BY 1")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import metrics
 from ..operators import aggregates, block_pairs, pairs, sketches
-from .base import ALL, DNA, FLAT, FLAT_ALL, KM, WIN_ALL, bit_sql, dna, flat, kmer_sql, query, table, window_counts, windowed
+from ..sources.storage import written
+from .base import ALL, DNA, FLAT, FLAT_ALL, KM, WIN_ALL, bit_sql, dna, flat, kmer_sql, query, table, windowed
 
 #: Common bits at which two windows match.
 MATCH = 2
@@ -23,9 +24,15 @@ def _measured(signatures: DataFrame, *columns) -> DataFrame:
 
 
 def _window_bits(spark, sf_dir: str) -> DataFrame:
-    return sketches.bit_rows(windowed(spark, sf_dir))
+    """(seq_id, window_id, bit), of signatures that are computed once."""
+    return sketches.bit_rows(written(windowed(spark, sf_dir), "signatures"))
 
 
+def _windows(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """((seq_id, window_id, bit), (seq_id, n windows)), of signatures that are computed once."""
+    rows = written(windowed(spark, sf_dir), "signatures")
+    return sketches.bit_rows(rows), rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
+
 
 @query(f"{FLAT_ALL}, s AS (SELECT i, j, c / (na + nb - c)::DOUBLE AS s FROM px) SELECT i, j, s AS similarity FROM s UNION ALL SELECT j, i, s FROM s UNION ALL SELECT seq_id, seq_id, 1.0 FROM cnt")
 def sim_jaccard_all(spark, sf_dir: str) -> DataFrame:
@@ -45,24 +52,24 @@ def sim_global(spark, sf_dir: str) -> DataFrame:
 @query(f"{WIN_ALL} SELECT i, j, round(sum(c / (na + nb - c)::DOUBLE) / least(any_value(x.n), any_value(y.n)), 6) AS similarity FROM wpx JOIN nw x ON x.seq_id = i JOIN nw y ON y.seq_id = j GROUP BY i, j")
 def sim_local(spark, sf_dir: str) -> DataFrame:
     """Mean Jaccard of the windows, over the shorter's."""
-    return pairs.local_jaccard(_window_bits(spark, sf_dir), window_counts(spark, sf_dir)).withColumn("similarity", _SIX(F.col("similarity")))
+    return pairs.local_jaccard(*_windows(spark, sf_dir)).withColumn("similarity", _SIX(F.col("similarity")))
 
 
 @query(f"{WIN_ALL}, f AS (SELECT i, j, min(window_id) AS first FROM wpx WHERE c >= 2 GROUP BY 1, 2) SELECT i, j, round(sum(c / (na + nb - c)::DOUBLE) / (least(any_value(x.n), any_value(y.n)) - any_value(first)), 6) AS similarity FROM wpx JOIN f USING (i, j) JOIN nw x ON x.seq_id = i JOIN nw y ON y.seq_id = j WHERE window_id >= first GROUP BY i, j")
 def sim_local_anchored(spark, sf_dir: str) -> DataFrame:
     """The same from the first window with two common bits on."""
-    return pairs.local_jaccard(_window_bits(spark, sf_dir), window_counts(spark, sf_dir), 2).withColumn("similarity", _SIX(F.col("similarity")))
+    return pairs.local_jaccard(*_windows(spark, sf_dir), 2).withColumn("similarity", _SIX(F.col("similarity")))
 
 
 @query(f"{WIN_ALL} SELECT i, j, round(count(*) FILTER (WHERE c >= {MATCH} OR (c > 0 AND c = na + nb - c)) / greatest(any_value(x.n), any_value(y.n))::DOUBLE, 6) AS similarity FROM wpx JOIN nw x ON x.seq_id = i JOIN nw y ON y.seq_id = j GROUP BY i, j")
 def sim_matching(spark, sf_dir: str) -> DataFrame:
     """Share of matching windows."""
-    return pairs.matching_windows(_window_bits(spark, sf_dir), window_counts(spark, sf_dir), MATCH).withColumn("similarity", _SIX(F.col("similarity")))
+    return pairs.matching_windows(*_windows(spark, sf_dir), MATCH).withColumn("similarity", _SIX(F.col("similarity")))
 
 
 @query(f"{WIN_ALL} SELECT i, j, round(sum(c / (na + nb - c)::DOUBLE) / greatest(any_value(x.n), any_value(y.n)), 6) AS similarity FROM wpx JOIN nw x ON x.seq_id = i JOIN nw y ON y.seq_id = j GROUP BY i, j")
 def sim_mean_window(spark, sf_dir: str) -> DataFrame:
-    return pairs.mean_window_jaccard(_window_bits(spark, sf_dir), window_counts(spark, sf_dir)).withColumn("similarity", _SIX(F.col("similarity")))
+    return pairs.mean_window_jaccard(*_windows(spark, sf_dir)).withColumn("similarity", _SIX(F.col("similarity")))
 
 
 @query(f"{FLAT_ALL} SELECT i, j, c / nb::DOUBLE AS overlap, c / least(na, nb)::DOUBLE AS of_smaller FROM px")

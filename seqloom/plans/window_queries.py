@@ -8,7 +8,7 @@ from ..config import SketchConfig
 from ..operators import aggregates, evaluate, pairs, sketches, windowed as by_window
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, WIN_ALL, bit_sql, dna, flat, kmer_sql, query, table, window_counts, windowed
 from .cluster_queries import _EDGES, _MEAN, _members
-from .pair_queries import _FOUR, _SIX, MATCH, _window_bits, sim_filtered_inverted, sim_global, sim_local, sim_matching
+from .pair_queries import _FOUR, _SIX, MATCH, _window_bits, _windows, sim_filtered_inverted, sim_global, sim_local, sim_matching
 
 
 @query(f"""{WIN_ALL}, up AS (SELECT seq_id, window_id, sum(n) OVER (PARTITION BY seq_id ORDER BY window_id) AS upto FROM wcnt),
@@ -82,7 +82,8 @@ def _stats_sql(method: str, runs: int) -> str:
 
 
 def _stats(spark, sf_dir: str, method: str, runs: int) -> DataFrame:
-    found = by_window.sampled_similarity(_window_bits(spark, sf_dir), dna(spark, sf_dir).select("seq_id"), window_counts(spark, sf_dir), 100, runs, method, MATCH)
+    bits, counts = _windows(spark, sf_dir)
+    found = by_window.sampled_similarity(bits, dna(spark, sf_dir).select("seq_id"), counts, 100, runs, method, MATCH)
     return aggregates.spread(found, "similarity", "run")
 
 
