@@ -438,5 +438,11 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return blocks.ask_with(answers, _score(int(n_tokens), n_types, guests, tables), SCORES)
 
 
+def perplexity(scores: DataFrame) -> DataFrame:
+    """(held_out, n_documents, n_tokens, perplexity, base_perplexity) of `score`'s rows: 10 to minus the mean log probability a token, ends counted; two rows at most."""
+    mean = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
+    return scores.groupBy("held_out").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), mean("score").alias("perplexity"), mean("base_score").alias("base_perplexity"))
+
+
 def op4_pitman_yor(spark, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))

@@ -220,16 +220,34 @@ def test_language_model(docs, corpus):
 
 
 def test_model_sums_to_one(spark):
-    """Over all known words and the unknown one, after any word of a training text."""
-    words = ["x", "y", "z", "q"]
-    train = [(i, " ".join(words[: 1 + i % 3] * 2)) for i in range(40)]
-    asked = [(1000 + i, f"x {w}") for i, w in enumerate([*words, "unknown"])] + [(2000, "x")]
-    rows = {r["doc_id"]: r["score"] for r in language_model.score(spark.createDataFrame([(i, t) for i, t in train if zlib.crc32(str(i).encode()) % 5 != 1] + _held(asked), "doc_id long, text string")).collect()}
-    ids = [i for i, _ in _held(asked)]
-    alone = {i: rows[i] for i in ids}
-    end = alone[ids[-1]]  # p(x) p(end | x)
-    known = {w for i, t in train if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split()}
-    assert end < 0 and all(math.isfinite(s) for s in alone.values()) and known <= set(words)
+    """After every word, the known words, the unknown one and the end sum to one: from whole documents' probabilities alone.
+
+    With S(text) a document's probability and h(u) that of the end after u, p(w | u) = S("u w") / S("u") * h(u) / h(w). So rows that sum to one
+    mean 1 / h(u) = 1 + sum of S("u w") / S("u") / h(w), which gives h, and the empty text with S(w) / h(w) of all words must sum to one.
+    """
+    train = [(i, " ".join(["x", "y", "z"][: 1 + i % 3] * (1 + i % 2))) for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1]
+    words = ["x", "y", "z", "unknown"]
+    texts = ["", *words, *[f"{u} {w}" for u in words for w in words]]
+    asked = _held(list(enumerate(texts)))
+    rows = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(train + asked, "doc_id long, text string")).collect()}
+    p = {text: 10 ** rows[i]["score"] for i, text in asked}
+    step = np.array([[p[f"{u} {w}"] / p[u] for w in words] for u in words])
+    through = np.linalg.solve(np.eye(len(words)) - step, np.ones(len(words)))  # 1 / h
+    ends = 1 / through
+    assert ((0 < ends) & (ends < 1)).all()
+    after = step * ends[:, None] / ends[None, :]
+    assert (after > 0).all() and (after + ends[:, None] / len(words) < 1.001).all()
+    assert p[""] + sum(p[w] * g for w, g in zip(words, through, strict=True)) == pytest.approx(1, abs=2e-3)
+    # what follows in training is likelier than what never does
+    assert after[0, 1] > after[0, 2] > 0 and after[0, 1] > after[0, 3]
+
+
+def test_perplexity(spark):
+    rows = [(1, True, 4, -2.0, -4.0), (2, True, 6, -3.0, -11.0), (3, False, 5, 0.0, -5.0)]
+    scores = spark.createDataFrame(rows, "doc_id long, held_out boolean, n_tokens long, score double, base_score double")
+    got = {r["held_out"]: tuple(r)[1:] for r in language_model.perplexity(scores).collect()}
+    assert got[True] == pytest.approx((2, 10, 10**0.5, 10**1.5)) and got[False] == pytest.approx((1, 5, 1.0, 10.0))
+    assert language_model.perplexity(scores.limit(0)).count() == 0
 
 
 def _held(rows):
