@@ -6,7 +6,7 @@ explode is narrow, and bits are made distinct inside the row's own array, so bui
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import SketchConfig
 from ..functions import bloom, kmers
@@ -116,5 +116,7 @@ def capped(seqs: DataFrame, most: int, *by: str) -> DataFrame:
 
 
 def placed(seqs: DataFrame, *by: str) -> DataFrame:
-    """(seq_id, place) of a capped table."""
-    return seqs.select("seq_id", (F.row_number().over(Window.orderBy(*by)) - 1).cast("long").alias("place"))
+    """(seq_id, place): places from 0 in an order, counted by ranges of it."""
+    from .leader import ordered
+
+    return ordered(seqs.select("seq_id", *[c for c in by if c != "seq_id"]), *[F.col(c) for c in by]).select("seq_id", F.col("rank").cast("long").alias("place"))
