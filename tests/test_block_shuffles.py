@@ -1,0 +1,27 @@
+"""Pairs of blocks meet where the blocks lie: against brute force over many blocks, and no shuffle by pair in the plan."""
+
+import random
+
+
+from seqloom.operators import block_pairs
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flat_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(block_pairs, "BLOCK", 5)
+    monkeypatch.setattr(block_pairs, "BITS", 40)  # blocks of few bits, too
+    monkeypatch.setattr(block_pairs, "SLICE", 2)
+    r = random.Random(3)
+    rows = [(i, sorted(r.sample(range(60), r.choice([0, 2, 9, 30])))) for i in range(40)]
+    df = spark.createDataFrame(rows, "seq_id long, bits array<int>")
+    found = block_pairs.counted(df)
+    assert "CartesianProduct" in plan(found) and "Exchange" not in plan(found)
+    want = {(i, j): len(set(x) & set(y)) for i, x in rows for j, y in rows if i < j and set(x) & set(y)}
+    assert {(p["i"], p["j"]): p["inter"] for p in found.collect()} == want
+    near = block_pairs.product(df, df.withColumnRenamed("seq_id", "node"), within=8)
+    assert "CartesianProduct" in plan(near) and "Exchange" not in plan(near)
+    want = {(i, j) for i, x in rows for j, y in rows if x and y and len(set(x) ^ set(y)) <= 8}
+    assert {(p["seq_id"], p["node"]) for p in near.collect()} == want
