@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 
 from seqloom.operators import block_pairs
 
@@ -25,3 +26,37 @@ def test_flat_pairs_are_not_shuffled(spark, monkeypatch):
     assert "CartesianProduct" in plan(near) and "Exchange" not in plan(near)
     want = {(i, j) for i, x in rows for j, y in rows if x and y and len(set(x) ^ set(y)) <= 8}
     assert {(p["seq_id"], p["node"]) for p in near.collect()} == want
+
+
+def test_windowed_pairs_are_not_shuffled(spark, monkeypatch):
+    from seqloom.operators import pairs, windowed
+
+    monkeypatch.setattr(block_pairs, "BLOCK", 5)
+    monkeypatch.setattr(block_pairs, "POSTINGS", 10)
+    r = random.Random(5)
+    seqs = {i * 7 % 31: [r.sample(range(8), r.randint(1, 3)) for _ in range(r.randint(1, 6))] for i in range(31)}
+    bits = spark.createDataFrame([(i, w, b) for i, x in seqs.items() for w, own in enumerate(x) for b in own], "seq_id long, window_id int, bit int")
+    n = spark.createDataFrame([(i, len(x)) for i, x in seqs.items()], "seq_id long, n long")
+    local, anchored, matching, measured, hamming = {}, {}, {}, {}, {}
+    for i, x in seqs.items():
+        for j, y in seqs.items():
+            each = [(len(set(a) & set(b)), len(set(a) | set(b)), len(a) + len(b)) for a, b in zip(x, y, strict=False)]
+            if i >= j or not any(c for c, *_ in each):
+                continue
+            shares = [c / u for c, u, _ in each]
+            local[i, j] = round(sum(shares) / len(each), 9)
+            first = next((k for k, (c, *_) in enumerate(each) if c >= 2), None)
+            if first is not None:
+                anchored[i, j] = round(sum(shares[first:]) / (len(each) - first), 9)
+            matching[i, j] = round(sum(c >= 2 or 0 < c == u for c, u, _ in each) / max(len(x), len(y)), 9)
+            c, sizes = sum(c for c, *_ in each), [sum(map(len, s)) for s in (x, y)]
+            measured[i, j] = (c, sum(sizes) - c, sum(sizes) - 2 * c, sum(s for *_, s in each) - 2 * c, round(c / sizes[1], 9))
+            hamming[i, j] = sum(sizes) - 2 * c
+    value = lambda df: {(p["i"], p["j"]): p["x"] for p in df.withColumn("x", F.round(df.columns[-1], 9)).collect()}
+    assert value(pairs.local_jaccard(bits, n)) == local
+    assert value(pairs.local_jaccard(bits, n, 2)) == anchored
+    assert value(pairs.matching_windows(bits, n, 2)) == matching
+    assert value(pairs.windowed_hamming(bits)) == hamming
+    got = windowed.measures(bits)
+    assert "CartesianProduct" in plan(got) and "Exchange" not in plan(got)
+    assert {(p[0], p[1]): (*p[2:6], round(p[6], 9)) for p in got.collect()} == measured
