@@ -89,13 +89,15 @@ def search(ids: DataFrame, bits: DataFrame, nodes: DataFrame, means: DataFrame,
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
     kids = nodes.join(nb, "node", "left").fillna(0, ["nb"]).join(known, "parent", "left").join(inner, "node", "left")
     kids = written(kids.select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), "nb", F.coalesce("branch", F.lit(False)).alias("branch")), "children")
-    na = bits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("na"))
-    state = ids.select("seq_id").join(na, "seq_id", "left").fillna(0, ["na"]).withColumn("at", F.lit(None).cast(dict(nodes.dtypes)["node"]))
+    # signatures as arrays, so that a sequence and a node meet in one row instead of one a bit
+    own = written(bits.groupBy("seq_id").agg(F.collect_list("bit").alias("own")), "own")
+    theirs = written(means.groupBy("node").agg(F.collect_list("bit").alias("theirs")), "theirs")
+    state = ids.select("seq_id").join(own.select("seq_id", F.size("own").cast("long").alias("na")), "seq_id", "left").fillna(0, ["na"]).withColumn("at", F.lit(None).cast(dict(nodes.dtypes)["node"]))
     best = None
     while True:
         ahead = written(state.join(kids, state["at"].eqNullSafe(kids["parent"])).select("seq_id", "na", "node", "nb", "branch"), "ahead")
-        inter = ahead.select("seq_id", "node").join(bits, "seq_id").join(means, ["node", "bit"]).groupBy("seq_id", "node").agg(F.count(F.lit(1)).alias("c"))
-        near = ahead.join(inter, ["seq_id", "node"], "left").withColumn("hd", metrics.hamming(F.col("na"), F.col("nb"), F.coalesce("c", F.lit(0))))
+        met = ahead.join(own, "seq_id", "left").join(theirs, "node", "left")
+        near = met.select(*ahead.columns, F.coalesce(F.size(F.array_intersect("own", "theirs")), F.lit(0)).cast("long").alias("c")).withColumn("hd", metrics.hamming(F.col("na"), F.col("nb"), F.greatest("c", F.lit(0))))
         rank = F.row_number().over(Window.partitionBy("seq_id").orderBy("hd", "node"))
         kept = written(near.withColumn("rank", rank).where(F.col("rank") <= beam).select("seq_id", "na", "node", "hd", "branch"), "beam")
         ends = kept.where("NOT branch").select("seq_id", "node", "hd")

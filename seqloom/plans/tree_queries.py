@@ -17,9 +17,9 @@ from .window_queries import _BENCH
 
 
 def _leaves(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Languages as branches of one root and their sources as leaves: ((node, parent), (node, seq_id, bit))."""
+    """Languages as branches of one root and their sources as leaves, of signatures that are computed once: ((node, parent), (node, seq_id, bit))."""
     leaf = F.concat_ws("/", "lang", "source")
-    rows = flat(spark, sf_dir, "lang", "source").where(F.size("bits") > 0)
+    rows = written(flat(spark, sf_dir, "lang", "source").where(F.size("bits") > 0), "signatures")
     pairs = rows.select(leaf.alias("node"), F.col("lang").alias("parent")).distinct()
     tops = rows.select(F.col("lang").alias("node"), F.lit("all").alias("parent")).distinct()
     return pairs.unionByName(tops), sketches.bit_rows(rows.select(leaf.alias("node"), "seq_id", "bits"))
@@ -61,7 +61,7 @@ SELECT DISTINCT seq_id, m.node FROM m JOIN sz USING (node) WHERE n > 1 UNION ALL
 def tree_without_singletons(spark, sf_dir: str) -> DataFrame:
     """Groups of one member are dissolved and their members assigned anew."""
     group = F.concat_ws("/", "lang", "source", F.floor(F.coalesce("n_chars", F.lit(0)) / 500).cast("string"))
-    return trees.without_singletons(sketches.bit_rows(flat(spark, sf_dir, "lang", "source", "n_chars").select(group.alias("node"), "seq_id", "bits")))
+    return trees.without_singletons(sketches.bit_rows(written(flat(spark, sf_dir, "lang", "source", "n_chars").select(group.alias("node"), "seq_id", "bits"), "signatures")))
 
 
 def _far(of: str, to: str) -> str:
@@ -310,6 +310,6 @@ def tree_super_clusters(spark, sf_dir: str) -> DataFrame:
 @query()
 def tree_like_siblings(spark, sf_dir: str) -> DataFrame:
     """Near sequences of a language that merge into an earlier one: languages as nodes, their sequences as children."""
-    rows = flat(spark, sf_dir, "lang")
+    rows = written(flat(spark, sf_dir, "lang"), "signatures")
     nodes = rows.select(F.col("seq_id").alias("node"), F.coalesce("lang", F.lit("")).alias("parent"))
     return trees.like_siblings(nodes, rows.select(F.col("seq_id").alias("node"), F.explode("bits").alias("bit")), 40)

@@ -60,3 +60,13 @@ def test_windowed_pairs_are_not_shuffled(spark, monkeypatch):
     got = windowed.measures(bits)
     assert "CartesianProduct" in plan(got) and "Exchange" not in plan(got)
     assert {(p[0], p[1]): (*p[2:6], round(p[6], 9)) for p in got.collect()} == measured
+
+
+def test_signatures_of_trees_are_computed_once(spark):
+    """What reads a tree's members several times reads files of signatures, not texts."""
+    from conftest import DATA
+
+    from seqloom.plans import tree_queries
+
+    _, members = tree_queries._leaves(spark, DATA)
+    assert members.inputFiles() and all("signatures-" in f for f in members.inputFiles())
