@@ -70,3 +70,18 @@ def test_signatures_of_trees_are_computed_once(spark):
 
     _, members = tree_queries._leaves(spark, DATA)
     assert members.inputFiles() and all("signatures-" in f for f in members.inputFiles())
+
+
+def test_kmeans_computes_signatures_once(spark, monkeypatch):
+    from seqloom.operators import clustering
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def bits(i):
+        calls.add(1)
+        return [i, 10 + i]
+
+    df = spark.range(6).select(F.col("id").cast("int").alias("seq_id"), bits(F.col("id").cast("int")).alias("bits"))
+    clustering.kmeans(df, 2, 3).collect()
+    assert calls.value == 6
