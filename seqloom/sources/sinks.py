@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .splits import SignatureSource
+from .storage import written
 
 
 def signatures(rows: DataFrame, bits: int, folder: str, mode: str = "append") -> None:
     """Flat signatures in order of id, as files of the signature format; a failed or repeated task leaves no file."""
     rows.sparkSession.dataSource.register(SignatureSource)
+    rows = written(rows.select("seq_id", "bits"), "signatures")  # ranges are drawn from a read of their own
     ordered = rows.repartitionByRange("seq_id").sortWithinPartitions("seq_id").select("bits")
     ordered.write.format("signatures").option("bits", bits).mode(mode).save(folder)
 
@@ -17,6 +19,7 @@ def signatures(rows: DataFrame, bits: int, folder: str, mode: str = "append") ->
 def windowed_signatures(rows: DataFrame, bits: int, folder: str, mode: str = "append") -> None:
     """Windowed signatures (seq_id, window_id, bits), each sequence ended by a record of zeros."""
     rows.sparkSession.dataSource.register(SignatureSource)
+    rows = written(rows.select("seq_id", "window_id", "bits"), "windows")  # read three times
     last = rows.groupBy("seq_id").agg((F.max("window_id") + 1).alias("window_id")).withColumn("bits", F.array().cast("array<int>"))
     every = rows.select("seq_id", "window_id", "bits").unionByName(last.select("seq_id", F.col("window_id").cast("int"), "bits"))
     ordered = every.repartitionByRange("seq_id").sortWithinPartitions("seq_id", "window_id").select("bits")
@@ -60,7 +63,6 @@ def node_table(nodes_: DataFrame, path: str) -> None:
 
 def tree_levels(nodes_: DataFrame) -> DataFrame:
     """(node, parent, level, isBranch) of (node, parent), roots being those whose parent isn't a node: level by level, a join each."""
-    from .storage import written
 
     edges = nodes_.select("node", "parent")
     branches = edges.select(F.col("parent").alias("node")).distinct().withColumn("isBranch", F.lit(True))
@@ -80,7 +82,6 @@ def tree_json(nodes_: DataFrame, members: DataFrame, path: str, most: int = 1000
     """
     from ..operators.leader import ordered
     from ..operators.tour import tour
-    from .storage import written
 
     places = written(tour(nodes_), "places")
     rows = written(ordered(members.select("node", "seq_id").distinct(), F.col("node"), F.col("seq_id")), "members")

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-#: Bytes of one split.
-SPLIT = 64 << 20
+#: Bytes of one split; so many splits at least are made of files before small splits grow (to SPLIT at most).
+SPLIT, MANY = 64 << 20, 256
 ROWS = "path string, record long, bits array<int>"
 
 
@@ -52,7 +52,10 @@ class Split(InputPartition):
 
 def bit_lists(data: np.ndarray) -> pa.Array:
     """Set bits of each row of bytes, as lists."""
-    row, bit = np.nonzero(np.unpackbits(data, axis=1, bitorder="little"))
+    # few bytes hold bits, so only these are unpacked
+    at, byte = np.nonzero(data)
+    which, low = np.nonzero(np.unpackbits(data[at, byte][:, None], axis=1, bitorder="little"))
+    row, bit = at[which], byte[which] * 8 + low
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(data))))).astype(np.int32), pa.array(bit.astype(np.int32)))
 
 
@@ -76,12 +79,19 @@ class SignatureSource(DataSource):
         return Writer(self.options["path"], int(self.options["bits"]), overwrite)
 
 
+def grown(split: int, total: int) -> int:
+    """Bytes of a split: what was asked for, or more where files would fall into more than MANY, so that tasks don't outgrow the machines."""
+    return max(split, min(SPLIT, -(-total // MANY)))
+
+
 class Reader(DataSourceReader):
     def __init__(self, paths: list[str], split: int):
         self.paths, self.split = paths, split
 
     def partitions(self) -> list[Split]:
-        return [Split(path, at, min(at + self.split, size)) for path, size in files(self.paths) for at in range(8, max(size, 9), self.split)]
+        found = files(self.paths)
+        split = grown(self.split, sum(size for _, size in found))
+        return [Split(path, at, min(at + split, size)) for path, size in found for at in range(8, max(size, 9), split)]
 
     def read(self, partition: Split):
         store, path = opened(partition.path)
@@ -125,11 +135,14 @@ class Writer(DataSourceArrowWriter):
                 made = f"{folder}/.{self.job}-{context.partitionId():06d}-{context.taskAttemptId()}"
                 out = store.open_output_stream(made)
                 out.write(struct.pack("<Q", self.width))
-            rows = np.zeros((len(batch), 8 * self.width), np.uint8)
+            rows = np.zeros((len(batch), self.width), np.uint8)
             lists = batch.column(batch.schema.get_field_index("bits"))
-            lengths = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()])
-            rows[np.repeat(np.arange(len(batch)), lengths), lists.flatten().to_numpy()] = 1
-            out.write(np.packbits(rows, axis=1, bitorder="little").tobytes())
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            bits = lists.flatten().to_numpy()
+            if len(wrong := bits[(bits < 0) | (bits >= 8 * self.width)]):
+                raise IndexError(f"index {wrong[0]} is out of {8 * self.width} bits")
+            np.bitwise_or.at(rows, (np.repeat(np.arange(len(batch)), lengths), bits >> 3), (1 << (bits & 7)).astype(np.uint8))
+            out.write(rows.tobytes())
         if out is not None:
             out.close()
         return Made(made)

@@ -143,3 +143,20 @@ def test_folders_by_file_and_sequence(spark, tmp_path):
 def test_dumps(spark):
     r = spark.createDataFrame([([0, 3, 9],)], "bits array<int>").select(sinks.as_zeros_and_ones(F.col("bits"), 16).alias("z"), sinks.as_bytes(F.col("bits"), 16).alias("b"), sinks.as_list(F.col("bits")).alias("l")).first()
     assert (r["z"], r["b"], r["l"]) == ("1001000001000000", [9, 2], "0,3,9")
+
+
+def test_sparse_records_and_splits(tmp_path):
+    """Bits of sparse and full records are the same as by unpacking all bytes; small splits grow with the files, so tasks stay few."""
+    import numpy as np
+
+    from seqloom.sources import splits
+
+    r = np.random.default_rng(3)
+    data = np.where(r.random((50, 40)) < 0.1, r.integers(0, 256, (50, 40)), 0).astype(np.uint8)
+    data[7], data[9] = 0, 255
+    assert splits.bit_lists(data).to_pylist() == [np.flatnonzero(np.unpackbits(x, bitorder="little")).tolist() for x in data]
+    assert splits.grown(1 << 18, 1 << 20) == 1 << 18 and splits.grown(1 << 18, 100 << 30) == splits.SPLIT
+    path = tmp_path / "big.bin"
+    with open(path, "wb") as f:
+        f.truncate(1 << 30)
+    assert len(splits.Reader([str(path)], 1 << 18).partitions()) <= splits.MANY + 1
