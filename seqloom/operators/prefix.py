@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import SketchConfig
-from ..functions import kmers
-from .sketches import hash_array
+from .sketches import window_lists
 
 
 def lists(seqs: DataFrame, cfg: SketchConfig) -> DataFrame:
     """(seq_id, hashes): the least hash of each window, in order. Sequences without windows have no list."""
-    rows = seqs.select("seq_id", F.transform(kmers.windows(hash_array(cfg), cfg.width, cfg.hop, 1), lambda w: w[0]).alias("hashes"))
-    return rows.where(F.size("hashes") > 0)
+    return window_lists(seqs, cfg).where(F.size("hashes") > 0)
 
 
 def index(rows: DataFrame) -> DataFrame:

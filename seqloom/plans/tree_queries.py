@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import kmers, metrics
+from ..functions import metrics
 from ..operators import balanced, clustering, radius, sketches, tour, treap, trees
 from ..sources.storage import folder, written
 from ..streaming import means as moving
@@ -174,9 +174,7 @@ def kmeans_windowed(spark, sf_dir: str) -> DataFrame:
 @query(_kmeans_sql("hashes"))
 def kmeans_hash_lists(spark, sf_dir: str) -> DataFrame:
     """Four rounds of 5-means over lists of each window's least hash."""
-    least = lambda h: F.transform(kmers.windows(h, CFG.width, CFG.hop, 1), lambda w: w[0])
-    lists = dna(spark, sf_dir).select("seq_id", least(kmers.kmers(F.col("seq"), CFG.k)).alias("hashes"))
-    return clustering.kmeans_hash_lists(lists, 5, 4, seed=7)
+    return clustering.kmeans_hash_lists(sketches.window_lists(dna(spark, sf_dir), CFG), 5, 4, seed=7)
 
 
 @query()

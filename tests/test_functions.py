@@ -124,3 +124,57 @@ def test_pairs_of_blocks(spark, monkeypatch):
     assert sum(bins.values()) == len(full) * (len(full) - 1) // 2 and len(bins) == 11
     assert bins[100] == sum(c == a == b for a, b, c in want.values())
     assert block_pairs.counted(df.limit(0)).count() == 0
+
+
+def test_batches_same_as_columns(spark):
+    """Arrays of many sequences at once equal the column expressions of each: short, long and empty ones, both strands, seeds, long k."""
+    import pyarrow as pa
+
+    from seqloom.functions import batches
+    from seqloom.operators import sketches
+
+    r = random.Random(4)
+    seqs = ["", "A", "ACGTACGTA", "A" * 120, *["".join(r.choice("ACGT") for _ in range(r.randrange(300))) for _ in range(12)]]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string").repartition(2)
+    for cfg in (SketchConfig(), SketchConfig(k=9, w=9, s=1), SketchConfig(k=4, w=8, canonical=True), SketchConfig(k=20, w=30, s=2, step=7, seed=11), SketchConfig(k=7, w=20, canonical=True, seed=5)):
+        h = sketches.hash_array(cfg)
+        wins = kmers.windows(h, cfg.width, cfg.hop, cfg.s)
+        chosen = h if cfg.k == cfg.w else kmers.minimiser_set(h, cfg.width)
+        want = {x["seq_id"]: x for x in df.select("seq_id", h.alias("h"), wins.alias("w"), kmers.minimiser_set(h, cfg.width).alias("m"), bloom.bits_of(chosen, cfg.bits, cfg.k).alias("b"), F.transform(wins, lambda w: bloom.bits_of(w, cfg.bits, cfg.k)).alias("wb")).collect()}
+        by_row = lambda rows, *c: sorted(tuple(x) for x in rows.select("seq_id", *c).collect())
+        each = lambda name: sorted((i, p, v) for i, x in want.items() for p, v in enumerate(x[name]))
+        assert by_row(sketches.kmer_rows(df, cfg), "pos", "h") == each("h")
+        assert by_row(sketches.window_rows(df, cfg), "window_id", "hashes") == each("w")
+        assert by_row(sketches.windowed(df, cfg), "window_id", "bits") == each("wb")
+        assert by_row(sketches.flat(df, cfg), "bits") == sorted((i, x["b"]) for i, x in want.items())
+        assert by_row(sketches.window_lists(df, cfg), "hashes") == sorted((i, [w[0] for w in x["w"]]) for i, x in want.items())
+        if cfg.k < cfg.w:
+            assert by_row(sketches.minimiser_rows(df, cfg), "h") == sorted((i, v) for i, x in want.items() for v in x["m"])
+    with pytest.raises(ValueError):
+        batches.hashes(pa.array(["ACN"]), SketchConfig())
+    # a sliced array, a null, and slices that hold more than one row and less than all
+    some = pa.array(["TT", "ACGTACGTAC", None, "ACGTACGTA"]).slice(1)
+    assert batches.hashes(some, SketchConfig())[1].tolist() == [0, 2, 2, 3]
+    assert batches.slices(pa.array(["A" * (batches.BASES // 2 - 1)] * 5 + ["", None])) == [(0, 2), (2, 4), (4, 7)]
+
+
+def test_sequences_are_sketched_once(spark):
+    """No filter before an explode evaluates the k-mers again, and none goes through interpreted lambdas."""
+    from seqloom.operators import sketches
+
+    df = spark.createDataFrame([(1, "ACGT" * 9)], "seq_id long, seq string")
+    for rows in (sketches.bit_rows(sketches.flat(df, SketchConfig(k=9, w=9, s=1))), sketches.bit_rows(sketches.windowed(df, SketchConfig()))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "lambdafunction" not in plan
+
+
+def test_compressed_and_emissions_in_slices(spark):
+    from seqloom.operators import sketches
+
+    sigs = spark.createDataFrame([(1, [1, 5001, 9999, 10001]), (2, []), (3, [4999, 5000])], "seq_id long, bits array<int>")
+    assert sorted((x["seq_id"], x["bits"]) for x in sketches.compressed(sigs, [10000, 5000]).collect()) == [(1, [1, 4999]), (2, []), (3, [0, 4999])]
+    assert "Exchange" not in sketches.compressed(sigs, [10000, 5000])._jdf.queryExecution().executedPlan().toString()
+    r = random.Random(8)
+    seqs = [*("".join(r.choice("ACGT") for _ in range(r.randrange(90))) for _ in range(30)), ""]
+    got = [tuple(x) for x in winnowing.emissions(spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string"), 4, 5, most=100).collect()]  # several slices, some of one row
+    assert sorted(got) == sorted((i, o, p, v) for i, s in enumerate(seqs) for o, (p, v) in enumerate(winnowing.emitted(winnowing.hashes(s, 4), 5)))
