@@ -177,7 +177,7 @@ def bloom_fpp(spark, sf_dir: str) -> DataFrame:
 @query(f"WITH {DNA}, {KM}, {FLAT} SELECT DISTINCT seq_id, (bit % 10000 % 5000)::INT AS bit FROM bits")
 def bloom_compress(spark, sf_dir: str) -> DataFrame:
     """The table folded to 10000 and then to 5000 bits."""
-    return sketches.bit_rows(flat(spark, sf_dir)).select("seq_id", bloom.compressed_bit(F.col("bit"), [10000, 5000]).alias("bit")).distinct()
+    return sketches.bit_rows(sketches.compressed(flat(spark, sf_dir), [10000, 5000]))
 
 
 @query(f"""WITH {DNA}, {KM}, b AS (SELECT DISTINCT lang, {bit_sql('h')} AS bit FROM km), n AS (SELECT lang, count(*) AS n FROM b GROUP BY 1),
