@@ -80,3 +80,10 @@ def test_names_are_quoted(spark, tmp_path):
     sinks.tree_json(nodes, spark.createDataFrame([], "node string, seq_id long"), str(tmp_path / "t"))
     text = "".join(open(p).read() for p in sorted(glob.glob(f"{tmp_path}/t/part-*")))
     assert json.loads(text[len("var treeData = ") :])["children"][0]["node"] == 'a "b" \\'
+
+
+def test_nothing_is_broadcast_but_rows(spark):
+    """Events meet by merges: no round's table passes through the driver."""
+    nodes = spark.range(1, 200).selectExpr("id AS node", "id div 2 AS parent")
+    plan = tour(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plan
