@@ -178,3 +178,12 @@ def test_compressed_and_emissions_in_slices(spark):
     seqs = [*("".join(r.choice("ACGT") for _ in range(r.randrange(90))) for _ in range(30)), ""]
     got = [tuple(x) for x in winnowing.emissions(spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string"), 4, 5, most=100).collect()]  # several slices, some of one row
     assert sorted(got) == sorted((i, o, p, v) for i, s in enumerate(seqs) for o, (p, v) in enumerate(winnowing.emitted(winnowing.hashes(s, 4), 5)))
+
+
+def test_bits_of_hash_lists(spark):
+    from seqloom.operators import clustering
+
+    data = {1: [5, 0, 1 << 40], 2: [], 3: [-1]}
+    got = clustering.hash_bits(spark.createDataFrame(list(data.items()), "seq_id long, hashes array<bigint>"))
+    assert {x["seq_id"]: x["bits"] for x in got.collect()} == {i: [64 * p + b for p, h in enumerate(hs) for b in range(64) if h >> b & 1] for i, hs in data.items()}
+    assert "lambdafunction" not in got._jdf.queryExecution().optimizedPlan().toString()
