@@ -6,6 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions import batches
+
+#: Bases whose emissions a task holds at once, about; a longer sequence is held alone.
+EMITTED = 1 << 17
 
 def hashes(seq: str, k: int) -> np.ndarray:
     """Base-4 values of all k-mers."""
@@ -38,13 +42,16 @@ def emitted(h: np.ndarray, width: int) -> list[tuple[int, int]]:
     return out
 
 
-def emissions(seqs: DataFrame, k: int, width: int) -> DataFrame:
+def emissions(seqs: DataFrame, k: int, width: int, most: int = EMITTED) -> DataFrame:
     """(seq_id, ord, pos, h) of every emission."""
 
-    def run(batches):
-        for batch in batches:
-            rows = [(i, o, p, v) for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for o, (p, v) in enumerate(emitted(hashes(s or "", k), width))]
-            i, o, p, v = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.record_batch([pa.array(i, pa.int64()), pa.array(o, pa.int32()), pa.array(p, pa.int32()), pa.array(v, pa.int64())], ["seq_id", "ord", "pos", "h"])
+    def run(found):
+        for batch in found:
+            for low, high in batches.slices(batch.column(1), most):  # a slice's emissions are held, not a batch's
+                own = [emitted(hashes(x or "", k), width) for x in batch.column(1).slice(low, high - low).to_pylist()]
+                n = np.array([len(x) for x in own])
+                both = np.array([x for rows in own for x in rows], np.int64).reshape(-1, 2)
+                ids = batch.column(0).slice(low, high - low).take(pa.array(np.repeat(np.arange(high - low), n)))
+                yield pa.record_batch([ids.cast(pa.int64()), pa.array(batches.runs(np.zeros_like(n), n), pa.int32()), pa.array(both[:, 0], pa.int32()), pa.array(both[:, 1])], ["seq_id", "ord", "pos", "h"])
 
     return seqs.select("seq_id", "seq").mapInArrow(run, "seq_id long, ord int, pos int, h long")
