@@ -121,3 +121,23 @@ def test_order_and_empty(spark):
     assert [(x["a"], x["b"]) for x in sorted(got, key=lambda x: x["rank"])] == sorted((i % 5, i) for i in range(50))
     with pytest.raises(ValueError):
         leader.grow(df, leader.Flat(64), 0.2, 0.5)
+
+
+def test_only_changed_nodes_are_packed_again(spark, monkeypatch):
+    data, packed, compared = family(7, 60), [], []
+    shelved, alike = leader.Flat.shelved, leader.Flat.alike
+    monkeypatch.setattr(leader.Flat, "shelved", lambda self, means: packed.append(means.count()) or shelved(self, means))
+    monkeypatch.setattr(leader.Flat, "alike", lambda self, items, *more: compared.append(items.count()) or alike(self, items, *more))
+    df = spark.createDataFrame(list(data.items()), "seq_id long, bits array<int>")
+    members, nodes, means = leader._grow(df, leader.Flat(512), 0.62, 0.2, first=20, misfits=20, fill=20)
+    assert members.count() == 60 and members.select("seq_id").distinct().count() == 60
+    assert means.count() == nodes.count() <= sum(packed) <= 60  # a state of a node is of members that came since
+    assert sum(compared) <= 60 + 20  # few are compared with nodes twice
+
+
+def test_reached():
+    import pyarrow as pa
+
+    rows = [(1, 5, 0), (1, 6, 5), (1, 7, 6), (1, 9, 8), (2, 6, 5), (2, None, None), (3, 8, 0), (3, 9, 8)]
+    t = pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("seq_id", "node", "parent"), zip(*rows), strict=True)})
+    assert leader._reached(t).tolist() == [0, 1, 2, 6, 7]
