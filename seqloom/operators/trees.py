@@ -209,7 +209,7 @@ def best_match(bits: DataFrame, nodes: DataFrame, threshold: int = 2) -> DataFra
 
 def poles(members: DataFrame) -> DataFrame:
     """(node, seq_id, side, hd): each group in two. The first pole is the member farthest from the mean, the second the one farthest from the first (Hamming, ties to smaller ids); a member goes to the nearer pole, ties to the first. hd: its distance to that pole."""
-    members = written(members.select("node", "seq_id", "bit"), "members")
+    members = written(members.select("node", "seq_id", "bits" if "bits" in members.columns else "bit"), "members")
     first = aggregates.farthest(members, "node").select("node", F.col("seq_id").alias("pole"))
     one = written(_to_pole(members, first), "first-pole")
     second = one.groupBy("node").agg(F.min(F.struct((-F.col("hd")).alias("near"), "seq_id")).alias("x")).select("node", F.col("x.seq_id").alias("pole"))
@@ -219,7 +219,7 @@ def poles(members: DataFrame) -> DataFrame:
 
 def _to_pole(members: DataFrame, pole: DataFrame) -> DataFrame:
     """(node, seq_id, hd) to the group's pole, a member."""
-    mean = members.join(pole, "node").where("seq_id = pole").select("node", "bit")
+    mean = members.join(pole, "node").where("seq_id = pole").select("node", F.explode("bits").alias("bit") if "bits" in members.columns else "bit")
     rows = aggregates.to_centroid(members, mean, "node")
     return rows.select("node", "seq_id", metrics.hamming(F.col("na"), F.col("nb"), F.col("inter")).alias("hd"))
 

@@ -11,18 +11,24 @@ from ..operators import balanced, clustering, radius, sketches, tour, treap, tre
 from ..sources.storage import folder, written
 from ..streaming import means as moving
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, bit_sql, dna, flat, kmer_sql, query, table, windowed
-from .cluster_queries import _M, _MEAN, _members
+from .cluster_queries import _M, _MEAN, _signatures
 from .pair_queries import MATCH, _window_bits
 from .window_queries import _BENCH
 
 
 def _leaves(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Languages as branches of one root and their sources as leaves, of signatures that are computed once: ((node, parent), (node, seq_id, bit))."""
+    """Languages as branches of one root and their sources as leaves: ((node, parent), (node, seq_id, bit))."""
+    nodes, members = _leaf_rows(spark, sf_dir)
+    return nodes, sketches.bit_rows(members)
+
+
+def _leaf_rows(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same of signatures that are computed once, a row each: ((node, parent), (node, seq_id, bits))."""
     leaf = F.concat_ws("/", "lang", "source")
     rows = written(flat(spark, sf_dir, "lang", "source").where(F.size("bits") > 0), "signatures")
     pairs = rows.select(leaf.alias("node"), F.col("lang").alias("parent")).distinct()
     tops = rows.select(F.col("lang").alias("node"), F.lit("all").alias("parent")).distinct()
-    return pairs.unionByName(tops), sketches.bit_rows(rows.select(leaf.alias("node"), "seq_id", "bits"))
+    return pairs.unionByName(tops), rows.select(leaf.alias("node"), "seq_id", "bits")
 
 
 _TREE = f"""WITH {DNA}, {KM}, m AS (SELECT DISTINCT lang, lang || '/' || source AS node, seq_id, {bit_sql('h')} AS bit FROM km),
@@ -34,7 +40,7 @@ bm AS (SELECT lm.lang, bit FROM lm JOIN k USING (lang) WHERE lm.n > 1 GROUP BY l
 @query(f"{_TREE} SELECT node, bit FROM lm UNION ALL SELECT lang, bit FROM bm UNION ALL SELECT DISTINCT 'all', bit FROM bm")
 def tree_centroids(spark, sf_dir: str) -> DataFrame:
     """Signatures of leaves (majority of members), branches (majority of leaves) and the root (union)."""
-    return trees.centroids(*_leaves(spark, sf_dir))
+    return trees.centroids(*_leaf_rows(spark, sf_dir))
 
 
 _NA = "na AS (SELECT dna.seq_id, count(bit) AS n FROM dna LEFT JOIN m USING (seq_id) GROUP BY 1)"
@@ -76,7 +82,7 @@ def _farthest(rows: str) -> str:
 @query(f"{_MEAN}, na AS (SELECT lang, seq_id, count(*) AS n FROM m GROUP BY 1, 2), d0 AS ({_far('m', 'mean')}), p AS ({_farthest('d0')}), d1 AS ({_far('m', 'p')}), q AS ({_farthest('d1')}), d2 AS ({_far('m', 'q')}) SELECT lang AS node, seq_id, (d2.hd < d1.hd)::INT AS side, least(d1.hd, d2.hd) AS hd FROM d1 JOIN d2 USING (lang, seq_id)")
 def tree_poles(spark, sf_dir: str) -> DataFrame:
     """Each language in two, by its two poles."""
-    return trees.poles(_members(spark, sf_dir).withColumnRenamed("lang", "node"))
+    return trees.poles(_signatures(spark, sf_dir).withColumnRenamed("lang", "node"))
 
 
 _BWIN = WIN.replace("nwin", "bnum").replace("win AS (", "bwin AS (").replace("km", "bkm").replace("FROM dna", "FROM bdna")
@@ -119,8 +125,8 @@ def tree_tour(spark, sf_dir: str) -> DataFrame:
 @query("SELECT count(*)::BIGINT AS n_arrived, 0::BIGINT AS n_unlike FROM benchmark")
 def tree_stream(spark, sf_dir: str) -> DataFrame:
     """The benchmark's texts arrive as a stream at the tree of all documents: how many stand at a leaf, and how many means differ from those of a tree that is built of all members."""
-    nodes, members = _leaves(spark, sf_dir)
-    nodes, members = written(nodes, "nodes"), written(members, "members")
+    nodes, members = _leaf_rows(spark, sf_dir)
+    nodes = written(nodes, "nodes")
     base = f"{folder(spark)}/moving-{uuid.uuid4().hex}"
     items = sketches.dna(table(spark, sf_dir, "benchmark"), "item_id", "text")
     items.repartition(3).write.parquet(f"{base}/arrivals")
@@ -128,9 +134,9 @@ def tree_stream(spark, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrivals")
     moving.follow(stream, nodes, ALL, base, f"{base}/checkpoint", once=True).awaitTermination()
     came = moving.members(spark, base, "string")
-    bits = sketches.bit_rows(sketches.flat(items, ALL))
+    own = sketches.flat(items, ALL).where(F.size("bits") > 0)
     # ids of items and of documents are apart in name
-    every = members.select("node", F.concat(F.lit("d"), "seq_id").alias("seq_id"), "bit").unionByName(came.join(bits, "seq_id").select("node", F.concat(F.lit("b"), "seq_id").alias("seq_id"), "bit"))
+    every = members.select("node", F.concat(F.lit("d"), "seq_id").alias("seq_id"), "bits").unionByName(came.join(own, "seq_id").select("node", F.concat(F.lit("b"), "seq_id").alias("seq_id"), "bits"))
     built = trees.centroids(nodes, every).select("node", "bit")
     kept = moving.means(spark, base, "string").select("node", F.explode("bits").alias("bit"))
     unlike = kept.exceptAll(built).unionByName(built.exceptAll(kept)).agg(F.count(F.lit(1)).alias("n_unlike"))
@@ -240,7 +246,7 @@ e2 AS (SELECT nb.lang, (SELECT count(DISTINCT bit) FROM bm) - nb.n AS hd FROM nb
 SELECT node, round(radius, 6) AS radius, round(distortion, 6) AS distortion FROM (SELECT * FROM le UNION ALL SELECT * FROM be UNION ALL SELECT 'all', max(radius), sqrt(avg((hd + distortion) * (hd + distortion))) FROM be JOIN e2 USING (lang))""")
 def tree_extent(spark, sf_dir: str) -> DataFrame:
     """How far nodes reach and how much they are off their means, from the leaves to the root."""
-    nodes, members = _leaves(spark, sf_dir)
+    nodes, members = _leaf_rows(spark, sf_dir)
     rows = trees.extent(nodes, members, trees.centroids(nodes, members))
     return rows.select("node", F.round("radius", 6).alias("radius"), F.round("distortion", 6).alias("distortion"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import SketchConfig
 from ..operators import aggregates, block_pairs, evaluate, pairs, sketches, windowed as by_window
 from .base import ALL, CFG, DNA, FLAT, KM, WBITS, WIN, WIN_ALL, bit_sql, dna, flat, kmer_sql, query, table, window_counts, windowed
-from .cluster_queries import _EDGES, _MEAN, _members
+from .cluster_queries import _EDGES, _MEAN, _signatures
 from .pair_queries import _FOUR, _SIX, MATCH, _window_bits, _windows, sim_filtered_inverted, sim_global, sim_local, sim_matching, unions
 
 
@@ -134,24 +134,23 @@ _SPREAD = ", na AS (SELECT lang, seq_id, count(*) AS n FROM m GROUP BY 1, 2), nb
 @query(_MEAN + _SPREAD + ", s AS (SELECT lang, sqrt(avg(hd::DOUBLE ** 2)) AS sd FROM d GROUP BY 1), x AS (SELECT a.lang AS i, b.lang AS j, count(*) AS c FROM mean a JOIN mean b ON a.bit = b.bit GROUP BY 1, 2), r AS (SELECT p.lang AS i, max((p.sd + q.sd) / (a.n + b.n - 2 * coalesce(x.c, 0))) AS worst FROM s p JOIN s q ON p.lang <> q.lang JOIN nb a ON a.lang = p.lang JOIN nb b ON b.lang = q.lang LEFT JOIN x ON x.i = p.lang AND x.j = q.lang GROUP BY 1) SELECT round(avg(worst), 6) AS davies_bouldin FROM r")
 def davies_bouldin_hamming(spark, sf_dir: str) -> DataFrame:
     """The index over languages: deviations and centres by Hamming distance."""
-    return aggregates.davies_bouldin_hamming(_members(spark, sf_dir), "lang").select(_SIX(F.col("davies_bouldin")).alias("davies_bouldin"))
+    return aggregates.davies_bouldin_hamming(_signatures(spark, sf_dir), "lang").select(_SIX(F.col("davies_bouldin")).alias("davies_bouldin"))
 
 
 @query(_MEAN + _SPREAD + " SELECT lang, max(hd)::BIGINT AS hd, arg_min(seq_id, -hd * 1000000000 + seq_id) AS seq_id FROM d GROUP BY 1")
 def farthest_member(spark, sf_dir: str) -> DataFrame:
     """Each cluster's member at the greatest Hamming distance from its mean, ties to the smaller id."""
-    return aggregates.farthest(_members(spark, sf_dir), "lang")
+    return aggregates.farthest(_signatures(spark, sf_dir), "lang")
 
 
 @query(f"WITH {DNA}, {KM}, m0 AS (SELECT DISTINCT lang, seq_id, {bit_sql('h')} AS bit FROM km), f AS (SELECT DISTINCT lang, seq_id FROM m0), o AS (SELECT a.lang, min(b.seq_id) AS seq_id FROM (SELECT DISTINCT lang FROM f) a JOIN f b ON a.lang <> b.lang GROUP BY 1), m AS (SELECT lang, seq_id, bit FROM m0 UNION ALL SELECT o.lang, m0.seq_id, m0.bit FROM o JOIN m0 ON m0.seq_id = o.seq_id), sz AS (SELECT lang, count(DISTINCT seq_id) AS n FROM m GROUP BY 1), v AS (SELECT lang, bit, count(*) AS votes FROM m GROUP BY 1, 2), mean AS (SELECT v.lang, bit FROM v JOIN sz USING (lang) WHERE votes >= (n + 1) // 2), na AS (SELECT lang, seq_id, count(*) AS n FROM m GROUP BY 1, 2), nb AS (SELECT lang, count(*) AS n FROM mean GROUP BY 1), c AS (SELECT m.lang, seq_id, count(*) AS c FROM m JOIN mean USING (lang, bit) GROUP BY 1, 2) SELECT na.lang, round(avg(coalesce(c.c, 0) / (na.n + coalesce(nb.n, 0) - coalesce(c.c, 0))::DOUBLE), 6) AS priority FROM na LEFT JOIN nb USING (lang) LEFT JOIN c USING (lang, seq_id) GROUP BY 1")
 def what_if_priority(spark, sf_dir: str) -> DataFrame:
     """A language's priority if the first sequence of another language joined it."""
-    m = _members(spark, sf_dir)
-    ids = m.select("lang", "seq_id").distinct()
-    firsts = ids.groupBy("lang").agg(F.min("seq_id").alias("seq_id"))
+    m = _signatures(spark, sf_dir)
+    firsts = m.groupBy("lang").agg(F.min("seq_id").alias("seq_id"))
     other = firsts.select(F.col("lang").alias("of"), F.col("seq_id").alias("first"))
     joining = firsts.select("lang").join(other, F.col("lang") != F.col("of")).groupBy("lang").agg(F.min("first").alias("seq_id"))
-    added = joining.join(m.select("seq_id", "bit"), "seq_id").select("lang", "seq_id", "bit")
+    added = joining.join(m.select("seq_id", "bits"), "seq_id").select("lang", "seq_id", "bits")
     return aggregates.priority(m.unionByName(added), "lang").select("lang", _SIX(F.col("priority")).alias("priority"))
 
 
@@ -220,4 +219,4 @@ def cluster_quality_by_parent(spark, sf_dir: str) -> DataFrame:
 @query(_MEAN + _SPREAD + " SELECT seq_id, lang AS cluster, hd::BIGINT AS hd FROM d")
 def node_distance(spark, sf_dir: str) -> DataFrame:
     """Each sequence with its node and its Hamming distance to the node's mean."""
-    return aggregates.node_distances(_members(spark, sf_dir).withColumnRenamed("lang", "cluster"))
+    return aggregates.node_distances(_signatures(spark, sf_dir).withColumnRenamed("lang", "cluster"))

@@ -58,9 +58,13 @@ def _packed(rows: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def begin(nodes: DataFrame, members: DataFrame, path: str, singleton: int = 1) -> None:
-    """The state before the first batch, of a built tree: nodes (node, parent), members (node, seq_id, bit) of leaves."""
+    """The state before the first batch, of a built tree: nodes (node, parent), members (node, seq_id, bit) of leaves, or (node, seq_id, bits), a row each."""
     at_ends = members.join(trees.leaves(nodes), "node", "left_semi")
-    _put(at_ends.groupBy("node", F.col("bit").cast("int").alias("bit")).agg(F.count(F.lit(1)).alias("votes")), path, "votes", -1)
+    votes = at_ends
+    if "bits" in members.columns:
+        at_ends = at_ends.where(F.size("bits") > 0)
+        votes = at_ends.select("node", F.explode("bits").alias("bit"))
+    _put(votes.groupBy("node", F.col("bit").cast("int").alias("bit")).agg(F.count(F.lit(1)).alias("votes")), path, "votes", -1)
     _put(at_ends.groupBy("node").agg(F.count_distinct("seq_id").alias("n")), path, "sizes", -1)
     tops = nodes.select("node").union(nodes.select("parent").where("parent IS NOT NULL")).distinct()
     _put(_packed(trees.centroids(nodes, members, singleton).select("node", F.col("bit").cast("int").alias("bit")), tops), path, "means", -1)
