@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from seqloom.operators import aggregates, sketches, trees
+from seqloom.operators import aggregates, clustering, sketches, trees, windowed
 from seqloom.streaming import means as moving
 
 
@@ -35,3 +36,30 @@ def test_stream_begins_alike(spark, both, tmp_path):
     for part in ("votes", "sizes", "means"):
         got = [rows(spark.read.parquet(str(tmp_path / name / part))) for name in ("a", "b")]
         assert got[0] == got[1] and got[0]
+
+
+def test_window_keys(spark):
+    r = random.Random(5)
+    seqs = [(i, "".join(r.choice("ACGT") for _ in range(r.randrange(400)))) for i in range(24)] + [(50, "")]
+    df = spark.createDataFrame(seqs, "seq_id long, seq string")
+    from seqloom.plans.base import CFG
+
+    keys = sketches.window_keys(df, CFG)
+    split = sketches.bit_rows(sketches.windowed(df, CFG))
+    apart = keys.select("seq_id", F.explode("bits").alias("b")).select("seq_id", F.floor(F.col("b") / sketches.WINDOW).cast("int").alias("window_id"), F.pmod("b", F.lit(sketches.WINDOW)).cast("int").alias("bit"))
+    assert rows(apart) == rows(split) and keys.count() == 25
+    group = (F.col("seq_id") % 5).alias("grp")
+    got = windowed.truncated_mean_keys(keys.select(group, "seq_id", "bits"), "grp")
+    want = windowed.truncated_mean(split.select(group, "seq_id", "window_id", "bit"), "grp")
+    assert rows(got) == rows(want.select("grp", (F.col("window_id").cast("long") * sketches.WINDOW + F.col("bit")).alias("bit")))
+
+
+def test_nearest_by_blocks(spark):
+    r = random.Random(6)
+    big = sketches.WINDOW * 5000  # beyond 31 bits
+    data = {i: sorted(r.sample(range(12), r.randrange(7))) for i in range(40)}
+    centres = {c: sorted(r.sample(range(12), 4)) for c in range(4)}
+    df = spark.createDataFrame([(i, [big + b for b in x]) for i, x in data.items()], "seq_id long, bits array<bigint>")
+    of = spark.createDataFrame([(c, big + b) for c, x in centres.items() for b in x], "cluster int, bit bigint")
+    want = {i: min((len(set(x) ^ set(y)), c) for c, y in centres.items()) for i, x in data.items()}
+    assert {x["seq_id"]: (x["hd"], x["cluster"]) for x in clustering.nearest_by_blocks(clustering._key_blocks(df), of).collect()} == want
