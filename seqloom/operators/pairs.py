@@ -1,17 +1,15 @@
-"""Similarity of all pairs by an inverted index on bits, windowed ones by blocks.
+"""Similarity of all pairs by an inverted index on bits, windowed ones and those above a least similarity by blocks.
 
-Pairs that share no bit are never formed: their similarity is 0. Where a least similarity is given, only each signature's
-rarest bits are joined (a pair at or over it shares one of them), and candidates are compared on their whole bit arrays.
+Pairs that share no bit are never formed: their similarity is 0.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import metrics
-from ..sources.storage import written
-from . import window_pairs
+from . import block_pairs, window_pairs
 
 EDGES = "i long, j long, similarity double"
 #: No window.
@@ -83,25 +81,8 @@ def windowed_hamming(bits: DataFrame) -> DataFrame:
 
 
 def similar(signatures: DataFrame, least: float) -> DataFrame:
-    """(i, j, similarity) of flat signatures (seq_id, bits) with Jaccard >= least.
-
-    Of n bits in order of rarity, the first n - ceil(least * n) + 1 hold one that any such partner has among its own first. What two
-    share there, and what can come after the last of it, bounds what they share at all; only pairs that this leaves are compared.
-    """
-    signatures = written(signatures.select("seq_id", "bits"), "signatures")
-    rows = signatures.select("seq_id", F.size("bits").alias("n"), F.explode("bits").alias("bit"))
-    rarity = rows.groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("seq_id").orderBy("df", "bit"))
-    prefix = rows.join(rarity, "bit").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-    prefix = prefix.where("df > 1")
-    side = lambda i: prefix.select(F.col("seq_id").alias(i), F.col("n").alias(f"n{i}"), F.col("rank").alias(f"r{i}"), "bit")
-    ni, nj = F.col("ni"), F.col("nj")
-    met = side("i").join(side("j"), "bit").where((F.col("i") < F.col("j")) & (ni >= F.lit(least) * nj - 1e-9) & (nj >= F.lit(least) * ni - 1e-9))
-    common = met.groupBy("i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("c"), F.max("ri").alias("ri"), F.max("rj").alias("rj"))
-    bound = F.col("c") + F.least(ni - F.col("ri"), nj - F.col("rj"))
-    candidates = common.where(bound * (1 + least) >= F.lit(least) * (ni + nj) - 1e-9).select("i", "j")
-    full = candidates.join(signatures.select(F.col("seq_id").alias("i"), F.col("bits").alias("x")), "i").join(signatures.select(F.col("seq_id").alias("j"), F.col("bits").alias("y")), "j")
-    return full.select("i", "j", metrics.array_jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+    """(i, j, similarity) of flat signatures (seq_id, bits) with Jaccard >= least, by blocks: nothing is shuffled by bit."""
+    return block_pairs.similar(signatures, least)
 
 
 def against(queries: DataFrame, references: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def sim_filtered_inverted(spark, sf_dir: str) -> DataFrame:
 
 @query(f"{FLAT_ALL} SELECT i, j, c / (na + nb - c)::DOUBLE AS similarity FROM px WHERE c / (na + nb - c)::DOUBLE >= 0.9")
 def sim_filtered_prefix(spark, sf_dir: str) -> DataFrame:
-    """Pairs with Jaccard 0.9 and more, by their rarest bits: near copies, where few bits need be joined."""
+    """Pairs with Jaccard 0.9 and more: near copies, for which a few cells of folded bits tell most others apart."""
     return pairs.similar(flat(spark, sf_dir), 0.9)
 
 

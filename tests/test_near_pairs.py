@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from test_block_shuffles import plan
 
-from seqloom.operators import block_pairs
+from seqloom.operators import block_pairs, pairs
 
 
 def rows_of(r: random.Random, n: int, size: int, span: int) -> list[list[int]]:
@@ -30,3 +31,14 @@ def test_near_pairs_are_all_found_and_few_others_counted():
         assert want <= {*zip(a, b, strict=True)} and len(a) < len(want) + m.size * n.size / 50
         a, b, c = block_pairs.near(packed(x), packed(y), share * m, share * n)
         assert (c == inter[a, b]).all() and want <= {*zip(a, b, strict=True)}
+
+
+def test_similar_pairs_are_not_shuffled_by_bit(spark):
+    r = random.Random(2)
+    rows = [*enumerate(rows_of(r, 40, 30, 200)), (99, [])]
+    df = spark.createDataFrame(rows, "seq_id long, bits array<int>")
+    for least in (0.5, 0.9):
+        found = pairs.similar(df, least)
+        assert "CartesianProduct" in plan(found) and "Exchange" not in plan(found)
+        want = {(i, j) for i, x in rows for j, y in rows if i < j and x and len({*x} & {*y}) >= least * len({*x} | {*y})}
+        assert want and {(p["i"], p["j"]) for p in found.collect()} == want
