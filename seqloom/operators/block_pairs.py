@@ -195,7 +195,7 @@ def each_two(signatures: DataFrame, function: Callable, schema: str, least: floa
             here = slice(at, at + SLICE)
             yield function(i[here], m[here], j, n, inter[here])
 
-    return _meet(signatures, run, schema, least)
+    return _meet(signatures, run, schema, _sized(least))
 
 
 def _two(row: dict) -> tuple[tuple, tuple, bool]:
@@ -204,11 +204,15 @@ def _two(row: dict) -> tuple[tuple, tuple, bool]:
     return x, x if same else _block(row, "b"), same
 
 
-def _meet(signatures: DataFrame, run: Callable, schema: str, least: float) -> DataFrame:
+def _sized(least: float) -> Column:
+    """Blocks whose sizes allow a Jaccard of `least`."""
+    return (F.col("a_hi") >= F.lit(least) * F.col("b_lo")) & (F.col("b_hi") >= F.lit(least) * F.col("a_lo"))
+
+
+def _meet(signatures: DataFrame, run: Callable, schema: str, on: Column) -> DataFrame:
     full = signatures.where(F.size("bits") > 0).select(F.col("seq_id").cast("long").alias("seq_id"), F.size("bits").cast("long").alias("n"), F.col("bits").cast("array<int>").alias("bits"))
     blocks = packed(blocked(written(full, "signatures")))
-    on = (F.col("a_block") <= F.col("b_block")) & (F.col("a_hi") >= F.lit(least) * F.col("b_lo")) & (F.col("b_hi") >= F.lit(least) * F.col("a_lo"))
-    return meeting(blocks, blocks, on, run, schema)
+    return meeting(blocks, blocks, (F.col("a_block") <= F.col("b_block")) & on, run, schema)
 
 
 COUNTED = "i long, j long, na long, nb long, inter long"
@@ -244,10 +248,25 @@ def similar(signatures: DataFrame, least: float) -> DataFrame:
         real = (inter > 0) & (inter >= least * (na + nb - inter)) & ((i[a] < j[b]) | (not same))
         yield _table(i[a][real], j[b][real], na[real], nb[real], inter[real])
 
-    found = _meet(signatures, run, COUNTED, least)
+    found = _meet(signatures, run, COUNTED, _sized(least))
     return found.select("i", "j", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def apart(signatures: DataFrame, most: float) -> DataFrame:
+    """(i, j, hd) of pairs i < j that differ in `most` bits at most; blocks whose sizes differ in more don't meet."""
+
+    def run(row: dict):
+        (i, m, p), (j, n, q), same = _two(row)
+        a, b, inter = near(p, q, np.zeros(len(i)), np.full(len(j), float(most)))
+        hd = m[a] + n[b] - 2 * inter
+        real = (hd <= most) & ((i[a] < j[b]) | (not same))
+        first, second = i[a][real], j[b][real]
+        yield pa.table({"i": pa.array(np.minimum(first, second)), "j": pa.array(np.maximum(first, second)), "hd": pa.array(hd[real])})
+
+    on = (F.col("a_hi") + F.lit(most) >= F.col("b_lo")) & (F.col("b_hi") + F.lit(most) >= F.col("a_lo"))
+    return _meet(signatures, run, "i long, j long, hd long", on)
+
+
 def histogram(signatures: DataFrame) -> DataFrame:
     """(bin, count) of the Jaccard of all pairs of signatures with bits, in tenths of 100; pairs are counted where they are compared."""
 

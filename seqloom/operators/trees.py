@@ -309,19 +309,19 @@ def super_clusters(nodes: DataFrame) -> DataFrame:
 def like_siblings(nodes: DataFrame, means: DataFrame, within: int) -> DataFrame:
     """(node, into): children that merge into an earlier one of the same parent, which stays.
 
-    In order of their numbers, a child merges into the first sibling that stays and whose mean (node, bit) is less than `within` away
+    In order of their numbers, a child merges into the first sibling that stays and whose mean (node, bit), or (node, bits), a row each, is less than `within` away
     (Hamming); else it stays. A child is settled as soon as all earlier siblings near it are, so rounds are as many as the
     longest chain of near siblings; only near pairs leave the comparison of blocks. Siblings of equal means fare alike, so only the
     first of them is compared.
     """
-    bits = F.concat(F.array(F.lit(0)), F.transform(F.array_sort(F.collect_list("bit")), lambda b: b.cast("int") + 1))
-    each = nodes.join(means, "node", "left").groupBy("node", "parent").agg(bits.alias("bits"))
-    alike = each.groupBy("parent", "bits").agg(F.min("node").alias("first"))
-    copies = written(each.join(alike, ["parent", "bits"]).where("node <> first").select("node", "first"), "copies")
-    lists = alike.select(F.col("first").alias("node"), "bits")
-    near = block_pairs.product(lists.withColumnRenamed("node", "seq_id"), lists, within=within - 1)
+    own = means if "bits" in means.columns else means.groupBy("node").agg(F.collect_list("bit").alias("bits"))
+    bits = F.concat(F.array(F.lit(0)), F.transform(F.array_sort(F.coalesce("bits", F.array().cast(dict(own.dtypes)["bits"]))), lambda b: b.cast("int") + 1))
+    each = nodes.join(own, "node", "left").select("node", "parent", bits.alias("bits"))
+    each = written(each.withColumn("first", F.min("node").over(Window.partitionBy("parent", "bits"))), "alike")
+    copies = each.where("node <> first AND parent IS NOT NULL").select("node", "first")
+    near = block_pairs.apart(each.where("node = first").select(F.col("node").alias("seq_id"), "bits"), within - 1)
     parent = nodes.select("node", "parent")
-    pairs = near.where("node < seq_id").select(F.col("seq_id").alias("later"), F.col("node").alias("earlier"))
+    pairs = near.select(F.col("j").alias("later"), F.col("i").alias("earlier"))
     pairs = pairs.join(parent.select(F.col("node").alias("later"), F.col("parent").alias("p")), "later").join(parent.select(F.col("node").alias("earlier"), F.col("parent").alias("q")), "earlier")
     open_ = written(pairs.where("p = q").select("later", "earlier"), "near")
     out = nodes.sparkSession.createDataFrame([], "node long, into long")

@@ -316,4 +316,4 @@ def tree_like_siblings(spark, sf_dir: str) -> DataFrame:
     """Near sequences of a language that merge into an earlier one: languages as nodes, their sequences as children."""
     rows = written(flat(spark, sf_dir, "lang"), "signatures")
     nodes = rows.select(F.col("seq_id").alias("node"), F.coalesce("lang", F.lit("")).alias("parent"))
-    return trees.like_siblings(nodes, rows.select(F.col("seq_id").alias("node"), F.explode("bits").alias("bit")), 40)
+    return trees.like_siblings(nodes, rows.select(F.col("seq_id").alias("node"), "bits"), 40)

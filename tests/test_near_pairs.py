@@ -42,3 +42,25 @@ def test_similar_pairs_are_not_shuffled_by_bit(spark):
         assert "CartesianProduct" in plan(found) and "Exchange" not in plan(found)
         want = {(i, j) for i, x in rows for j, y in rows if i < j and x and len({*x} & {*y}) >= least * len({*x} | {*y})}
         assert want and {(p["i"], p["j"]) for p in found.collect()} == want
+
+
+def test_pairs_apart_by_blocks_of_like_size(spark, monkeypatch):
+    monkeypatch.setattr(block_pairs, "BLOCK", 5)
+    r = random.Random(4)
+    rows = [*enumerate(rows_of(r, 40, 30, 60))]
+    found = block_pairs.apart(spark.createDataFrame(rows, "seq_id long, bits array<int>"), 4)
+    assert "a_hi" in plan(found) and "Exchange" not in plan(found)
+    want = {(i, j): len({*x} ^ {*y}) for i, x in rows for j, y in rows if i < j and len({*x} ^ {*y}) <= 4}
+    assert want and {(p["i"], p["j"]): p["hd"] for p in found.collect()} == want
+
+
+def test_like_siblings_take_signatures_a_row_each(spark):
+    from seqloom.operators import trees
+
+    r = random.Random(5)
+    rows = [*enumerate(rows_of(r, 60, 6, 9)), (99, []), (98, [])]
+    nodes = spark.createDataFrame([(i, i % 2) for i, _ in rows], "node long, parent long")
+    lists = spark.createDataFrame(rows, "node long, bits array<int>")
+    bits = spark.createDataFrame([(i, b) for i, x in rows for b in x], "node long, bit int")
+    got = {(p["node"], p["into"]) for p in trees.like_siblings(nodes, lists, 3).collect()}
+    assert got and got == {(p["node"], p["into"]) for p in trees.like_siblings(nodes, bits, 3).collect()}
