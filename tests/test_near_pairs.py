@@ -64,3 +64,22 @@ def test_like_siblings_take_signatures_a_row_each(spark):
     bits = spark.createDataFrame([(i, b) for i, x in rows for b in x], "node long, bit int")
     got = {(p["node"], p["into"]) for p in trees.like_siblings(nodes, lists, 3).collect()}
     assert got and got == {(p["node"], p["into"]) for p in trees.like_siblings(nodes, bits, 3).collect()}
+
+
+def test_tenths_are_counted_without_a_share_for_each_pair(spark, monkeypatch):
+    r = random.Random(6)
+    rows = rows_of(r, 60, 12, 20) + [[1, 2], [1, 2], [3]]
+    monkeypatch.setattr(block_pairs, "each_two", lambda signatures, function, schema, least=0.0: signatures.sparkSession.createDataFrame(function(*signatures).to_pandas(), schema))
+
+    class Given(tuple):
+        sparkSession = spark
+
+    m = np.array([*map(len, rows)])
+    inter = np.array([[len({*x} & {*y}) if i < j else -1 for j, y in enumerate(rows)] for i, x in enumerate(rows)], np.int32)
+    monkeypatch.setattr(np, "floor", None)
+    got = block_pairs.histogram(Given((np.arange(len(m)), m, np.arange(len(m)), m, inter))).collect()
+    want = {10 * k: 0 for k in range(11)}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            want[10 * len({*x} & {*y}) // len({*x} | {*y}) * 10] += 1
+    assert {p["bin"]: p["count"] for p in got} == want and min(want[0], want[100]) > 0
